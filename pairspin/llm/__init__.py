@@ -15,6 +15,9 @@ MODULES: tuple[str, ...] = (
     "token_files",
     "digest_cache",
     "bpe_codec",
+    "mixing",
+    "language_id",
+    "ngram_join",
 )
 
 
