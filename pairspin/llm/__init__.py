@@ -18,6 +18,7 @@ MODULES: tuple[str, ...] = (
     "mixing",
     "language_id",
     "ngram_join",
+    "cap_join",
 )
 
 
