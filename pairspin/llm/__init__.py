@@ -19,6 +19,7 @@ MODULES: tuple[str, ...] = (
     "language_id",
     "ngram_join",
     "cap_join",
+    "adaptive_ann",
 )
 
 
