@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import materialize, scratch, table
-from .pretokens import BatchEncoder, library_encoder
+from .pretokens import BatchEncoder, library_encoder, slices
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -89,7 +89,7 @@ def cached_counts(docs: DataFrame, path: str, cache: str, key: str = "doc_id", t
     misses = full.join(chosen, F.col("k").eqNullSafe(F.col("chosen")) & (F.col("d") == F.col("digest")), "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = count_tokens(path, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 

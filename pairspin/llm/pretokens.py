@@ -9,14 +9,16 @@ and length: a clash of two of a billion distinct ones has a chance of about 3 in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Signs of a block; the arrays of a block take about 60 bytes a sign.
-BLOCK = 1_000_000
+BLOCK = 800_000
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _RI = pow(_R, -1, 1 << 64)
@@ -28,11 +30,12 @@ def sign_classes() -> np.ndarray:
     import regex
 
     out = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, points))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            out[np.array(points[m.start() : m.end()])] = kind
+    for a in range(0, 0x110000, 0x800):
+        if a != 0xD800:  # surrogates are in no text
+            text = "".join(map(chr, range(a, a + 0x800)))
+            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+                for m in regex.finditer(pattern, text):
+                    out[a + m.start() : a + m.end()] = kind
     return out
 
 
@@ -85,6 +88,13 @@ def word_keys(signs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return h * np.uint64(0xE7037ED1A0B428DB)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts and ids are held as Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 class BatchEncoder:
     """Texts to ids.  ``resolve``: list of distinct pre-tokens -> list of id lists.
 
@@ -102,10 +112,20 @@ class BatchEncoder:
         self.offset = np.zeros(1 << 14, np.int64)
         self.n_ids = 0
 
+    def _keep(self, keys: list[int]) -> None:
+        """Forget all pre-tokens but these."""
+        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        begin, sizes = self.offset[slots], self.offset[slots + 1] - self.offset[slots]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)]
+        self._clear()
+        self._add(keys, ids, sizes)
+
     def _learn(self, keys: list[int], words: list[str]) -> None:
         found = self.resolve(words)
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(keys, np.array([*chain.from_iterable(found)], np.uint32), np.array([*map(len, found)], np.int64))
+
+    def _add(self, keys: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
         k = len(self.slot)
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -158,13 +178,14 @@ class BatchEncoder:
             return []
         whole, begin, end, keys, bounds = self.words(texts)
         distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > self.limit:
-            self._clear()
         listed = distinct.tolist()
         missing = [k for k, key in enumerate(listed) if key not in self.slot]
-        if missing:
-            at = where[missing]
-            self._learn([listed[k] for k in missing], [whole[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+        if len(self.slot) + len(missing) > self.limit:
+            self._keep([key for key in listed if key in self.slot])
+        for a in range(0, len(missing), 10_000):
+            part = missing[a : a + 10_000]
+            at = where[part]
+            self._learn([listed[k] for k in part], [whole[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
         slots = np.fromiter(map(self.slot.__getitem__, listed), np.int64, len(listed))[which]
         offset = self.offset[slots]
         sizes = self.offset[slots + 1] - offset
@@ -175,6 +196,13 @@ class BatchEncoder:
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+def byte_signs() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def library_encoder(path: str, special: bool = True) -> BatchEncoder:
     """Encoder whose unknown pre-tokens go to the tokenizers library, for a byte-level BPE file."""
     import json
@@ -186,11 +214,14 @@ def library_encoder(path: str, special: bool = True) -> BatchEncoder:
     added = spec["added_tokens"]
     if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"] or len(added) > 1:
         raise ValueError(f"{path} is not a plain byte-level BPE")
-    whole = dict(spec, added_tokens=[], post_processor=None, pre_tokenizer=dict(spec["pre_tokenizer"], use_regex=False))
-    library = Tokenizer.from_str(json.dumps(whole))
+    model = Tokenizer.from_file(path).model
+    signs = byte_signs()
 
     def resolve(words: list[str]) -> list[list[int]]:
-        return [x.ids for x in library.encode_batch_fast(words, add_special_tokens=False)]
+        # the library's model on one pre-token each, in the byte alphabet that it is written in
+        # (byte 255 is in no UTF-8 text, so it can part them)
+        joined = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(signs)
+        return [[t.id for t in found] for found in map(model.tokenize, joined.split(signs[255]))]
 
     mark = (added[0]["content"], added[0]["id"]) if special and added else None
     return BatchEncoder(resolve, mark)

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize, scratch, table
-from .pretokens import BatchEncoder, library_encoder
+from .pretokens import BatchEncoder, library_encoder, slices
 
 MAGIC = b"TOKSHRD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
 FOOTER = "<QQI8s"
 #: The dictionary's size, and the texts that it is trained on: a bounded sample, only of texts of at most so many signs.
-DICT_BYTES, SAMPLE_DOCS, SAMPLE_SIGNS = 64 << 10, 1000, 20_000
+DICT_BYTES, SAMPLE_DOCS, SAMPLE_SIGNS = 64 << 10, 800, 20_000
 LEVEL = 3
 
 
@@ -61,7 +61,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, text:
     """
     import zstandard
 
-    sample = docs.where(F.length(text).between(1, SAMPLE_SIGNS)).select(text).orderBy(F.xxhash64(text), text).limit(SAMPLE_DOCS)
+    # the least hashes first, then their texts: what tasks send to the driver is small
+    fit = docs.where(F.length(text).between(1, SAMPLE_SIGNS)).select(text, F.xxhash64(text).alias("h"))
+    least = fit.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = fit.where(F.col("h") <= least).orderBy("h", text).limit(SAMPLE_DOCS).select(text)
     ids = encoder(path).encode([r[0] for r in sample.collect()])
     samples = [np.append(x, end_id).astype(f"<u{width}").tobytes() for x in ids]
     try:
@@ -101,7 +104,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, key:
         zstd, encode = _coder(shared.value, True), encoder(path)
         at, n_tokens, parts = len(MAGIC) + 33, 0, []
         out = None
-        for batch in batches:
+        for batch in slices(batches):
             if out is None:
                 out = store.open_output_stream(own)
                 out.write(MAGIC + bytes.fromhex(name) + bytes([width]))
