@@ -20,6 +20,8 @@ MODULES: tuple[str, ...] = (
     "ngram_join",
     "cap_join",
     "adaptive_ann",
+    "warc_fixity",
+    "tool_calls",
 )
 
 
