@@ -20,13 +20,14 @@ import os
 import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import discard, materialize, table
 from .pretokens import BatchEncoder, byte_signs, slices
 
 #: Words of the lexicon; it is broadcast, so this bounds its size (about 2 MB).
@@ -42,9 +43,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        # the printable stand-ins of bytes, as byte-level files write them
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        signs = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        signs = byte_signs()
         back = {s: b for b, s in signs.items()}
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.first = [vocab[signs[b]] for b in range(256)]
@@ -160,19 +159,18 @@ def compile_lexicon(words: dict[str, Sequence[int]]) -> bytes:
             rows.append((number[state] << 8 | byte, number[child], skip))
             skip += count(child)
     rows.sort()
-    key, to, skip = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-    offset = np.concatenate([[0], np.cumsum([len(ids) for _, ids in entries])]).astype(np.int64)
-    flat = np.array([x for _, ids in entries for x in ids], np.int64)
-    parts = [key, to, skip, np.array([final[s] for s in order], np.int64), offset, flat]
-    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
+    columns = [*zip(*rows, strict=True)] or [(), (), ()]
+    offset = [0, *accumulate(len(ids) for _, ids in entries)]
+    parts = [np.array(x, np.uint32) for x in (*columns, [final[s] for s in order], offset, [x for _, ids in entries for x in ids])]
+    return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(p.tobytes() for p in parts)
 
 
 class Lexicon:
     """A mapped transducer file; ``find`` walks it for many words at once."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.int64, "r")
-        cut = np.concatenate([[6], 6 + np.cumsum(data[:6])])
+        data = np.memmap(path, np.uint32, "r")
+        cut = np.concatenate([[6], 6 + np.cumsum(data[:6], dtype=np.int64)])
         self.key, self.to, self.skip, self.final, self.offset, self.flat = (data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True))
 
     @classmethod
@@ -190,14 +188,14 @@ class Lexicon:
         coded = [w.encode() for w in words]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         begin = np.cumsum(size) - size
-        text = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
-        state, rank, alive = np.zeros(len(coded), np.int64), np.zeros(len(coded), np.int64), np.arange(len(coded))
+        text = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint32)
+        state, rank, alive = np.zeros(len(coded), np.uint32), np.zeros(len(coded), np.int64), np.arange(len(coded))
         if not len(self.key):
             return [None] * len(coded)
         missing = np.zeros(len(coded), bool)
         step = 0
         while len(alive := alive[size[alive] > step]):
-            want = state[alive] << 8 | text[begin[alive] + step]
+            want = state[alive] << np.uint32(8) | text[begin[alive] + step]
             at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
             hit = self.key[at] == want
             missing[alive[~hit]] = True
@@ -232,7 +230,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
             keys = [k for k, n in total.items() if n > 1]
             return pa.RecordBatch.from_pydict({"word": [spelt[k] for k in keys], "n": [total[k] for k in keys]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
-        for batch in batches:
+        for batch in slices(batches):
             for text_block in blocks(batch.column(0).to_pylist()):
                 whole, begin, end, keys, _ = split.words(text_block)
                 distinct, where, n = np.unique(keys, return_index=True, return_counts=True)
@@ -265,8 +263,17 @@ def blocks(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str]
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_SIZE, text: str = "text") -> bytes:
-    """Transducer of the ``size`` most frequent words of all texts."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(size).collect()
+    """Transducer of the most frequent words of all texts, ``size`` at most."""
+    # eighth-powers of two of the counts: a few hundred steps, of which the highest that hold ``size`` words or fewer are taken
+    counts = materialize(count_words(docs, text).withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "word-counts")
+    cut, room = None, size
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r.step
+    top = counts.where(F.col("step") >= cut).select("word").collect() if cut is not None else []
+    discard(counts)
     v = vocabulary(path)
     return compile_lexicon({r.word: v.merge(r.word) for r in top})
 
@@ -280,7 +287,7 @@ def encode_decode(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, encoder = codec(path, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([v.decode(x.tolist()) for x in ids], pa.string())],
@@ -297,7 +304,7 @@ def codec_digests(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, encoder = codec(path, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
