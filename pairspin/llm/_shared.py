@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +75,30 @@ def discard(*frames: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that are done with, rather than whenever memory next runs low."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Whole runs of equal leading columns in sorted batches: (rows, bounds of the runs in them)."""
+    held: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+        if held is None or not len(held):
+            continue
+        keys = [held.column(c).to_numpy() for c in range(n_keys)]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if len(held) > 1 else np.zeros(0, np.int64)
+        # the last run may go on in the next batch
+        whole = len(held) if batch is None else int(cuts[-1]) if len(cuts) else 0
+        if whole:
+            yield held.slice(0, whole), [0, *(c for c in cuts.tolist() if c < whole), whole]
+            held = held.slice(whole)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges(u, v)``: one row (node, component = smallest reachable node).
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import components, materialize, ship, table
+from ._shared import components, materialize, runs, ship, table
 
 #: Codes, filters of a vector under each, and unrelated vectors of a filter.
 CODES, LIST, SHARE = 2, 12, 12
@@ -169,37 +169,13 @@ def links(classes: DataFrame, n: int, least: float) -> DataFrame:
     cells = rows.select("filter", "a", "b", "dim", "node", "mult", "chunk", "list", "vec").repartition("filter", "a", "b", "dim").sortWithinPartitions("filter", "a", "b", "dim")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["u", "v", "links"]
-        held: pa.Table | None = None
-        waiting: list[tuple[np.ndarray, ...]] = []
-
-        def compare(t: pa.Table) -> None:
-            keys = [t.column(c).to_numpy() for c in range(4)]
-            new = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(t) > 1 else np.zeros(0, bool)
-            cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(t)]]).tolist()
+        for t, cut in runs(batches, 4):
+            number, left, right = (t.column(c).to_pylist() for c in range(3))
             node, mult, chunk = (t.column(c).to_numpy() for c in (4, 5, 6))
             packed, raw = t.column(7).to_pylist(), t.column(8).to_pylist()
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                waiting.extend(_compare(int(keys[0][s]), int(keys[1][s]), int(keys[2][s]), node[s:e], mult[s:e], chunk[s:e], packed[s:e], raw[s:e], least))
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            if waiting:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*waiting, strict=True)], names=names)
-                waiting.clear()
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            keys = [t.column(c).to_numpy() for c in range(4)]
-            # the last cell may go on in the next batch
-            last = int(np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)).max(initial=-1)) + 1 if len(t) else 0
-            if last:
-                compare(t.slice(0, last))
-            held = t.slice(last)
-            yield from sent()
-        if held is not None and len(held):
-            compare(held)
-            yield from sent()
+            found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) for x in _compare(number[s], left[s], right[s], node[s:e], mult[s:e], chunk[s:e], packed[s:e], raw[s:e], least)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["u", "v", "links"])
 
     return cells.mapInArrow(run, "u long, v long, links long")
 

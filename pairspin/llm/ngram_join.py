@@ -1,15 +1,17 @@
 """N-gram Jaccard join with prefix trees: which documents' shingle sets are linked, and their components.
 
 1. One pass over the texts makes a small row a document (key, set size, set digest), and counts
-   the shingles that are frequent within a task.  The ``COMMON`` most frequent ones become the end of the global order:
-   rare shingles come first, by hash; common ones last, by count.  Any order gives the same links.
-2. A second pass sends the prefix of each set (the first n - ceil(t n) + 1 shingles; linked sets share
-   one of these) to the shuffle as (shingle, key, size).  Sets of equal content leave a task once.
-   In each shingle's run, ordered by size, neighbours of which the smaller has less than t of
-   the larger's size are parted, since no pair across can link.  Everybody else in the run gets an edge to its first member.
-3. Components of those edges are the blocks; linked sets are always in one block.  Only documents in blocks
-   are read a third time, with their whole sets.
-4. Each block is joined with a prefix tree (``prefix_tree``).  A block of more than ``BLOCK_SETS`` is cut in chunks
+   the shingles that are frequent within a task's share; the ``COMMON`` most frequent of all are kept.
+2. A second pass sends signatures to the shuffle.  Linked sets of up to so many elements differ in at most d of them; with the
+   universe of shingles split by hash into d + 1 + e parts, they have e + 1 parts in common, whole.  A signature is the hash
+   of all of a set's elements in a part, half a dozen as a rule, so texts that just share a passage rarely meet.  Parts that
+   are empty, or hold common shingles only, say little; they are left out where a set has e of them at most, which
+   leaves a common part to any linked pair.  Sets of one content leave a task once.
+   Sizes fall into intervals by the threshold; a set uses the parts of its own interval and of the next one.
+3. In each signature's run, ordered by size, neighbours of which the smaller has less than t of
+   the larger's size are parted, since no pair across can link.  Everybody else gets an edge to the first member.
+   Components of these edges are the blocks; linked sets are always in one block.  Only documents in blocks are read a third time.
+4. Each block's sets, in a global order, are joined with a prefix tree (``prefix_tree``).  A block of more than ``BLOCK_SETS`` is cut in chunks
    by hash, each joined with itself and with ``PIVOTS`` sets of the block, which connects most of a large group
    of near copies; what is still apart from the block's largest component is then joined with all of the block's chunks.
    So no group is larger than two chunks, and no pair is left out.
@@ -21,28 +23,29 @@ Exact but for clashes of 64-bit shingle hashes within two compared sets.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, materialize, ship, table
+from ._shared import components, discard, materialize, release, runs, ship, table
 from .prefix_tree import join_sets
-from .shingles import shingle_sets
+from .pretokens import slices
+from .shingles import _mixed, shingle_sets
 
-#: Shingles whose frequency the global order knows, at most; they are broadcast (16 bytes each).
+#: Shingles that are known to be common, at most; they are broadcast (8 bytes each).
 COMMON = 1 << 18
 #: A shingle counts as frequent in a task's share of the texts from this many sets on.
 FREQUENT = 4
 #: Sets of a chunk, and sets of a large block that all its chunks are compared with first.
-BLOCK_SETS, PIVOTS = 2000, 8
+BLOCK_SETS, PIVOTS = 1000, 8
 #: Keys that are broadcast to pick documents, at most (16 bytes each); beyond that the documents are shuffled.
 BROADCAST_KEYS = 2_000_000
 #: Hashes that a task holds while it counts.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -64,7 +67,7 @@ def heads(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             none = pa.nulls(len(found))
             return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(found), pa.array(times, pa.int64())], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             n, digests = [], []
             for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
@@ -84,107 +87,181 @@ def heads(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, n long, digest binary, shingle long, times long")
 
 
-def prefixes(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray, key: str, text: str) -> DataFrame:
-    """Rows (shingle, key, n) of the sets' prefixes in the global order.  ``common``: shingles by rising frequency."""
-    sc = docs.sparkSession.sparkContext
-    by_hash = np.argsort(common, kind="stable")
-    shared = sc.broadcast((common[by_hash], by_hash.astype(np.int32)))
-    schema = pa.schema([("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+def common_shingles(head: DataFrame) -> np.ndarray:
+    """Up to ``COMMON`` most frequent shingles, ascending.
+
+    Eighth-powers of two of the counts make a few hundred steps; the highest ones that hold few enough are taken, so only they reach the driver.
+    """
+    total = head.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    total = materialize(total.withColumn("step", F.floor(F.log2("times") * 8).cast("int")), "shingle-counts")
+    cut, room = None, COMMON
+    for r in total.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r.step
+    if cut is None:
+        return np.zeros(0, np.int64)
+    found = total.where(F.col("step") >= cut).select("shingle").toArrow()
+    discard(total)
+    return np.sort(found.column(0).to_numpy())
+
+
+class Parts:
+    """The size intervals for threshold num/den, and for each its number of parts and how many may be left out."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.bounds = [1]
+
+    def interval(self, n: int) -> int:
+        """The interval that holds size n; a linked partner is in it or a neighbour."""
+        while self.bounds[-1] <= n:
+            b = self.bounds[-1]
+            self.bounds.append(max(b + 1, (b - 1) * self.den // self.num + 1))
+        return bisect_right(self.bounds, n) - 1
+
+    def scheme(self, interval: int) -> tuple[int, int, int]:
+        """(most differing elements d, spare parts e, parts) for sets up to the interval's largest size."""
+        while len(self.bounds) <= interval + 1:
+            self.interval(self.bounds[-1])
+        d = (self.den - self.num) * 2 * (self.bounds[interval + 1] - 1) // (self.den + self.num)
+        e = 0 if d == 0 else 1 if d <= 10 else 1 + -(-d // 50)
+        return d, e, d + 1 + e
+
+
+def part_signatures(s: np.ndarray, common: np.ndarray, parts: Parts) -> np.ndarray:
+    """Signatures (int64) of a non-empty set.  ``common``: for each element whether it is a common shingle."""
+    own = parts.interval(len(s))
+    unsigned = (s.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+    value = _mixed(s.view(np.uint64))
+    out = []
+    for interval in (own, own + 1):
+        d, spare, k = parts.scheme(interval)
+        if interval > own and d == 0:
+            continue
+        part = (unsigned * np.uint64(k)) >> np.uint64(32)  # ascending, as s is
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.append(begin, len(s)))
+        salt = np.uint64((interval * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+        total = np.add.reduceat(value, begin) + (part[begin] + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        sign = _mixed((total + size.astype(np.uint64)) ^ salt)
+        weak = np.add.reduceat(common.astype(np.int64), begin) == size
+        empty = k - len(begin)
+        if empty + np.count_nonzero(weak) <= spare:
+            sign = sign[~weak]
+        elif empty:
+            gone = np.setdiff1d(np.arange(k, dtype=np.uint64), part[begin], assume_unique=True)
+            sign = np.concatenate([sign, _mixed(((gone + np.uint64(1)) * np.uint64(0x165667B19E3779F9)) ^ salt)])
+        out.append(sign)
+    return np.concatenate(out).view(np.int64)
+
+
+def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray, key: str, text: str) -> DataFrame:
+    """Rows (sign, key, n) of all sets.  ``common``: the common shingles, ascending."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    schema = pa.schema([("sign", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shared.value
+        known, parts = shared.value, Parts(num, den)
         seen: set[bytes] = set()
-        for batch in batches:
-            keys, parts, sizes, full = batch.column(0).to_pylist(), [], [], []
-            for doc, s in zip(keys, shingle_sets(batch.column(1).to_pylist(), k), strict=True):
+        for batch in slices(batches):
+            signs, sizes, full = [], [], []
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
                 if doc is None or not len(s) or (digest := _digest(s)) in seen:
                     continue
                 seen.add(digest)
-                n = len(s)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    hit = known[at] == s
-                    if hit.any():
-                        s = np.concatenate([s[~hit], s[hit][np.argsort(place[at[hit]])]])
-                parts.append(s[: n - -(-num * n // den) + 1])
-                sizes.append(n)
+                hit = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+                signs.append(part_signatures(s, hit, parts))
+                sizes.append(len(s))
                 full.append(doc)
-            if parts:
-                reach = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(full, np.int64), reach)), pa.array(np.repeat(np.array(sizes, np.int32), reach))], schema=schema)
+            if signs:
+                reach = [len(x) for x in signs]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs)), pa.array(np.repeat(np.array(full, np.int64), reach)), pa.array(np.repeat(np.array(sizes, np.int32), reach))], schema=schema)
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "shingle long, key long, n int")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "sign long, key long, n int")
 
 
-def blocks(prefix_rows: DataFrame, num: int, den: int) -> DataFrame:
+def blocks(signed: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component): blocks of the documents that may be linked with others."""
-    order = Window.partitionBy("shingle").orderBy("n", "key")
-    first = F.lag("n").over(order)
-    centre = F.last(F.when(first.isNull() | (first * den < F.col("n") * num), F.col("key")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    edges = prefix_rows.select("shingle", "key", F.col("n").cast("long").alias("n")).select(F.col("key").alias("u"), centre.alias("v")).where("u <> v").distinct()
+    order = Window.partitionBy("sign").orderBy("n", "key")
+    before = F.lag("n").over(order).cast("long")
+    centre = F.last(F.when(before.isNull() | (before * den < F.col("n").cast("long") * num), F.col("key")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    edges = signed.select(F.col("key").alias("u"), centre.alias("v")).where("u <> v").distinct()
     return components(edges, "blocks")
 
 
-def chosen_sets(docs: DataFrame, labels: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(key, component, n, shingles) of the documents in blocks, one of each content in a task."""
-    picked = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+def chosen_sets(docs: DataFrame, placed: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(component, chunk, node, part, shingles) of the documents in ``placed``, which has the first columns."""
+    rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
     # broadcast by the number of rows that are there, not by an estimate
-    small = labels.count() <= BROADCAST_KEYS
-    picked = picked.join(F.broadcast(labels) if small else labels.hint("merge"), "node").select("node", "component", "text")
+    small = placed.count() <= BROADCAST_KEYS
+    picked = rows.join(F.broadcast(placed) if small else placed.hint("merge"), "node").select("component", "chunk", "node", "part", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [*shingle_sets(batch.column(2).to_pylist(), k)]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-            flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.LargeListArray.from_arrays(offsets, flat).cast(pa.list_(pa.int64()))], names=["node", "component", "shingles"])
-
-    return picked.mapInArrow(run, "node long, component long, shingles array<long>")
+        for batch in slices(batches):
+            # as bytes: no list of numbers is ever built
+            sets = [s.tobytes() for s in shingle_sets(batch.column(4).to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["component", "chunk", "node", "part", "shingles"])
 
+    return picked.mapInArrow(run, "component long, chunk long, node long, part long, shingles binary")
 
-def tree_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links between the sets of each block, enough to connect all that is linked."""
-    sets = materialize(sets, "block-sets")
-    sizes = sets.groupBy("component").agg(F.count("*").alias("m"))
-    small_or_large = sets.join(sizes, "component").withColumn("chunks", F.ceil(F.col("m") / BLOCK_SETS).cast("int"))
 
-    def join(keys: list[int], found: list[np.ndarray], linked: list[int] | None = None) -> pd.DataFrame:
-        rows = [(keys[x], keys[y]) for x, y in join_sets(found, num, den, True, linked)]
-        return pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
+def tree_links(sets: DataFrame, num: int, den: int, parts: bool = False) -> DataFrame:
+    """(u, v): links within each (component, chunk), enough to connect all that is linked.
 
-    def own(group: pd.DataFrame) -> pd.DataFrame:
-        return join(group["node"].tolist(), [np.asarray(s) for s in group["shingles"]])
+    ``parts``: rows with one ``part`` are connected already.
+    """
 
-    cut = small_or_large.withColumn("chunk", F.expr("cast(pmod(xxhash64(node, 17L), chunks) as int)"))
-    large = cut.where("chunks > 1")
-    # pivots go to every chunk of their block
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in runs(batches, 2):
+            found: list[tuple[int, int]] = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a > 1:
+                    run_ = rows.slice(a, b - a)
+                    node, part = run_.column(2).to_pylist(), run_.column(3).to_pylist()
+                    group = [np.frombuffer(x, np.int64) for x in run_.column(4).to_pylist()]
+                    found += [(node[x], node[y]) for x, y in join_sets(group, num, den, True, part if parts else None)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
+
+    return sets.repartition("component", "chunk").sortWithinPartitions("component", "chunk").mapInArrow(run, "u long, v long")
+
+
+def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """(u, v): links of all blocks (``labels``: node, component)."""
+    sizes = labels.groupBy("component").agg(F.count("*").alias("m"))
+    placed = labels.join(sizes, "component").withColumn("chunks", F.ceil(F.col("m") / BLOCK_SETS))
+    placed = materialize(placed.select("component", F.expr("pmod(xxhash64(node, 17L), chunks)").alias("chunk"), "node", F.col("node").alias("part"), "chunks"), "block-chunks")
+    own = placed.drop("chunks")
+    large = placed.where("chunks > 1")
+    if not large.limit(1).count():
+        return materialize(tree_links(chosen_sets(docs, own, k, key, text), num, den), "links-own")
+
+    # some sets of a large block go to all its chunks
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("node"), "node"))
-    heads_ = large.select("component", "node", "chunks").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("node", "component", "chunks")
-    pivots = heads_.join(large.select("node", "component", "shingles"), ["node", "component"]).select("component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "shingles")
-    members = cut.select("component", "chunk", "node", "shingles")
-    grouped = members.unionByName(pivots.select("component", "chunk", "node", "shingles")) if large.limit(1).count() else members
-    first = materialize(grouped.groupBy("component", "chunk").applyInPandas(own, "u long, v long"), "links-own")
-    if grouped is members:
-        return first
+    pivots = large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    pivots = pivots.select("component", "chunk", "node", every.alias("other"), "part").where("other <> chunk").select("component", F.col("other").alias("chunk"), "node", "part")
+    first = materialize(tree_links(chosen_sets(docs, materialize(own.unionByName(pivots), "block-places"), k, key, text), num, den), "links-own")
 
-    # large blocks: what is apart from the largest component meets all chunks
+    # what is apart from the block's largest component meets all chunks
     found = components(first, "links-own-cc")
-    large = large.join(found.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    large = materialize(large.select("component", "chunk", "chunks", "node", "part", "shingles"), "large-blocks")
+    large = large.drop("part").join(found.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    large = materialize(large, "large-blocks")
     parts = large.groupBy("component", "part").agg(F.count("*").alias("size"))
     main = parts.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
     rest = large.join(main.where("all > most").select("component", "main"), "component")
+    if not rest.limit(1).count():
+        return first
     apart = rest.where("part <> main")
-    strays = apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("cells"))
-    cell = F.expr("cast(pmod(xxhash64(node, 29L), cells) as int)")
-    left = apart.join(strays, "component").select("component", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "part", "shingles")
-    right = rest.join(strays, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "chunk", "node", "part", "shingles")
-
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
-        return join(group["node"].tolist(), [np.asarray(s) for s in group["shingles"]], group["part"].tolist())
-
-    second = left.unionByName(right).groupBy("component", "cell", "chunk").applyInPandas(across, "u long, v long")
+    cells = apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("cells"))
+    cell = F.expr("pmod(xxhash64(node, 29L), cells)")
+    # a place is (cell of the strays, chunk of all)
+    left = apart.join(cells, "component").select("component", cell.alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "part")
+    right = rest.join(cells, "component").select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), "chunk", "node", "part")
+    places = left.union(right).distinct().join(cells, "component").select("component", (F.col("chunk") * F.col("cells") + F.col("cell")).alias("chunk"), "node", "part")
+    second = materialize(tree_links(chosen_sets(docs, materialize(places, "stray-places"), k, key, text), num, den, True), "links-strays")
     return first.unionByName(second)
 
 
@@ -197,13 +274,12 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
     """
     ship(docs.sparkSession)
     head = materialize(heads(docs, k, key, text), "shingle-heads")
-    top = head.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = top.orderBy(F.desc("times"), "shingle").limit(COMMON).toPandas()
-    common = top["shingle"].to_numpy(np.int64)[::-1].copy()
+    common = common_shingles(head)
 
     rows = head.where("digest is not null").select("key", "n", "digest")
-    labels = materialize(blocks(prefixes(docs, k, num, den, common, key, text), num, den), "block-labels")
-    links = tree_links(chosen_sets(docs, labels, k, key, text), num, den)
+    labels = materialize(blocks(signatures(docs, k, num, den, common, key, text), num, den), "block-labels")
+    release(docs.sparkSession)
+    links = block_links(docs, labels, k, num, den, key, text)
     same = rows.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v <> w")
     equal = rows.where("n > 0 and key is not null").join(same.select("digest", "v"), "digest").select(F.col("key").alias("u"), "v").where("u <> v")
     classes = components(links.select("u", "v").unionByName(equal), "jaccard")

@@ -14,7 +14,7 @@ import numpy as np
 
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
-BLOCK = 2_000_000
+BLOCK = 700_000
 
 
 @lru_cache(maxsize=1)
