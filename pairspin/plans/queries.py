@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import rounded as r6
 from ..functions.numerics import spearman
-from ..operators import filters, gauge, marginals, newton, reduction, sampling, scores, similarity
+from ..operators import filters, gauge, marginals, newton, profiling, reduction, sampling, scores, similarity
 from ..sources import fixtures as fx
 from ..sources import msa as msa_io
 from . import infer
@@ -348,7 +348,10 @@ query("spearman", sql(f"SELECT count(*) AS n, {r('corr(rx, ry)')} AS rho FROM (S
     lambda s, d: values(spearman(scores.energies(msa_b(s, d), jj(s), L, Q).join(scores.independent_energies(msa_b(s, d), hh(s)).withColumnRenamed("e", "y"), "seq_id"), "e", "y"), "rho")
 )
 query("tempering_swap")(lambda s, d: sampling.swap_round(scores.energies(msa_b(s, d), jj(s), L, Q).select(F.col("seq_id").alias("walker_id"), "e", F.when(F.col("seq_id") % 2 == 0, 1.0).otherwise(0.7).alias("beta")), 3, 0))
-query("profile_totals", "SELECT event_type AS name, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")(lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n")))
+query("profile_totals", f"SELECT event_type AS name, {r('sum(value)')} AS total, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")(lambda s, d: values(profiling.totals(s.read.parquet(f"{d}/events.parquet"), "event_type", F.lit(0.0), F.col("value")), "total"))
+query("tile_seed", "SELECT n AS seq_id, '012301230123' AS seq FROM range(500) t(n)")(lambda s, d: _text(filters.tiled(s, _SEQ, 500)))
+query("truncate_seqs", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id IN (SELECT seq_id FROM mb ORDER BY seq_id LIMIT 100)", "mb"))(lambda s, d: _text(filters.first_rows(msa_b(s, d), 100)))
+query("concat_buffers", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id < 100 UNION ALL SELECT seq_id, array_to_string(seq, '') FROM mb WHERE seq_id >= 300", "mb"))(lambda s, d: (lambda m: _text(m.where("seq_id < 100").unionByName(m.where("seq_id >= 300"))))(msa_b(s, d)))
 
 # ---- Newton steps
 
