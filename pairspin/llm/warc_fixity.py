@@ -55,16 +55,17 @@ def leaves(pages: DataFrame, key: str = "page_id", url: str = "url", body: str =
     return rows.withColumn("hash", F.sha2(leaf.cast("binary"), 256)).select("archive", "idx", "record_id", "copy", "start", "size", "digest", "hash")
 
 
-def tree(of: DataFrame, levels: int) -> list[DataFrame]:
-    """Nodes (archive, idx, hash, start, stop) of levels 0 (leaves) to ``levels`` (roots, if that is enough)."""
-    level = of.select("archive", "idx", "hash", "start", (F.col("start") + F.col("size")).alias("stop"))
-    out = [level]
-    for _ in range(levels):
-        kids = F.array_sort(F.collect_list(F.struct("idx", "hash")))  # FANOUT at most
-        up = level.groupBy("archive", F.expr(f"idx div {FANOUT}").alias("up")).agg(kids.alias("kids"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-        joined = F.concat_ws("", F.col("kids.hash"), F.concat_ws(":", "start", "stop"))
-        level = up.select("archive", F.col("up").alias("idx"), F.sha2(joined.cast("binary"), 256).alias("hash"), "start", "stop")
-        out.append(level)
+def tree(of: DataFrame, levels: int) -> DataFrame:
+    """(archive, n0, n1, ...): nodes (hash, start, stop) of each level as arrays; the last level is the root if there are enough.
+
+    An archive's records are one row's array, which its id range bounds; the levels are projections of it.
+    """
+    node = F.struct("idx", "hash", "start", (F.col("start") + F.col("size")).alias("stop"))
+    out = of.groupBy("archive").agg(F.array_sort(F.collect_list(node)).alias("n0"))
+    for k in range(levels):
+        parts = f"transform(sequence(0, cast((size(n{k}) - 1) div {FANOUT} as int)), p -> slice(n{k}, p * {FANOUT} + 1, {FANOUT}))"
+        text = "concat(array_join(transform(s, x -> x.hash), ''), ':', array_min(transform(s, x -> x.start)), ':', array_max(transform(s, x -> x.stop)))"
+        out = out.withColumn(f"n{k + 1}", F.expr(f"transform({parts}, (s, p) -> named_struct('idx', p, 'hash', sha2(cast({text} as binary), 256), 'start', array_min(transform(s, x -> x.start)), 'stop', array_max(transform(s, x -> x.stop))))"))
     return out
 
 
@@ -76,11 +77,16 @@ def _levels(*sets: DataFrame) -> int:
     return n
 
 
-def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(archive, idx) of nodes that differ or that one side lacks."""
-    x = a.select("archive", "idx", F.col("hash").alias("ha"))
-    y = b.select("archive", "idx", F.col("hash").alias("hb"))
-    return x.join(y, ["archive", "idx"], "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("archive", "idx")
+def mismatches(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
+    """(archive, idx) of records that differ, or that one side lacks, found from the roots of two trees downwards."""
+    x, y = a.alias("x"), b.alias("y")
+    both = x.join(y, "archive", "full").where(~F.expr(f"x.n{levels}[0].hash <=> y.n{levels}[0].hash"))
+    bad = both.withColumn("bad", F.array(F.lit(0)))
+    for k in range(levels - 1, -1, -1):
+        last = f"greatest(coalesce(size(x.n{k}), 0), coalesce(size(y.n{k}), 0)) - 1"
+        below = f"filter(sequence(bad_up * {FANOUT}, least(bad_up * {FANOUT} + {FANOUT - 1}, {last})), i -> not (get(x.n{k}, i).hash <=> get(y.n{k}, i).hash))"
+        bad = bad.withColumn("bad", F.expr(f"flatten(transform(bad, bad_up -> {below}))"))
+    return bad.select("archive", F.explode("bad").alias("idx"))
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -91,12 +97,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """
     primary, replica = materialize(primary, "warc-leaves"), materialize(replica, "warc-leaves")
     n = _levels(primary, replica)
-    a, b = tree(primary, n), tree(replica, n)
-    bad = _differ(a[n], b[n])
-    for k in range(n - 1, -1, -1):
-        parents = bad.withColumnRenamed("idx", "up")
-        below = [x[k].withColumn("up", F.expr(f"idx div {FANOUT}")).join(parents, ["archive", "up"], "left_semi") for x in (a, b)]
-        bad = materialize(_differ(*below), "warc-mismatch")
+    bad = materialize(mismatches(tree(primary, n), tree(replica, n), n).withColumn("idx", F.col("idx").cast("long")), "warc-mismatch")
     where = ["archive", "record_id", "copy"]
     x = primary.join(bad, ["archive", "idx"], "left_semi").select(*where, F.col("start").alias("s1"), F.col("size").alias("z1"), F.col("digest").alias("d1"))
     y = replica.join(bad, ["archive", "idx"], "left_semi").select(*where, F.col("start").alias("s2"), F.col("size").alias("z2"), F.col("digest").alias("d2"))
