@@ -61,7 +61,10 @@ def fit(labelled: DataFrame, languages: list[str], text: str = "text", lang: str
     """Table (2^BITS, languages) of log likelihoods from a bounded sample of ``labelled``."""
     rows = labelled.where(F.col(lang).isin(languages) & F.length(text).between(1, SAMPLE_SIGNS)).select(text, lang)
     counts = np.full((1 << BITS, len(languages)), 0.02)
-    for r in rows.orderBy(F.xxhash64(text), text, lang).limit(SAMPLE_DOCS).collect():
+    # the least hashes first, then their texts: what tasks send to the driver is small
+    rows = rows.withColumn("h", F.xxhash64(text))
+    least = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    for r in rows.where(F.col("h") <= (least if least is not None else 0)).orderBy("h", text, lang).limit(SAMPLE_DOCS).collect():
         counts[:, languages.index(r[1])] += np.bincount(trigrams(r[0]), minlength=1 << BITS)
     return np.log(counts / counts.sum(0)).astype(np.float32)
 
