@@ -379,6 +379,27 @@ def test_prefix_tree():
         assert [f.find(k) for k in range(len(sets))] == [g.find(k) for k in range(len(sets))]
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_linked_sets_share_a_signature(num):
+    random.seed(num)
+    rng = np.random.default_rng(num)
+    parts, tried = ngram_join.Parts(num, 100), 0
+    for _ in range(1200):
+        n = int(np.exp(random.uniform(0, 7)))
+        u = rng.integers(-(2**63), 2**63 - 1, 2 * n + 50)
+        most = max(1, int(n * 0.2))
+        x = np.unique(u[:n])
+        y = np.unique(np.concatenate([u[random.randint(0, min(n - 1, most)) : n], u[n : n + random.randint(0, most)]]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both < num * (len(x) + len(y) - both):
+            continue
+        common = u[rng.random(len(u)) < random.choice([0, 0.1, 0.7, 1])]
+        a, b = (ngram_join.part_signatures(s, np.isin(s, common), parts) for s in (x, y))
+        tried += 1
+        assert set(a.tolist()) & set(b.tolist())
+    assert tried > 300
+
+
 @pytest.mark.parametrize("size", [2, 1000])
 def test_jaccard_components(spark, monkeypatch, size):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", size)
