@@ -10,6 +10,7 @@
    Sizes fall into intervals by the threshold; a set uses the parts of its own interval and of the next one.
 3. In each signature's run, ordered by size, neighbours of which the smaller has less than t of
    the larger's size are parted, since no pair across can link.  Everybody else gets an edge to the first member.
+   A run of two is a pair, and is dropped if the sets' counts by hash bucket (``sketch``) differ by more than links can.
    Components of these edges are the blocks; linked sets are always in one block.  Only documents in blocks are read a third time.
 4. Each block's sets, in a global order, are joined with a prefix tree (``prefix_tree``).  A block of more than ``BLOCK_SETS`` is cut in chunks
    by hash, each joined with itself and with ``PIVOTS`` sets of the block, which connects most of a large group
@@ -39,7 +40,7 @@ from .shingles import _mixed, shingle_sets
 #: Shingles that are known to be common, at most; they are broadcast (8 bytes each).
 COMMON = 1 << 18
 #: A shingle counts as frequent in a task's share of the texts from this many sets on.
-FREQUENT = 4
+FREQUENT = 2
 #: Sets of a chunk, and sets of a large block that all its chunks are compared with first.
 BLOCK_SETS, PIVOTS = 1000, 8
 #: Keys that are broadcast to pick documents, at most (16 bytes each); beyond that the documents are shuffled.
@@ -52,9 +53,31 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Elements by hash bucket, one byte each (255 and more are 255); 64 to 4096 buckets, about 16 elements in each.
+
+    The summed differences of two sketches are at most the number of elements that only one set has.
+    """
+    size = 64
+    while size < 4096 and size * 16 < len(s):
+        size *= 2
+    bucket = (((s.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
+    return np.minimum(np.bincount(bucket.astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes, most: int) -> bool:
+    """Whether sets of these sketches can differ in ``most`` elements or fewer."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[::2] + a[1::2]
+    while len(b) > len(a):
+        b = b[::2] + b[1::2]
+    return int(np.abs(a - b).sum()) <= most
+
+
 def heads(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n, digest) of documents and rows (shingle, times) of frequent shingles."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+    """Rows (key, n, digest, sketch) of documents and rows (shingle, times) of frequent shingles."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -65,13 +88,14 @@ def heads(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             found, times = np.unique(np.concatenate(held), return_counts=True)
             found, times = found[times >= FREQUENT], times[times >= FREQUENT]
             none = pa.nulls(len(found))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(found), pa.array(times, pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(found), pa.array(times, pa.int64())], schema=schema)
 
         for batch in slices(batches):
-            n, digests = [], []
+            n, digests, sketches = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), k):
                 n.append(len(s))
                 digests.append(_digest(s))
+                sketches.append(sketch(s))
                 if digests[-1] not in seen:
                     seen.add(digests[-1])
                     held.append(s)
@@ -80,11 +104,11 @@ def heads(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                     yield frequent()
                     held, size = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=schema)
         if held:
             yield frequent()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, n long, digest binary, shingle long, times long")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, n long, digest binary, sketch binary, shingle long, times long")
 
 
 def common_shingles(head: DataFrame) -> np.ndarray:
@@ -126,7 +150,7 @@ class Parts:
         while len(self.bounds) <= interval + 1:
             self.interval(self.bounds[-1])
         d = (self.den - self.num) * 2 * (self.bounds[interval + 1] - 1) // (self.den + self.num)
-        e = 0 if d == 0 else 1 if d <= 10 else 1 + -(-d // 50)
+        e = 0 if d == 0 else 1 if d <= 5 else 1 + -(-d // 8)
         return d, e, d + 1 + e
 
 
@@ -182,13 +206,31 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray,
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "sign long, key long, n int")
 
 
-def blocks(signed: DataFrame, num: int, den: int) -> DataFrame:
+def likely_pairs(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``pairs``(u, v) whose sketches don't rule out a link; ``rows`` has key, n and sketch."""
+    ends = rows.where("key is not null and n > 0").select("key", "n", "sketch")
+    x = pairs.join(ends.toDF("u", "nu", "su"), "u").join(ends.toDF("v", "nv", "sv"), "v").select("u", "v", "nu", "nv", "su", "sv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, nu, nv, su, sv = (c.to_pylist() for c in b.columns)
+            keep = [may_link(p, q, (den - num) * (m + n) // (den + num)) for m, n, p, q in zip(nu, nv, su, sv, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return x.mapInArrow(run, "u long, v long")
+
+
+def blocks(signed: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component): blocks of the documents that may be linked with others."""
     order = Window.partitionBy("sign").orderBy("n", "key")
     before = F.lag("n").over(order).cast("long")
     centre = F.last(F.when(before.isNull() | (before * den < F.col("n").cast("long") * num), F.col("key")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    edges = signed.select(F.col("key").alias("u"), centre.alias("v")).where("u <> v").distinct()
-    return components(edges, "blocks")
+    alone = F.count("*").over(Window.partitionBy("sign")) == 2
+    edges = materialize(signed.select(F.col("key").alias("u"), centre.alias("v"), alone.alias("pair")).where("u <> v").distinct(), "block-edges")
+    release(signed.sparkSession)
+    many = edges.where("not pair").select("u", "v")
+    pairs = edges.where("pair").select("u", "v")
+    return components(many.unionByName(likely_pairs(pairs, rows, num, den)), "blocks")
 
 
 def chosen_sets(docs: DataFrame, placed: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -276,8 +318,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
     head = materialize(heads(docs, k, key, text), "shingle-heads")
     common = common_shingles(head)
 
-    rows = head.where("digest is not null").select("key", "n", "digest")
-    labels = materialize(blocks(signatures(docs, k, num, den, common, key, text), num, den), "block-labels")
+    rows = head.where("digest is not null").select("key", "n", "digest", "sketch")
+    labels = materialize(blocks(signatures(docs, k, num, den, common, key, text), rows, num, den), "block-labels")
     release(docs.sparkSession)
     links = block_links(docs, labels, k, num, den, key, text)
     same = rows.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v <> w")
