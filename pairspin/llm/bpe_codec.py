@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import discard, materialize, table
-from .pretokens import BatchEncoder, byte_signs, slices
+from .pretokens import BatchEncoder, byte_signs, distinct_keys, slices
 
 #: Words of the lexicon; it is broadcast, so this bounds its size (about 2 MB).
 LEXICON_SIZE = 50_000
@@ -233,7 +233,8 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in slices(batches):
             for text_block in blocks(batch.column(0).to_pylist()):
                 whole, begin, end, keys, _ = split.words(text_block)
-                distinct, where, n = np.unique(keys, return_index=True, return_counts=True)
+                distinct, where, which = distinct_keys(keys)
+                n = np.bincount(which)
                 b, e = begin[where].tolist(), end[where].tolist()
                 for k, (key, times) in enumerate(zip(distinct.tolist(), n.tolist(), strict=True)):
                     if key in total:

@@ -14,6 +14,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -95,6 +96,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(a, rows)
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order of appearance, the place of each one's first, and each key's number; by hashing, which is faster than sorting."""
+    which, distinct = pd.factorize(keys)
+    where = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1)) if len(which) else which
+    return distinct, where, which
+
+
 class BatchEncoder:
     """Texts to ids.  ``resolve``: list of distinct pre-tokens -> list of id lists.
 
@@ -177,7 +185,7 @@ class BatchEncoder:
         if not texts:
             return []
         whole, begin, end, keys, bounds = self.words(texts)
-        distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, where, which = distinct_keys(keys)
         listed = distinct.tolist()
         missing = [k for k, key in enumerate(listed) if key not in self.slot]
         if len(self.slot) + len(missing) > self.limit:
