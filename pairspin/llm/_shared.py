@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -81,6 +83,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Give a finished task's memory back to the system; worker processes outlive tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
     """Whole runs of equal leading columns in sorted batches: (rows, bounds of the runs in them)."""
     held: pa.Table | None = None

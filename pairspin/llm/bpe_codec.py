@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialize, table
+from ._shared import discard, materialize, table, tidy
 from .pretokens import BatchEncoder, byte_signs, distinct_keys, slices
 
 #: Words of the lexicon; it is broadcast, so this bounds its size (about 2 MB).
@@ -246,6 +246,9 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                     total.clear()
                     spelt.clear()
         yield rows()
+        total.clear()
+        spelt.clear()
+        tidy()
 
     return docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -294,6 +297,8 @@ def encode_decode(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id
                 [batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([v.decode(x.tolist()) for x in ids], pa.string())],
                 names=[key, "ids", "decoded"],
             )
+        encoder.forget()
+        tidy()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
@@ -316,6 +321,8 @@ def codec_digests(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id
                 ],
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder.forget()
+        tidy()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -342,6 +349,8 @@ def encode_checked(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_i
                 ],
                 names=[key, source, "n_tokens", "ids", "ids_sha256", "decoded_equal"],
             )
+        encoder.forget()
+        tidy()
 
     kinds = [docs.schema[c].dataType.simpleString() for c in (key, source)]
     return docs.select(key, source, text).mapInArrow(run, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, n_tokens long, ids array<int>, ids_sha256 string, decoded_equal boolean")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, discard, materialize, release, runs, ship, table
+from ._shared import components, discard, materialize, release, runs, ship, table, tidy
 from .prefix_tree import join_sets
 from .pretokens import slices
 from .shingles import _mixed, shingle_sets
@@ -107,6 +107,8 @@ def heads(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=schema)
         if held:
             yield frequent()
+            held.clear()
+        tidy()
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, n long, digest binary, sketch binary, shingle long, times long")
 
@@ -202,6 +204,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray,
             if signs:
                 reach = [len(x) for x in signs]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs)), pa.array(np.repeat(np.array(full, np.int64), reach)), pa.array(np.repeat(np.array(sizes, np.int32), reach))], schema=schema)
+        tidy()
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "sign long, key long, n int")
 
@@ -245,6 +248,7 @@ def chosen_sets(docs: DataFrame, placed: DataFrame, k: int, key: str, text: str)
             # as bytes: no list of numbers is ever built
             sets = [s.tobytes() for s in shingle_sets(batch.column(4).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["component", "chunk", "node", "part", "shingles"])
+        tidy()
 
     return picked.mapInArrow(run, "component long, chunk long, node long, part long, shingles binary")
 
@@ -266,6 +270,7 @@ def tree_links(sets: DataFrame, num: int, den: int, parts: bool = False) -> Data
                     found += [(node[x], node[y]) for x, y in join_sets(group, num, den, True, part if parts else None)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
+        tidy()
 
     return sets.repartition("component", "chunk").sortWithinPartitions("component", "chunk").mapInArrow(run, "u long, v long")
 

@@ -114,6 +114,10 @@ class BatchEncoder:
         self.resolve, self.special, self.limit = resolve, special, known
         self._clear()
 
+    def forget(self) -> None:
+        """Drop all known pre-tokens."""
+        self._clear()
+
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
