@@ -25,17 +25,24 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: files and rows come in the order of the schedule; all rows stay."""
+    """Mixing to target weights: partitions and rows come in the order of the schedule; all rows stay.
+
+    Files don't keep that order when they are scanned, so ``encode`` places the rows anew.
+    """
     return mixing.mixed_order(docs, mixing.SHARES)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding: ids of each document, in the same order, and whether they decode to its text."""
+    """BPE encoding and decoding: ids of each document, and whether they decode to its text, in the order of the schedule.
+
+    A place in the schedule follows from ids and sources alone.  The columns mix_slot and mix_pos tell it, whatever reads the result.
+    """
     import public_tokenizers
 
     ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe_codec.encode_checked(docs, path, bpe_codec.build_lexicon(docs, path))
+    placed = mixing.mixed_order(docs, mixing.SHARES, places=True)
+    return bpe_codec.encode_checked(placed, path, bpe_codec.build_lexicon(docs, path), keep=("mix_slot", "mix_pos"))
 
 
 STAGES = [

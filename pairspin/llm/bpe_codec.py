@@ -328,32 +328,32 @@ def codec_digests(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_checked(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(key, source, n_tokens, ids, ids_sha256, decoded_equal) of every row, in the order of ``docs``."""
+def encode_checked(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id", source: str = "source", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, source, columns ``keep``, n_tokens, ids, ids_sha256, decoded_equal) of every row, in the order of the rows of ``docs``."""
+    first = (key, source, *keep)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, encoder = codec(path, shared.value)
         for batch in slices(batches):
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(len(first)).to_pylist()
             ids = encoder.encode(texts)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *(batch.column(k) for k in range(len(first))),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32))),
                     pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
                     pa.array([v.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]),
                 ],
-                names=[key, source, "n_tokens", "ids", "ids_sha256", "decoded_equal"],
+                names=[*first, "n_tokens", "ids", "ids_sha256", "decoded_equal"],
             )
         encoder.forget()
         tidy()
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in (key, source)]
-    return docs.select(key, source, text).mapInArrow(run, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, n_tokens long, ids array<int>, ids_sha256 string, decoded_equal boolean")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in first)
+    return docs.select(*first, text).mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, ids_sha256 string, decoded_equal boolean")
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,10 +94,14 @@ def mix(docs: DataFrame, shares: Mapping[str, int], block_docs: int = BLOCK_DOCS
     )
 
 
-def mixed_order(docs: DataFrame, shares: Mapping[str, int], block_docs: int = BLOCK_DOCS, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows and columns of ``docs`` in the order of the mixture: range-partitioned by slot, sorted within."""
+def mixed_order(docs: DataFrame, shares: Mapping[str, int], block_docs: int = BLOCK_DOCS, key: str = "doc_id", source: str = "source", places: bool = False) -> DataFrame:
+    """The rows and columns of ``docs`` in the order of the mixture: range-partitioned by slot, sorted within.
+
+    Only the frame itself has this order: Spark scans the files written from it in order of their length.  With
+    ``places`` the columns mix_slot and mix_pos, which tell it anywhere, stay.
+    """
     placed = mix(docs, shares, block_docs, key, source)
-    return placed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_pos").select(*docs.columns)
+    return placed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_pos").select(*docs.columns, *(["mix_slot", "mix_pos"] if places else []))
 
 
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

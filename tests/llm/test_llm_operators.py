@@ -457,3 +457,22 @@ def test_pipeline(spark, sf, library):
         assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
     slots = {r.doc_id: (r.mix_slot, r.mix_pos) for r in mixing.mix(spark.createDataFrame([(r.doc_id, r.source) for r in got], "doc_id long, source string"), mixing.SHARES).collect()}
     assert [slots[r.doc_id] for r in got] == sorted(slots[r.doc_id] for r in got)
+
+
+def test_pipeline_order_of_several_files(spark):
+    """The schedule reaches the result though Spark scans files longest first."""
+    import corpus_pipeline
+
+    rows = [(k, f"text {k} " * (1 + 40 * (k % 7 == 0)), "en", f"src{k % 3}", 0, 1, "", "", "", 0) for k in range(600)]
+    mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), "").select("doc_id", "text", "lang", "source", "n_chars")
+    path = scratch(spark, "uneven")
+    for k, part in enumerate(((0, 1), (1, 50), (50, 400), (400, 600))):
+        ids = [r.doc_id for r in mixed.select("doc_id").collect()[slice(*part)]]
+        mixed.where(F.col("doc_id").isin(ids)).coalesce(1).write.mode("append").parquet(path)
+    back = spark.read.parquet(path)
+    assert len(back.inputFiles()) > 1
+    want = {r.doc_id: (r.mix_slot, r.mix_pos) for r in mixing.mix(spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, source string"), mixing.SHARES).collect()}
+    assert [want[r.doc_id] for r in back.select("doc_id").collect()] != sorted(want.values())
+    got = corpus_pipeline.encode(spark, back, "").collect()
+    assert [want[r.doc_id] for r in got] == sorted(want.values())
+    assert all((r.mix_slot, r.mix_pos) == want[r.doc_id] for r in got)
