@@ -11,22 +11,30 @@ declares and where the document comes from:
 
 Counts are grouped sums over all documents.  Hosts and suffixes reach the documents by joins on small
 rows (key, host, evidence); the texts themselves are never shuffled or copied.  The likelihood models are
-fitted on a bounded sample of labelled texts (``SAMPLE_DOCS`` of at most ``SAMPLE_SIGNS`` signs, by content hash).
+fitted on a bounded sample of distinct texts of each label (their first ``SAMPLE_SIGNS`` signs, by content hash); every label that has text takes
+part.  Documents declared to be in a language short of training texts are not rejected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize, table
 
 SAMPLE_DOCS, SAMPLE_SIGNS = 4000, 20_000
+#: Texts of a label in the sample, where it has so many: ``SAMPLE_DOCS`` over the labels, between these (Spark limits groups before a shuffle up to 1,000).
+LEAST_TEXTS, MOST_TEXTS = 50, 1000
+#: Count of a trigram not seen.
+FLOOR = 0.02
 BITS = 18
 #: Trigrams of a text count as so many independent ones at most.
 EFFECTIVE = 60
@@ -57,16 +65,63 @@ def trigrams(text: str | None) -> np.ndarray:
     return (code[code != 0x202020] * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS)
 
 
-def fit(labelled: DataFrame, languages: list[str], text: str = "text", lang: str = "lang") -> np.ndarray:
-    """Table (2^BITS, languages) of log likelihoods from a bounded sample of ``labelled``."""
-    rows = labelled.where(F.col(lang).isin(languages) & F.length(text).between(1, SAMPLE_SIGNS)).select(text, lang)
-    counts = np.full((1 << BITS, len(languages)), 0.02)
-    # the least hashes first, then their texts: what tasks send to the driver is small
-    rows = rows.withColumn("h", F.xxhash64(text))
-    least = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    for r in rows.where(F.col("h") <= (least if least is not None else 0)).orderBy("h", text, lang).limit(SAMPLE_DOCS).collect():
-        counts[:, languages.index(r[1])] += np.bincount(trigrams(r[0]), minlength=1 << BITS)
-    return np.log(counts / counts.sum(0)).astype(np.float32)
+@dataclass(frozen=True)
+class Model:
+    """Log likelihoods: ``base`` of each language, and what trigrams that it was seen with add; ``starts`` bounds a trigram's entries."""
+
+    base: np.ndarray
+    starts: np.ndarray
+    language: np.ndarray
+    added: np.ndarray
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        """Log likelihood of a text's trigrams under each language."""
+        seen, times = np.unique(hashes, return_counts=True)
+        first, n = self.starts[seen], self.starts[seen + 1] - self.starts[seen]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.base * len(hashes) + np.bincount(self.language[at], self.added[at] * np.repeat(times, n), len(self.base))
+
+
+def enough(texts: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray) -> bool:
+    """Whether each of a language's texts (trigrams, times) beats the background under a model of the others."""
+    for seen, times in texts:
+        n, left = times.sum(), counts.sum() - times.sum()
+        mean = np.log((counts[seen] - times + FLOOR) / (left + FLOOR * len(counts))) @ times / max(1, n)
+        if n and min(n, EFFECTIVE) * (mean - BACKGROUND) < log(BACKGROUND_PRIOR):
+            return False
+    return len(texts) > 1
+
+
+def fit(labelled: DataFrame, labels: list[str], text: str = "text", lang: str = "lang") -> tuple[list[str], Model, list[str]]:
+    """The labels that have text, their model, and those of them that have too few texts for a model to reject others by.
+
+    The sample holds the distinct texts of least hash of each label, alike many of each.  A label is short of texts where all of them are in the
+    sample, and some text of it would be lost to the background had it not been there.
+    """
+    per = min(MOST_TEXTS, max(LEAST_TEXTS, SAMPLE_DOCS // max(1, len(labels))))
+    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("label"), F.col(text).alias("x"), F.xxhash64(text).alias("h"), (F.length(text) > SAMPLE_SIGNS).alias("long"))
+    # hashes first, then their texts: neither tasks nor the driver get more than the sample
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("long", "h"))
+    chosen = rows.groupBy("label", "long", "h").agg(F.lit(1)).select("label", "long", "h", rank.alias("rank")).where(F.col("rank") <= per).drop("rank")
+    sample = rows.join(F.broadcast(chosen), ["label", "long", "h"]).groupBy("label", "h").agg(F.min(F.substring("x", 1, SAMPLE_SIGNS)).alias("x")).orderBy("label", "h")
+    languages: list[str] = []
+    short: list[str] = []
+    base, found = [], []
+    for name, group in groupby(sample.toLocalIterator(), key=lambda r: r.label):
+        texts = [np.unique(trigrams(r.x), return_counts=True) for r in group]
+        counts = np.zeros(1 << BITS)
+        for seen, times in texts:
+            counts[seen] += times
+        if len(texts) < per and not enough(texts, counts):
+            short.append(name)
+        seen = np.flatnonzero(counts)
+        base.append(log(FLOOR) - log(counts.sum() + FLOOR * len(counts)))
+        found.append((seen, np.full(len(seen), len(languages), np.int32), np.log((counts[seen] + FLOOR) / FLOOR).astype(np.float32)))
+        languages.append(name)
+    seen, language, added = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    order = np.argsort(seen, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(seen, minlength=1 << BITS))])
+    return languages, Model(np.array(base), starts, language[order], added[order]), short
 
 
 def plain_text(html: str | None) -> str:
@@ -77,7 +132,7 @@ def plain_text(html: str | None) -> str:
     return entities.unescape(re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html or "")))
 
 
-def text_evidence(spark: SparkSession, model: np.ndarray, column: Column, markup: bool = False) -> Column:
+def text_evidence(spark: SparkSession, model: Model, column: Column, markup: bool = False) -> Column:
     """array(n trigrams, mean log likelihood of each language) of a text or page column."""
     shared = spark.sparkContext.broadcast(model)
 
@@ -86,73 +141,71 @@ def text_evidence(spark: SparkSession, model: np.ndarray, column: Column, markup
         out = []
         for x in texts:
             hashes = trigrams(plain_text(x) if markup else x)
-            sums = np.zeros(shared.value.shape[1])
-            for k in range(0, len(hashes), 1 << 16):
-                sums += shared.value[hashes[k : k + (1 << 16)]].sum(0, dtype=np.float64)
-            out.append([float(len(hashes)), *np.round(sums / max(1, len(hashes)), 9)])
+            out.append([float(len(hashes)), *np.round(shared.value.sums(hashes) / max(1, len(hashes)), 9)])
         return pd.Series(out)
 
     return evidence(column)
 
 
-def fuse(evidence: DataFrame, languages: list[str], least: float = LEAST) -> DataFrame:
+def fuse(evidence: DataFrame, languages: list[str], least: float = LEAST, short: Sequence[str] = ()) -> DataFrame:
     """``evidence``(key columns, host, suffix, declared, ev) with columns lang_text, lang_id, posterior and rejected.
 
-    ``ev`` comes from ``text_evidence``.  Null hosts, suffixes and declarations are values of their own.
+    ``ev`` comes from ``text_evidence``.  Null hosts, suffixes and declarations are values of their own.  Text that is declared to be in
+    a language ``short`` of training texts is not rejected: neither the background nor a low posterior tells what it is.
     """
     if not languages:
         return evidence.select("*", F.lit(None).cast("string").alias("lang_text"), F.lit(UNKNOWN).alias("lang_id"), F.lit(1.0).alias("posterior"), F.lit(True).alias("rejected"))
+    n = len(languages)
+    numbers = lambda x: F.array(*map(F.lit, x))
+    names = numbers(languages)
     weight = F.least(F.col("ev")[0], F.lit(float(EFFECTIVE)))
-    scores = [weight * F.col("ev")[k + 1] for k in range(len(languages))]
     background = weight * F.lit(BACKGROUND) + F.lit(log(BACKGROUND_PRIOR))
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    by_text = F.when((F.col("ev")[0] == 0) | (background > best), None)
-    for k, name in enumerate(languages):
-        by_text = by_text.when(scores[k] == best, F.lit(name))
-    rows = evidence.withColumn("lang_text", by_text)
+    rows = evidence.withColumn("_weight", weight).withColumn("_scores", F.transform(F.slice("ev", 2, n), lambda x: F.col("_weight") * x)).withColumn("_best", F.array_max("_scores"))
+    by_text = F.when((F.col("ev")[0] == 0) | (background > F.col("_best")), None).otherwise(F.element_at(names, F.array_position("_scores", F.col("_best")).cast("int")))
+    rows = rows.withColumn("lang_text", by_text).drop("_weight", "_best")
 
     known = rows.where(F.col("lang_text").isNotNull())
-    hits = [F.sum((F.col("lang_text") == name).cast("long")).alias(f"n{k}") for k, name in enumerate(languages)]
-    n = len(languages)
-    # one row a host; suffixes and the whole follow from it
-    host = known.groupBy("host", "suffix").agg(*hits)
-    suffix = host.groupBy("suffix").agg(*(F.sum(f"n{k}").alias(f"s{k}") for k in range(n)))
-    whole = host.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"w{k}") for k in range(n))).first()
+    # one row a host and language; suffixes and the whole follow from it
+    hits = known.groupBy("host", "suffix", "lang_text").agg(F.count("*").alias("n"))
+    found = {r.lang_text: r.n for r in hits.groupBy("lang_text").agg(F.sum("n").alias("n")).collect()}
+    whole = [found.get(name, 0) for name in languages]
     total = sum(whole)
-    share = [(whole[k] + 1.0) / (total + n) for k in range(n)]
+    share = [(x + 1.0) / (total + n) for x in whole]
+
+    def counted(per: DataFrame, *keys: str) -> DataFrame:
+        return per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lang_text", "n"))).alias("counts"), F.sum("n").alias("total"))
+
+    count = lambda name: F.coalesce(F.try_element_at("counts", name), F.lit(0))
 
-    def smoothed(prefix: str, coarse: list[Column], weight: float) -> list[Column]:
-        rows_ = sum(F.col(f"{prefix}{k}") for k in range(n))
-        return [(F.col(f"{prefix}{k}") + weight * coarse[k]) / (rows_ + weight) for k in range(n)]
+    def smoothed(coarse: Column, weight: float) -> Column:
+        return F.zip_with(names, coarse, lambda name, x: (count(name) + F.lit(weight) * x) / (F.col("total") + F.lit(weight)))
 
-    of_suffix = smoothed("s", [F.lit(x) for x in share], SUFFIX_WEIGHT)
-    suffix = suffix.select("suffix", F.array(*of_suffix).alias("p_suffix"))
+    suffix = counted(hits.groupBy("suffix", "lang_text").agg(F.sum("n").alias("n")), "suffix").select("suffix", smoothed(numbers(share), SUFFIX_WEIGHT).alias("p_suffix"))
+    host = counted(hits, "host", "suffix")
     joined = host.join(suffix, host.suffix.eqNullSafe(suffix.suffix)).drop(suffix.suffix)
-    of_host = joined.select("host", "suffix", F.array(*smoothed("n", [F.col("p_suffix")[k] for k in range(n)], HOST_WEIGHT)).alias("p_host"))
+    of_host = joined.select("host", "suffix", smoothed(F.col("p_suffix"), HOST_WEIGHT).alias("p_host"))
 
-    said = known.groupBy("declared").agg(*hits)
-    said = said.select(F.col("declared").alias("d"), F.array(*((F.col(f"n{k}") + DECLARED_WEIGHT * (1.0 / (n + 1))) / F.lit(whole[k] + DECLARED_WEIGHT) for k in range(n))).alias("p_said"))
+    said = counted(known.groupBy("declared", "lang_text").agg(F.count("*").alias("n")), "declared")
+    said = said.select(F.col("declared").alias("d"), F.zip_with(names, numbers([float(x) for x in whole]), lambda name, x: (count(name) + F.lit(DECLARED_WEIGHT * (1.0 / (n + 1)))) / (x + F.lit(DECLARED_WEIGHT))).alias("p_said"))
 
     a, h, s, d = rows.alias("a"), of_host.alias("h"), suffix.alias("s"), said.alias("d")
     j = a.join(h, F.col("a.host").eqNullSafe(F.col("h.host")) & F.col("a.suffix").eqNullSafe(F.col("h.suffix")), "left")
     j = j.join(s, F.col("a.suffix").eqNullSafe(F.col("s.suffix")), "left").join(d, F.col("a.declared").eqNullSafe(F.col("d.d")), "left")
-    flat = F.array(*(F.lit(x) for x in share))
-    prior = F.coalesce(F.col("p_host"), F.col("p_suffix"), flat)
-    says = F.coalesce(F.col("p_said"), F.array(*(F.lit(1.0) for _ in range(n))))
-    logs = [scores[k] + F.log(prior[k]) + F.log(says[k]) for k in range(n)]
+    j = j.select("a.*", F.coalesce(F.col("p_host"), F.col("p_suffix"), numbers(share)).alias("_prior"), F.coalesce(F.col("p_said"), numbers([1.0] * n)).alias("_says"))
+    spared = F.coalesce(F.col("declared").isin(list(short)), F.lit(False)) if short else F.lit(False)
+    logs = F.zip_with(F.zip_with("_scores", "_prior", lambda x, p: x + F.log(p)), "_says", lambda x, p: x + F.log(p))
     # the background declares anything alike
-    logs.append(background + F.log(F.array_max(says)))
-    j = j.select("a.*", F.array(*logs).alias("_logs")).withColumn("_top", F.array_max("_logs"))
+    other = F.when(spared, F.lit(float("-inf"))).otherwise(background + F.log(F.array_max("_says")))
+    j = j.withColumn("_logs", F.concat(logs, F.array(other))).withColumn("_top", F.array_max("_logs"))
     best_k = F.array_position("_logs", F.col("_top")).cast("int")
     posterior = F.round(1.0 / F.aggregate("_logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top"))), 6)
-    j = j.withColumn("lang_id", F.when(F.col("ev")[0] == 0, F.lit(UNKNOWN)).otherwise(F.element_at(F.array(*map(F.lit, [*languages, UNKNOWN])), best_k))).withColumn("posterior", posterior)
-    return j.withColumn("rejected", (F.col("lang_id") == UNKNOWN) | (F.col("posterior") < least)).drop("_logs", "_top")
+    j = j.withColumn("lang_id", F.when(F.col("ev")[0] == 0, F.lit(UNKNOWN)).otherwise(F.element_at(numbers([*languages, UNKNOWN]), best_k))).withColumn("posterior", posterior)
+    return j.withColumn("rejected", (F.col("ev")[0] == 0) | ((F.col("lang_id") == UNKNOWN) | (F.col("posterior") < least)) & ~spared).drop("_logs", "_top", "_scores", "_prior", "_says")
 
 
-def languages_of(labelled: DataFrame, lang: str = "lang", most: int = 64) -> list[str]:
-    """The most frequent labels, ``most`` at most."""
-    rows = labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most)
-    return sorted(r[0] for r in rows.collect())
+def languages_of(labelled: DataFrame, lang: str = "lang") -> list[str]:
+    """All labels."""
+    return sorted(r[0] for r in labelled.where(F.col(lang).isNotNull()).select(lang).distinct().collect())
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -162,12 +215,11 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     repeated rows are judged one by one.
     """
     spark = pages.sparkSession
-    languages = languages_of(labelled)
-    model = fit(labelled, languages)
+    languages, model, short = fit(labelled, languages_of(labelled))
     host = F.lower(F.try_parse_url("url", F.lit("HOST")))
     declared = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
     rows = pages.select("page_id", host.alias("host"), F.nullif(F.substring_index(host, ".", -1), F.lit("")).alias("suffix"), declared.alias("declared"), text_evidence(spark, model, F.col("html"), markup=True).alias("ev"))
-    return fuse(materialize(rows, "page-language-evidence"), languages)
+    return fuse(materialize(rows, "page-language-evidence"), languages, short=short)
 
 
 def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -177,10 +229,9 @@ def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> Da
     """
     spark = docs.sparkSession
     labelled = docs if labelled is None else labelled
-    languages = languages_of(labelled)
-    model = fit(labelled, languages)
+    languages, model, short = fit(labelled, languages_of(labelled))
     packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), text_evidence(spark, model, F.col("text")).alias("ev"))
-    found = fuse(materialize(packed, "document-language-evidence"), languages)
+    found = fuse(materialize(packed, "document-language-evidence"), languages, short=short)
     return found.select("row.*", "lang_text", "lang_id", "posterior", "rejected")
 
 

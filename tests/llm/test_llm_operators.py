@@ -322,6 +322,24 @@ def test_language_id(spark):
     assert (p[1].lang_id, p[1].suffix, p[1].declared) == ("de", "de", "de") and p[2].rejected and p[None].lang_id == "en"
 
 
+def test_language_of_rare_labels(spark):
+    """Every label has a model, and a label short of texts loses none of its documents to the background."""
+    rng = random.Random(5)
+    names = [f"l{k:02}" for k in range(80)]
+    words = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(30)] for x in names}
+    text = lambda x: " ".join(rng.choices(words[x], k=40))
+    rows = [(k, text(x), x) for k, x in enumerate(x for x in names for _ in range(2 if x > "l63" else 3))]
+    rows += [(1000 + k, text("l00"), "l00") for k in range(6000)] + [(9000, "qq zz " * 20, "rare"), (9001, "y" * 30_000, "long"), (9002, None, "empty")]
+    d = spark.createDataFrame([(*r, "h") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language_id.identify_documents(d).collect()}
+    assert all(got[k].lang_id == x and not got[k].rejected for k, t, x in rows if t)
+    assert got[9002].rejected
+    # new texts of a label with one training text, in words that the text doesn't have
+    new = spark.createDataFrame([(1, "vyxo kuwj dzem " * 9, "rare", "h"), (2, "vyxo kuwj dzem " * 9, "l00", "h")], d.schema)
+    got = {r.doc_id: r.rejected for r in language_id.identify_documents(new, d.where("lang in ('l00', 'rare')")).collect()}
+    assert got == {1: False, 2: True}
+
+
 def test_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     half = docs.where("doc_id % 2 = 0")
