@@ -4,8 +4,10 @@ Calls and results meet in a hash join on (conversation, call id).  Arguments are
 references from arguments to earlier calls order the calls topologically, and each call, with its
 result, becomes one canonical JSON text (keys sorted, no blanks, numbers normalised).
 
-Repeated ids are reduced by a grouped minimum before any join, so a hot id or a very long
-conversation is no hot group: all keys are (conversation, call id).  Levels are found in
+Rows that share (conversation, call id) are numbered by turn, and the k-th call meets the k-th result, so every
+input row is in one output row.  Numbers come from range partitions and the counts of those before, and
+joins are by (conversation, call id, number): a hot id is no hot group.  Null conversations and ids are
+keys of their own.  References mean the first call of an id.  Levels are found in
 rounds, each a join of edges with the calls settled before; a round's rows are written to the shared folder.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize, table
@@ -25,6 +27,9 @@ SCHEMAS: Schemas = {
     "search": {"after": ("object", False, None, None), "limit": ("int", True, 0, 40), "query": ("string", True, 1, 400)},
 }
 
+#: Equal rows that one array tells apart.
+CHUNK = 4096
+
 
 def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """Sorted array of what is wrong with ``arguments`` (JSON text) for the tool ``name``; empty if nothing is."""
@@ -59,52 +64,102 @@ def references(arguments: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(arguments, F.lit("")), F.lit(r'"\$ref"\s*:\s*"([^"\\]*)"'), F.lit(1)))
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys``, where nulls equal each other."""
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = left.join(right, F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), how)
+    if how == "full":
+        both = both.withColumns({k: F.coalesce(k, f"_{k}") for k in keys})
+    return both.drop(*(f"_{k}" for k in keys))
+
+
+def numbered(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``rows`` (conv_id, call_id, columns) with k, the place by ``columns`` from 0 among the rows of its ids, and n, their count.
+
+    Equal rows are counted first and told apart at the end.  The rest is ranged over partitions; only ids that go on
+    from one partition in another need the counts of others, at most two rows of such a table a partition.
+    """
+    ids, order = ["conv_id", "call_id"], [columns[0], "tie"]
+    kinds = rows.select(*ids, *columns).groupBy(*ids, *columns).agg(F.count("*").alias("same"))
+    ranged = kinds.withColumn("tie", F.xxhash64(*columns)).repartitionByRange(*ids, *order)
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), name)
+    inside = Window.partitionBy("part", *ids)
+    before = inside.orderBy(*order, *columns[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("part", *ids).agg(F.sum("same").alias("rows"))
+    # of each partition only the first and the last ids can be in others
+    edges = ranged.groupBy("part").agg(F.min(F.struct(*ids)).alias("a"), F.max(F.struct(*ids)).alias("z"))
+    edges = edges.select("part", F.explode(F.array_distinct(F.array("a", "z"))).alias("x")).select("part", F.col("x.conv_id").alias("conv_id"), F.col("x.call_id").alias("call_id"))
+    over = meet(counts, F.broadcast(edges), ["part", *ids], "left_semi")
+    every = Window.partitionBy(*ids)
+    over = over.select("part", *ids, F.coalesce(F.sum("rows").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"), F.sum("rows").over(every).alias("rows_all"))
+    placed = ranged.withColumn("first", F.coalesce(F.sum("same").over(before), F.lit(0))).withColumn("here", F.sum("same").over(inside))
+    placed = meet(placed, F.broadcast(over), ["part", *ids], "left")
+    placed = placed.select(*ids, *columns, "same", (F.col("first") + F.coalesce("rows_before", F.lit(0))).alias("first"), F.coalesce("rows_all", "here").alias("n"))
+    # in two steps, so that no array is long
+    placed = placed.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (same - 1) div {CHUNK})")))
+    one = F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(same, (chunk + 1) * {CHUNK}) - 1)"))
+    return placed.withColumn("one", one).select(*ids, *columns, (F.col("first") + F.col("one")).alias("k"), "n")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, dangling): length of the longest chain of references below each call.
 
     ``dangling`` counts references to no call.  Calls on a cycle, or after one, have a null level.
     ``calls`` has one row for each (conv_id, call_id), and ``refs``.
     """
+    ids, up = ["conv_id", "call_id"], ["conv_id", "parent"]
     nodes = calls.select("conv_id", "call_id", "refs")
     edges = nodes.select("conv_id", "call_id", F.explode("refs").alias("parent"))
     known = nodes.select("conv_id", F.col("call_id").alias("parent"))
-    live = materialize(edges.join(known, ["conv_id", "parent"], "left_semi"), "call-edges")
+    live = materialize(meet(edges, known, up, "left_semi"), "call-edges")
     degree = live.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_parents"))
-    all_ = materialize(nodes.join(degree, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), (F.size("refs") - F.coalesce("n_parents", F.lit(0))).alias("dangling")), "call-nodes")
+    all_ = materialize(meet(nodes, degree, ids, "left").select("conv_id", "call_id", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), (F.size("refs") - F.coalesce("n_parents", F.lit(0))).alias("dangling")), "call-nodes")
     settled = all_.where("n_parents = 0").select("conv_id", "call_id", F.lit(0).alias("level"))
     waiting = live
     while True:
-        met = waiting.join(settled.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"], "left")
+        met = meet(waiting, settled.withColumnRenamed("call_id", "parent"), up, "left")
         per = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("done"), F.max("level").alias("top"))
         new = materialize(per.where("n = done").select("conv_id", "call_id", (F.col("top") + 1).alias("level")), "call-level")
         if not new.limit(1).count():
             break
         settled = settled.unionByName(new)
-        waiting = waiting.join(new.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-    return all_.join(settled, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("level").cast("int").alias("level"), F.col("dangling").cast("int").alias("dangling"))
+        waiting = meet(waiting, new.select("conv_id", "call_id"), ids, "left_anti")
+    return meet(all_, settled, ids, "left").select("conv_id", "call_id", F.col("level").cast("int").alias("level"), F.col("dangling").cast("int").alias("dangling"))
+
+
+def later_levels(repeats: DataFrame, settled: DataFrame) -> DataFrame:
+    """(conv_id, call_id, k, level, dangling) of calls that nothing can refer to, from the levels of first calls."""
+    ids = ["conv_id", "call_id", "k"]
+    edges = repeats.select(*ids, F.explode_outer("refs").alias("parent"))
+    parents = settled.select("conv_id", F.col("call_id").alias("parent"), "level", F.lit(1).alias("known"))
+    # a null parent stands for no reference
+    met = edges.where("parent is null").select(*ids, "parent", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("known"))
+    met = met.unionByName(meet(edges.where("parent is not null"), parents, ["conv_id", "parent"], "left"))
+    level = F.when(F.count("known") == F.count("level"), F.coalesce(F.max("level") + 1, F.lit(0)))
+    return met.groupBy(*ids).agg(level.cast("int").alias("level"), (F.count("parent") - F.count("known")).cast("int").alias("dangling"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """One row for each call, and each result without one.
 
     ``calls``: conv_id, call_id, turn, name, arguments; ``results``: conv_id, call_id, turn, content.  Of rows that repeat a
-    (conv_id, call_id) the one of the least turn counts, and ``repeats`` tells how many others there were.
-    Null ids and conversations are values like others.  Columns: conv_id, call_id, call_turn,
+    (conv_id, call_id) the k-th call by turn is linked to the k-th result; ``repeats`` tells how many other calls (of a call)
+    and other results (of a result) have the same ids.  Rows of such repeats come before those of first calls and results.
+    Null ids and conversations are values of their own, and stay null.  Columns: conv_id, call_id, call_turn,
     result_turn, status (``linked``, ``early`` if the result comes before the call, ``unanswered``, ``orphan``), repeats,
     level, dangling, errors, json.
     """
+    ids = ["conv_id", "call_id", "k"]
+    c = materialize(numbered(calls, ["turn", "name", "arguments"], "ranged-calls").withColumn("refs", references(F.col("arguments"))), "calls")
+    r = materialize(numbered(results, ["turn", "content"], "ranged-results"), "results")
+    found = materialize(levels(c.where("k = 0")), "call-levels")
+
+    def paired(which: str, of_calls: DataFrame) -> DataFrame:
+        c_ = meet(c.where(which), of_calls, ids, "left").select(*ids, F.col("turn").alias("call_turn"), "name", "arguments", "level", "dangling", (F.col("n") - 1).alias("n1"))
+        r_ = r.where(which).select(*ids, F.col("turn").alias("result_turn"), "content", (F.col("n") - 1).alias("n2"))
+        return meet(c_, r_, ids, "full")
 
-    def first(rows: DataFrame, columns: list[str]) -> DataFrame:
-        keyed = rows.select(F.coalesce(F.col("conv_id"), F.lit(-1)).alias("conv_id"), F.coalesce("call_id", F.lit("")).alias("call_id"), *columns)
-        one = keyed.groupBy("conv_id", "call_id").agg(F.min(F.struct(*columns)).alias("x"), (F.count("*") - 1).alias("n"))
-        return one.select("conv_id", "call_id", *(F.col(f"x.{c}").alias(c) for c in columns), "n")
-
-    c = first(calls, ["turn", "name", "arguments"]).withColumn("refs", references(F.col("arguments")))
-    c = materialize(c, "calls")
-    r = first(results, ["turn", "content"])
-    c_ = c.join(levels(c), ["conv_id", "call_id"]).select("conv_id", "call_id", F.col("turn").alias("call_turn"), "name", "arguments", "level", "dangling", F.col("n").alias("n1"))
-    r_ = r.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("n").alias("n2"))
-    both = c_.join(r_, ["conv_id", "call_id"], "full")
+    both = paired("k > 0", later_levels(c.where("k > 0"), found)).unionByName(paired("k = 0", found.withColumn("k", F.lit(0).cast("long"))))
     is_call = F.col("n1").isNotNull()
     status = F.when(~is_call, "orphan").when(F.col("n2").isNull(), "unanswered").when(F.col("result_turn") < F.col("call_turn"), "early").otherwise("linked")
     # variant objects keep their keys sorted, at every depth

@@ -304,6 +304,28 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.limit(0), r.limit(0), tool_calls.SCHEMAS).count() == 0
 
 
+def test_tool_calls_that_repeat(spark, monkeypatch):
+    """Each call and each result is in one row, also where ids are null or one id is hot."""
+    monkeypatch.setattr(tool_calls, "CHUNK", 7)
+    odd = [(None, None), (None, ""), (-1, ""), (-1, None), (None, "x"), (1, "x")]
+    calls = [(*i, t, f"n{t}", "{}") for i in odd for t in range(5)] + [(2, "hot", t % 400, "hot", "{}") for t in range(1500)] + [(3, "p", 1, "p", "{}"), (3, "q", 2, "q", '{"a":{"$ref":"p"}}')]
+    calls += [(3, "q", 3, "q", '{"a":{"$ref":"q"}}'), (3, "q", 4, "q", '{"a":{"$ref":"no"}}'), (3, "s", 5, "s", '{"a":{"$ref":"s"}}'), (3, "s", 6, "s", '{"a":{"$ref":"s"}}')]
+    calls += [(None, "p", 1, "p", "{}"), (None, "q", 2, "q", '{"a":{"$ref":"p"}}')]
+    results = [(*i, t + 10, f"r{t}") for i in odd for t in range(6)] + [(2, "hot", 1000, "same")] * 1510
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string").repartition(5)
+    r = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string").repartition(5)
+    got = tool_calls.link(c, r, {}).collect()
+    assert sorted(((x.conv_id, x.call_id, x.call_turn, json.loads(x.json)["name"]) for x in got if x.status != "orphan"), key=str) == sorted(((x[0], x[1], x[2], x[3]) for x in calls), key=str)
+    assert sorted(((x.conv_id, x.call_id, x.result_turn, json.loads(x.json)["result"]) for x in got if x.status != "unanswered"), key=str) == sorted(results, key=str)
+    for i in odd:
+        mine = [x for x in got if (x.conv_id, x.call_id) == i]
+        assert sorted((x.call_turn, x.result_turn, x.repeats) for x in mine if x.status == "linked") == [(t, t + 10, 9) for t in range(5)]
+        assert [(x.result_turn, x.repeats) for x in mine if x.status == "orphan"] == [(15, 5)]
+    assert sum(x.status == "linked" for x in got if x.call_id == "hot") == 1500
+    assert sorted(((x.call_id, x.call_turn, x.level, x.dangling) for x in got if x.conv_id == 3)) == [("p", 1, 0, 0), ("q", 2, 1, 0), ("q", 3, 2, 0), ("q", 4, 0, 1), ("s", 5, None, 0), ("s", 6, None, 0)]
+    assert [x.level for x in got if x.conv_id is None and x.call_id == "q"] == [1]
+
+
 # ---- 7: language
 
 
