@@ -7,6 +7,8 @@ don't depend on the number of partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -102,41 +104,51 @@ def swap_round(states: DataFrame, seed: int, odd: int) -> DataFrame:
     return x.select("walker_id", "e", F.when(go, F.col("other")).otherwise(F.col("beta")).alias("beta"))
 
 
+#: Distinct subsequences scored in one pass over the backgrounds.
+SUBSEQUENCES = 4096
+
+
 def subsequence_logfreq(subsequences: DataFrame, backgrounds: DataFrame, marked: list[int], couplings: np.ndarray) -> DataFrame:
     """(seq_id, logfreq): log of the sum over backgrounds of exp(E(background) - E(background with the subsequence's marked letters)).
 
-    Backgrounds are mapped in batches against the broadcast subsequences, which are few; each task sends a maximum and a sum for
-    each subsequence.
+    Only the marked letters of a subsequence count, so each distinct set of letters is scored once and joined back to every row.
+    Backgrounds are mapped in batches against ``SUBSEQUENCES`` broadcast sets of letters at a time; each task sends a maximum and a
+    sum for each.
     """
     ship(backgrounds.sparkSession)
-    t = subsequences.select("seq_id", "seq").toArrow()
     length = couplings.shape[0]
-    ids = t.column(0).to_numpy()
-    subs = np.array(t.column(1).to_pylist(), np.int64).reshape(-1, length)
-    shared = backgrounds.sparkSession.sparkContext.broadcast((ids, subs, couplings))
+    keyed = subsequences.select("seq_id", F.array(*(F.col("seq")[p].cast("int") for p in marked)).alias("letters"))
 
     def energy(s: np.ndarray, j: np.ndarray) -> np.ndarray:
         return sum((j[a, b][s[:, a], s[:, b]] for a in range(length - 1) for b in range(a + 1, length)), np.zeros(len(s)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, subs, j = shared.value
-        top, total = np.full(len(ids), -np.inf), np.zeros(len(ids))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s = np.asarray(b.column(0).flatten(), np.int64).reshape(-1, length)
-            before = energy(s, j)
-            for k, sub in enumerate(subs):
-                changed = s.copy()
-                changed[:, marked] = sub[marked]
-                x = before - energy(changed, j)
-                m = max(top[k], x.max())
-                total[k] = total[k] * np.exp(top[k] - m) + np.exp(x - m).sum()
-                top[k] = m
-        if np.isfinite(top).any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(top), pa.array(total)], names=["seq_id", "top", "total"])
-
-    parts = backgrounds.select("seq").mapInArrow(run, "seq_id long, top double, total double")
-    w = Window.partitionBy("seq_id")
+    def score(letters: list[list[int]]) -> DataFrame:
+        shared = backgrounds.sparkSession.sparkContext.broadcast((np.array(letters, np.int64).reshape(len(letters), len(marked)), couplings))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            subs, j = shared.value
+            top, total = np.full(len(subs), -np.inf), np.zeros(len(subs))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                s = np.asarray(b.column(0).flatten(), np.int64).reshape(-1, length)
+                before = energy(s, j)
+                for k, sub in enumerate(subs):
+                    changed = s.copy()
+                    changed[:, marked] = sub
+                    x = before - energy(changed, j)
+                    m = max(top[k], x.max())
+                    total[k] = total[k] * np.exp(top[k] - m) + np.exp(x - m).sum()
+                    top[k] = m
+            if np.isfinite(top).any():
+                yield pa.RecordBatch.from_arrays([pa.array(subs.tolist(), pa.list_(pa.int32())), pa.array(top), pa.array(total)], names=["letters", "top", "total"])
+
+        return backgrounds.select("seq").mapInArrow(run, "letters array<int>, top double, total double")
+
+    found = (r.letters for r in keyed.select("letters").distinct().orderBy("letters").toLocalIterator())
+    passes = [score(x) for x in iter(lambda: list(islice(found, SUBSEQUENCES)), [])] or [score([])]
+    parts = reduce(DataFrame.union, passes)
+    w = Window.partitionBy("letters")
     scaled = parts.withColumn("m", F.max("top").over(w))
-    return scaled.groupBy("seq_id").agg((F.first("m") + F.log(F.sum(F.col("total") * F.exp(F.col("top") - F.col("m"))))).alias("logfreq"))
+    scored = scaled.groupBy("letters").agg((F.first("m") + F.log(F.sum(F.col("total") * F.exp(F.col("top") - F.col("m"))))).alias("logfreq"))
+    return keyed.join(scored, "letters").select("seq_id", "logfreq")

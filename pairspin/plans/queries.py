@@ -344,6 +344,20 @@ def subseq(s: SparkSession, d: str) -> DataFrame:
     return values(sampling.subsequence_logfreq(m.where("seq_id < 5"), m, [0, 1, 2], scores.coupling_array(jj(s), L, Q)), "logfreq")
 
 
+_LETTERS = "CASE WHEN pb.{p} IN (0, 1, 2) THEN s.m[pb.{p}+1] ELSE b.seq[pb.{p}+1] END"
+
+
+@query("subseq_logfreq_all", sql(
+    f"""SELECT mb.seq_id, logfreq FROM mb JOIN (SELECT m, {r('max(x) + ln(sum(exp(x - top)))')} AS logfreq FROM (SELECT m, x, max(x) OVER (PARTITION BY m) AS top FROM (
+  SELECT s.m, b.seq_id AS bg, any_value(en.e) - sum(cpl) AS x FROM (SELECT DISTINCT seq[1:3] AS m FROM mb) s, mb b, pb
+  JOIN jj ON jj.i = pb.i AND jj.j = pb.j AND jj.a = {_LETTERS.format(p='i')} AND jj.b = {_LETTERS.format(p='j')}
+  JOIN en ON en.seq_id = b.seq_id GROUP BY s.m, b.seq_id)) GROUP BY m) f ON f.m = mb.seq[1:3]""", "mb", "pb", "jj", "en"))
+def subseq_all(s: SparkSession, d: str) -> DataFrame:
+    """``subseq_logfreq`` of every sequence."""
+    m = msa_b(s, d)
+    return values(sampling.subsequence_logfreq(m, m, [0, 1, 2], scores.coupling_array(jj(s), L, Q)), "logfreq")
+
+
 query("spearman", sql(f"SELECT count(*) AS n, {r('corr(rx, ry)')} AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM (SELECT en.e AS x, i.e AS y FROM en JOIN (SELECT seq_id, sum(h) AS e FROM (SELECT seq_id, pos, seq[pos+1] AS res FROM mb, pos) JOIN hh USING (pos, res) GROUP BY seq_id) i USING (seq_id)))", "en", "mb", "pos", "hh"))(
     lambda s, d: values(spearman(scores.energies(msa_b(s, d), jj(s), L, Q).join(scores.independent_energies(msa_b(s, d), hh(s)).withColumnRenamed("e", "y"), "seq_id"), "e", "y"), "rho")
 )

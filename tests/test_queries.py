@@ -39,5 +39,14 @@ def test_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_subsequence_logfreq_of_every_row(spark, sf, duck, monkeypatch):
+    from pairspin.operators import sampling
+
+    monkeypatch.setattr(sampling, "SUBSEQUENCES", 50)  # several passes
+    test_matches_duckdb(spark, sf, duck, "subseq_logfreq_all")
+    got = QUERIES["subseq_logfreq_all"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() and got.where("logfreq is null").count() == 0
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
