@@ -4,8 +4,8 @@ Words (pre-tokens) that are frequent in the corpus are compiled, with their ids,
 acyclic automaton: equal suffixes share states, and each arc carries how many words come before
 the words that it leads to, so that a walk sums up to the word's rank and the rank gives its ids.
 The automaton is written as plain arrays, and each executor process maps the file into memory.
-Words outside it are merged exactly, by the merge ranks.  Which words the lexicon holds changes
-the speed only, never the ids.
+Every distinct word of a block is looked up there; words outside it are merged exactly, by the merge ranks.  Which words
+the lexicon holds changes the speed only, never the ids.
 
 Plan: one pass over the texts counts words (a grouped sum; only the ``lexicon_size`` most frequent
 reach the driver), a second encodes and decodes; texts are never shuffled.
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import discard, materialize, table, tidy
-from .pretokens import BatchEncoder, byte_signs, distinct_keys, slices
+from .pretokens import BatchEncoder, byte_signs, pieces, slices
 
 #: Words of the lexicon; it is broadcast, so this bounds its size (about 2 MB).
 LEXICON_SIZE = 50_000
-#: Distinct words that a task counts before it passes on what it has.
-COUNTED = 400_000
+#: Distinct words that a task counts before it passes on what it has, and signs of a word of the lexicon at most; they change what the lexicon holds, never ids.
+COUNTED, LONGEST = 400_000, 64
 _NONE = 1 << 60
 
 
@@ -183,15 +183,16 @@ class Lexicon:
             os.replace(f.name, path)
         return cls(path)
 
-    def find(self, words: Sequence[str]) -> list[list[int] | None]:
-        """Ids of each word, None for words outside the lexicon."""
-        coded = [w.encode() for w in words]
+    def ranks(self, words: Sequence[str]) -> np.ndarray:
+        """The place of each word among the lexicon's in order, -1 for words outside it."""
+        if not len(self.key):
+            return np.full(len(words), -1, np.int64)
+        joined = "".join(words)
+        coded = words if joined.isascii() else [w.encode() for w in words]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         begin = np.cumsum(size) - size
-        text = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint32)
+        text = np.frombuffer(joined.encode(), np.uint8).astype(np.uint32)
         state, rank, alive = np.zeros(len(coded), np.uint32), np.zeros(len(coded), np.int64), np.arange(len(coded))
-        if not len(self.key):
-            return [None] * len(coded)
         missing = np.zeros(len(coded), bool)
         step = 0
         while len(alive := alive[size[alive] > step]):
@@ -203,19 +204,18 @@ class Lexicon:
             state[alive] = self.to[at]
             rank[alive] += self.skip[at]
             step += 1
-        missing |= self.final[state] == 0
-        return [None if no else self.flat[self.offset[r] : self.offset[r + 1]].tolist() for no, r in zip(missing.tolist(), rank.tolist(), strict=True)]
+        return np.where(missing | (self.final[state] == 0), -1, rank)
+
+    def find(self, words: Sequence[str]) -> list[list[int] | None]:
+        """Ids of each word, None for words outside the lexicon."""
+        return [None if r < 0 else self.flat[self.offset[r] : self.offset[r + 1]].tolist() for r in self.ranks(words).tolist()]
 
 
 @lru_cache(maxsize=2)
 def codec(path: str, lexicon: bytes) -> tuple[Vocabulary, BatchEncoder]:
     """The encoder of a worker process; kept from task to task."""
-    v, known = vocabulary(path), Lexicon.of(lexicon)
-
-    def resolve(words: list[str]) -> list[list[int]]:
-        return [v.merge(w) if ids is None else ids for w, ids in zip(words, known.find(words), strict=True)]
-
-    return v, BatchEncoder(resolve, v.special)
+    v = vocabulary(path)
+    return v, BatchEncoder(lambda words: [*map(v.merge, words)], v.special, lexicon=Lexicon.of(lexicon))
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -223,45 +223,38 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = BatchEncoder(lambda words: [[] for _ in words])
-        total: dict[int, int] = {}
-        spelt: dict[int, str] = {}
+        total: dict[str, int] = {}
 
         def rows() -> pa.RecordBatch:
-            keys = [k for k, n in total.items() if n > 1]
-            return pa.RecordBatch.from_pydict({"word": [spelt[k] for k in keys], "n": [total[k] for k in keys]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+            found = {w: n for w, n in total.items() if n > 1}
+            return pa.RecordBatch.from_pydict({"word": [*found], "n": [*found.values()]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
         for batch in slices(batches):
             for text_block in blocks(batch.column(0).to_pylist()):
-                whole, begin, end, keys, _ = split.words(text_block)
-                distinct, where, which = distinct_keys(keys)
-                n = np.bincount(which)
-                b, e = begin[where].tolist(), end[where].tolist()
-                for k, (key, times) in enumerate(zip(distinct.tolist(), n.tolist(), strict=True)):
-                    if key in total:
-                        total[key] += times
-                    elif e[k] - b[k] <= 64:
-                        total[key], spelt[key] = times, whole[b[k] : e[k]]
+                words, which, _ = split.words(text_block)
+                for word, times in zip(words, np.bincount(which, minlength=len(words)).tolist(), strict=True):
+                    if len(word) <= LONGEST:
+                        total[word] = total.get(word, 0) + times
                 if len(total) > COUNTED:
                     yield rows()
                     total.clear()
-                    spelt.clear()
         yield rows()
         total.clear()
-        spelt.clear()
         tidy()
 
     return docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def blocks(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str]]:
-    """Runs of whole texts of about ``size`` signs."""
+    """Runs of texts of about ``size`` signs; long texts are cut where words start."""
     run, n = [], 0
     for text in texts:
-        run.append(text or "")
-        n += len(run[-1])
-        if n >= size:
-            yield run
-            run, n = [], 0
+        for part in pieces(text or ""):
+            run.append(part)
+            n += len(part)
+            if n >= size:
+                yield run
+                run, n = [], 0
     if run:
         yield run
 

@@ -2,24 +2,27 @@
 
 The split is that of the usual pattern (contractions; letters, numbers or other signs with
 one leading space; white space, its last sign left to what follows).  ``BatchEncoder`` maps each distinct
-pre-token of a block once to its ids, by way of a bounded memory of known pre-tokens and a
-function for unknown ones, and lays the ids out in text order.  Pre-tokens are told apart by 64-bit hash
-and length: a clash of two of a billion distinct ones has a chance of about 3 in 100.
+pre-token of a block once to its ids, by way of a lexicon, a bounded memory of known pre-tokens and a
+function for unknown ones, and lays the ids out in text order.  Hashes only propose which pre-tokens of a block
+are equal; spellings decide, so no clash of hashes can change an id.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
-#: Signs of a block; the arrays of a block take about 60 bytes a sign.
+#: Signs of a block; the arrays of a block take about 80 bytes a sign.
 BLOCK = 800_000
+#: A blank between plain letters or digits and a letter starts a pre-token whatever stands around it, so long texts may be cut there.
+_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _RI = pow(_R, -1, 1 << 64)
@@ -77,7 +80,7 @@ def starts(signs: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def word_keys(signs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each sign range."""
+    """64-bit hash of each sign range.  Different ranges may share one, some by construction."""
     p, q = _powers(1 << max(10, int(len(signs)).bit_length()))
     v = (signs.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     v ^= v >> np.uint64(29)
@@ -103,15 +106,44 @@ def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return distinct, where, which
 
 
+def distinct_words(whole: str, signs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Distinct ranges of a text that the ranges cover without gaps, and the number of each range's."""
+    if not len(begin):
+        return [], np.zeros(0, np.int64)
+    _, where, which = distinct_keys(word_keys(signs, begin, end))
+    words = [whole[b:e] for b, e in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
+    # each range is compared with the first one of its hash
+    first, size = where[which], end - begin
+    longer = size != size[first]
+    first = np.where(longer, np.arange(len(begin)), first)
+    differs = signs != signs[np.arange(len(signs)) + np.repeat(begin[first] - begin, size)]
+    if longer.any() or differs.any():
+        number = {w: k for k, w in enumerate(words)}
+        for k in np.flatnonzero(longer | (np.add.reduceat(differs.astype(np.int64), begin) > 0)).tolist():
+            which[k] = number.setdefault(whole[begin[k] : end[k]], len(number))
+        words = [*number]
+    return words, which
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in parts of ``BLOCK`` signs or little more, cut where pre-tokens start; in one part where there is no such place."""
+    at = 0
+    while len(text) - at > 2 * BLOCK and (cut := _CUT.search(text, at + BLOCK)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 class BatchEncoder:
     """Texts to ids.  ``resolve``: list of distinct pre-tokens -> list of id lists.
 
     ``special``: a string taken as one id wherever it stands in a text, as ``(string, id)``, or None.
-    ``known``: pre-tokens kept in memory at most; beyond that it is emptied.
+    ``lexicon``: has ``ranks`` of pre-tokens (-1 for ones it lacks), ``offset`` and ``flat`` for the ids of a rank; asked first.
+    ``known``: other pre-tokens kept in memory at most; beyond that all but those of the present block are forgotten.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], Sequence[Sequence[int]]], special: tuple[str, int] | None = None, known: int = 600_000):
-        self.resolve, self.special, self.limit = resolve, special, known
+    def __init__(self, resolve: Callable[[list[str]], Sequence[Sequence[int]]], special: tuple[str, int] | None = None, known: int = 500_000, lexicon=None):
+        self.resolve, self.special, self.limit, self.lexicon = resolve, special, known, lexicon
         self._clear()
 
     def forget(self) -> None:
@@ -119,95 +151,117 @@ class BatchEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.offset = np.zeros(1 << 14, np.int64)
         self.n_ids = 0
 
-    def _keep(self, keys: list[int]) -> None:
+    def _keep(self, words: list[str]) -> None:
         """Forget all pre-tokens but these."""
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
         begin, sizes = self.offset[slots], self.offset[slots + 1] - self.offset[slots]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)]
+        ids = self.ids[_ranges(begin, sizes)]
         self._clear()
-        self._add(keys, ids, sizes)
+        self._add(words, ids, sizes)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         found = self.resolve(words)
-        self._add(keys, np.array([*chain.from_iterable(found)], np.uint32), np.array([*map(len, found)], np.int64))
+        self._add(words, np.array([*chain.from_iterable(found)], np.uint32), np.array([*map(len, found)], np.int64))
 
-    def _add(self, keys: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         k = len(self.slot)
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(keys) + 1 > len(self.offset):
+        while k + len(words) + 1 > len(self.offset):
             self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.offset[k + 1 : k + 1 + len(keys)] = self.n_ids + np.cumsum(sizes)
+        self.offset[k + 1 : k + 1 + len(words)] = self.n_ids + np.cumsum(sizes)
         self.n_ids += len(flat)
-        self.slot.update(zip(keys, range(k, k + len(keys)), strict=True))
+        self.slot.update(zip(words, range(k, k + len(words)), strict=True))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; null counts as empty."""
-        out: list[np.ndarray] = []
+        found: list[list[np.ndarray]] = []
         block: list[str] = []
+        places: list[tuple[list[np.ndarray], int]] = []
         size = 0
+
+        def settle() -> None:
+            for (ids, k), x in zip(places, self._block(block), strict=True):
+                ids[k] = x
+            block.clear()
+            places.clear()
+
         for text in texts:
-            text = text or ""
-            if self.special and self.special[0] in text:
-                out += self._block(block)
-                block, size = [], 0
-                parts = self.encode_parts(text)
-                out.append(np.concatenate(parts))
-                continue
-            if size and size + len(text) > BLOCK:
-                out += self._block(block)
-                block, size = [], 0
-            block.append(text)
-            size += len(text)
-        return out + self._block(block)
-
-    def encode_parts(self, text: str) -> list[np.ndarray]:
-        mark = np.array([self.special[1]], np.uint32)
-        parts: list[np.ndarray] = []
-        for k, ids in enumerate(self._block(text.split(self.special[0]))):
-            parts += [mark, ids] if k else [ids]
-        return parts
-
-    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(joined text, begin, end, key of each pre-token, first pre-token of each text and the number of all)."""
+            own: list[np.ndarray] = []
+            found.append(own)
+            for k, between in enumerate((text or "").split(self.special[0]) if self.special else [text or ""]):
+                if k:
+                    own.append(np.array([self.special[1]], np.uint32))
+                for part in pieces(between):
+                    if size and size + len(part) > BLOCK:
+                        settle()
+                        size = 0
+                    block.append(part)
+                    places.append((own, len(own)))
+                    own.append(np.zeros(0, np.uint32))
+                    size += len(part)
+        settle()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct pre-tokens of all texts, the number of each pre-token's, first pre-token of each text and the number of all)."""
         whole = "".join(texts)
         signs = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.concatenate([[0], np.cumsum(sizes)])
         begin = starts(signs, first[:-1][sizes > 0]) if len(signs) else np.zeros(0, np.int64)
         end = np.append(begin[1:], len(signs))[: len(begin)]
-        return whole, begin, end, word_keys(signs, begin, end), np.searchsorted(begin, first)
+        return *distinct_words(whole, signs, begin, end), np.searchsorted(begin, first)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin and number of those of each word)."""
+        begin, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        rest, outside = words, np.arange(len(words))
+        flat = np.zeros(0, np.uint32)
+        if self.lexicon is not None:
+            rank = self.lexicon.ranks(words)
+            flat = self.lexicon.flat
+            hit = rank >= 0
+            begin[hit] = self.lexicon.offset[rank[hit]]
+            sizes[hit] = self.lexicon.offset[rank[hit] + 1] - begin[hit]
+            outside = np.flatnonzero(~hit)
+            rest = [words[k] for k in outside.tolist()]
+        slots = np.array([*map(self.slot.get, rest, repeat(-1))], np.int64)
+        missing = np.flatnonzero(slots < 0)
+        if len(self.slot) + len(missing) > self.limit:
+            held = np.flatnonzero(slots >= 0)
+            self._keep([rest[k] for k in held.tolist()])
+            slots[held] = np.arange(len(held))
+        for part in np.array_split(missing, -(-len(missing) // 10_000)) if len(missing) else ():
+            slots[part] = len(self.slot) + np.arange(len(part))
+            self._learn([rest[k] for k in part.tolist()])
+        begin[outside] = len(flat) + self.offset[slots]
+        sizes[outside] = self.offset[slots + 1] - self.offset[slots]
+        return np.concatenate([flat, self.ids[: self.n_ids]]), begin, sizes
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
-        whole, begin, end, keys, bounds = self.words(texts)
-        distinct, where, which = distinct_keys(keys)
-        listed = distinct.tolist()
-        missing = [k for k, key in enumerate(listed) if key not in self.slot]
-        if len(self.slot) + len(missing) > self.limit:
-            self._keep([key for key in listed if key in self.slot])
-        for a in range(0, len(missing), 10_000):
-            part = missing[a : a + 10_000]
-            at = where[part]
-            self._learn([listed[k] for k in part], [whole[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-        slots = np.fromiter(map(self.slot.__getitem__, listed), np.int64, len(listed))[which]
-        offset = self.offset[slots]
-        sizes = self.offset[slots + 1] - offset
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(offset - (ends - sizes), sizes)]
-        cut = np.concatenate([[0], ends])[bounds]
+        words, which, bounds = self.words(texts)
+        flat, begin, sizes = self._ids_of(words)
+        begin, sizes = begin[which], sizes[which]
+        ids = flat[_ranges(begin, sizes)]
+        cut = np.concatenate([[0], np.cumsum(sizes)])[bounds]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begin..begin + size - 1 of each range, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)
+
+
 def byte_signs() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

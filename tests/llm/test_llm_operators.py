@@ -516,3 +516,41 @@ def test_pipeline_order_of_several_files(spark):
     got = corpus_pipeline.encode(spark, back, "").collect()
     assert [want[r.doc_id] for r in got] == sorted(want.values())
     assert all((r.mix_slot, r.mix_pos) == want[r.doc_id] for r in got)
+
+
+# ---- words that clash under polynomial hashes, and very long texts
+
+
+def thue_morse(n):
+    """The word of n letters and its complement: equal under any polynomial hash modulo 2^64 from 1,024 letters on."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 65_536])
+def test_words_that_clash(library, n):
+    x, y = thue_morse(n)
+    texts = [f"{x} {y} {x}", f"{y}", f"so {x}"]
+    want = [ids_of(library, t) for t in texts]
+    assert want[1] != ids_of(library, x)
+    assert [i.tolist() for i in pretokens.library_encoder(BPE).encode(texts)] == want
+    assert digest_cache.count_tokens(BPE, texts) == [*map(len, want)]
+    v, encoder = bpe_codec.codec(BPE, bpe_codec.compile_lexicon({x[:40]: bpe_codec.vocabulary(BPE).merge(x[:40])}))
+    assert [i.tolist() for i in encoder.encode(texts)] == want
+    sets = [*shingle_sets([x, y, f"{x} b c d e", f"{y} b c d e"], 5)]
+    assert sets[0] != sets[1] and not np.intersect1d(sets[2], sets[3]).size
+
+
+def test_texts_beyond_every_block(library):
+    random.seed(8)
+    words = ["alpha", "Beta", "don't", "42", "naïve", "漢字", "\n\n", "x" * 40]
+    text = " ".join(random.choices(words, k=400_000))
+    assert len(text) > 2 * pretokens.BLOCK and len([*pretokens.pieces(text)]) > 1
+    dense = text[: 2 * pretokens.BLOCK + 10].replace(" ", "_")  # nowhere to cut
+    for t in (text, dense):
+        want = ids_of(library, t)
+        assert pretokens.library_encoder(BPE).encode([t, "a"])[0].tolist() == want
+        _, encoder = bpe_codec.codec(BPE, bpe_codec.compile_lexicon({}))
+        assert encoder.encode(["b", t])[1].tolist() == want
+    lower = [w for w in re.split(rb"[\x20\x09-\x0d]+", text.encode().lower()) if w]
+    assert len(next(shingle_sets([text], 3))) == len({tuple(lower[k : k + 3]) for k in range(len(lower) - 2)})
