@@ -9,30 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
-_R = 0x9E3779B97F4A7C15
-_RI = pow(_R, -1, 1 << 64)
 BLOCK = 700_000
+#: Bytes of a word that are hashed by array operations, eight at a time; longer words go to BLAKE2b one by one.
+CHUNKED = 32
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    value = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _gaps() -> np.ndarray:
     apart = np.zeros(256, bool)
     apart[[32, 9, 10, 11, 12, 13]] = True
-    return value, apart
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def of(r: int) -> np.ndarray:
-        p = np.full(n, r, np.uint64)
-        p[0] = 1
-        return np.multiply.accumulate(p)
-
-    return of(_R), of(_RI)
+    return apart
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -41,19 +31,30 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def word_hashes(lower: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash (uint64) of each byte range: every eight bytes are mixed in by a bijection, so no family of words clashes by construction."""
+    padded = np.frombuffer(lower + bytes(8), np.uint8)
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    size = end - begin
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    kept = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+    at = np.flatnonzero(size <= CHUNKED)
+    step = 0
+    while len(at := at[size[at] > step]):
+        h[at] = _mixed(h[at] ^ (eight[begin[at] + step] & kept[np.minimum(size[at] - step, 8)])) * np.uint64(0xD6E8FEB86659FD93)
+        step += 8
+    for k in np.flatnonzero(size > CHUNKED).tolist():
+        h[k] = int.from_bytes(blake2b(lower[begin[k] : end[k]], digest_size=8).digest(), "little")
+    return h
+
+
 def _block(texts: Sequence[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes (int64) of each text."""
-    whole = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(whole.lower(), np.uint8)  # bytes.lower() changes A-Z only
-    value, apart = _tables()
-    gap = apart[raw]
-    inside = np.concatenate([[False], ~gap, [False]])
+    lower = (b"\n".join(texts) + b"\n").lower()  # bytes.lower() changes A-Z only
+    inside = np.concatenate([[False], ~_gaps()[np.frombuffer(lower, np.uint8)], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
-    p, q = _powers(1 << max(10, len(raw).bit_length()))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(value[raw] * p[: len(raw)], out=total[1:])
-    words = _mixed((total[end] - total[begin]) * q[begin] + (end - begin).astype(np.uint64))
+    words = word_hashes(lower, begin, end)
     last = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     bound = np.concatenate([[0], np.searchsorted(begin, last)])
     runs = np.zeros(max(0, len(words) - k + 1), np.uint64)
