@@ -41,6 +41,11 @@ def _ship(application: str, spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(f.name)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever signs are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -9,8 +9,8 @@ declares and where the document comes from:
 * declared language: P(declared | language), from counts of (declared, language by text) over all documents, smoothed;
 * address: P(language | host), smoothed towards P(language | suffix), which is smoothed towards P(language).
 
-Counts are grouped sums over all documents.  Hosts and suffixes reach the documents by joins on small
-rows (key, host, evidence); the texts themselves are never shuffled or copied.  The likelihood models are
+Counts are grouped sums over all documents.  Hosts, suffixes and declarations reach the documents as size-checked broadcasts, and beyond
+that size by joins that keep hot hosts apart; the texts themselves are not shuffled unless the hosts' table is that large.  The likelihood models are
 fitted on a bounded sample of distinct texts of each label (their first ``SAMPLE_SIGNS`` signs, by content hash); every label that has text takes
 part.  Documents declared to be in a language short of training texts are not rejected.
 """
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table
+from ._shared import materialize, quoted, table
 
 SAMPLE_DOCS, SAMPLE_SIGNS = 4000, 20_000
 #: Texts of a label in the sample, where it has so many: ``SAMPLE_DOCS`` over the labels, between these (Spark limits groups before a shuffle up to 1,000).
@@ -45,6 +45,8 @@ LEAST = 0.5
 #: Log likelihood of a trigram in the background: one of about 30,000 likely ones.  Its prior is low, so short texts aren't lost to it.
 BACKGROUND, BACKGROUND_PRIOR = -10.3, 1e-4
 UNKNOWN = "und"
+#: A table of priors is broadcast where its rows, counted, take so many bytes at most.
+BROADCAST_BYTES = 32 << 20
 
 
 @lru_cache(maxsize=1)
@@ -125,11 +127,11 @@ def fit(labelled: DataFrame, labels: list[str], text: str = "text", lang: str =
 
 
 def plain_text(html: str | None) -> str:
-    """Text of a page: no scripts, styles, comments or tags."""
+    """Text of a page: no scripts, styles, comments or tags.  What an unclosed comment, script or style begins has no text; linear in the length."""
     import html as entities
     import re
 
-    return entities.unescape(re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html or "")))
+    return entities.unescape(re.sub(r"<[^<>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", " ", html or "")))
 
 
 def text_evidence(spark: SparkSession, model: Model, column: Column, markup: bool = False) -> Column:
@@ -144,35 +146,46 @@ def text_evidence(spark: SparkSession, model: Model, column: Column, markup: boo
             out.append([float(len(hashes)), *np.round(shared.value.sums(hashes) / max(1, len(hashes)), 9)])
         return pd.Series(out)
 
-    return evidence(column)
+    # or a filter on what follows from it would be pushed below, and have each text judged twice
+    return evidence.asNondeterministic()(column)
 
 
-def fuse(evidence: DataFrame, languages: list[str], least: float = LEAST, short: Sequence[str] = ()) -> DataFrame:
-    """``evidence``(key columns, host, suffix, declared, ev) with columns lang_text, lang_id, posterior and rejected.
+@dataclass(frozen=True)
+class Priors:
+    """What grouped counts over all documents say: tables by host, suffix and declaration, and the share of each language."""
 
-    ``ev`` comes from ``text_evidence``.  Null hosts, suffixes and declarations are values of their own.  Text that is declared to be in
-    a language ``short`` of training texts is not rejected: neither the background nor a low posterior tells what it is.
-    """
-    if not languages:
-        return evidence.select("*", F.lit(None).cast("string").alias("lang_text"), F.lit(UNKNOWN).alias("lang_id"), F.lit(1.0).alias("posterior"), F.lit(True).alias("rejected"))
-    n = len(languages)
-    numbers = lambda x: F.array(*map(F.lit, x))
-    names = numbers(languages)
+    share: list[float]
+    of_host: DataFrame
+    of_suffix: DataFrame
+    of_declared: DataFrame
+
+
+def _numbers(x: Sequence) -> Column:
+    return F.array(*map(F.lit, x))
+
+
+def _by_text(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """``rows`` with scores, background (log likelihoods of the text, damped) and lang_text, in one struct ``by``."""
     weight = F.least(F.col("ev")[0], F.lit(float(EFFECTIVE)))
-    background = weight * F.lit(BACKGROUND) + F.lit(log(BACKGROUND_PRIOR))
-    rows = evidence.withColumn("_weight", weight).withColumn("_scores", F.transform(F.slice("ev", 2, n), lambda x: F.col("_weight") * x)).withColumn("_best", F.array_max("_scores"))
-    by_text = F.when((F.col("ev")[0] == 0) | (background > F.col("_best")), None).otherwise(F.element_at(names, F.array_position("_scores", F.col("_best")).cast("int")))
-    rows = rows.withColumn("lang_text", by_text).drop("_weight", "_best")
-
-    known = rows.where(F.col("lang_text").isNotNull())
-    # one row a host and language; suffixes and the whole follow from it
-    hits = known.groupBy("host", "suffix", "lang_text").agg(F.count("*").alias("n"))
+    scored = rows.withColumn("by", F.struct(F.transform(F.slice("ev", 2, len(languages)), lambda x: weight * x).alias("scores"), (weight * F.lit(BACKGROUND) + F.lit(log(BACKGROUND_PRIOR))).alias("background")))
+    best = F.array_max("by.scores")
+    named = F.element_at(_numbers(languages), F.array_position("by.scores", best).cast("int"))
+    lang_text = F.when((F.col("ev")[0] == 0) | (F.col("by.background") > best), None).otherwise(named)
+    return scored.withColumn("by", F.struct("by.scores", "by.background", lang_text.alias("lang_text")))
+
+
+def priors(evidence: DataFrame, languages: list[str]) -> Priors:
+    """The tables that ``evidence``(host, suffix, declared, ev) gives; one row a host and language leaves the tasks."""
+    n = len(languages)
+    names = _numbers(languages)
+    known = _by_text(evidence.select("host", "suffix", "declared", "ev"), languages).select("host", "suffix", "declared", F.col("by.lang_text").alias("lang_text")).where("lang_text is not null")
+    hits = materialize(known.groupBy("host", "suffix", "declared", "lang_text").agg(F.count("*").alias("n")), "language-counts")
     found = {r.lang_text: r.n for r in hits.groupBy("lang_text").agg(F.sum("n").alias("n")).collect()}
     whole = [found.get(name, 0) for name in languages]
-    total = sum(whole)
-    share = [(x + 1.0) / (total + n) for x in whole]
+    share = [(x + 1.0) / (sum(whole) + n) for x in whole]
 
-    def counted(per: DataFrame, *keys: str) -> DataFrame:
+    def counted(*keys: str) -> DataFrame:
+        per = hits.groupBy(*keys, "lang_text").agg(F.sum("n").alias("n"))
         return per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("lang_text", "n"))).alias("counts"), F.sum("n").alias("total"))
 
     count = lambda name: F.coalesce(F.try_element_at("counts", name), F.lit(0))
@@ -180,27 +193,64 @@ def fuse(evidence: DataFrame, languages: list[str], least: float = LEAST, short:
     def smoothed(coarse: Column, weight: float) -> Column:
         return F.zip_with(names, coarse, lambda name, x: (count(name) + F.lit(weight) * x) / (F.col("total") + F.lit(weight)))
 
-    suffix = counted(hits.groupBy("suffix", "lang_text").agg(F.sum("n").alias("n")), "suffix").select("suffix", smoothed(numbers(share), SUFFIX_WEIGHT).alias("p_suffix"))
-    host = counted(hits, "host", "suffix")
-    joined = host.join(suffix, host.suffix.eqNullSafe(suffix.suffix)).drop(suffix.suffix)
-    of_host = joined.select("host", "suffix", smoothed(F.col("p_suffix"), HOST_WEIGHT).alias("p_host"))
+    suffix = counted("suffix").select("suffix", "total", smoothed(_numbers(share), SUFFIX_WEIGHT).alias("p_suffix"))
+    host = counted("host", "suffix")
+    joined = host.join(suffix.drop("total"), host.suffix.eqNullSafe(suffix.suffix)).drop(suffix.suffix)
+    of_host = joined.select("host", "suffix", "total", smoothed(F.col("p_suffix"), HOST_WEIGHT).alias("p_host"))
+    said = counted("declared")
+    said = said.select("declared", "total", F.zip_with(names, _numbers([float(x) for x in whole]), lambda name, x: (count(name) + F.lit(DECLARED_WEIGHT * (1.0 / (n + 1)))) / (x + F.lit(DECLARED_WEIGHT))).alias("p_said"))
+    return Priors(share, *(materialize(t, "language-priors") for t in (of_host, suffix, said)))
+
 
-    said = counted(known.groupBy("declared", "lang_text").agg(F.count("*").alias("n")), "declared")
-    said = said.select(F.col("declared").alias("d"), F.zip_with(names, numbers([float(x) for x in whole]), lambda name, x: (count(name) + F.lit(DECLARED_WEIGHT * (1.0 / (n + 1)))) / (x + F.lit(DECLARED_WEIGHT))).alias("p_said"))
+def _looked_up(rows: DataFrame, found: DataFrame, keys: list[str], value: str, row_bytes: int) -> DataFrame:
+    """``rows`` with column ``value`` of ``found``, which has one row for each of ``keys`` (nulls equal nulls) and its count ``total``.
+
+    ``found`` is broadcast where its counted rows take ``BROADCAST_BYTES`` at most.  Beyond that only the keys of more than 1/1024 of
+    all rows are (so 1,024 at most), which keeps hot keys out of the join by keys that brings the rest.
+    """
 
-    a, h, s, d = rows.alias("a"), of_host.alias("h"), suffix.alias("s"), said.alias("d")
-    j = a.join(h, F.col("a.host").eqNullSafe(F.col("h.host")) & F.col("a.suffix").eqNullSafe(F.col("h.suffix")), "left")
-    j = j.join(s, F.col("a.suffix").eqNullSafe(F.col("s.suffix")), "left").join(d, F.col("a.declared").eqNullSafe(F.col("d.d")), "left")
-    j = j.select("a.*", F.coalesce(F.col("p_host"), F.col("p_suffix"), numbers(share)).alias("_prior"), F.coalesce(F.col("p_said"), numbers([1.0] * n)).alias("_says"))
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        renamed = right.select(*(F.col(k).alias(f"of {k}") for k in keys), *([value] if how != "left_anti" else []))
+        match = [left[k].eqNullSafe(F.col(f"of {k}")) for k in keys]
+        return left.join(F.broadcast(renamed) if right is not large else renamed.hint("merge"), match, how).drop(*(f"of {k}" for k in keys))
+
+    large = None
+    n, total = found.agg(F.count("*"), F.sum("total")).first()
+    if n * row_bytes <= BROADCAST_BYTES:
+        return joined(rows, found, "left")
+    hot, large = found.where(F.col("total") * 1024 > total), found
+    return joined(rows, hot, "inner").unionByName(joined(joined(rows, hot, "left_anti"), large, "left"))
+
+
+def judge(evidence: DataFrame, found: Priors | None, languages: list[str], least: float = LEAST, short: Sequence[str] = ()) -> DataFrame:
+    """``evidence``(other columns, host, suffix, declared, ev) with columns lang_text, lang_id, posterior and rejected.
+
+    Null hosts, suffixes and declarations are values of their own.  Text that is declared to be in
+    a language ``short`` of training texts is not rejected: neither the background nor a low posterior tells what it is.
+    """
+    if not languages:
+        return evidence.select("*", F.lit(None).cast("string").alias("lang_text"), F.lit(UNKNOWN).alias("lang_id"), F.lit(1.0).alias("posterior"), F.lit(True).alias("rejected"))
+    n = len(languages)
+    own = evidence.columns
+    j = _by_text(evidence, languages)
+    j = _looked_up(j, found.of_host, ["host", "suffix"], "p_host", 100 + 8 * n)
+    j = _looked_up(j, found.of_suffix, ["suffix"], "p_suffix", 60 + 8 * n)
+    j = _looked_up(j, found.of_declared, ["declared"], "p_said", 60 + 8 * n)
+    prior, says = F.coalesce(F.col("p_host"), F.col("p_suffix"), _numbers(found.share)), F.coalesce(F.col("p_said"), _numbers([1.0] * n))
     spared = F.coalesce(F.col("declared").isin(list(short)), F.lit(False)) if short else F.lit(False)
-    logs = F.zip_with(F.zip_with("_scores", "_prior", lambda x, p: x + F.log(p)), "_says", lambda x, p: x + F.log(p))
+    logs = F.zip_with(F.zip_with("by.scores", prior, lambda x, p: x + F.log(p)), says, lambda x, p: x + F.log(p))
     # the background declares anything alike
-    other = F.when(spared, F.lit(float("-inf"))).otherwise(background + F.log(F.array_max("_says")))
-    j = j.withColumn("_logs", F.concat(logs, F.array(other))).withColumn("_top", F.array_max("_logs"))
-    best_k = F.array_position("_logs", F.col("_top")).cast("int")
-    posterior = F.round(1.0 / F.aggregate("_logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top"))), 6)
-    j = j.withColumn("lang_id", F.when(F.col("ev")[0] == 0, F.lit(UNKNOWN)).otherwise(F.element_at(numbers([*languages, UNKNOWN]), best_k))).withColumn("posterior", posterior)
-    return j.withColumn("rejected", (F.col("ev")[0] == 0) | ((F.col("lang_id") == UNKNOWN) | (F.col("posterior") < least)) & ~spared).drop("_logs", "_top", "_scores", "_prior", "_says")
+    other = F.when(spared, F.lit(float("-inf"))).otherwise(F.col("by.background") + F.log(F.array_max(says)))
+    j = j.select(*own, F.col("by.lang_text").alias("lang_text"), F.concat(logs, F.array(other)).alias("logs")).withColumn("top", F.array_max("logs"))
+    best_k = F.array_position("logs", F.col("top")).cast("int")
+    posterior = F.round(1.0 / F.aggregate("logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top"))), 6)
+    j = j.withColumn("lang_id", F.when(F.col("ev")[0] == 0, F.lit(UNKNOWN)).otherwise(F.element_at(_numbers([*languages, UNKNOWN]), best_k))).withColumn("posterior", posterior)
+    return j.withColumn("rejected", (F.col("ev")[0] == 0) | ((F.col("lang_id") == UNKNOWN) | (F.col("posterior") < least)) & ~spared).drop("logs", "top")
+
+
+def fuse(evidence: DataFrame, languages: list[str], least: float = LEAST, short: Sequence[str] = ()) -> DataFrame:
+    """``judge`` with the priors of the same rows.  ``evidence`` is read several times, so it should be a written table."""
+    return judge(evidence, priors(evidence, languages) if languages else None, languages, least, short)
 
 
 def languages_of(labelled: DataFrame, lang: str = "lang") -> list[str]:
@@ -222,17 +272,27 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     return fuse(materialize(rows, "page-language-evidence"), languages, short=short)
 
 
-def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with lang_text, lang_id, posterior and rejected; the column lang is what the document declares, source its host.
+def judge_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """(row, lang_text, lang_id, posterior, rejected) of each row of ``docs``, which is the struct ``row``.
 
-    The columns of ``docs`` are kept.  Null and empty texts are rejected.
+    The column lang is what a document declares, source its host.  Null and empty texts are rejected.  Two passes over the texts: the first
+    writes small rows (host, declaration, evidence) for the priors, the second judges texts where they are.  So no text is
+    shuffled or copied, and columns of ``docs`` may have any name.
     """
     spark = docs.sparkSession
     labelled = docs if labelled is None else labelled
     languages, model, short = fit(labelled, languages_of(labelled))
-    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), text_evidence(spark, model, F.col("text")).alias("ev"))
-    found = fuse(materialize(packed, "document-language-evidence"), languages, short=short)
-    return found.select("row.*", "lang_text", "lang_id", "posterior", "rejected")
+    small = [F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"), text_evidence(spark, model, F.col("text")).alias("ev")]
+    found = priors(materialize(docs.select(*small), "document-language-evidence"), languages) if languages else None
+    packed = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), *small)
+    return judge(packed, found, languages, short=short).select("row", "lang_text", "lang_id", "posterior", "rejected")
+
+
+def identify_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """``docs`` with lang_text, lang_id, posterior and rejected, which replace columns of ``docs`` with these names; see ``judge_documents``."""
+    new = ["lang_text", "lang_id", "posterior", "rejected"]
+    kept = [c for c in docs.columns if c.lower() not in new]
+    return judge_documents(docs, labelled).select(*(F.col("row").getField(c).alias(c) for c in kept), *new)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
