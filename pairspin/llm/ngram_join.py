@@ -6,19 +6,21 @@
    universe of shingles split by hash into d + 1 + e parts, they have e + 1 parts in common, whole.  A signature is the hash
    of all of a set's elements in a part, half a dozen as a rule, so texts that just share a passage rarely meet.  Parts that
    are empty, or hold common shingles only, say little; they are left out where a set has e of them at most, which
-   leaves a common part to any linked pair.  Sets of one content leave a task once.
+   leaves a common part to any linked pair.  Sets of one content leave a task once, and of a signature that ``CROWD`` sets of a task
+   share, one row with the range of their sizes does: a signature of very many near copies has a few rows a task.
    Sizes fall into intervals by the threshold; a set uses the parts of its own interval and of the next one.
 3. In each signature's run, ordered by size, neighbours of which the smaller has less than t of
    the larger's size are parted, since no pair across can link.  Everybody else gets an edge to the first member.
    A run of two is a pair, and is dropped if the sets' counts by hash bucket (``sketch``) differ by more than links can.
    Components of these edges are the blocks; linked sets are always in one block.  Only documents in blocks are read a third time.
-4. Each block's sets, in a global order, are joined with a prefix tree (``prefix_tree``).  A block of more than ``BLOCK_SETS`` is cut in chunks
+4. Each block's sets, in one global order (common shingles by falling frequency in all texts, then the rest by hash), are joined with a prefix tree (``prefix_tree``).  A block of more than ``BLOCK_SETS`` is cut in chunks
    by hash, each joined with itself and with ``PIVOTS`` sets of the block, which connects most of a large group
    of near copies; what is still apart from the block's largest component is then joined with all of the block's chunks.
    So no group is larger than two chunks, and no pair is left out.
-5. Components of the links and of equal sets give the classes.
+5. Components of the links and of equal sets give the classes.  Equal sets are found within each task first, so that
+   a content with very many copies has one row a task in the join by digests.
 
-Exact but for clashes of 64-bit shingle hashes within two compared sets.
+Exact but for chance clashes of 64-bit hashes within two compared sets.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import components, discard, materialize, release, runs, ship, table, tidy
+from ._shared import components, discard, materialize, quoted, release, runs, ship, table, tidy
 from .prefix_tree import join_sets
 from .pretokens import slices
 from .shingles import _mixed, shingle_sets
@@ -43,10 +46,10 @@ COMMON = 1 << 18
 FREQUENT = 2
 #: Sets of a chunk, and sets of a large block that all its chunks are compared with first.
 BLOCK_SETS, PIVOTS = 1000, 8
-#: Keys that are broadcast to pick documents, at most (16 bytes each); beyond that the documents are shuffled.
+#: Keys that are broadcast to pick documents, at most (four longs each, 64 MB in all); beyond that the documents are shuffled.
 BROADCAST_KEYS = 2_000_000
-#: Hashes that a task holds while it counts.
-HELD = 2_000_000
+#: Hashes that a task holds while it counts, and signatures that it holds to find those that many of its sets share: so many sets.
+HELD, HELD_SIGNS, CROWD = 2_000_000, 1_000_000, 8
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -76,45 +79,50 @@ def may_link(x: bytes, y: bytes, most: int) -> bool:
 
 
 def heads(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """Rows (key, n, digest, sketch) of documents and rows (shingle, times) of frequent shingles."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+    """Rows (key, n, digest, sketch, twin) of documents and rows (shingle, times) of frequent shingles.
+
+    ``twin``: the key of the first document with the same digest in the task, if that is another row.
+    """
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("twin", pa.int64()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        seen: set[bytes] = set()
+        seen: dict[bytes, int | None] = {}
 
         def frequent() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(held), return_counts=True)
             found, times = found[times >= FREQUENT], times[times >= FREQUENT]
-            none = pa.nulls(len(found))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(found), pa.array(times, pa.int64())], schema=schema)
+            none = [pa.nulls(len(found), f.type) for f in schema]
+            return pa.RecordBatch.from_arrays([*none[:5], pa.array(found), pa.array(times, pa.int64())], schema=schema)
 
         for batch in slices(batches):
-            n, digests, sketches = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), k):
+            n, digests, sketches, twins = [], [], [], []
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
                 n.append(len(s))
-                digests.append(_digest(s))
+                digests.append(digest := _digest(s))
                 sketches.append(sketch(s))
-                if digests[-1] not in seen:
-                    seen.add(digests[-1])
+                twins.append(seen.get(digest) if len(s) and doc is not None else None)
+                if digest not in seen:
                     held.append(s)
                     size += len(s)
+                if seen.get(digest) is None:
+                    seen[digest] = doc
                 if size > HELD:
                     yield frequent()
                     held, size = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(twins, pa.int64()), none, none], schema=schema)
         if held:
             yield frequent()
             held.clear()
         tidy()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, n long, digest binary, sketch binary, shingle long, times long")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, n long, digest binary, sketch binary, twin long, shingle long, times long")
 
 
-def common_shingles(head: DataFrame) -> np.ndarray:
-    """Up to ``COMMON`` most frequent shingles, ascending.
+def common_shingles(head: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``COMMON`` most frequent shingles, ascending, and the place of each by falling frequency.
 
     Eighth-powers of two of the counts make a few hundred steps; the highest ones that hold few enough are taken, so only they reach the driver.
     """
@@ -127,10 +135,14 @@ def common_shingles(head: DataFrame) -> np.ndarray:
             break
         cut = r.step
     if cut is None:
-        return np.zeros(0, np.int64)
-    found = total.where(F.col("step") >= cut).select("shingle").toArrow()
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    found = total.where(F.col("step") >= cut).select("shingle", "times").toArrow()
     discard(total)
-    return np.sort(found.column(0).to_numpy())
+    shingle, times = (c.to_numpy() for c in found.columns)
+    order = np.argsort(shingle)
+    place = np.empty(len(shingle), np.int32)
+    place[np.lexsort((shingle[order], -times[order]))] = np.arange(len(shingle))
+    return shingle[order], place
 
 
 class Parts:
@@ -183,16 +195,54 @@ def part_signatures(s: np.ndarray, common: np.ndarray, parts: Parts) -> np.ndarr
     return np.concatenate(out).view(np.int64)
 
 
+def crowds(sign: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (sign, key, span) of signatures, and rows (centre, key, -1) that link a set to another one in place of a signature that many share.
+
+    A span is the range of sizes and whether many sets stand behind it, as ``lo << 32 | hi << 1 | many``.
+    """
+    order = np.argsort(sign)
+    ordered = sign[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    size = np.diff(np.append(first, len(sign)))
+    many = order[np.repeat(size >= CROWD, size)]
+    # the rest in the order of sets, in which it packs well
+    crowded = np.zeros(len(sign), bool)
+    crowded[many] = True
+    few = np.flatnonzero(~crowded)
+    own = [(sign[few], key[few], n[few] << 32 | n[few] << 1)]
+    if len(many):
+        many = many[np.lexsort((key[many], n[many], sign[many]))]
+        s, k, m = sign[many], key[many], n[many]
+        # parted where no pair across can link
+        start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (m[:-1] * den < m[1:] * num)]))
+        size = np.diff(np.append(start, len(s)))
+        own.append((s[start], k[start], m[start] << 32 | m[start + size - 1] << 1 | (size > 1)))
+        to = np.repeat(k[start], size)
+        edges = np.unique(np.stack([to, k])[:, to != k], axis=1)
+        own.append((edges[0], edges[1], np.full(edges.shape[1], -1)))
+    return tuple(np.concatenate(c) for c in zip(*own, strict=True))
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray, key: str, text: str) -> DataFrame:
-    """Rows (sign, key, n) of all sets.  ``common``: the common shingles, ascending."""
+    """Rows (sign, key, span) of all sets; see ``crowds``.  ``common``: the common shingles, ascending."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    schema = pa.schema([("sign", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parts = shared.value, Parts(num, den)
         seen: set[bytes] = set()
+        signs: list[np.ndarray] = []
+        sizes: list[int] = []
+        full: list[int] = []
+
+        def rows() -> pa.RecordBatch:
+            reach = [len(x) for x in signs]
+            found = crowds(np.concatenate(signs), np.repeat(np.array(full, np.int64), reach), np.repeat(np.array(sizes, np.int64), reach), num, den)
+            for held in (signs, sizes, full):
+                held.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, found)], names=["sign", "key", "span"])
+
+        held = 0
         for batch in slices(batches):
-            signs, sizes, full = [], [], []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
                 if doc is None or not len(s) or (digest := _digest(s)) in seen:
                     continue
@@ -201,12 +251,15 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray,
                 signs.append(part_signatures(s, hit, parts))
                 sizes.append(len(s))
                 full.append(doc)
-            if signs:
-                reach = [len(x) for x in signs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs)), pa.array(np.repeat(np.array(full, np.int64), reach)), pa.array(np.repeat(np.array(sizes, np.int32), reach))], schema=schema)
+                held += len(signs[-1])
+                if held > HELD_SIGNS:
+                    yield rows()
+                    held = 0
+        if signs:
+            yield rows()
         tidy()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "sign long, key long, n int")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "sign long, key long, span long")
 
 
 def likely_pairs(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -224,12 +277,15 @@ def likely_pairs(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
 
 
 def blocks(signed: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component): blocks of the documents that may be linked with others."""
-    order = Window.partitionBy("sign").orderBy("n", "key")
-    before = F.lag("n").over(order).cast("long")
-    centre = F.last(F.when(before.isNull() | (before * den < F.col("n").cast("long") * num), F.col("key")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    alone = F.count("*").over(Window.partitionBy("sign")) == 2
-    edges = materialize(signed.select(F.col("key").alias("u"), centre.alias("v"), alone.alias("pair")).where("u <> v").distinct(), "block-edges")
+    """(node, component): blocks of the documents that may be linked with others.  ``signed``: see ``signatures``."""
+    order = Window.partitionBy("sign").orderBy("span", "key")
+    low, high = F.shiftright("span", 32), F.shiftright("span", 1).bitwiseAND(F.lit((1 << 31) - 1))
+    before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    centre = F.last(F.when(before.isNull() | (before * den < low * num), F.col("key")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    alone = F.sum(F.lit(1) + F.col("span").bitwiseAND(F.lit(1)) * 2).over(Window.partitionBy("sign")) == 2
+    is_edge = F.col("span") == -1
+    edges = signed.select(F.col("key").alias("u"), F.when(is_edge, F.col("sign")).otherwise(centre).alias("v"), (alone & ~is_edge).alias("pair"))
+    edges = materialize(edges.where("u <> v").distinct(), "block-edges")
     release(signed.sparkSession)
     many = edges.where("not pair").select("u", "v")
     pairs = edges.where("pair").select("u", "v")
@@ -253,13 +309,22 @@ def chosen_sets(docs: DataFrame, placed: DataFrame, k: int, key: str, text: str)
     return picked.mapInArrow(run, "component long, chunk long, node long, part long, shingles binary")
 
 
-def tree_links(sets: DataFrame, num: int, den: int, parts: bool = False) -> DataFrame:
+def tree_links(sets: DataFrame, num: int, den: int, common: Broadcast, parts: bool = False) -> DataFrame:
     """(u, v): links within each (component, chunk), enough to connect all that is linked.
 
-    ``parts``: rows with one ``part`` are connected already.
+    ``common``: broadcast shingles and places that tell the global order.  ``parts``: rows with one ``part`` are connected already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = common.value
+
+        def order(flat: np.ndarray) -> np.ndarray:
+            """The elements' numbers by the global order."""
+            if not len(known):
+                return np.argsort(flat)
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            return np.lexsort((flat, np.where(known[at] == flat, place[at], len(known))))
+
         for rows, bounds in runs(batches, 2):
             found: list[tuple[int, int]] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -267,7 +332,7 @@ def tree_links(sets: DataFrame, num: int, den: int, parts: bool = False) -> Data
                     run_ = rows.slice(a, b - a)
                     node, part = run_.column(2).to_pylist(), run_.column(3).to_pylist()
                     group = [np.frombuffer(x, np.int64) for x in run_.column(4).to_pylist()]
-                    found += [(node[x], node[y]) for x, y in join_sets(group, num, den, True, part if parts else None)]
+                    found += [(node[x], node[y]) for x, y in join_sets(group, num, den, True, part if parts else None, order)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
         tidy()
@@ -275,22 +340,23 @@ def tree_links(sets: DataFrame, num: int, den: int, parts: bool = False) -> Data
     return sets.repartition("component", "chunk").sortWithinPartitions("component", "chunk").mapInArrow(run, "u long, v long")
 
 
-def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
+def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
     """(u, v): links of all blocks (``labels``: node, component)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
     sizes = labels.groupBy("component").agg(F.count("*").alias("m"))
     placed = labels.join(sizes, "component").withColumn("chunks", F.ceil(F.col("m") / BLOCK_SETS))
     placed = materialize(placed.select("component", F.expr("pmod(xxhash64(node, 17L), chunks)").alias("chunk"), "node", F.col("node").alias("part"), "chunks"), "block-chunks")
     own = placed.drop("chunks")
     large = placed.where("chunks > 1")
     if not large.limit(1).count():
-        return materialize(tree_links(chosen_sets(docs, own, k, key, text), num, den), "links-own")
+        return materialize(tree_links(chosen_sets(docs, own, k, key, text), num, den, shared), "links-own")
 
     # some sets of a large block go to all its chunks
     rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("node"), "node"))
     pivots = large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     pivots = pivots.select("component", "chunk", "node", every.alias("other"), "part").where("other <> chunk").select("component", F.col("other").alias("chunk"), "node", "part")
-    first = materialize(tree_links(chosen_sets(docs, materialize(own.unionByName(pivots), "block-places"), k, key, text), num, den), "links-own")
+    first = materialize(tree_links(chosen_sets(docs, materialize(own.unionByName(pivots), "block-places"), k, key, text), num, den, shared), "links-own")
 
     # what is apart from the block's largest component meets all chunks
     found = components(first, "links-own-cc")
@@ -308,7 +374,7 @@ def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int,
     left = apart.join(cells, "component").select("component", cell.alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "part")
     right = rest.join(cells, "component").select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), "chunk", "node", "part")
     places = left.union(right).distinct().join(cells, "component").select("component", (F.col("chunk") * F.col("cells") + F.col("cell")).alias("chunk"), "node", "part")
-    second = materialize(tree_links(chosen_sets(docs, materialize(places, "stray-places"), k, key, text), num, den, True), "links-strays")
+    second = materialize(tree_links(chosen_sets(docs, materialize(places, "stray-places"), k, key, text), num, den, shared, True), "links-strays")
     return first.unionByName(second)
 
 
@@ -323,12 +389,15 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
     head = materialize(heads(docs, k, key, text), "shingle-heads")
     common = common_shingles(head)
 
-    rows = head.where("digest is not null").select("key", "n", "digest", "sketch")
-    labels = materialize(blocks(signatures(docs, k, num, den, common, key, text), rows, num, den), "block-labels")
+    rows = head.where("digest is not null").select("key", "n", "digest", "sketch", "twin")
+    labels = materialize(blocks(signatures(docs, k, num, den, common[0], key, text), rows, num, den), "block-labels")
     release(docs.sparkSession)
-    links = block_links(docs, labels, k, num, den, key, text)
-    same = rows.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v <> w")
-    equal = rows.where("n > 0 and key is not null").join(same.select("digest", "v"), "digest").select(F.col("key").alias("u"), "v").where("u <> v")
+    links = block_links(docs, labels, k, num, den, common, key, text)
+    # of one content each task has one row without a twin
+    firsts = rows.where("n > 0 and key is not null and twin is null").select("key", "digest")
+    same = firsts.groupBy("digest").agg(F.min("key").alias("v"), F.max("key").alias("w")).where("v <> w")
+    equal = firsts.join(same.select("digest", "v"), "digest").select(F.col("key").alias("u"), "v")
+    equal = equal.unionByName(rows.where("twin is not null").select(F.col("key").alias("u"), F.col("twin").alias("v"))).where("u <> v")
     classes = components(links.select("u", "v").unionByName(equal), "jaccard")
     found = rows.join(classes, rows["key"] == classes["node"], "left")
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
@@ -337,18 +406,25 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that another stands for: of each component the document with the smallest key stays.
 
-    Of several rows with that key, one stays.  Rows without a key or without words all stay.
+    Rows without a key or without words all stay.  Where keys repeat, rows count as documents of their own (numbered in a written
+    copy of the table), so different texts of one key are judged one by one and of equal ones a single row stays.  Columns may have any name.
     """
+    if docs.where(F.col(quoted(key)).isNotNull()).groupBy(quoted(key)).count().where("count > 1").limit(1).count():
+        number = F.when(F.col(quoted(key)).isNotNull(), F.monotonically_increasing_id())
+        rows = materialize(docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"), number.alias("number")), "numbered-documents")
+        found = materialize(jaccard_components(rows, k, num, den, "number", "text"), "jaccard-classes").where("number is not null")
+        keyed = found.join(rows.where("number is not null").select("number", "key"), "number")
+        stays = keyed.groupBy("component_id").agg(F.min(F.struct("key", "number")).getField("number").alias("number"))
+        return _without(rows, found.join(stays, "number", "left_anti").select("number"), "number").select("row.*")
     found = materialize(jaccard_components(docs, k, num, den, key, text), "jaccard-classes")
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    small = gone.count() <= BROADCAST_KEYS
-    kept = docs.join(F.broadcast(gone) if small else gone.hint("merge"), key, "left_anti").select(*docs.columns)
-    twice = found.where(f"`{key}` is not null and n_shingles > 0").groupBy(key).count().where("count > 1").select(key)
-    if not twice.limit(1).count():
-        return kept
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text)))
-    repeated = kept.join(twice, key, "left_semi").select(*docs.columns).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.join(twice, key, "left_anti").select(*docs.columns).unionByName(repeated)
+    gone = found.where(F.col(quoted(key)) != F.col("component_id")).select(quoted(key))
+    packed = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(key)).alias("key"))
+    return _without(packed, gone.toDF("key"), "key").select("row.*")
+
+
+def _without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` but those with a key in ``gone``, which is broadcast if its rows, counted, are few."""
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone.hint("merge"), key, "left_anti")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

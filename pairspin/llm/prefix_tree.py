@@ -7,7 +7,7 @@ the overlap which its smallest set needs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -125,18 +125,18 @@ class PrefixTree:
         mark[s] = False
 
 
-def join_sets(sets: list[np.ndarray], num: int, den: int, connect: bool = True, linked: list[int] | None = None) -> Iterator[tuple[int, int]]:
+def join_sets(sets: list[np.ndarray], num: int, den: int, connect: bool = True, linked: list[int] | None = None, order: Callable[[np.ndarray], np.ndarray] = np.argsort) -> Iterator[tuple[int, int]]:
     """Links (x, y), y before x, of non-empty sets with Jaccard similarity num/den or more.
 
     ``connect``: leave out links between sets that earlier links connect; the components stay
     the same.  ``linked``: a number for each set; equal ones count as connected beforehand (implies ``connect``).
-    The common order is by falling frequency within ``sets``, so that like sets share long paths.
+    ``order`` sorts distinct elements by the global order, the same for all calls: frequent ones first lets like sets share long paths.
     """
     if not sets:
         return
-    flat, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    flat, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     place = np.empty(len(flat), np.int64)
-    place[np.argsort(-count, kind="stable")] = np.arange(len(flat))
+    place[order(flat)] = np.arange(len(flat))
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     ordered = [np.sort(x) for x in np.split(place[inverse.ravel()], cuts)]
     forest = Forest(len(sets))
