@@ -9,7 +9,8 @@ shares alone (W steps, whatever the data) and becomes a literal; a block's slot
 
 A document's place within its source is its rank by digest.  Ranks come from counts by (source, digest
 prefix) and a window within that pair, so a source with a third of all rows is spread over 4,096 groups,
-and no window or sort spans a source.
+and no window or sort spans a source.  Rows of one key are in the order of a hash of the whole row; a key that very many rows
+share is cut by that hash into cells of its own, so null keys are no hot group either.
 
 Every row is kept.  ``mixed`` tells the slots before the first one that some source can't fill with a whole block;
 from there on the slots of sources that have run out stay empty.
@@ -22,12 +23,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import quoted, table
 
 #: Sources without a share of their own, and null sources, share this one.
 OTHER = "*"
 #: Hexadecimal digits of the digest that split a source for ranking.
 PREFIX = 3
+#: A cell of so many rows, if it also has 1/512 of all, is looked into for keys that many rows share; the places are the same either way.
+CELL_ROWS = 100_000
 
 #: The production shares of ``op2``: parts of a period.
 SHARES: dict[str, int] = {"src0": 12, **{f"src{k}": 1 + k % 4 for k in range(1, 20)}, OTHER: 2}
@@ -51,16 +54,41 @@ def mix(docs: DataFrame, shares: Mapping[str, int], block_docs: int = BLOCK_DOCS
 
     The order (mix_slot, mix_pos) is the mixture.  Shares of sources without rows are left out, and
     the rest fill the period.  Null sources belong to the pooled share; null keys rank as an empty
-    digest text; repeated rows each get a place of their own.  An empty table gives an empty one.
+    digest text; repeated rows each get a place of their own.  An empty table gives an empty one.  Columns of ``docs`` with the new names are replaced.
     """
+    placed = _placed(docs, shares, block_docs, key, source)
+    new = ["mix_group", "mix_block", "mix_pos", "mix_slot", "mix_release", "mix_deadline", "mix_mixed"]
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in new), *new)
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``mix_prefix``: an ordered cell within (mix_group, order by digest and tie), small whatever the keys."""
+    rows = rows.withColumn("mix_prefix", F.substring("mix_digest", 1, PREFIX))
+    sizes = rows.groupBy("mix_group", "mix_prefix").agg(F.count("*").alias("n"))
+    least = max(CELL_ROWS, (rows.count() - 1) // 512 + 1)
+    large = [r.mix_prefix for r in sizes.where(F.col("n") >= least).select("mix_prefix").distinct().collect()]  # 512 at most
+    if not large:
+        return rows
+    counts = rows.where(F.col("mix_prefix").isin(large)).groupBy("mix_digest").agg(F.count("*").alias("n"))
+    hot = F.array(*(F.lit(r.mix_digest) for r in counts.where(F.col("n") >= least).collect())).cast("array<string>")  # 512 at most
+    digest = F.col("mix_digest")
+    # what comes before a hot digest, its rows by their hash, what comes after it
+    after = F.format_string("%04d", F.size(F.filter(hot, lambda x: x < digest)))
+    part = F.when(F.array_contains(hot, digest), F.concat(F.lit("+"), F.substring("mix_tie", 1, PREFIX))).otherwise(F.lit(""))
+    return rows.withColumn("mix_prefix", F.concat("mix_prefix", after, part))
+
+
+def _placed(docs: DataFrame, shares: Mapping[str, int], block_docs: int, key: str, source: str) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, with its place."""
     if any(not isinstance(n, int) or n < 1 for n in shares.values()):
         raise ValueError("shares are positive integers")
-    if any(c.lower().startswith("mix_") for c in docs.columns):
-        raise ValueError("columns named mix_... are reserved")
     named = sorted(s for s in shares if s != OTHER)
     group = F.when(F.col(source).isin(named), F.col(source)).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
     digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("mix_group", group).withColumn("mix_digest", digest).withColumn("mix_prefix", F.substring("mix_digest", 1, PREFIX))
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns))
+    told = [F.col(quoted(c)) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    tie = F.lpad(F.hex(F.xxhash64(*told)), 16, "0")
+    rows = _cells(docs.select(row.alias("row"), group.alias("mix_group"), digest.alias("mix_digest"), tie.alias("mix_tie")))
 
     cells = rows.groupBy("mix_group", "mix_prefix").agg(F.count("*").alias("n"))
     sizes = {r.mix_group: r.n for r in cells.groupBy("mix_group").agg(F.sum("n").alias("n")).collect()}  # as many rows as shares, at most
@@ -69,7 +97,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int], block_docs: int = BLOCK_DOCS
 
     before = Window.partitionBy("mix_group").orderBy("mix_prefix").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("mix_group", "mix_prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_before"))
-    inside = F.row_number().over(Window.partitionBy("mix_group", "mix_prefix").orderBy("mix_digest", key)) - 1
+    inside = F.row_number().over(Window.partitionBy("mix_group", "mix_prefix").orderBy("mix_digest", "mix_tie")) - 1
     ranked = rows.withColumn("mix_inside", inside).join(starts, ["mix_group", "mix_prefix"]).withColumn("mix_rank", F.col("mix_before") + F.col("mix_inside"))
 
     def by_group(value) -> Column:
@@ -90,7 +118,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int], block_docs: int = BLOCK_DOCS
         .withColumn("mix_release", F.expr(f"mix_block * {period} div mix_share"))
         .withColumn("mix_deadline", F.expr(f"((mix_block + 1) * {period} + mix_share - 1) div mix_share"))
         .withColumn("mix_mixed", F.col("mix_slot") < horizon)
-        .select(*docs.columns, "mix_group", "mix_block", "mix_pos", "mix_slot", "mix_release", "mix_deadline", "mix_mixed")
+        .select("row", "mix_group", "mix_block", "mix_pos", "mix_slot", "mix_release", "mix_deadline", "mix_mixed")
     )
 
 
@@ -100,8 +128,10 @@ def mixed_order(docs: DataFrame, shares: Mapping[str, int], block_docs: int = BL
     Only the frame itself has this order: Spark scans the files written from it in order of their length.  With
     ``places`` the columns mix_slot and mix_pos, which tell it anywhere, stay.
     """
-    placed = mix(docs, shares, block_docs, key, source)
-    return placed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_pos").select(*docs.columns, *(["mix_slot", "mix_pos"] if places else []))
+    placed = _placed(docs, shares, block_docs, key, source).repartitionByRange("mix_slot", "mix_pos").sortWithinPartitions("mix_slot", "mix_pos")
+    if not places:
+        return placed.select("row.*")
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("mix_slot", "mix_pos")), "mix_slot", "mix_pos")
 
 
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Signs of a block; the arrays of a block take about 80 bytes a sign.
-BLOCK = 800_000
+BLOCK = 400_000
 #: A blank between plain letters or digits and a letter starts a pre-token whatever stands around it, so long texts may be cut there.
 _CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 _R = 0x9E3779B97F4A7C15 | 1
