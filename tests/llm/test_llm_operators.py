@@ -554,3 +554,65 @@ def test_texts_beyond_every_block(library):
         assert encoder.encode(["b", t])[1].tolist() == want
     lower = [w for w in re.split(rb"[\x20\x09-\x0d]+", text.encode().lower()) if w]
     assert len(next(shingle_sets([text], 3))) == len({tuple(lower[k : k + 3]) for k in range(len(lower) - 2)})
+
+
+def test_jaccard_of_crowds(spark):
+    """Many near copies in a task share their signatures; sizes drift, so runs must be parted and joined alike."""
+    random.seed(12)
+    words = [f"w{k}" for k in range(900)]
+    texts = []
+    for n in (6, 40, 120):
+        w = random.choices(words, k=n)
+        for k in range(60):
+            w = [*w, random.choice(words)] if k % 3 == 0 else w
+            copy = list(w)
+            copy[random.randrange(n)] = random.choice(words)
+            texts.append(" ".join(random.choice([w, copy])))
+    random.shuffle(texts)
+    sets = brute_sets(texts, 4)
+    want = [(k, len(s), c) for k, s, c in zip(range(len(texts)), sets, brute_components(range(len(texts)), sets, 85, 100), strict=True)]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(d, 4, 85, 100).collect()) == want
+
+
+def test_near_duplicates_of_repeated_keys(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, 1), (1, b, 2), (1, b, 2), (2, a + " z", 3), (3, "c " * 30, 4), (None, a, 5), (4, None, 6), (4, None, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _rank int").withColumnRenamed("_rank", "a.b").withColumn("_rank", F.lit(0)).withColumn("number", F.lit(1))
+    kept = ngram_join.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (3, "c " * 30), (None, a), (4, None), (4, None)], key=str)
+    once = d.where("doc_id in (2, 3)")
+    assert kept.count() == 6 and ngram_join.drop_near_duplicates(once).columns == d.columns
+
+
+def test_mixing_of_hot_keys_and_any_names(spark, monkeypatch):
+    """A key that a third of the rows share is cut in cells; places are those of one order by (digest, hash of the row)."""
+    rows = [(k if k % 3 else None, f"text {k}", "a" if k % 2 else "b") for k in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_slot", F.lit(7)).withColumn("a.b", F.lit(1))
+    tie = F.lpad(F.hex(F.xxhash64("doc_id", "text", "source", "mix_slot", "`a.b`")), 16, "0")
+    order = {r.text: (r.h, r.t) for r in d.select("text", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), tie.alias("t")).collect()}
+    want = [sorted((r[1] for r in rows if r[2] == s), key=order.get) for s in "ab"]
+    for cell in (100_000, 5):
+        monkeypatch.setattr(mixing, "CELL_ROWS", cell)
+        got = mixing.mix(d.repartition(3), {"a": 2, "b": 1}, 4)
+        assert sorted(got.columns) == sorted(["doc_id", "text", "source", "a.b", *(f"mix_{c}" for c in ("group", "block", "pos", "slot", "release", "deadline", "mixed"))])
+        r = got.collect()
+        assert [[x.text for x in sorted(r, key=lambda x: (x.mix_slot, x.mix_pos)) if x.source == s] for s in "ab"] == want
+    assert mixing.mixed_order(d, {"a": 2}).columns == d.columns
+
+
+def test_stages_take_any_column_names(spark):
+    """Names that the operators use themselves, and names with dots, come through every stage but the last unchanged."""
+    import corpus_pipeline
+
+    text = "the house stands near the river and the old road leads to the village "
+    rows = [(k, f"{text}{k} {k + 1} {k + 2}", "en" if k % 2 else "fr", f"src{k % 3}", 5) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["rejected", "lang_id", "row", "ev", "host", "mix_slot", "_rank", "component", "node", "number", "a.b", "Key"]
+    d = d.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, "")
+        assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+    assert d.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() == d.count()
