@@ -15,7 +15,7 @@ from pairspin.llm._shared import materialize, ship, table
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: documents in no language that the labels know, or of doubtful language, go."""
     ship(spark)
-    return language_id.identify_documents(docs).where("not rejected").select(*docs.columns)
+    return language_id.judge_documents(docs).where("not rejected").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
