@@ -3,10 +3,11 @@
 Counts of contents that were seen before, in this run or an earlier one, come out of the cache by a join on digests.
 Of the rest, one text of each distinct content is encoded, and its count is appended.
 
-Plan: two scans of the texts.  The first makes (digest, key) rows; the least key of each unknown
-digest (partial aggregate, so a content with very many copies is no hot group) picks the
-text to encode.  The second scan keeps only those texts, by a left-semi join on the key, and encodes them.
-The last join, rows to counts, moves digests only; a hot digest there is split by AQE.
+Plan: two scans of the texts.  The first makes (key, size, digest) rows.  The second is for unknown digests only: a
+task passes on one text of each digest it meets, so a content with very many copies is no hot group, the
+shuffle brings those of one digest together, and the first is encoded.  With a cache that knows most, the texts to pass on are
+picked by a broadcast of the unknown digests, if they are few; texts that hit are not shuffled then.
+The last join, rows to counts, moves digests only; digests of more than 1/1024 of the rows get theirs by broadcast.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, scratch, table
+from ._shared import materialize, scratch, table, tidy
 from .pretokens import BatchEncoder, library_encoder, slices
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
+#: Unknown digests that are broadcast at most, if some are known (32 bytes each, 64 MB with their table); the counts are the same either way.
+BROADCAST_DIGESTS = 500_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -83,18 +86,45 @@ def cached_counts(docs: DataFrame, path: str, cache: str, key: str = "doc_id", t
     content = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest")
     rows = materialize(docs.select(F.col(key), F.octet_length(content).cast("long").alias("n_bytes"), digest), "token-digests")
-    # the least key is null only if all keys of a digest are
-    chosen = rows.groupBy("digest").agg(F.min(key).alias("chosen")).join(entries(), "digest", "left_anti")
-    full = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), digest.alias("d"))
-    misses = full.join(chosen, F.col("k").eqNullSafe(F.col("chosen")) & (F.col("d") == F.col("digest")), "left_semi")
+    distinct = materialize(rows.groupBy("digest").agg(F.count("*").alias("n")), "distinct-digests")
+    total, n_distinct = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    missing = materialize(distinct.select("digest").join(entries(), "digest", "left_anti"), "unknown-digests")
+    n_missing = missing.count()
+    full = docs.select(digest, F.col(text).alias("t"))
+    few = n_missing <= BROADCAST_DIGESTS
+    if n_missing < n_distinct and few:
+        full = full.join(F.broadcast(missing), "digest", "left_semi")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each digest the first row of a task."""
+        seen: set[bytes] = set()
+        for batch in slices(batches):
+            new = []
+            for d in batch.column(0).to_pylist():
+                new.append(d not in seen)
+                seen.add(d)
+            yield batch.filter(pa.array(new, pa.bool_()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in slices(batches):
+            new = []
+            for d in batch.column(0).to_pylist():
+                new.append(d != last)
+                last = d
+            batch = batch.filter(pa.array(new, pa.bool_()))
             n = count_tokens(path, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
-
-    misses.select("d", "t").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return rows.join(entries(), "digest").select(key, "n_bytes", "n_tokens")
+        tidy()
+
+    if n_missing:
+        firsts = full.mapInArrow(once, "digest binary, t string")
+        if n_missing < n_distinct and not few:
+            firsts = firsts.join(missing.hint("merge"), "digest", "left_semi")
+        firsts.repartition("digest").sortWithinPartitions("digest").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    hot = distinct.where(F.col("n") * 1024 > total).select("digest")  # 1,024 at most
+    rest = rows.join(F.broadcast(hot), "digest", "left_anti").join(entries(), "digest")
+    return rest.unionByName(rows.join(F.broadcast(entries().join(F.broadcast(hot), "digest", "left_semi")), "digest")).select(key, "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
