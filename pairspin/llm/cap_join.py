@@ -32,6 +32,8 @@ from ._shared import components, materialize, runs, ship, table
 #: Codes, filters of a vector under each, and unrelated vectors of a filter.
 CODES, LIST, SHARE = 2, 12, 12
 CELL_ROWS = 16_384
+#: Linked pairs of a step that are told apart one by one; more of them by matrices.
+PAIRS = 200_000
 
 
 def valid(v: Column) -> Column:
@@ -81,8 +83,9 @@ def filter_lists(unit: np.ndarray, n: int) -> np.ndarray:
 
 
 def _filters(classes: DataFrame, n: int) -> DataFrame:
-    """Rows (dim, filter, node, mult, list, vec) for each filter of each vector; ``list`` and ``vec`` are raw bytes."""
-    schema = pa.schema([("dim", pa.int32()), ("filter", pa.int64()), ("node", pa.int64()), ("mult", pa.int64()), ("list", pa.binary()), ("vec", pa.binary())])
+    """A row (dim, node, mult, list, vec) for each vector; ``list`` has its filters, ``vec`` is raw bytes of the given precision."""
+    schema = pa.schema([("dim", pa.int32()), ("node", pa.int64()), ("mult", pa.int64()), ("list", pa.list_(pa.int64())), ("vec", pa.binary())])
+    kind = _kind(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,36 +102,50 @@ def _filters(classes: DataFrame, n: int) -> DataFrame:
                     unit = x / np.abs(x).max(1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     lists = filter_lists(unit, n)
-                    reach = [len(f) for f in lists]
-                    at = np.repeat(part, reach)
-                    raw = [r.tobytes() for r in x]
-                    owner = np.repeat(np.arange(len(part)), reach).tolist()
-                    packed = [f.tobytes() for f in lists]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), dim, np.int32)), pa.array(np.concatenate(lists)), pa.array([nodes[k] for k in at]), pa.array([mults[k] for k in at]), pa.array([packed[o] for o in owner], pa.binary()), pa.array([raw[o] for o in owner], pa.binary())],
+                        [pa.array(np.full(len(part), dim, np.int32)), pa.array([nodes[k] for k in part]), pa.array([mults[k] for k in part]), pa.array([*lists], pa.list_(pa.int64())), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())],
                         schema=schema,
                     )
 
-    return classes.select("node", "mult", "vec").mapInArrow(run, "dim int, filter long, node long, mult long, list binary, vec binary")
+    return classes.select("node", "mult", "vec").mapInArrow(run, "dim int, node long, mult long, list array<long>, vec binary")
 
 
-def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.ndarray, chunks: np.ndarray, lists: list[bytes], vecs: list[bytes], least: float) -> Iterator[tuple[np.ndarray, ...]]:
+def _kind(classes: DataFrame) -> type:
+    """The type that holds the vectors' components without loss."""
+    return np.float32 if classes.schema["vec"].dataType.simpleString() == "array<float>" else np.float64
+
+
+def _parted(linked: np.ndarray, at: int, lists: np.ndarray, number: int) -> None:
+    """Strike out pairs (row at.., column) of ``linked`` whose lists share a filter before ``number``, in bounded memory."""
+    i, j = np.nonzero(linked)
+    if len(i) <= PAIRS:
+        for a in range(0, len(i), 20_000):
+            x, y = lists[at + i[a : a + 20_000]], lists[j[a : a + 20_000]]
+            met = ((x[:, :, None] == y[:, None, :]) & (x < number)[:, :, None]).any((1, 2))
+            linked[i[a : a + 20_000][met], j[a : a + 20_000][met]] = False
+        return
+    # many links: columns of a membership matrix, some hundred filters at a time
+    names, column, times = np.unique(lists, return_inverse=True, return_counts=True)
+    column = column.reshape(lists.shape)
+    shared = np.flatnonzero((times > 1) & (names < number))
+    place = np.full(len(names), -1)
+    place[shared] = np.arange(len(shared))
+    row, of = np.repeat(np.arange(len(lists)), lists.shape[1]), place[column.ravel()]
+    width = max(64, 8_000_000 // len(lists))
+    for a in range(0, len(shared), width):
+        member = np.zeros((len(lists), width), np.float32)
+        here = (of >= a) & (of < a + width)
+        member[row[here], of[here] - a] = 1
+        linked &= (member[at : at + len(linked)] @ member.T) == 0
+
+
+def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.ndarray, chunks: np.ndarray, lists: np.ndarray, vecs: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Counts and spanning edges of one filter's cell (chunk ``left`` against ``right``)."""
     n = len(nodes)
     if n < 2:
         return
-    x = np.stack([np.frombuffer(v, np.float64) for v in vecs])
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = vecs / np.abs(vecs).max(1, keepdims=True)
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-    # filters before this one, as columns
-    earlier = [f[f < number] for f in (np.frombuffer(b, np.int64) for b in lists)]
-    names, column, times = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), [len(f) for f in earlier])
-    column = column.ravel()
-    several = times[column] > 1
-    names_left = np.flatnonzero(times > 1)
-    member = np.zeros((n, len(names_left)), np.float32)
-    member[row[several], np.searchsorted(names_left, column[several])] = 1
     count = np.zeros(n, np.int64)
     root = np.arange(n)
     edges: list[tuple[int, int]] = []
@@ -140,8 +157,7 @@ def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.nd
             linked &= chunks[a : a + step, None] != chunks[None, :]
         if not linked.any():
             continue
-        if member.shape[1]:
-            linked &= (member[a : a + step] @ member.T) == 0
+        _parted(linked, a, lists, number)
         count[a : a + step] = linked @ mults
         for k in np.flatnonzero(linked.any(1)).tolist():
             met = np.unique(root[np.flatnonzero(linked[k])])
@@ -157,7 +173,8 @@ def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.nd
 
 def links(classes: DataFrame, n: int, least: float) -> DataFrame:
     """Rows (u, -1, links) with parts of a vector's count, and (u, v, 0) edges, of vectors (node, mult, vec)."""
-    rows = materialize(_filters(classes, n), "cap-filters")
+    rows = materialize(_filters(classes, n), "cap-filters").withColumn("filter", F.explode("list"))
+    kind = _kind(classes)
     sizes = rows.groupBy("dim", "filter").agg(F.count("*").alias("size")).where(F.col("size") > CELL_ROWS)
     if sizes.limit(1).count():
         rows = rows.join(sizes, ["dim", "filter"], "left").withColumn("chunks", F.coalesce(F.ceil(F.col("size") / CELL_ROWS), F.lit(1)).cast("int"))
@@ -172,8 +189,14 @@ def links(classes: DataFrame, n: int, least: float) -> DataFrame:
         for t, cut in runs(batches, 4):
             number, left, right = (t.column(c).to_pylist() for c in range(3))
             node, mult, chunk = (t.column(c).to_numpy() for c in (4, 5, 6))
-            packed, raw = t.column(7).to_pylist(), t.column(8).to_pylist()
-            found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) for x in _compare(number[s], left[s], right[s], node[s:e], mult[s:e], chunk[s:e], packed[s:e], raw[s:e], least)]
+            packed, raw = t.column(7), t.column(8)
+
+            def cell(s: int, e: int) -> Iterator[tuple[np.ndarray, ...]]:
+                lists = np.asarray(packed.slice(s, e - s).combine_chunks().flatten()).reshape(e - s, -1)
+                vecs = np.frombuffer(b"".join(raw.slice(s, e - s).to_pylist()), kind).reshape(e - s, -1).astype(np.float64)
+                return _compare(number[s], left[s], right[s], node[s:e], mult[s:e], chunk[s:e], lists, vecs, least)
+
+            found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) if e - s > 1 for x in cell(s, e)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["u", "v", "links"])
 
