@@ -7,15 +7,20 @@ it can't come under the distance which the query's present k-th best inner produ
 a vector of its length: partial * D/d > bound * (1 + ``EPSILON``/sqrt(d))^2.  What is left at the end
 is scored in double precision on the original vectors.
 
-Centroids, and how many lists to probe, are fitted on a bounded sample (``SAMPLE`` vectors by hash; the probes such that ``AIM``
-of the sample's true neighbours lie in probed lists).  Every vector is indexed.  Lists are cut into units of
+A query first visits its best list alone; the k-th score found there goes with it to the other lists, so the
+tests have a bound from the start.
+
+Centroids, and how many lists to probe, are fitted on a bounded sample (``SAMPLE`` vectors by hash): one half gives the centroids, and the
+probes are such that ``AIM`` of the other half's true neighbours lie in probed lists.  Every vector is indexed.  Lists are cut into units of
 ``UNIT`` vectors by hash, units are dealt to cells, and a query goes once to each cell that holds
-probed units, in blocks of ``QUERY_BLOCK``; so no list, however hot, and no query set is one task.
+probed units.  A cell's own queries are cut in blocks of ``QUERY_BLOCK``, and only so often are its vectors copied; so no list, however
+hot, and no query set is one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize, ship, table
 from .cap_join import valid
 
-SAMPLE, AIM, EPSILON = 20_000, 0.985, 3.0
+SAMPLE, AIM, EPSILON = 40_000, 0.985, 3.0
 UNIT, QUERY_BLOCK = 8192, 4096
 LISTS_AT_MOST = 4096
 
@@ -38,8 +43,9 @@ class Index:
         rng = np.random.default_rng([seed, sample.shape[1]])
         dim = sample.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        lists = int(min(LISTS_AT_MOST, max(1, round(n**0.5 / 4)), max(1, len(sample) // 8)))
         x = sample @ self.rotation
+        x, held_out = (x, x) if len(x) < 2000 else (x[::2], x[1::2])
+        lists = int(min(LISTS_AT_MOST, max(1, round(n**0.5 / 4)), max(1, len(x) // 16)))
         # distinct starts, or equal vectors would make empty lists
         starts = np.unique(x, axis=0)
         centroids = starts[rng.permutation(len(starts))[:lists]]
@@ -50,16 +56,18 @@ class Index:
             sizes = np.bincount(to, minlength=len(centroids))
             centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids)
         self.centroids = centroids
-        self.probes = self._fit_probes(x, k, rng)
+        self.probes = self._fit_probes(held_out, k, rng)
 
     @staticmethod
     def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
         return ((centroids**2).sum(1)[None, :] - 2 * x @ centroids.T).argmin(1)
 
     def _fit_probes(self, x: np.ndarray, k: int, rng: np.random.Generator) -> int:
-        q = x[rng.permutation(len(x))[:300]]
+        own = rng.permutation(len(x))[:300]
+        q = x[own]
         scores = q @ x.T
-        near = np.argsort(-scores, axis=1, kind="stable")[:, 1 : k + 1]
+        scores[np.arange(len(q)), own] = -np.inf
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
         place = np.argsort(np.argsort(-(q @ self.centroids.T), axis=1, kind="stable"), axis=1)
         ranks = place[np.arange(len(q))[:, None], self._nearest(x, self.centroids)[near]]
         return int(np.ceil(np.quantile(ranks, AIM))) + 1 if ranks.size else len(self.centroids)
@@ -85,15 +93,19 @@ def top_k(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return order[rank < k]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k best found in the probed lists among these vectors, for each query."""
+def scan(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, rotation: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k best found in the probed lists among these vectors, for each query.
+
+    ``known``: a score that the k-th best is known to reach, -inf for none.  Negative numbers in ``probed`` stand for no list.
+    """
     dim = x.shape[1]
     turned_q, order = (q @ rotation).astype(np.float32), np.argsort(lists, kind="stable")
     ids, x, lists = ids[order], x[order], lists[order]
     columns = np.ascontiguousarray((x @ rotation).T.astype(np.float32))  # coordinate-major
     q_norm, x_norm = (q**2).sum(1), (x**2).sum(1)
     cuts = sorted({min(dim, c) for c in (16, 32, dim // 2, 3 * dim // 4)} | {dim})
-    bound = np.full(len(q), -np.inf)  # the present k-th best score
+    known = np.full(len(q), -np.inf) if known is None else known
+    bound = known  # the present k-th best score
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     names, begin = np.unique(lists, return_index=True)
     end = np.append(begin[1:], len(lists))
@@ -119,7 +131,7 @@ def scan(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarra
                 n = np.bincount(best[0], minlength=len(q))
                 lowest = np.full(len(q), np.inf)
                 np.minimum.at(lowest, best[0], best[2])
-                bound = np.where(n >= k, lowest, -np.inf)
+                bound = np.maximum(known, np.where(n >= k, lowest, -np.inf))
     return best
 
 
@@ -149,8 +161,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     """(query_id, rank, vec_id, score): the k found with the largest inner product for each query, nearest first.
 
     A query's own key is no candidate of its.  Null vectors, and ones that are empty, zero or hold null or non-finite
-    components, take no part, nor do rows without a key or of another size than most.  Rows that repeat a key are one candidate each;
-    ties go to the smaller key.  Empty tables give an empty result.
+    components, take no part, nor do rows without a key.  Vectors of each size are searched among themselves, one size after another.
+    Rows that repeat a key are one candidate each; ties go to the smaller key.  Empty tables give an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -158,16 +170,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     def clean(df: DataFrame) -> DataFrame:
         return df.where(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
 
-    out = "query_id long, rank int, vec_id long, score double"
     rows, asked = clean(vectors), clean(queries)
-    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return spark.createDataFrame([], out)
-    dim, n = sizes
-    rows, asked = rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
+    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect()
+    wanted = {r.dim for r in asked.select(F.size("vec").alias("dim")).distinct().collect()}
+    found = [_search(rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim), dim, n, k) for dim, n in sizes if dim in wanted]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """``search`` among n ``rows`` (id, vec) of ``dim`` coordinates."""
+    spark = rows.sparkSession
     # bounded: the SAMPLE least hashes are found first, then their vectors
     least = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = rows.where(F.xxhash64("id") <= least).orderBy("id").limit(SAMPLE).select("vec").toArrow()
+    sample = rows.where(F.xxhash64("id") <= least).orderBy(F.xxhash64("id")).limit(SAMPLE).select("vec").toArrow()
     index = Index(_matrix(sample.column(0).combine_chunks(), dim), n, k)
     shared = spark.sparkContext.broadcast(index)
 
@@ -187,26 +202,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     counts = listed.groupBy("list").agg(F.count("*").alias("size")).withColumn("units", F.ceil(F.col("size") / UNIT).cast("int"))
     place = F.expr(f"cast(pmod(xxhash64(list, unit), {cells}) as int)")
     unit = F.expr("cast(pmod(xxhash64(id, 3L), units) as int)")
-    stored = listed.join(counts.select("list", "units"), "list").withColumn("unit", unit).withColumn("cell", place)
+    stored = listed.join(F.broadcast(counts.select("list", "units")), "list").withColumn("unit", unit).withColumn("cell", place)  # LISTS_AT_MOST rows
     homes = counts.select("list", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")).select("list", place.alias("cell")).distinct()
     sought = materialize(asked.mapInArrow(probe, "id long, vec array<double>, probed array<int>"), "ann-queries")
-    n_blocks = max(1, -(-sought.count() // QUERY_BLOCK))
-    goes = sought.select("id", F.explode("probed").alias("list")).join(homes, "list").select("id", "cell").distinct()
-    block = F.expr(f"cast(pmod(xxhash64(id, 7L), {n_blocks}) as int)")
-    left = goes.join(sought, "id").select("cell", block.alias("block"), "id", "vec", "probed")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    right = stored.select("cell", blocks.alias("block"), "id", "vec", "list")
 
     def compare(queries_: pd.DataFrame, vectors_: pd.DataFrame) -> pd.DataFrame:
         if not len(queries_) or not len(vectors_):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         q_ids = queries_["id"].to_numpy()
-        q, ids, score = scan(vectors_["id"].to_numpy(), np.stack(vectors_["vec"].to_numpy()), vectors_["list"].to_numpy(), q_ids, np.stack(queries_["vec"].to_numpy()), np.stack(queries_["probed"].to_numpy()), shared.value.rotation, k)
+        q, ids, score = scan(vectors_["id"].to_numpy(), np.stack(vectors_["vec"].to_numpy()), vectors_["list"].to_numpy(), q_ids, np.stack(queries_["vec"].to_numpy()), np.stack(queries_["probed"].to_numpy()), shared.value.rotation, k, queries_["bound"].to_numpy())
         return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids, "score": score})
 
-    found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def visited(who: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of the best of each query of ``who`` (id, vec, probed, bound) in each cell that it must see."""
+        goes = who.select("id", F.explode("probed").alias("list")).join(homes, "list").select("id", "cell").distinct()
+        blocks = goes.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        block = F.expr("cast(pmod(xxhash64(id, 7L), blocks) as int)")
+        left = goes.join(blocks, "cell").join(who, "id").select("cell", block.alias("block"), "id", "vec", "probed", "bound")
+        right = stored.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vec", "list")
+        return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(compare, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    none = F.lit(float("-inf"))
+    first = materialize(best(visited(sought.select("id", "vec", F.slice("probed", 1, 1).alias("probed"), none.alias("bound")))).drop("rank"), "ann-first")
+    if index.probes > 1:
+        bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+        rest = sought.join(bounds, F.col("id") == F.col("query_id"), "left").select("id", "vec", F.slice("probed", 2, index.probes).alias("probed"), F.coalesce("bound", none).alias("bound"))
+        first = first.unionByName(visited(materialize(rest, "ann-rest")))
+    return best(first).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
