@@ -616,3 +616,38 @@ def test_stages_take_any_column_names(spark):
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
     assert d.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, d, "").count() == d.count()
+
+
+def test_each_content_is_encoded_once(spark, library):
+    """Rows that repeat key and text, null keys among them, make one cache entry; a warm cache gets only what is new."""
+    rows = [(None, "the same text")] * 500 + [(7, "another")] * 20 + [(k, f"text {k % 30}") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cache = scratch(spark, "once")
+    got = digest_cache.cached_counts(d, BPE, cache)
+    assert sorted((r.n_bytes, r.n_tokens) for r in got.collect()) == sorted((len(t), len(ids_of(library, t))) for _, t in rows)
+    assert spark.read.parquet(cache).count() == 32
+    more = d.unionByName(spark.createDataFrame([(1, "new")] * 3, "doc_id long, text string"))
+    assert digest_cache.cached_counts(more, BPE, cache).count() == len(rows) + 3
+    assert spark.read.parquet(cache).count() == 33
+
+
+def test_ann_of_several_sizes_and_lengths(spark):
+    rng = np.random.default_rng(3)
+    data = {k: rng.standard_normal(8 if k % 4 else 5) * rng.lognormal(0, 1) for k in range(400)}
+    d = spark.createDataFrame([(k, [float(c) for c in x]) for k, x in data.items()], "vec_id long, embedding array<double>")
+    got = adaptive_ann.search(d, d.where("vec_id % 20 = 0 or vec_id % 20 = 1"), 5).collect()
+    for q in (x for x in data if x % 20 < 2):
+        scores = sorted(((-float(data[q] @ v), k) for k, v in data.items() if k != q and len(v) == len(data[q])))[:5]
+        mine = [(r.rank, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert mine == [(k + 1, x) for k, (_, x) in enumerate(scores)]
+
+
+def test_cap_join_tells_pairs_apart_by_both_ways(monkeypatch):
+    rng = np.random.default_rng(4)
+    lists = np.sort(rng.integers(0, 40, (60, 6)), axis=1)
+    want = np.array([[not set(a[a < 20]) & set(b[b < 20]) for b in lists] for a in lists[10:30]])
+    for most in (0, 10**6):
+        monkeypatch.setattr(cap_join, "PAIRS", most)
+        linked = np.ones((20, 60), bool)
+        cap_join._parted(linked, 10, lists, 20)
+        assert (linked == want).all()
