@@ -1,7 +1,7 @@
 """Reading and writing alignments, Stockholm text and model arrays.
 
 Flat text: optional ``#PARAM {json}`` and other ``#`` lines, then ``[id and blanks]sequence`` rows of one width; ``//`` and empty lines are
-skipped.  Reading is one Spark text scan and a projection; rows are numbered in scan order.
+skipped.  Reading is a Spark text scan and a projection, after one that counts lines; rows are numbered by line.
 """
 
 from __future__ import annotations
@@ -9,53 +9,96 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import length_of, letters
 from ..functions.ship import ship
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, value) of a text file or folder; bzip2 is recognised by its first bytes, whatever the name."""
-    magic = spark.read.format("binaryFile").load(path).select("path", F.expr("substr(content, 1, 3) = cast('BZh' as binary)").alias("bz")) if not path.endswith(".bz2") else None
-    packed = [r.path for r in magic.where("bz").collect() if not r.path.endswith(".bz2")] if magic is not None else []
+def _files(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(path, whether it is bzip2 by its first bytes) of each file of a file, folder or pattern, by name; only those bytes are read."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: list[tuple[str, bool]] = []
+    waiting = [*(store.globStatus(top) or [])]
+    while waiting:
+        status = waiting.pop()
+        name = status.getPath().getName()
+        if status.isDirectory():
+            waiting += store.listStatus(status.getPath())
+        elif not name.startswith(("_", ".")):
+            stream = store.open(status.getPath())
+            found.append((status.getPath().toString(), [stream.read() for _ in range(3)] == [*b"BZh"]))
+            stream.close()
+    return sorted(found)
+
+
+def _unpacked(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, at, value) of bzip2 files without the extension; one task a file, as such a file can't be split."""
+    import bz2
+
+    ship(spark)
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at, rest, left = 0, b"", content
+                while left:  # a file may hold several streams
+                    stream = bz2.BZ2Decompressor()
+                    while left and not stream.eof:
+                        rest += stream.decompress(left[: 1 << 20])
+                        left = stream.unused_data + left[1 << 20 :] if stream.eof else left[1 << 20 :]
+                        *rows, rest = rest.split(b"\n")
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(at, at + len(rows)), pa.int64()), pa.array([r.decode() for r in rows])], names=["file", "at", "value"])
+                            at += len(rows)
+                if rest:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([rest.decode()])], names=["file", "at", "value"])
+
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(unpack, "file string, at long, value string")
+
+
+def all_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, value) of every line of a text file or folder, header lines too; bzip2 is recognised by its first bytes, whatever the name.
+
+    Lines are numbered from 0 through the files in order of their names, however Spark splits them: a first scan counts
+    the lines of each split, and a row a split tells where its numbers begin.
+    """
+    files = _files(spark, path)
+    packed = [name for name, bz in files if bz and not name.endswith(".bz2")]
+    plain = [name for name, _ in files if name not in set(packed)]
+    if not files:
+        return spark.createDataFrame([], "seq_id long, value string")
+    parts = []
+    if plain:
+        parts.append(spark.read.text(plain).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"))
     if packed:
-        import bz2
-
-        ship(spark)
-
-        # one task a file: a file without the extension can't be split
-        text = spark.read.format("binaryFile").load(packed)
+        parts.append(_unpacked(spark, packed).select("file", F.lit(0).cast("long").alias("block"), "at", "value"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    splits = out.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return out.join(F.broadcast(begins), ["file", "block"]).select((F.col("at") + F.col("shift")).alias("seq_id"), "value")
 
-        def unpack(batches):
-            import pyarrow as pa
 
-            for b in batches:
-                for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    rows = bz2.decompress(content).decode().split("\n")
-                    first = order[name] << 40
-                    yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows)], names=["at", "value"])
-
-        order = {name: k for k, name in enumerate(sorted(packed))}
-        raw = text.select("path", "content").mapInArrow(unpack, "at long, value string")
-    else:
-        raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
-    rows = raw.withColumn("value", F.regexp_replace("value", "\r$", ""))
-    kept = rows.where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.trim("value") != "//"))
-    return kept.select(F.col("at").alias("seq_id"), "value")
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, value) of the rows of a text file or folder, numbered by line; see ``all_lines``."""
+    rows = all_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    return rows.where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.trim("value") != "//"))
 
 
-def headers(spark: SparkSession, path: str) -> list[str]:
-    """The ``#`` lines."""
-    return [r.value for r in spark.read.text(path).where(F.col("value").startswith("#")).collect()]
+def headers(spark: SparkSession, path: str, start: str = "#", most: int = 100) -> list[str]:
+    """The first ``most`` lines that begin with ``start``, packed files' too."""
+    return [r.value for r in all_lines(spark, path).where(F.col("value").startswith(start)).orderBy("seq_id").limit(most).collect()]
 
 
 def header_alphabet(spark: SparkSession, path: str) -> str | None:
-    """The alphabet that a ``#PARAM`` line names, if any."""
-    for line in headers(spark, path):
-        if line.startswith("#PARAM"):
-            return json.loads(line[6:].strip()).get("alpha")
+    """The alphabet that the first ``#PARAM`` line names, if any."""
+    for line in headers(spark, path, "#PARAM", 1):
+        return json.loads(line[6:].strip()).get("alpha")
     return None
 
 

@@ -27,6 +27,22 @@ def test_bzip2_by_content(spark, tmp_path):
         assert msa.load_msa(spark, str(tmp_path / name), "nuc").count() == 3
 
 
+def test_folder_of_plain_and_packed_files(spark, tmp_path):
+    """Files of both kinds are read, headers of packed ones too, and numbers follow names and lines whatever the splits."""
+    head = '#PARAM {"alpha": "ACGT"}\n'
+    (tmp_path / "a.txt").write_bytes(bz2.compress((head + "ACGT\nCCGT\n").encode()) + bz2.compress(b"GGGG"))
+    (tmp_path / "b.txt").write_text("AAAA\n" * 2000 + "TTTT")
+    (tmp_path / "c.txt.bz2").write_bytes(bz2.compress(b"TCGA\n"))
+    (tmp_path / "_hidden").write_text("not read")
+    assert msa.header_alphabet(spark, str(tmp_path)) == "ACGT"
+    want = ["ACGT", "CCGT", "GGGG", *["AAAA"] * 2000, "TTTT", "TCGA"]
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = msa.load_msa(spark, str(tmp_path)).withColumn("text", msa.decoded("ACGT")).orderBy("seq_id").collect()
+        assert [(r.seq_id, r.text) for r in got] == [(k + 1, x) for k, x in enumerate(want)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_bad_rows(spark, tmp_path):
     p = tmp_path / "m.txt"
     p.write_text("\n".join([*ROWS, "s4   ACG", "s5   ACGX"]))
