@@ -47,7 +47,7 @@ def run(spark: SparkSession, args) -> None:
         target = read_pairs(spark, args.bimarg, "f")
         length, q = shape(target)
         o = infer.Options(walkers=args.nwalkers, rounds=args.mcsteps, newton_steps=args.newtonsteps, gamma=args.gamma, damping=args.damping, regulariser=args.reg, reseed=args.reseed, equilibration=args.equiltime, beta=args.beta, seed=args.seed)
-        fit = infer.fit(spark, target, length, q, o, args.out)
+        fit = infer.fit(spark, target, length, q, o, args.out, couplings=spark.read.parquet(args.couplings) if args.couplings else None)
         for state in fit.log:
             print(json.dumps(state))
     elif mode == "gen":
@@ -165,7 +165,7 @@ def parser() -> argparse.ArgumentParser:
             m.add_argument(name, type=kind, default=default)
 
     d = infer.Options()
-    options(mode("infer", pairs, out), walkers | {"--mcsteps": (int, d.rounds), "--newtonsteps": (int, d.newton_steps), "--gamma": (float, d.gamma), "--damping": (float, d.damping), "--reg": (str, None), "--reseed": (str, d.reseed)})
+    options(mode("infer", pairs, out), walkers | {"--mcsteps": (int, d.rounds), "--newtonsteps": (int, d.newton_steps), "--gamma": (float, d.gamma), "--damping": (float, d.damping), "--reg": (str, None), "--reseed": (str, d.reseed), "--couplings": (str, None)})
     options(mode("gen", model, out), walkers)
     mode("energies", seqs, model, out, alpha)
     mode("subseq", ("fixpos",), seqs, ("subseqs",), model, out, alpha)

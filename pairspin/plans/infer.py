@@ -11,6 +11,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -166,11 +167,20 @@ def weighted_bins(walkers: DataFrame, dj: np.ndarray, ref: float, beta: float |
     out = np.zeros(cells + 3)
     at = t.column(0).to_numpy()
     out[at] = t.column(1).to_numpy()
+    shared.destroy()  # a fit makes one of them a step
     return out[:cells], float(out[cells]), float(out[cells + 1]), float(t.column(2).to_numpy()[at == -1][0])
 
 
 def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict]:
-    """Couplings after up to ``steps`` reweighted steps, which end when the effective size falls below the kept share."""
+    """Couplings after up to ``steps`` reweighted steps, which end when the effective size falls below the kept share.  The walkers are kept in executors for it."""
+    walkers = walkers.persist()
+    try:
+        return _newton_steps(spark, walkers, j, target, o, steps)
+    finally:
+        walkers.unpersist()
+
+
+def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict]:
     length, q = j.shape[0], j.shape[2]
     regular = newton.regulariser(o.regulariser, q) if o.regulariser else None
     base = packed(j)
@@ -200,16 +210,20 @@ def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target:
 
 
 def reseeded(spark: SparkSession, walkers: DataFrame, policy: str, o: Options, uni: list[list[float]], round_: int, msa: DataFrame | None = None) -> DataFrame:
-    """Walkers to begin the next round with: none, single_best, single_random, single_indep, independent, uniform or msa."""
+    """Walkers to begin the next round with: none, single_best, single_random, single_indep, independent, uniform or msa (rows seq_id, seq, over and over)."""
     length, q = len(uni), len(uni[0])
     if policy == "none":
         return walkers.select("walker_id", "seq", "beta")
     if policy in ("independent", "uniform"):
         new = sampling.independent_sequences(spark, o.walkers, uni, o.seed + round_) if policy == "independent" else sampling.uniform_sequences(spark, o.walkers, length, q, o.seed + round_)
     elif policy == "msa":
-        rows = msa.select("seq")
-        n = rows.count()
-        new = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(-(-o.walkers // n) - 1)))).limit(o.walkers).select(F.monotonically_increasing_id().alias("seq_id"), "seq")
+        n, last = msa.agg(F.count("*"), F.max("seq_id")).first()
+        whole, rest = divmod(o.walkers, n)
+        parts = [msa.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(whole - 1))).alias("k"))] if whole else []
+        if rest:
+            parts.append(msa.orderBy(F.xxhash64("seq_id"), "seq_id").limit(rest).select("seq_id", "seq", F.lit(whole).alias("k")))
+        # numbers follow from the rows', whatever the partitions
+        new = reduce(DataFrame.unionByName, parts).select((F.col("k") * F.lit(last + 1) + F.col("seq_id")).alias("seq_id"), "seq")
     else:
         one = {
             "single_best": lambda: walkers.orderBy("e", "walker_id").limit(1),
@@ -220,10 +234,12 @@ def reseeded(spark: SparkSession, walkers: DataFrame, policy: str, o: Options, u
     return new.select(F.col("seq_id").alias("walker_id"), "seq", F.lit(float(o.beta or 1.0)).alias("beta"))
 
 
-def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options | None = None, folder: str | None = None, msa: DataFrame | None = None) -> Fit:
+def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options | None = None, folder: str | None = None, msa: DataFrame | None = None, couplings: DataFrame | None = None) -> Fit:
     """Couplings whose pair marginals are ``target``'s.
 
-    ``folder`` keeps each round's couplings and state; a fit that finds rounds there goes on after the last one.
+    ``folder`` keeps of each round ``run_NN``: couplings, walkers (with energies), bimarg (the walkers' pair marginals, before the
+    round's steps) and state.  A fit that finds rounds there goes on after the last one as it would have without the break.
+    ``couplings`` (i, j, a, b, cpl), such as a stored round's, begin the first round in place of ``Options.start``.
     """
     from ..operators import gauge
     from ..operators.marginals import to_unimarg
@@ -237,27 +253,30 @@ def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options
     log = _rounds(spark, folder)
     if log:
         j = scores.coupling_array(spark.read.parquet(f"{folder}/run_{len(log) - 1:02d}/couplings"), length, q)
+    elif couplings is not None:
+        j = scores.coupling_array(couplings, length, q)
     elif o.start == "independent":
         zero = target.select(*KEY, F.lit(0.0).alias("cpl"))
         j = scores.coupling_array(gauge.independent_model(to_unimarg(target).where("f > 0"), zero, length), length, q)
     else:
         j = np.zeros((length, length, q, q))
-    walkers = None
-    budget, worst = o.newton_steps, []
+    walkers = spark.read.parquet(f"{folder}/run_{len(log) - 1:02d}/walkers") if log else None
+    budget, worst = log[-1]["budget"] if log else o.newton_steps, [state["ssr"] for state in log]
     for n in range(len(log), o.rounds):
         policy = o.reseed if n or o.reseed == "msa" else "independent" if o.reseed == "none" else o.reseed
         if walkers is None and policy in ("single_best", "single_random", "none"):
             policy = "independent"
         start = reseeded(spark, walkers, policy, o, uni, n, msa)
-        walkers = equilibrate(spark, start, j, o.seed + 7919 * n, o.equilibration, o.min_equilibration, o.max_equilibration)
+        walkers = stored(equilibrate(spark, start, j, o.seed + 7919 * n, o.equilibration, o.min_equilibration, o.max_equilibration), f"{folder}/run_{n:02d}/walkers")
         sums, w, _, _ = weighted_bins(walkers, np.zeros_like(j), 0.0)
+        stored(spark.createDataFrame(packed(j)[KEY].assign(f=sums / w)), f"{folder}/run_{n:02d}/bimarg")
         ssr = float(((sums / w - t) ** 2).sum())
         if len(worst) >= 1 and ssr > (worst[-1] + min(worst)) / 2:
             budget = max(o.newton_delta, budget - int(1.5 * o.newton_delta))
         worst.append(ssr)
         j, state = newton_steps(spark, walkers, j, t, o, budget)
         budget = min(2048, max(o.newton_delta, state["steps"]) + o.newton_delta)
-        state |= {"round": n, "ssr": ssr}
+        state |= {"round": n, "ssr": ssr, "budget": budget}
         log.append(state)
         stored(spark.createDataFrame(packed(j)), f"{folder}/run_{n:02d}/couplings")
         spark.createDataFrame([(json.dumps(state | {"options": asdict(o)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/run_{n:02d}/state")

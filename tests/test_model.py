@@ -105,6 +105,26 @@ def test_fit_resumes(spark, tmp_path):
     assert [x["round"] for x in log] == [0, 1]
 
 
+@pytest.mark.parametrize("reseed", ["none", "msa"])
+def test_interrupted_fit_goes_on_as_if_it_had_not_been(spark, tmp_path, reseed):
+    m = sampling.uniform_sequences(spark, 300, L, Q, 2)
+    target = marginals.pc_constant(marginals.bimarg(m, L, Q), 0.01)
+    o = infer.Options(walkers=700, rounds=3, equilibration=10, newton_steps=5, newton_delta=2, reseed=reseed)
+    whole = infer.fit(spark, target, L, Q, o, str(tmp_path / "whole"), m)
+    for rounds in (1, 3):
+        o.rounds = rounds
+        parts = infer.fit(spark, target, L, Q, o, str(tmp_path / "parts"), m.repartition(3))
+    assert [x["round"] for x in parts.log] == [0, 1, 2]
+    for a, b in zip(whole.log, parts.log, strict=True):
+        assert {k: pytest.approx(v) for k, v in a.items() if k != "options"} == {k: v for k, v in b.items() if k != "options"}
+    a, b = (f.couplings.orderBy("i", "j", "a", "b").toPandas()["cpl"].to_numpy() for f in (whole, parts))
+    assert np.allclose(a, b)
+    kept = spark.read.parquet(str(tmp_path / "parts" / "run_02" / "walkers"))
+    assert kept.count() == 700 and spark.read.parquet(str(tmp_path / "parts" / "run_02" / "bimarg")).groupBy("i", "j").agg(F.sum("f").alias("f")).where("abs(f - 1) > 1e-9").count() == 0
+    begun = infer.fit(spark, target, L, Q, infer.Options(walkers=700, rounds=1, equilibration=10, newton_steps=1, gamma=0.0), couplings=whole.couplings)
+    assert np.allclose(begun.couplings.orderBy("i", "j", "a", "b").toPandas()["cpl"].to_numpy(), a)
+
+
 def test_automatic_equilibration(spark):
     j = scores.coupling_array(fx.couplings(spark, L, Q), L, Q)
     start = sampling.uniform_sequences(spark, 300, L, Q, 3).select(F.col("seq_id").alias("walker_id"), "seq", F.lit(1.0).alias("beta"))
