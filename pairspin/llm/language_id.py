@@ -102,9 +102,13 @@ def fit(labelled: DataFrame, labels: list[str], text: str = "text", lang: str =
     """
     per = min(MOST_TEXTS, max(LEAST_TEXTS, SAMPLE_DOCS // max(1, len(labels))))
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("label"), F.col(text).alias("x"), F.xxhash64(text).alias("h"), (F.length(text) > SAMPLE_SIGNS).alias("long"))
+    # of labels with many texts only the hashes below a bound, about four times the sample, are ranked, however many tasks there are
+    bounds = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("texts"))
+    bounds = bounds.select(F.col("label").alias("of"), F.when(F.col("texts") > 4 * per, F.lit(-(2.0**63)) + F.lit(2.0**64 * 4 * per) / F.col("texts")).otherwise(F.lit(2.0**63)).alias("below"))
+    near = rows.join(F.broadcast(bounds), F.col("label") == F.col("of")).where(F.col("h") < F.col("below"))  # a row a label
     # hashes first, then their texts: neither tasks nor the driver get more than the sample
     rank = F.row_number().over(Window.partitionBy("label").orderBy("long", "h"))
-    chosen = rows.groupBy("label", "long", "h").agg(F.lit(1)).select("label", "long", "h", rank.alias("rank")).where(F.col("rank") <= per).drop("rank")
+    chosen = near.groupBy("label", "long", "h").agg(F.lit(1)).select("label", "long", "h", rank.alias("rank")).where(F.col("rank") <= per).drop("rank")
     sample = rows.join(F.broadcast(chosen), ["label", "long", "h"]).groupBy("label", "h").agg(F.min(F.substring("x", 1, SAMPLE_SIGNS)).alias("x")).orderBy("label", "h")
     languages: list[str] = []
     short: list[str] = []
