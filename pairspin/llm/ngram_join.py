@@ -198,7 +198,7 @@ def part_signatures(s: np.ndarray, common: np.ndarray, parts: Parts) -> np.ndarr
 def crowds(sign: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (sign, key, span) of signatures, and rows (centre, key, -1) that link a set to another one in place of a signature that many share.
 
-    A span is the range of sizes and whether many sets stand behind it, as ``lo << 32 | hi << 1 | many``.
+    The span of one set is its size, that of many the range of theirs as ``1 << 62 | hi << 31 | lo``: small numbers pack well in the shuffle.
     """
     order = np.argsort(sign)
     ordered = sign[order]
@@ -209,14 +209,14 @@ def crowds(sign: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: int)
     crowded = np.zeros(len(sign), bool)
     crowded[many] = True
     few = np.flatnonzero(~crowded)
-    own = [(sign[few], key[few], n[few] << 32 | n[few] << 1)]
+    own = [(sign[few], key[few], n[few])]
     if len(many):
         many = many[np.lexsort((key[many], n[many], sign[many]))]
         s, k, m = sign[many], key[many], n[many]
         # parted where no pair across can link
         start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (m[:-1] * den < m[1:] * num)]))
         size = np.diff(np.append(start, len(s)))
-        own.append((s[start], k[start], m[start] << 32 | m[start + size - 1] << 1 | (size > 1)))
+        own.append((s[start], k[start], np.where(size > 1, 1 << 62 | m[start + size - 1] << 31, 0) | m[start]))
         to = np.repeat(k[start], size)
         edges = np.unique(np.stack([to, k])[:, to != k], axis=1)
         own.append((edges[0], edges[1], np.full(edges.shape[1], -1)))
@@ -278,18 +278,22 @@ def likely_pairs(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
 
 def blocks(signed: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component): blocks of the documents that may be linked with others.  ``signed``: see ``signatures``."""
-    order = Window.partitionBy("sign").orderBy("span", "key")
-    low, high = F.shiftright("span", 32), F.shiftright("span", 1).bitwiseAND(F.lit((1 << 31) - 1))
+    most = F.lit((1 << 31) - 1)
+    many, low = F.col("span") >= 1 << 62, F.col("span").bitwiseAND(most)
+    high = F.when(many, F.shiftright("span", 31).bitwiseAND(most)).otherwise(low)
+    # dealt before the range is unpacked, so that three numbers a row are shuffled
+    signed = signed.repartition("sign").withColumn("low", low)
+    order = Window.partitionBy("sign").orderBy("low", "key")
     before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
     centre = F.last(F.when(before.isNull() | (before * den < low * num), F.col("key")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    alone = F.sum(F.lit(1) + F.col("span").bitwiseAND(F.lit(1)) * 2).over(Window.partitionBy("sign")) == 2
+    alone = F.sum(F.when(many, 3).otherwise(1)).over(Window.partitionBy("sign")) == 2
     is_edge = F.col("span") == -1
     edges = signed.select(F.col("key").alias("u"), F.when(is_edge, F.col("sign")).otherwise(centre).alias("v"), (alone & ~is_edge).alias("pair"))
     edges = materialize(edges.where("u <> v").distinct(), "block-edges")
     release(signed.sparkSession)
-    many = edges.where("not pair").select("u", "v")
+    several = edges.where("not pair").select("u", "v")
     pairs = edges.where("pair").select("u", "v")
-    return components(many.unionByName(likely_pairs(pairs, rows, num, den)), "blocks")
+    return components(several.unionByName(likely_pairs(pairs, rows, num, den)), "blocks")
 
 
 def chosen_sets(docs: DataFrame, placed: DataFrame, k: int, key: str, text: str) -> DataFrame:
@@ -344,7 +348,7 @@ def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int,
     """(u, v): links of all blocks (``labels``: node, component)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     sizes = labels.groupBy("component").agg(F.count("*").alias("m"))
-    placed = labels.join(sizes, "component").withColumn("chunks", F.ceil(F.col("m") / BLOCK_SETS))
+    placed = labels.join(sizes.hint("merge"), "component").withColumn("chunks", F.ceil(F.col("m") / BLOCK_SETS))
     placed = materialize(placed.select("component", F.expr("pmod(xxhash64(node, 17L), chunks)").alias("chunk"), "node", F.col("node").alias("part"), "chunks"), "block-chunks")
     own = placed.drop("chunks")
     large = placed.where("chunks > 1")
@@ -360,11 +364,11 @@ def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int,
 
     # what is apart from the block's largest component meets all chunks
     found = components(first, "links-own-cc")
-    large = large.drop("part").join(found.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    large = large.drop("part").join(found.select("node", F.col("component").alias("part")).hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     large = materialize(large, "large-blocks")
     parts = large.groupBy("component", "part").agg(F.count("*").alias("size"))
     main = parts.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    rest = large.join(main.where("all > most").select("component", "main"), "component")
+    rest = large.join(main.where("all > most").select("component", "main").hint("merge"), "component")
     if not rest.limit(1).count():
         return first
     apart = rest.where("part <> main")
