@@ -19,6 +19,15 @@ def read_pairs(spark: SparkSession, path: str, value: str) -> DataFrame:
     return msa.load_pairs(spark, path, value) if path.endswith((".npy", ".txt")) else spark.read.parquet(path)
 
 
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """Couplings of a table, an array, or a folder of a round (its ``couplings``)."""
+    return read_pairs(spark, f"{path}/couplings" if infer.exists(spark, f"{path}/couplings") else path, "cpl")
+
+
+def betas(text: str) -> tuple[float, ...]:
+    return tuple(float(x) for x in text.split(","))
+
+
 def write_table(df: DataFrame, path: str, value: str) -> None:
     if path.endswith(".npy"):
         msa.save_pairs(df, path, value)
@@ -41,20 +50,27 @@ def weighted(spark: SparkSession, args) -> tuple[DataFrame, int, int]:
     return m, length, q
 
 
+def sampling_options(args) -> dict:
+    return {"tempering": args.tempering, "swaps": args.nswaps, "swap_every": args.swapevery, "track": args.trackequil, "tracked": tuple(args.tracked.split(",")), "own_positions": args.ownpositions}
+
+
 def run(spark: SparkSession, args) -> None:
     mode = args.mode
     if mode == "infer":
         target = read_pairs(spark, args.bimarg, "f")
         length, q = shape(target)
-        o = infer.Options(walkers=args.nwalkers, rounds=args.mcsteps, newton_steps=args.newtonsteps, gamma=args.gamma, damping=args.damping, regulariser=args.reg, reseed=args.reseed, equilibration=args.equiltime, beta=args.beta, seed=args.seed)
-        fit = infer.fit(spark, target, length, q, o, args.out, couplings=spark.read.parquet(args.couplings) if args.couplings else None)
+        o = infer.Options(walkers=args.nwalkers, rounds=args.mcsteps, newton_steps=args.newtonsteps, gamma=args.gamma, damping=args.damping, regulariser=args.reg, reseed=args.reseed, equilibration=args.equiltime, beta=args.beta, seed=args.seed, start=args.init, preopt=args.preopt, **sampling_options(args))
+        seqs = msa.load_msa(spark, args.seqs, args.alpha) if args.seqs else None
+        fit = infer.fit(spark, target, length, q, o, args.out, seqs, read_model(spark, args.couplings) if args.couplings else None)
         for state in fit.log:
             print(json.dumps(state))
     elif mode == "gen":
-        j = read_pairs(spark, args.couplings, "cpl")
+        j = read_model(spark, args.couplings)
         length, q = shape(j)
-        start = sampling.uniform_sequences(spark, args.nwalkers, length, q, args.seed).select(F.col("seq_id").alias("walker_id"), "seq", F.lit(args.beta or 1.0).alias("beta"))
-        w = infer.equilibrate(spark, start, scores.coupling_array(j, length, q), args.seed, args.equiltime)
+        o = infer.Options(walkers=args.nwalkers, beta=args.beta, seed=args.seed, **sampling_options(args))
+        start = infer.reseeded(spark, None, "uniform", o, [[1 / q] * q] * length, 0)
+        w = infer.equilibrate(spark, start, scores.coupling_array(j, length, q), args.seed, args.equiltime, o=o, folder=f"{args.out}/equilibration")
+        w = infer.coldest(w) if o.tempering else w
         w.write.mode("overwrite").parquet(f"{args.out}/walkers")
         write_table(marginals.bimarg(w, length, q), f"{args.out}/bimarg", "f")
     elif mode == "energies":
@@ -165,8 +181,15 @@ def parser() -> argparse.ArgumentParser:
             m.add_argument(name, type=kind, default=default)
 
     d = infer.Options()
-    options(mode("infer", pairs, out), walkers | {"--mcsteps": (int, d.rounds), "--newtonsteps": (int, d.newton_steps), "--gamma": (float, d.gamma), "--damping": (float, d.damping), "--reg": (str, None), "--reseed": (str, d.reseed), "--couplings": (str, None)})
-    options(mode("gen", model, out), walkers)
+    chains = {"--tempering": (betas, None), "--nswaps": (int, d.swaps), "--swapevery": (int, d.swap_every), "--trackequil": (int, d.track), "--tracked": (str, ",".join(d.tracked))}
+    m = mode("infer", pairs, out, alpha, ("--seqs",))
+    m.add_argument("--init", choices=["uniform", "independent"], default=d.start)
+    m.add_argument("--preopt", action="store_true")
+    m.add_argument("--ownpositions", action="store_true")
+    options(m, walkers | chains | {"--mcsteps": (int, d.rounds), "--newtonsteps": (int, d.newton_steps), "--gamma": (float, d.gamma), "--damping": (float, d.damping), "--reg": (str, None), "--reseed": (str, d.reseed), "--couplings": (str, None)})
+    m = mode("gen", model, out)
+    m.add_argument("--ownpositions", action="store_true")
+    options(m, walkers | chains)
     mode("energies", seqs, model, out, alpha)
     mode("subseq", ("fixpos",), seqs, ("subseqs",), model, out, alpha)
     options(mode("benchmark", model), walkers | {"--nsteps": (int, 2048)})

@@ -7,6 +7,8 @@ from math import erfc, exp, lgamma, log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rng import places
+
 
 def rounded(c: Column | str) -> Column:
     """Six decimals, without a negative zero; what registered queries return.
@@ -22,11 +24,22 @@ def xlogy_ratio(x: Column, y: Column) -> Column:
 
 
 def ranked(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with the average rank of ``value`` (ties share their mean rank)."""
+    """``df`` with the average rank of ``value`` (ties share their mean rank).
+
+    Values are dealt to ranges between approximate quantiles: windows within a range, and the counts of the ranges before it.
+    """
     sizes = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.select(value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(places, value)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limits = sizes.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)] or [1.0])).first()[0] or []
+    limit = F.array(*map(F.lit, sorted({*limits}))) if limits else F.array().cast("array<double>")
+    sizes = sizes.withColumn("_range", places(F.col(value), limit))
+    # a row a range, so at most as many as there are partitions
+    whole = sizes.groupBy("_range").agg(F.sum("_n").alias("_whole"))
+    earlier = whole.select("_range", F.coalesce(F.sum("_whole").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0)) + (F.col("_n") + 1) / 2
+    placed = sizes.join(F.broadcast(earlier), "_range").select(value, rank.alias(out))
+    return df.join(placed, value)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

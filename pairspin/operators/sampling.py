@@ -40,10 +40,12 @@ def positions(seed: int, first: int, n: int, length: int) -> np.ndarray:
     return (bits(seed ^ 0x5DEECE66D, 0, np.arange(first, first + n)) % np.uint64(length)).astype(np.int64)
 
 
-def sweep(seqs: np.ndarray, walkers: np.ndarray, beta: np.ndarray, couplings: np.ndarray, steps: int, seed: int, first: int = 0) -> np.ndarray:
-    """``steps`` Metropolis steps of all walkers at once; returns the new sequences."""
+def sweep(seqs: np.ndarray, walkers: np.ndarray, beta: np.ndarray, couplings: np.ndarray, steps: int, seed: int, first: int = 0, own: bool = False) -> np.ndarray:
+    """``steps`` Metropolis steps of all walkers at once; returns the new sequences.  ``own``: each walker draws its own position."""
     s, q = seqs.copy(), couplings.shape[2]
     length = s.shape[1]
+    if own:
+        return _own_sweep(s, walkers, beta, couplings, steps, seed, first)
     rows = np.arange(length)
     for step, p in enumerate(positions(seed, first, steps, length).tolist(), first):
         draw = bits(seed, walkers, 2 * step)
@@ -57,10 +59,24 @@ def sweep(seqs: np.ndarray, walkers: np.ndarray, beta: np.ndarray, couplings: np
     return s
 
 
-def metropolis(walkers: DataFrame, couplings: np.ndarray, steps: int, seed: int, first: int = 0) -> DataFrame:
+def _own_sweep(s: np.ndarray, walkers: np.ndarray, beta: np.ndarray, couplings: np.ndarray, steps: int, seed: int, first: int) -> np.ndarray:
+    length, q = s.shape[1], couplings.shape[2]
+    at = np.arange(len(s))
+    for step in range(first, first + steps):
+        p = (bits(seed ^ 0x5DEECE66D, walkers, step) % np.uint64(length)).astype(np.int64)
+        new, old = (bits(seed, walkers, 2 * step) % np.uint64(q)).astype(np.int64), s[at, p]
+        delta = np.zeros(len(s))
+        for m in range(length):
+            delta += np.where(p == m, 0.0, couplings[p, m, new, s[:, m]] - couplings[p, m, old, s[:, m]])
+        accept = np.exp(-np.clip(beta * delta, -700, 700)) > uniform_array(seed, walkers, 2 * step + 1)
+        s[at, p] = np.where(accept, new, old)
+    return s
+
+
+def metropolis(walkers: DataFrame, couplings: np.ndarray, steps: int, seed: int, first: int = 0, own: bool = False) -> DataFrame:
     """Walkers (walker_id, seq, beta) after ``steps`` steps; ``couplings`` [i, j, a, b] are broadcast once an executor.
 
-    The position of a step is shared by all walkers, the new letter is uniform and may be the old one.
+    The position of a step is shared by all walkers, or with ``own`` drawn by each; the new letter is uniform and may be the old one.
     """
     ship(walkers.sparkSession)
     shared = walkers.sparkSession.sparkContext.broadcast(couplings)
@@ -70,7 +86,7 @@ def metropolis(walkers: DataFrame, couplings: np.ndarray, steps: int, seed: int,
         for b in batches:
             if b.num_rows:
                 seqs = np.asarray(b.column(1).flatten(), np.int64).reshape(-1, length)
-                out = sweep(seqs, b.column(0).to_numpy(), b.column(2).to_numpy(), shared.value, steps, seed, first)
+                out = sweep(seqs, b.column(0).to_numpy(), b.column(2).to_numpy(), shared.value, steps, seed, first, own)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([*out.astype(np.int32)], pa.list_(pa.int32())), b.column(2)], names=["walker_id", "seq", "beta"])
 
     return walkers.select(F.col("walker_id").cast("long"), "seq", F.col("beta").cast("double")).mapInArrow(run, "walker_id long, seq array<int>, beta double")

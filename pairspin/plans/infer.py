@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -60,6 +60,25 @@ class Options:
     beta: float | None = None
     seed: int = 0
     start: str = "uniform"  # couplings: uniform (zero) or independent
+    preopt: bool = False  # Newton steps on the first sequences, before any sampling
+    tempering: tuple[float, ...] | None = None  # inverse temperatures, dealt to the walkers in turn
+    swaps: int = 128  # rounds of swaps after every ``swap_every`` steps
+    swap_every: int = 256
+    track: int = 0  # steps between snapshots of a round's sampling; 0: none
+    tracked: tuple[str, ...] = ("bim", "E")  # of bim, E, seq
+    own_positions: bool = False  # each walker draws its own position in a step
+
+    def __post_init__(self):
+        if self.tempering and self.beta is not None:
+            raise ValueError("tempering and beta exclude each other")
+        if unknown := set(self.tracked) - {"bim", "E", "seq"}:
+            raise ValueError(f"can't track {sorted(unknown)}")
+
+    @property
+    def sampled_beta(self) -> float | None:
+        """Inverse temperature of the walkers that count; None: 1, and no reweighting for it."""
+        top = max(self.tempering) if self.tempering else self.beta
+        return None if self.tempering and top == 1 else top
 
 
 @dataclass
@@ -100,20 +119,73 @@ def with_energies(walkers: DataFrame, j: np.ndarray) -> DataFrame:
     return walkers.select("walker_id", "seq", "beta").mapInArrow(run, "walker_id long, seq array<int>, beta double, e double")
 
 
-def equilibrate(spark: SparkSession, walkers: DataFrame, j: np.ndarray, seed: int, steps: int | None = None, least: int = 64, most: int = 32768, block: int = 8) -> DataFrame:
+def swapped(walkers: DataFrame, swaps: int, seed: int) -> DataFrame:
+    """Walkers with their betas after rounds of swaps; betas and energies (two numbers a walker) go through the driver."""
+    t = walkers.select("walker_id", "e", "beta").orderBy("walker_id").toArrow()
+    beta = sampling.temper(t.column(1).to_numpy(), t.column(2).to_numpy(), swaps, seed)
+    frame = walkers.sparkSession.createDataFrame(pd.DataFrame({"walker_id": t.column(0).to_numpy(), "beta": beta}))
+    return walkers.select("walker_id", "seq", "e").join(frame, "walker_id").select("walker_id", "seq", "beta", "e")
+
+
+def coldest(walkers: DataFrame) -> DataFrame:
+    """Walkers at the largest beta."""
+    return walkers.where(F.col("beta") == walkers.agg(F.max("beta")).first()[0])
+
+
+def snapshot(walkers: DataFrame, length: int, q: int, tracked: tuple[str, ...], folder: str) -> None:
+    """Of the coldest walkers bim (pair marginals), E (energies) and seq (sequences), as ``tracked`` names them; betas of all, where they differ."""
+    cold = coldest(walkers)
+    if "bim" in tracked:
+        sums, w, _, _ = weighted_bins(cold, np.zeros((length, length, q, q)), 0.0)
+        stored(walkers.sparkSession.createDataFrame(packed(np.zeros((length, length, q, q)))[KEY].assign(f=sums / w)), f"{folder}/bimarg")
+    if "E" in tracked:
+        stored(walkers.select("walker_id", "beta", "e"), f"{folder}/energies")
+    if "seq" in tracked:
+        stored(cold.select("walker_id", "seq"), f"{folder}/seqs")
+
+
+def equilibrate(
+    spark: SparkSession,
+    walkers: DataFrame,
+    j: np.ndarray,
+    seed: int,
+    steps: int | None = None,
+    least: int = 64,
+    most: int = 32768,
+    block: int = 8,
+    o: Options | None = None,
+    folder: str | None = None,
+) -> DataFrame:
     """(walker_id, seq, beta, e) after ``steps`` steps, or by rank correlation of energies.
 
     Automatic: 8 blocks, then 8, 16, 32 ... more; it stops once three snapshots are there, the last one's energies
     are uncorrelated (p > 0.02) with both before it, and ``least`` steps are done; or at ``most`` steps.
+    ``o`` tells of tempering, of positions, and of the snapshots kept in ``folder``/step_N: every ``track`` steps, or one after
+    each stretch of an automatic run.  Where steps are cut doesn't change a chain without tempering.
     """
-    length = j.shape[0]
+    o = o or Options()
+    done = 0
+
+    def on(walkers: DataFrame, end: int) -> DataFrame:
+        """To step ``end``, with swaps at each multiple of ``swap_every`` and at the end."""
+        nonlocal done
+        swaps = range((done // o.swap_every + 1) * o.swap_every, end, o.swap_every) if o.tempering else ()
+        shots = range((done // o.track + 1) * o.track, end, o.track) if o.track and steps is not None else ()
+        for at in sorted({*swaps, *shots, end}):
+            moved = sampling.metropolis(walkers, j, at - done, seed, done, o.own_positions)
+            walkers = stored(with_energies(moved, j), scratch(spark, "walkers"))
+            done = at
+            if o.tempering and (at == end or at % o.swap_every == 0):
+                walkers = stored(swapped(walkers, o.swaps, seed + at), scratch(spark, "swapped"))
+            if o.track and folder and (at % o.track == 0 if steps is not None else at == end):
+                snapshot(walkers, j.shape[0], j.shape[2], o.tracked, f"{folder}/step_{at}")
+        return walkers
+
     if steps is not None:
-        return stored(with_energies(sampling.metropolis(walkers, j, steps, seed), j), scratch(spark, "walkers"))
-    done, size, taken, snapshots = 0, 8, walkers, []
+        return on(walkers, steps)
+    size, taken, snapshots = 8, walkers, []
     while True:
-        n = size * block * length // length
-        taken = stored(with_energies(sampling.metropolis(taken, j, n, seed, done), j), scratch(spark, "walkers"))
-        done += n
+        taken = on(taken, done + size * block)
         snapshots.append(taken.select("walker_id", F.col("e").alias(f"e{len(snapshots)}")))
         if done >= most:
             return taken
@@ -129,15 +201,9 @@ def equilibrate(spark: SparkSession, walkers: DataFrame, j: np.ndarray, seed: in
 
 
 def tempered(spark: SparkSession, walkers: DataFrame, j: np.ndarray, seed: int, loops: int, steps: int, swaps: int = 128) -> DataFrame:
-    """Walkers at the largest beta after ``loops`` of sampling and swaps; betas and energies (two numbers a walker) go through the driver."""
-    for n in range(loops):
-        walkers = stored(with_energies(sampling.metropolis(walkers, j, steps, seed, n * steps), j), scratch(spark, "tempered"))
-        t = walkers.select("walker_id", "e", "beta").orderBy("walker_id").toArrow()
-        beta = sampling.temper(t.column(1).to_numpy(), t.column(2).to_numpy(), swaps, seed + n)
-        frame = spark.createDataFrame(pd.DataFrame({"walker_id": t.column(0).to_numpy(), "beta": beta}))
-        walkers = walkers.select("walker_id", "seq").join(frame, "walker_id").select("walker_id", "seq", "beta")
-    top = walkers.agg(F.max("beta")).first()[0]
-    return walkers.where(F.col("beta") == top)
+    """Walkers at the largest beta after ``loops`` of ``steps`` steps, each with ``swaps`` rounds of swaps after it."""
+    o = Options(tempering=(1.0,), swaps=swaps, swap_every=steps)
+    return coldest(equilibrate(spark, walkers, j, seed, loops * steps, o=o))
 
 
 def weighted_bins(walkers: DataFrame, dj: np.ndarray, ref: float, beta: float | None = None) -> tuple[np.ndarray, float, float, float]:
@@ -171,8 +237,11 @@ def weighted_bins(walkers: DataFrame, dj: np.ndarray, ref: float, beta: float |
     return out[:cells], float(out[cells]), float(out[cells + 1]), float(t.column(2).to_numpy()[at == -1][0])
 
 
-def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict]:
-    """Couplings after up to ``steps`` reweighted steps, which end when the effective size falls below the kept share.  The walkers are kept in executors for it."""
+def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict, np.ndarray]:
+    """Couplings after up to ``steps`` reweighted steps, which end when the effective size falls below the kept share.  The walkers are kept in executors for it.
+
+    With them the state, and the pair marginals that the reweighted walkers predict for the new couplings, in order of pairs.
+    """
     walkers = walkers.persist()
     try:
         return _newton_steps(spark, walkers, j, target, o, steps)
@@ -180,14 +249,14 @@ def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target:
         walkers.unpersist()
 
 
-def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict]:
-    length, q = j.shape[0], j.shape[2]
+def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict, np.ndarray]:
+    length, q, beta = j.shape[0], j.shape[2], o.sampled_beta
     regular = newton.regulariser(o.regulariser, q) if o.regulariser else None
     base = packed(j)
     dj = np.zeros(len(base))
-    sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), 0.0, o.beta)
-    if o.beta is not None:
-        sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), low, o.beta)
+    sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), 0.0, beta)
+    if beta is not None:
+        sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), low, beta)
     size0 = size = w * w / w2
     done = 0
     while done < steps:
@@ -199,14 +268,14 @@ def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target
         done += 1
         step = unpacked(dj, length, q)
         # the last step's least change keeps weights in range; it cancels in all that is used
-        new = weighted_bins(walkers, step, low if np.isfinite(low) else 0.0, o.beta)
+        new = weighted_bins(walkers, step, low if np.isfinite(low) else 0.0, beta)
         if not np.isfinite(new[1]) or new[1] == 0:
-            new = weighted_bins(walkers, step, new[3], o.beta)
+            new = weighted_bins(walkers, step, new[3], beta)
         sums, w, w2, low = new
         size = w * w / w2
         if size < o.keep_size * size0:
             break
-    return unpacked(base["cpl"].to_numpy() + dj, length, q), {"steps": done, "size": size, "size0": size0}
+    return unpacked(base["cpl"].to_numpy() + dj, length, q), {"steps": done, "size": size, "size0": size0}, sums / w
 
 
 def reseeded(spark: SparkSession, walkers: DataFrame, policy: str, o: Options, uni: list[list[float]], round_: int, msa: DataFrame | None = None) -> DataFrame:
@@ -231,14 +300,18 @@ def reseeded(spark: SparkSession, walkers: DataFrame, policy: str, o: Options, u
             "single_indep": lambda: sampling.independent_sequences(spark, 1, uni, o.seed + round_),
         }[policy]().first()
         new = spark.range(o.walkers).select(F.col("id").alias("seq_id"), F.array(*map(F.lit, one.seq)).alias("seq"))
-    return new.select(F.col("seq_id").alias("walker_id"), "seq", F.lit(float(o.beta or 1.0)).alias("beta"))
+    betas = o.tempering or (o.beta or 1.0,)
+    beta = F.element_at(F.array(*(F.lit(float(b)) for b in betas)), (F.pmod("seq_id", F.lit(len(betas))) + 1).cast("int"))
+    return new.select(F.col("seq_id").alias("walker_id"), "seq", beta.alias("beta"))
 
 
 def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options | None = None, folder: str | None = None, msa: DataFrame | None = None, couplings: DataFrame | None = None) -> Fit:
     """Couplings whose pair marginals are ``target``'s.
 
-    ``folder`` keeps of each round ``run_NN``: couplings, walkers (with energies), bimarg (the walkers' pair marginals, before the
-    round's steps) and state.  A fit that finds rounds there goes on after the last one as it would have without the break.
+    ``folder`` keeps of each round ``run_NN``: couplings, walkers (with energies; of a tempered run all, of which the coldest count), bimarg
+    (the walkers' pair marginals, before the round's steps), predicted (those expected after them), state, and equilibration (the
+    snapshots, if tracked).  With ``Options.preopt`` the rounds begin after Newton steps on ``msa``, or else on sequences of the
+    reseeding policy; ``preopt`` then holds the same tables.  A fit that finds rounds there goes on after the last one as it would have without the break.
     ``couplings`` (i, j, a, b, cpl), such as a stored round's, begin the first round in place of ``Options.start``.
     """
     from ..operators import gauge
@@ -260,34 +333,65 @@ def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options
         j = scores.coupling_array(gauge.independent_model(to_unimarg(target).where("f > 0"), zero, length), length, q)
     else:
         j = np.zeros((length, length, q, q))
+    if o.preopt and not log:
+        if not _ended(spark, f"{folder}/preopt"):
+            policy = "msa" if msa is not None else o.reseed if o.reseed in ("uniform", "single_indep") else "independent"
+            first = stored(with_energies(reseeded(spark, None, policy, replace(o, beta=None, tempering=None), uni, 0, msa), j), f"{folder}/preopt/walkers")
+            _bimarg_of(spark, first, j, f"{folder}/preopt")
+            j, state, predicted = newton_steps(spark, first, j, t, replace(o, beta=None, tempering=None), o.newton_steps)
+            _keep(spark, j, predicted, state, o, f"{folder}/preopt")
+        j = scores.coupling_array(spark.read.parquet(f"{folder}/preopt/couplings"), length, q)
     walkers = spark.read.parquet(f"{folder}/run_{len(log) - 1:02d}/walkers") if log else None
     budget, worst = log[-1]["budget"] if log else o.newton_steps, [state["ssr"] for state in log]
     for n in range(len(log), o.rounds):
         policy = o.reseed if n or o.reseed == "msa" else "independent" if o.reseed == "none" else o.reseed
         if walkers is None and policy in ("single_best", "single_random", "none"):
             policy = "independent"
-        start = reseeded(spark, walkers, policy, o, uni, n, msa)
-        walkers = stored(equilibrate(spark, start, j, o.seed + 7919 * n, o.equilibration, o.min_equilibration, o.max_equilibration), f"{folder}/run_{n:02d}/walkers")
-        sums, w, _, _ = weighted_bins(walkers, np.zeros_like(j), 0.0)
-        stored(spark.createDataFrame(packed(j)[KEY].assign(f=sums / w)), f"{folder}/run_{n:02d}/bimarg")
-        ssr = float(((sums / w - t) ** 2).sum())
+        run = f"{folder}/run_{n:02d}"
+        seeds = coldest(walkers) if walkers is not None and o.tempering and policy != "none" else walkers
+        start = reseeded(spark, seeds, policy, o, uni, n, msa)
+        sampled = equilibrate(spark, start, j, o.seed + 7919 * n, o.equilibration, o.min_equilibration, o.max_equilibration, o=o, folder=f"{run}/equilibration")
+        walkers = stored(sampled, f"{run}/walkers")
+        cold = coldest(walkers) if o.tempering else walkers
+        ssr = float(((_bimarg_of(spark, cold, j, run) - t) ** 2).sum())
         if len(worst) >= 1 and ssr > (worst[-1] + min(worst)) / 2:
             budget = max(o.newton_delta, budget - int(1.5 * o.newton_delta))
         worst.append(ssr)
-        j, state = newton_steps(spark, walkers, j, t, o, budget)
+        j, state, predicted = newton_steps(spark, cold, j, t, o, budget)
         budget = min(2048, max(o.newton_delta, state["steps"]) + o.newton_delta)
         state |= {"round": n, "ssr": ssr, "budget": budget}
         log.append(state)
-        stored(spark.createDataFrame(packed(j)), f"{folder}/run_{n:02d}/couplings")
-        spark.createDataFrame([(json.dumps(state | {"options": asdict(o)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/run_{n:02d}/state")
+        _keep(spark, j, predicted, state, o, run)
     return Fit(spark.createDataFrame(packed(j)), log)
 
 
+def _bimarg_of(spark: SparkSession, walkers: DataFrame, j: np.ndarray, folder: str) -> np.ndarray:
+    """Pair marginals of the walkers in order of pairs, which are stored."""
+    sums, w, _, _ = weighted_bins(walkers, np.zeros_like(j), 0.0)
+    stored(spark.createDataFrame(packed(j)[KEY].assign(f=sums / w)), f"{folder}/bimarg")
+    return sums / w
+
+
+def _keep(spark: SparkSession, j: np.ndarray, predicted: np.ndarray, state: dict, o: Options, folder: str) -> None:
+    """Stores what a round found; the state comes last."""
+    table = packed(j)
+    stored(spark.createDataFrame(table[KEY].assign(f=predicted)), f"{folder}/predicted")
+    stored(spark.createDataFrame(table), f"{folder}/couplings")
+    spark.createDataFrame([(json.dumps(state | {"options": asdict(o)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/state")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _ended(spark: SparkSession, folder: str) -> bool:
+    return exists(spark, f"{folder}/state/_SUCCESS")
+
+
 def _rounds(spark: SparkSession, folder: str) -> list[dict]:
     """States of the finished rounds in ``folder``, in order; a round counts once its state is there."""
     out: list[dict] = []
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    while store.exists(path(f"{folder}/run_{len(out):02d}/state/_SUCCESS")):
+    while _ended(spark, f"{folder}/run_{len(out):02d}"):
         out.append(json.loads(spark.read.text(f"{folder}/run_{len(out):02d}/state").first().value))
     return out

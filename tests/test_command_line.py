@@ -22,6 +22,10 @@ def test_modes(spark, sf, tmp_path, capsys):
     assert np.fromfile(at("s.bin"), "f4").shape == (144,)
     main(["gen", j, at("gen"), "--nwalkers", "300", "--equiltime", "8"])
     assert spark.read.parquet(at("gen/walkers")).count() == 300
+    main(["gen", at("fit/run_00"), at("cold"), "--nwalkers", "300", "--equiltime", "8", "--tempering", "1,0.5,0.2", "--swapevery", "4", "--ownpositions", "--trackequil", "4", "--tracked", "E"])
+    assert spark.read.parquet(at("cold/walkers")).count() == 100 and spark.read.parquet(at("cold/equilibration/step_4/energies")).count() == 300
+    main(["infer", at("pc"), at("fit2"), "--nwalkers", "200", "--mcsteps", "1", "--newtonsteps", "2", "--equiltime", "8", "--couplings", at("fit/run_00"), "--seqs", at("m"), "--alpha", "ABCD", "--preopt", "--reseed", "msa"])
+    assert spark.read.parquet(at("fit2/preopt/walkers")).count() == 200
     main(["benchmark", j, "--nwalkers", "100", "--nsteps", "8"])
     assert "mc_steps_per_second" in capsys.readouterr().out
     (tmp_path / "map").write_text("ALPHA2 AB CD\n" * 12)

@@ -206,3 +206,70 @@ def test_random_numbers():
 def test_rank_p_values():
     assert abs(spearman_p(0.5, 20) - 0.0247696) < 1e-6
     assert spearman_p(1.0, 10) == 0.0 and spearman_p(0.0, 10) == 1.0
+
+
+def test_pre_optimisation_tempering_and_snapshots(spark, tmp_path):
+    m = sampling.uniform_sequences(spark, 300, L, Q, 2)
+    target = marginals.pc_constant(marginals.bimarg(m, L, Q), 0.01)
+    o = infer.Options(walkers=600, rounds=1, equilibration=8, newton_steps=2, preopt=True, reseed="none", tempering=(1.0, 0.8, 0.5), swap_every=4, track=8, tracked=("bim", "E", "seq"))
+    whole = infer.fit(spark, target, L, Q, o, str(tmp_path / "a"), m)
+    at = lambda x: spark.read.parquet(str(tmp_path / "a" / x))
+    assert at("preopt/walkers").count() == 600 and at("preopt/couplings").where("cpl <> 0").count() > 0
+    walkers = at("run_00/walkers")
+    assert {(r.beta, r.n) for r in walkers.groupBy("beta").agg(F.count("*").alias("n")).collect()} == {(1.0, 200), (0.8, 200), (0.5, 200)}
+    cold = marginals.bimarg(infer.coldest(walkers), L, Q)
+    got = cold.join(at("run_00/bimarg").withColumnRenamed("f", "g"), ["i", "j", "a", "b"])
+    assert got.count() == 6 * 9 and got.where("abs(f - g) > 1e-9").count() == 0
+    for shot in ("run_00/equilibration/step_8",):
+        assert at(f"{shot}/bimarg").count() == 6 * 9 and at(f"{shot}/energies").count() == 600 and at(f"{shot}/seqs").count() == 200
+    assert at("run_00/predicted").groupBy("i", "j").agg(F.sum("f").alias("f")).where("abs(f - 1) > 1e-9").count() == 0
+    # broken off after its pre-optimisation, it goes on alike
+    for rounds in (0, 1):
+        o.rounds = rounds
+        parts = infer.fit(spark, target, L, Q, o, str(tmp_path / "b"), m)
+    a, b = (f.couplings.orderBy("i", "j", "a", "b").toPandas()["cpl"].to_numpy() for f in (whole, parts))
+    assert np.allclose(a, b)
+
+
+def test_sampling_options():
+    with pytest.raises(ValueError):
+        infer.Options(beta=1.0, tempering=(1.0, 0.5))
+    with pytest.raises(ValueError):
+        infer.Options(tracked=("energy",))
+    assert infer.Options(tempering=(1.0, 0.5)).sampled_beta is None and infer.Options(tempering=(0.9, 0.5)).sampled_beta == 0.9
+
+
+@pytest.mark.parametrize("swaps", [False, True])
+def test_tempered_and_own_positions_reach_the_distribution(spark, swaps):
+    j = scores.coupling_array(fx.couplings(spark, L, Q), L, Q)
+    all_ = np.array([*product(range(Q), repeat=L)])
+    p = np.exp(-np.array([sum(j[a, b, s[a], s[b]] for a in range(L) for b in range(a + 1, L)) for s in all_]))
+    o = infer.Options(walkers=12000, own_positions=not swaps, tempering=(1.0, 0.5) if swaps else None, swap_every=40)
+    start = infer.reseeded(spark, None, "uniform", o, [[1 / Q] * Q] * L, 0)
+    found = infer.coldest(infer.equilibrate(spark, start, j, 5, 120, o=o))
+    n = {tuple(r.seq): r.n for r in found.groupBy("seq").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    assert total == (6000 if swaps else 12000)
+    share = np.array([n.get(tuple(s), 0) for s in all_]) / total
+    assert np.abs(share - p / p.sum()).sum() < (0.12 if swaps else 0.09)
+
+
+def test_cuts_do_not_change_chains(spark):
+    j = scores.coupling_array(fx.couplings(spark, L, Q), L, Q)
+    start = infer.reseeded(spark, None, "uniform", infer.Options(walkers=200), [[1 / Q] * Q] * L, 0)
+    for own in (False, True):
+        whole = sampling.metropolis(start, j, 20, 3, 0, own)
+        cut = sampling.metropolis(sampling.metropolis(start.repartition(3), j, 9, 3, 0, own), j, 11, 3, 9, own)
+        assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_ranks_over_ranges(spark):
+    from pairspin.functions.numerics import ranked, spearman
+
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random(600) < 0.4, 1.5, rng.integers(-40, 40, 600)).astype(float)
+    df = spark.createDataFrame([(float(v), float(w)) for v, w in zip(x, x + rng.normal(size=600), strict=True)], "x double, y double")
+    got = {r.x: r.r for r in ranked(df, "x", "r").collect()}
+    assert all(got[v] == (x < v).sum() + ((x == v).sum() + 1) / 2 for v in set(x))
+    assert spearman(df, "x", "y").first().n == 600
+    assert spearman(df.limit(0), "x", "y").first().n == 0
