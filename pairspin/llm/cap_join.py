@@ -2,13 +2,14 @@
 
 A filter is a direction; a vector belongs to it if their inner product exceeds a height.  Directions are the
 words of random product codes: after a rotation, coordinates fall into blocks, each block has m random
-unit vectors, and a filter is one choice in each block (m^blocks filters).  The height is the vector's own: that which
-``LIST`` filters of a code exceed.  Decoding finds them without looking at all directions, since the best
-sums of two blocks are made of the best of each.  Vectors that share a filter are compared exactly.
+unit vectors, and a filter is one choice in each block (m^blocks filters).  A vector is listed in every filter above
+one height; where fewer than a stated number are above it, the height comes down to that many.  Decoding goes through the
+blocks and leaves what the best of the blocks to come can't lift over the height.  Vectors that share a filter are compared exactly.
 
-m follows from the number of distinct vectors, so that a filter has about ``SHARE`` unrelated vectors at any
-size.  At cosine 0.95 about half of the filters are shared; all of both codes' lists differ for less than
-one pair in a thousand (a test measures it), and for far fewer at higher cosines.
+Height and m follow from the coordinates and the number of distinct vectors.  A filter has about ``SHARE`` unrelated vectors, or more where few coordinates
+would let near vectors share less than ``LEAST_SHARED`` of their filters; lists are as long as it takes for ``SHARED`` common
+filters to be expected at the threshold, so that less than one pair in a thousand has none (a test measures it at several sizes),
+and far fewer at higher cosines.
 
 Equal vectors are one vector with a multiplicity.  A filter's vectors meet in one task; filters of more than
 ``CELL_ROWS`` vectors are cut in chunks, and pairs of chunks are tasks of their own.  A link is counted
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ._shared import components, materialize, runs, ship, table
 
-#: Codes, filters of a vector under each, and unrelated vectors of a filter.
-CODES, LIST, SHARE = 2, 12, 12
+#: Codes, unrelated vectors of a filter, filters expected in common at the threshold, and the least share of a list that is.
+CODES, SHARE, SHARED, LEAST_SHARED = 2, 12, 11, 0.35
 CELL_ROWS = 16_384
 #: Linked pairs of a step that are told apart one by one; more of them by matrices.
 PAIRS = 200_000
@@ -42,12 +43,35 @@ def valid(v: Column) -> Column:
     return F.coalesce(finite & (F.size(v) > 0) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(maxsize=8)
+def heights(dim: int, n: int, cosine: float) -> tuple[float, float, int]:
+    """(share of all filters above the height, height, filters of a vector under a code) for ``n`` distinct vectors."""
+    dim = max(dim, 3)
+    t = np.linspace(-1, 1, 20001)[1:-1]
+    # a coordinate of a random direction; and, given it, one across
+    along = np.exp((dim - 3) / 2 * np.log1p(-t * t))
+    across = np.exp((dim - 4) / 2 * np.log1p(-t * t))
+    above, beyond = 1 - np.cumsum(along) / along.sum(), 1 - np.cumsum(across) / across.sum()
+    unrelated = SHARE / max(n, 1024)
+    for p in sorted({unrelated, *(q for q in np.geomspace(1e-9, 0.1, 81) if q > unrelated)}):
+        k = min(int(np.searchsorted(-above, -p)), len(t) - 1)
+        need = (t[k] - cosine * t[k:]) / np.sqrt((1 - cosine**2) * (1 - t[k:] ** 2))
+        common = float((along[k:] * np.interp(need, t, beyond, left=1, right=0)).sum() / along[k:].sum())
+        if common >= LEAST_SHARED:
+            break
+    return float(p), float(t[k]), int(np.ceil(SHARED / CODES / max(common, LEAST_SHARED)))
+
+
 class ProductCode:
     """The filters for ``dim`` coordinates and ``n`` distinct vectors; the same in every process."""
 
-    def __init__(self, dim: int, n: int, seed: int):
-        filters = max(n, 1024) * LIST / SHARE
-        blocks = next(b for b in range(1, 9) if b == min(8, dim) or (b > 1 and filters ** (1 / b) <= 1200))
+    def __init__(self, dim: int, n: int, cosine: float, seed: int):
+        share, self.height, self.least = heights(dim, n, cosine)
+        filters = self.least / share if dim > 1 else 2
+        # blocks of four coordinates at least: words of fewer lie too unevenly
+        blocks = next(b for b in range(1, 9) if filters ** (1 / b) <= 2000 or b >= dim // 4)
+        # filters of three blocks or more have many words in common, so it takes more of them
+        self.least *= max(1, blocks - 1)
         self.m = max(2, int(np.ceil(filters ** (1 / blocks))))
         rng = np.random.default_rng([seed, dim])
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
@@ -58,31 +82,53 @@ class ProductCode:
             # a block's share of the direction's length is its share of the coordinates
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) * sqrt((b - a) / dim))
 
-    def decode(self, unit: np.ndarray) -> np.ndarray:
-        """Numbers of the ``LIST`` best filters of each row of ``unit`` (rows of length one), ascending."""
+    def _own_height(self, scores: list[np.ndarray]) -> np.ndarray:
+        """The height, or where fewer than ``least`` filters are above it, the score of the last of so many best."""
+        total = np.zeros((len(scores[0]), 1))
+        for s in scores:
+            # the best sums are made of the best of each block
+            best = -np.partition(-s, min(self.least, self.m) - 1, axis=1)[:, : self.least]
+            sums = (total[:, :, None] + best[:, None, :]).reshape(len(s), -1)
+            total = -np.partition(-sums, min(self.least, sums.shape[1]) - 1, axis=1)[:, : self.least]
+        return np.minimum(self.height, total.min(1))
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of every filter above the height of each row of ``unit`` (rows of length one)."""
         turned = unit @ self.rotation
-        number, total = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
-        for a, b, w in zip(self.cuts[:-1], self.cuts[1:], self.words, strict=True):
-            scores = turned[:, a:b] @ w.T
-            best = np.argpartition(-scores, min(LIST, self.m) - 1, axis=1)[:, :LIST]
-            sums = (total[:, :, None] + np.take_along_axis(scores, best, 1)[:, None, :]).reshape(len(unit), -1)
-            numbers = (number[:, :, None] * self.m + best[:, None, :]).reshape(len(unit), -1)
-            top = np.argpartition(-sums, min(LIST, sums.shape[1]) - 1, axis=1)[:, :LIST]
-            number, total = np.take_along_axis(numbers, top, 1), np.take_along_axis(sums, top, 1)
-        return np.sort(number, axis=1)
+        scores = [turned[:, a:b] @ w.T for a, b, w in zip(self.cuts[:-1], self.cuts[1:], self.words, strict=True)]
+        height = self._own_height(scores) - 1e-12
+        tops = np.stack([s.max(1) for s in scores])
+        row, number, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
+        for k, s in enumerate(scores):
+            sums = total[:, None] + s[row]
+            i, j = np.nonzero(sums >= (height - tops[k + 1 :].sum(0))[row, None])
+            row, number, total = row[i], number[i] * self.m + j, sums[i, j]
+        return row, number
 
 
 @lru_cache(maxsize=8)
-def product_codes(dim: int, n: int) -> list[ProductCode]:
-    return [ProductCode(dim, n, seed) for seed in range(CODES)]
+def product_codes(dim: int, n: int, cosine: float) -> list[ProductCode]:
+    return [ProductCode(dim, n, cosine, seed) for seed in range(CODES)]
 
 
-def filter_lists(unit: np.ndarray, n: int) -> np.ndarray:
+def filter_lists(unit: np.ndarray, n: int, cosine: float) -> pa.ListArray:
     """Filters of each row under all codes, ascending; numbers of different codes differ."""
-    return np.concatenate([(k << 58) + code.decode(unit) for k, code in enumerate(product_codes(unit.shape[1], n))], axis=1)
+    found = [(row, (k << 58) + number) for k, code in enumerate(product_codes(unit.shape[1], n, cosine)) for row, number in [code.decode(unit)]]
+    row, number = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((number, row))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(unit)))])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(number[order]))
+
+
+def padded(lists: pa.ListArray) -> np.ndarray:
+    """A row for each list, filled up with -1."""
+    sizes = np.diff(np.asarray(lists.offsets))
+    out = np.full((len(lists), sizes.max(initial=0)), -1, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.asarray(lists.flatten())
+    return out
 
 
-def _filters(classes: DataFrame, n: int) -> DataFrame:
+def _filters(classes: DataFrame, n: int, least: float) -> DataFrame:
     """A row (dim, node, mult, list, vec) for each vector; ``list`` has its filters, ``vec`` is raw bytes of the given precision."""
     schema = pa.schema([("dim", pa.int32()), ("node", pa.int64()), ("mult", pa.int64()), ("list", pa.list_(pa.int64())), ("vec", pa.binary())])
     kind = _kind(classes)
@@ -96,14 +142,13 @@ def _filters(classes: DataFrame, n: int) -> DataFrame:
             ends = np.cumsum(sizes)
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
-                for part in np.array_split(rows, -(-len(rows) // 2000)):
+                for part in np.array_split(rows, -(-len(rows) // 500)):
                     x = np.stack([flat[ends[k] - dim : ends[k]] for k in part])
                     # scaled first, so that no square overflows or vanishes
                     unit = x / np.abs(x).max(1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    lists = filter_lists(unit, n)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), dim, np.int32)), pa.array([nodes[k] for k in part]), pa.array([mults[k] for k in part]), pa.array([*lists], pa.list_(pa.int64())), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())],
+                        [pa.array(np.full(len(part), dim, np.int32)), pa.array([nodes[k] for k in part]), pa.array([mults[k] for k in part]), filter_lists(unit, n, least), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())],
                         schema=schema,
                     )
 
@@ -116,18 +161,19 @@ def _kind(classes: DataFrame) -> type:
 
 
 def _parted(linked: np.ndarray, at: int, lists: np.ndarray, number: int) -> None:
-    """Strike out pairs (row at.., column) of ``linked`` whose lists share a filter before ``number``, in bounded memory."""
+    """Strike out pairs (row at.., column) of ``linked`` whose ``padded`` lists share a filter before ``number``, in bounded memory."""
     i, j = np.nonzero(linked)
     if len(i) <= PAIRS:
-        for a in range(0, len(i), 20_000):
-            x, y = lists[at + i[a : a + 20_000]], lists[j[a : a + 20_000]]
-            met = ((x[:, :, None] == y[:, None, :]) & (x < number)[:, :, None]).any((1, 2))
-            linked[i[a : a + 20_000][met], j[a : a + 20_000][met]] = False
+        some = max(1, 12_000_000 // lists.shape[1] ** 2)
+        for a in range(0, len(i), some):
+            x, y = lists[at + i[a : a + some]], lists[j[a : a + some]]
+            met = ((x[:, :, None] == y[:, None, :]) & ((x >= 0) & (x < number))[:, :, None]).any((1, 2))
+            linked[i[a : a + some][met], j[a : a + some][met]] = False
         return
     # many links: columns of a membership matrix, some hundred filters at a time
     names, column, times = np.unique(lists, return_inverse=True, return_counts=True)
     column = column.reshape(lists.shape)
-    shared = np.flatnonzero((times > 1) & (names < number))
+    shared = np.flatnonzero((times > 1) & (names >= 0) & (names < number))
     place = np.full(len(names), -1)
     place[shared] = np.arange(len(shared))
     row, of = np.repeat(np.arange(len(lists)), lists.shape[1]), place[column.ravel()]
@@ -173,7 +219,7 @@ def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.nd
 
 def links(classes: DataFrame, n: int, least: float) -> DataFrame:
     """Rows (u, -1, links) with parts of a vector's count, and (u, v, 0) edges, of vectors (node, mult, vec)."""
-    rows = materialize(_filters(classes, n), "cap-filters").withColumn("filter", F.explode("list"))
+    rows = materialize(_filters(classes, n, least), "cap-filters").withColumn("filter", F.explode("list"))
     kind = _kind(classes)
     sizes = rows.groupBy("dim", "filter").agg(F.count("*").alias("size")).where(F.col("size") > CELL_ROWS)
     if sizes.limit(1).count():
@@ -192,7 +238,7 @@ def links(classes: DataFrame, n: int, least: float) -> DataFrame:
             packed, raw = t.column(7), t.column(8)
 
             def cell(s: int, e: int) -> Iterator[tuple[np.ndarray, ...]]:
-                lists = np.asarray(packed.slice(s, e - s).combine_chunks().flatten()).reshape(e - s, -1)
+                lists = padded(pa.concat_arrays(packed.slice(s, e - s).chunks))
                 vecs = np.frombuffer(b"".join(raw.slice(s, e - s).to_pylist()), kind).reshape(e - s, -1).astype(np.float64)
                 return _compare(number[s], left[s], right[s], node[s:e], mult[s:e], chunk[s:e], lists, vecs, least)
 

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -205,17 +206,44 @@ def test_cap_join_empty(spark):
     assert cap_join.near_duplicates(vectors(spark, [])).count() == 0
 
 
-def test_cap_filters_find_what_is_near():
+@pytest.mark.parametrize("dim, n", [(2, 2000), (3, 1_000_000), (8, 2000), (8, 1_000_000), (16, 1_000_000), (64, 10_000), (64, 1_000_000), (64, 100_000_000)])
+def test_cap_filters_find_what_is_near(dim, n):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((4000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((4000, 64))
+    z = rng.standard_normal((4000, dim))
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z
-    for n in (10_000, 1_000_000):
-        a, b = cap_join.filter_lists(x, n), cap_join.filter_lists(y, n)
-        assert np.mean([not set(p) & set(q) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) < 0.001
+    a, b = ([r for s in np.array_split(v, 10) for r in cap_join.filter_lists(s, n, 0.95).to_pylist()] for v in (x, y))
+    assert np.mean([not set(p) & set(q) for p, q in zip(a, b, strict=True)]) <= 0.001
+
+
+@pytest.mark.parametrize("dim, n", [(1, 5), (3, 1000), (64, 10_000), (12, 10**9)])
+def test_cap_filters_are_all_above_the_height(dim, n):
+    x = np.random.default_rng(1).standard_normal((50, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = cap_join.ProductCode(dim, n, 0.95, 0)
+    row, number = code.decode(x)
+    scores = np.zeros((len(x), 1))
+    for a, b, w in zip(code.cuts[:-1], code.cuts[1:], code.words, strict=True):
+        if code.m ** len(code.words) > 3_000_000:
+            # too many to look at all: the scores of those listed, and the least number of them
+            break
+        scores = (scores[:, :, None] + ((x @ code.rotation)[:, a:b] @ w.T)[:, None, :]).reshape(len(x), -1)
+    else:
+        least = -np.sort(-scores, axis=1)[:, min(code.least, scores.shape[1]) - 1]
+        want = scores >= np.minimum(code.height, least)[:, None] - 1e-12
+        got = np.zeros_like(want)
+        got[row, number] = True
+        assert (got == want).all()
+    assert (np.bincount(row, minlength=50) >= min(code.least, code.m ** len(code.words))).all()
+
+
+def test_cap_lists_are_padded():
+    lists = pa.array([[1, 5], [], [2, 3, 9]], pa.list_(pa.int64()))
+    assert cap_join.padded(lists).tolist() == [[1, 5, -1], [-1, -1, -1], [2, 3, 9]]
+    assert cap_join.padded(lists.slice(1)).tolist() == [[-1, -1, -1], [2, 3, 9]]
 
 
 def test_ann_recall(spark):
@@ -644,8 +672,8 @@ def test_ann_of_several_sizes_and_lengths(spark):
 
 def test_cap_join_tells_pairs_apart_by_both_ways(monkeypatch):
     rng = np.random.default_rng(4)
-    lists = np.sort(rng.integers(0, 40, (60, 6)), axis=1)
-    want = np.array([[not set(a[a < 20]) & set(b[b < 20]) for b in lists] for a in lists[10:30]])
+    lists = np.sort(rng.integers(-1, 40, (60, 6)), axis=1)
+    want = np.array([[not set(a[(a >= 0) & (a < 20)]) & set(b[(b >= 0) & (b < 20)]) for b in lists] for a in lists[10:30]])
     for most in (0, 10**6):
         monkeypatch.setattr(cap_join, "PAIRS", most)
         linked = np.ones((20, 60), bool)
