@@ -33,8 +33,8 @@ from ._shared import components, materialize, runs, ship, table
 #: Codes, unrelated vectors of a filter, filters expected in common at the threshold, and the least share of a list that is.
 CODES, SHARE, SHARED, LEAST_SHARED = 2, 12, 11, 0.35
 CELL_ROWS = 16_384
-#: Linked pairs of a step that are told apart one by one; more of them by matrices.
-PAIRS = 200_000
+#: Cost of a comparison of filter numbers, against one multiplication in a matrix product.
+COMPARISON = 20
 
 
 def valid(v: Column) -> Column:
@@ -163,29 +163,36 @@ def _kind(classes: DataFrame) -> type:
 def _parted(linked: np.ndarray, at: int, lists: np.ndarray, number: int) -> None:
     """Strike out pairs (row at.., column) of ``linked`` whose ``padded`` lists share a filter before ``number``, in bounded memory."""
     i, j = np.nonzero(linked)
-    if len(i) <= PAIRS:
-        some = max(1, 12_000_000 // lists.shape[1] ** 2)
+    rows = np.unique(np.concatenate([at + i, j]))
+    names, column, times = np.unique(np.where(lists[rows] < number, lists[rows], -1), return_inverse=True, return_counts=True)
+    common = np.flatnonzero((times > 1) & (names >= 0))
+    if not len(common):
+        return
+    # only filters that two of these rows have, numbered from 0, in front
+    place = np.full(len(names), -1)
+    place[common] = np.arange(len(common))
+    of = -np.sort(-place[column.reshape(len(rows), -1)], axis=1)
+    of = of[:, : int((of >= 0).sum(1).max())]
+    left, right = np.searchsorted(rows, at + i), np.searchsorted(rows, j)
+    who = np.unique(i)
+    if len(i) * of.shape[1] ** 2 * COMPARISON <= len(who) * len(rows) * len(common):
+        some = max(1, 12_000_000 // of.shape[1] ** 2)
         for a in range(0, len(i), some):
-            x, y = lists[at + i[a : a + some]], lists[j[a : a + some]]
-            met = ((x[:, :, None] == y[:, None, :]) & ((x >= 0) & (x < number))[:, :, None]).any((1, 2))
+            x, y = of[left[a : a + some]], of[right[a : a + some]]
+            met = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any((1, 2))
             linked[i[a : a + some][met], j[a : a + some][met]] = False
         return
     # many links: columns of a membership matrix, some hundred filters at a time
-    names, column, times = np.unique(lists, return_inverse=True, return_counts=True)
-    column = column.reshape(lists.shape)
-    shared = np.flatnonzero((times > 1) & (names >= 0) & (names < number))
-    place = np.full(len(names), -1)
-    place[shared] = np.arange(len(shared))
-    row, of = np.repeat(np.arange(len(lists)), lists.shape[1]), place[column.ravel()]
-    width = max(64, 8_000_000 // len(lists))
-    for a in range(0, len(shared), width):
-        member = np.zeros((len(lists), width), np.float32)
-        here = (of >= a) & (of < a + width)
-        member[row[here], of[here] - a] = 1
-        linked &= (member[at : at + len(linked)] @ member.T) == 0
+    row, flat = np.repeat(np.arange(len(rows)), of.shape[1]), of.ravel()
+    width = max(64, 8_000_000 // len(rows))
+    for a in range(0, len(common), width):
+        member = np.zeros((len(rows), min(width, len(common) - a)), np.float32)
+        here = (flat >= a) & (flat < a + width)
+        member[row[here], flat[here] - a] = 1
+        linked[np.ix_(who, rows)] &= (member[np.searchsorted(rows, at + who)] @ member.T) == 0
 
 
-def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.ndarray, chunks: np.ndarray, lists: np.ndarray, vecs: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.ndarray, chunks: np.ndarray, lists: pa.ListArray, vecs: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Counts and spanning edges of one filter's cell (chunk ``left`` against ``right``)."""
     n = len(nodes)
     if n < 2:
@@ -196,6 +203,7 @@ def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.nd
     root = np.arange(n)
     edges: list[tuple[int, int]] = []
     step = max(1, 4_000_000 // n)
+    wide = None
     for a in range(0, n, step):
         linked = unit[a : a + step] @ unit.T >= least
         linked[np.arange(len(linked)), np.arange(a, a + len(linked))] = False
@@ -203,7 +211,8 @@ def _compare(number: int, left: int, right: int, nodes: np.ndarray, mults: np.nd
             linked &= chunks[a : a + step, None] != chunks[None, :]
         if not linked.any():
             continue
-        _parted(linked, a, lists, number)
+        wide = padded(lists) if wide is None else wide
+        _parted(linked, a, wide, number)
         count[a : a + step] = linked @ mults
         for k in np.flatnonzero(linked.any(1)).tolist():
             met = np.unique(root[np.flatnonzero(linked[k])])
@@ -238,7 +247,7 @@ def links(classes: DataFrame, n: int, least: float) -> DataFrame:
             packed, raw = t.column(7), t.column(8)
 
             def cell(s: int, e: int) -> Iterator[tuple[np.ndarray, ...]]:
-                lists = padded(pa.concat_arrays(packed.slice(s, e - s).chunks))
+                lists = packed.slice(s, e - s).combine_chunks()
                 vecs = np.frombuffer(b"".join(raw.slice(s, e - s).to_pylist()), kind).reshape(e - s, -1).astype(np.float64)
                 return _compare(number[s], left[s], right[s], node[s:e], mult[s:e], chunk[s:e], lists, vecs, least)
 

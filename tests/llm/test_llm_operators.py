@@ -675,7 +675,7 @@ def test_cap_join_tells_pairs_apart_by_both_ways(monkeypatch):
     lists = np.sort(rng.integers(-1, 40, (60, 6)), axis=1)
     want = np.array([[not set(a[(a >= 0) & (a < 20)]) & set(b[(b >= 0) & (b < 20)]) for b in lists] for a in lists[10:30]])
     for most in (0, 10**6):
-        monkeypatch.setattr(cap_join, "PAIRS", most)
+        monkeypatch.setattr(cap_join, "COMPARISON", most)
         linked = np.ones((20, 60), bool)
         cap_join._parted(linked, 10, lists, 20)
         assert (linked == want).all()
