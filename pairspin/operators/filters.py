@@ -60,7 +60,7 @@ def first_rows(msa: DataFrame, n: int) -> DataFrame:
 
 def repeated(msa: DataFrame, n: int, rows: int) -> DataFrame:
     """n rows: each of ``rows`` sequences is repeated in place, and the end is cut off; (place, seq_id, seq)."""
-    times = -(-n // rows)
+    times = -(-n // max(rows, 1))
     x = msa.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("copy")).orderBy("seq_id", "copy").limit(n)
     return x.select("seq_id", "copy", "seq")
 

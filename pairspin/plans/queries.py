@@ -260,8 +260,8 @@ query("gap_filter_cols", sql(f"SELECT pos, {r('avg(CAST(seq[pos+1] = 0 AS INT))'
 )
 query("gap_filter_rows", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE len(list_filter(seq, lambda x: x = 0)) / CAST(12.0 AS DOUBLE) < 0.2", "mb"))(lambda s, d: _text(filters.drop_gapped_rows(msa_b(s, d), L, 0.2)))
 query("select_columns", sql("SELECT seq_id, array_to_string([seq[1], seq[4], seq[12]], '') AS seq FROM mb", "mb"))(lambda s, d: _text(filters.select_columns(msa_b(s, d), [0, 3, 11])))
-query("repeat_seqs", sql("SELECT seq_id, copy, seq FROM (SELECT seq_id, CAST(k AS INT) AS copy, array_to_string(seq, '') AS seq, row_number() OVER (ORDER BY seq_id, k) AS n FROM mb, range((SELECT CAST(ceil(1203.0 / count(*)) AS BIGINT) FROM mb)) t(k)) WHERE n <= 1203", "mb"))(
-    lambda s, d: (lambda m: filters.repeated(m, 1203, m.count()).select("seq_id", "copy", F.concat_ws("", F.col("seq").cast("array<string>")).alias("seq")))(msa_b(s, d))
+query("repeat_seqs", sql("SELECT seq_id, copy, seq FROM (SELECT seq_id, CAST(k AS INT) AS copy, array_to_string(seq, '') AS seq, row_number() OVER (ORDER BY seq_id, k) AS n FROM mb, range((SELECT CAST(ceil((2.0 * count(*) + 3) / greatest(count(*), 1)) AS BIGINT) FROM mb)) t(k)) WHERE n <= (SELECT 2 * count(*) + 3 FROM mb)", "mb"))(
+    lambda s, d: (lambda m, n: filters.repeated(m, 2 * n + 3, n).select("seq_id", "copy", F.concat_ws("", F.col("seq").cast("array<string>")).alias("seq")))(msa_b(s, d), msa_b(s, d).count())
 )
 query("copy_subseq", sql("SELECT seq_id, array_to_string(list_transform(seq, lambda x, p: CASE WHEN p IN (2, 6) THEN (p - 1) % 4 ELSE x END), '') AS seq FROM mb", "mb"))(lambda s, d: _text(filters.with_subsequence(msa_b(s, d), _SEQ, [1, 5])))
 _GROUPS = [[[0, 1], [2], [3]] if p % 2 == 0 else [[0], [1, 2, 3]] for p in range(L)]
@@ -334,26 +334,20 @@ def metropolis(s: SparkSession, d: str) -> DataFrame:
     return sampling.metropolis(start, scores.coupling_array(jj(s), L, Q), 256, 9)
 
 
-@query("subseq_logfreq", sql(
-    f"""SELECT s.seq_id, {r('max(x) + ln(sum(exp(x - m)))')} AS logfreq FROM (SELECT seq_id, x, max(x) OVER (PARTITION BY seq_id) AS m FROM (
-  SELECT s.seq_id, b.bg, any_value(en.e) - sum(cpl) AS x FROM (SELECT seq_id, seq FROM mb WHERE seq_id < 5) s, (SELECT seq_id AS bg, seq FROM mb) b, pb
-  JOIN jj ON jj.i = pb.i AND jj.j = pb.j AND jj.a = CASE WHEN pb.i IN (0, 1, 2) THEN s.seq[pb.i+1] ELSE b.seq[pb.i+1] END AND jj.b = CASE WHEN pb.j IN (0, 1, 2) THEN s.seq[pb.j+1] ELSE b.seq[pb.j+1] END
-  JOIN en ON en.seq_id = b.bg GROUP BY s.seq_id, b.bg)) s GROUP BY s.seq_id""", "mb", "pb", "jj", "en"))
-def subseq(s: SparkSession, d: str) -> DataFrame:
-    m = msa_b(s, d)
-    return values(sampling.subsequence_logfreq(m.where("seq_id < 5"), m, [0, 1, 2], scores.coupling_array(jj(s), L, Q)), "logfreq")
-
-
 _LETTERS = "CASE WHEN pb.{p} IN (0, 1, 2) THEN s.m[pb.{p}+1] ELSE b.seq[pb.{p}+1] END"
 
 
-@query("subseq_logfreq_all", sql(
+_LOGFREQ = sql(
     f"""SELECT mb.seq_id, logfreq FROM mb JOIN (SELECT m, {r('max(x) + ln(sum(exp(x - top)))')} AS logfreq FROM (SELECT m, x, max(x) OVER (PARTITION BY m) AS top FROM (
   SELECT s.m, b.seq_id AS bg, any_value(en.e) - sum(cpl) AS x FROM (SELECT DISTINCT seq[1:3] AS m FROM mb) s, mb b, pb
   JOIN jj ON jj.i = pb.i AND jj.j = pb.j AND jj.a = {_LETTERS.format(p='i')} AND jj.b = {_LETTERS.format(p='j')}
-  JOIN en ON en.seq_id = b.seq_id GROUP BY s.m, b.seq_id)) GROUP BY m) f ON f.m = mb.seq[1:3]""", "mb", "pb", "jj", "en"))
+  JOIN en ON en.seq_id = b.seq_id GROUP BY s.m, b.seq_id)) GROUP BY m) f ON f.m = mb.seq[1:3]""", "mb", "pb", "jj", "en")
+
+
+@query("subseq_logfreq_all", _LOGFREQ)
+@query("subseq_logfreq", _LOGFREQ)
 def subseq_all(s: SparkSession, d: str) -> DataFrame:
-    """``subseq_logfreq`` of every sequence."""
+    """Log frequency of every sequence's letters at the marked positions; under both names."""
     m = msa_b(s, d)
     return values(sampling.subsequence_logfreq(m, m, [0, 1, 2], scores.coupling_array(jj(s), L, Q)), "logfreq")
 
@@ -365,7 +359,7 @@ query("tempering_swap")(lambda s, d: sampling.swap_round(scores.energies(msa_b(s
 query("profile_totals", f"SELECT event_type AS name, {r('sum(value)')} AS total, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")(lambda s, d: values(profiling.totals(s.read.parquet(f"{d}/events.parquet"), "event_type", F.lit(0.0), F.col("value")), "total"))
 query("tile_seed", "SELECT n AS seq_id, '012301230123' AS seq FROM range(500) t(n)")(lambda s, d: _text(filters.tiled(s, _SEQ, 500)))
 query("truncate_seqs", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id IN (SELECT seq_id FROM mb ORDER BY seq_id LIMIT 100)", "mb"))(lambda s, d: _text(filters.first_rows(msa_b(s, d), 100)))
-query("concat_buffers", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id < 100 UNION ALL SELECT seq_id, array_to_string(seq, '') FROM mb WHERE seq_id >= 300", "mb"))(lambda s, d: (lambda m: _text(m.where("seq_id < 100").unionByName(m.where("seq_id >= 300"))))(msa_b(s, d)))
+query("concat_buffers", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id < 100 UNION ALL SELECT seq_id, array_to_string(seq, '') FROM mb WHERE seq_id >= 100", "mb"))(lambda s, d: (lambda m: _text(m.where("seq_id < 100").unionByName(m.where("seq_id >= 100"))))(msa_b(s, d)))
 
 # ---- Newton steps
 

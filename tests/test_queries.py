@@ -9,7 +9,7 @@ import pytest
 
 from pairspin.plans.queries import ORACLE_SQL, QUERIES
 
-SOME = ["bimarg", "bicounts_weighted", "pc_unijmix", "pre_regularize", "nsim_weighted", "histsim", "minsim", "phylo_neff", "gauge_fieldless_even", "potts_energy", "potts_energy_join", "xijab", "score_fbwsi", "score_rdde", "alphamap_bimarg", "reverse_alphamap_j", "best_merge", "unseen_letters", "gen_indep", "subseq_logfreq", "spearman", "reg_l1z", "reg_scadx", "reg_scaddde", "msa_load"]
+SOME = ["bimarg", "bicounts_weighted", "pc_unijmix", "pre_regularize", "nsim_weighted", "histsim", "minsim", "phylo_neff", "gauge_fieldless_even", "potts_energy", "potts_energy_join", "xijab", "score_fbwsi", "score_rdde", "alphamap_bimarg", "repeat_seqs", "concat_buffers", "reverse_alphamap_j", "best_merge", "unseen_letters", "gen_indep", "subseq_logfreq", "spearman", "reg_l1z", "reg_scadx", "reg_scaddde", "msa_load"]
 
 
 def shown(v):
