@@ -8,7 +8,7 @@ blocks and leaves what the best of the blocks to come can't lift over the height
 
 Height and m follow from the coordinates and the number of distinct vectors.  A filter has about ``SHARE`` unrelated vectors, or more where few coordinates
 would let near vectors share less than ``LEAST_SHARED`` of their filters; lists are as long as it takes for ``SHARED`` common
-filters to be expected at the threshold, so that less than one pair in a thousand has none (a test measures it at several sizes),
+filters to be expected at the threshold, so that about one pair in a thousand, or fewer, has none (a test measures it at several sizes),
 and far fewer at higher cosines.
 
 Equal vectors are one vector with a multiplicity.  A filter's vectors meet in one task; filters of more than
