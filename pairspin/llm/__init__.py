@@ -22,6 +22,9 @@ MODULES: tuple[str, ...] = (
     "adaptive_ann",
     "warc_fixity",
     "tool_calls",
+    "piece_codec",
+    "token_alignment",
+    "spelling_variants",
 )
 
 
