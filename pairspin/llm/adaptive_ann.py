@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import floor, log2
 
 import numpy as np
 import pandas as pd
@@ -31,19 +32,23 @@ from pyspark.sql import functions as F
 from ._shared import materialize, ship, table
 from .cap_join import valid
 
-SAMPLE, AIM, EPSILON = 40_000, 0.985, 3.0
+SAMPLE, AIM, EPSILON, ROUNDING = 40_000, 0.985, 3.0, 1e-6
 UNIT, QUERY_BLOCK = 8192, 4096
 LISTS_AT_MOST = 4096
 
 
 class Index:
-    """Rotation, centroids and number of probes, fitted on sample rows of ``dim`` coordinates."""
+    """Rotation, centroids and number of probes, fitted on sample rows of ``dim`` coordinates.
 
-    def __init__(self, sample: np.ndarray, n: int, k: int, seed: int = 5):
+    All that is compared here is divided by ``scale`` first, a power of two near the largest coordinate of the table.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int, k: int, scale: float = 1.0, seed: int = 5):
         rng = np.random.default_rng([seed, sample.shape[1]])
         dim = sample.shape[1]
+        self.scale = scale
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        x = sample @ self.rotation
+        x = sample / scale @ self.rotation
         x, held_out = (x, x) if len(x) < 2000 else (x[::2], x[1::2])
         lists = int(min(LISTS_AT_MOST, max(1, round(n**0.5 / 4)), max(1, len(x) // 16)))
         # distinct starts, or equal vectors would make empty lists
@@ -73,10 +78,10 @@ class Index:
         return int(np.ceil(np.quantile(ranks, AIM))) + 1 if ranks.size else len(self.centroids)
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return self._nearest(x @ self.rotation, self.centroids)
+        return self._nearest(x / self.scale @ self.rotation, self.centroids)
 
     def probed(self, q: np.ndarray) -> np.ndarray:
-        scores = (q @ self.rotation) @ self.centroids.T
+        scores = (q / self.scale @ self.rotation) @ self.centroids.T
         return np.argsort(-scores, axis=1, kind="stable")[:, : self.probes]
 
 
@@ -93,17 +98,18 @@ def top_k(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return order[rank < k]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, rotation: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, rotation: np.ndarray, k: int, known: np.ndarray | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of the k best found in the probed lists among these vectors, for each query.
 
     ``known``: a score that the k-th best is known to reach, -inf for none.  Negative numbers in ``probed`` stand for no list.
+    Scores are of the vectors as they are; the tests compare vectors divided by ``scale``, so that their squares are in range.
     """
     dim = x.shape[1]
-    turned_q, order = (q @ rotation).astype(np.float32), np.argsort(lists, kind="stable")
+    turned_q, order = (q / scale @ rotation).astype(np.float32), np.argsort(lists, kind="stable")
     ids, x, lists = ids[order], x[order], lists[order]
-    columns = np.ascontiguousarray((x @ rotation).T.astype(np.float32))  # coordinate-major
-    q_norm, x_norm = (q**2).sum(1), (x**2).sum(1)
-    cuts = sorted({min(dim, c) for c in (16, 32, dim // 2, 3 * dim // 4)} | {dim})
+    columns = np.ascontiguousarray((x / scale @ rotation).T.astype(np.float32))  # coordinate-major
+    q_norm, x_norm = ((q / scale) ** 2).sum(1), ((x / scale) ** 2).sum(1)
+    cuts = sorted({min(dim, c) for c in (16, 32, dim // 2, 3 * dim // 4) if c} | {dim})
     known = np.full(len(q), -np.inf) if known is None else known
     bound = known  # the present k-th best score
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -118,7 +124,7 @@ def scan(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarra
             who = np.flatnonzero(probed[:, place] == name)
             a, b = int(begin[at]), int(end[at])
             for w in np.array_split(who, -(-len(who) * (b - a) // 4_000_000)):
-                qi, xi = _survivors(turned_q[w], columns[:, a:b], q_norm[w], x_norm[a:b], bound[w], cuts)
+                qi, xi = _survivors(turned_q[w], columns[:, a:b], q_norm[w], x_norm[a:b], bound[w] / scale / scale, cuts)
                 qi, xi = w[qi], xi + a
                 keep = ids[xi] != query_ids[qi]
                 qi, xi = qi[keep], xi[keep]
@@ -140,20 +146,23 @@ def _survivors(q: np.ndarray, columns: np.ndarray, q_norm: np.ndarray, x_norm: n
     dim = len(columns)
     with np.errstate(invalid="ignore"):
         # the squared distance at which a vector of this length just has the score ``bound``
-        need = q_norm[:, None] + x_norm[None, :] - 2 * bound[:, None]
+        whole = q_norm[:, None] + x_norm[None, :]
+        need = whole - 2 * bound[:, None]
+        # what single precision may be off by, which is in proportion to both lengths
+        slack = ROUNDING * whole
     partial = np.zeros((len(q), columns.shape[1]), np.float32)
     qi = xi = None
     for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
         if qi is None:
             partial += (q[:, a:b] ** 2).sum(1)[:, None] + (columns[a:b] ** 2).sum(0)[None, :] - 2 * q[:, a:b] @ columns[a:b]
-            alive = partial * (dim / b) <= need * (1 + (EPSILON / b**0.5 if b < dim else 1e-3)) ** 2 + 1e-6
+            alive = partial * (dim / b) <= need * (1 + (EPSILON / b**0.5 if b < dim else 1e-3)) ** 2 + slack
             if b == dim or np.count_nonzero(alive) < 0.25 * alive.size:
                 qi, xi = np.nonzero(alive)
-                rest, need = partial[qi, xi], need[qi, xi]
+                rest, need, slack = partial[qi, xi], need[qi, xi], slack[qi, xi]
         elif len(qi):
             rest = rest + ((q[qi, a:b] - columns[a:b, xi].T) ** 2).sum(1)
-            alive = rest * (dim / b) <= need * (1 + (EPSILON / b**0.5 if b < dim else 1e-3)) ** 2 + 1e-6
-            qi, xi, rest, need = qi[alive], xi[alive], rest[alive], need[alive]
+            alive = rest * (dim / b) <= need * (1 + (EPSILON / b**0.5 if b < dim else 1e-3)) ** 2 + slack
+            qi, xi, rest, need, slack = qi[alive], xi[alive], rest[alive], need[alive], slack[alive]
     return qi, xi
 
 
@@ -171,19 +180,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
         return df.where(valid(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
 
     rows, asked = clean(vectors), clean(queries)
-    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect()
+    largest = F.max(F.greatest(F.array_max("vec"), -F.array_min("vec")))
+    sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), largest.alias("largest")).orderBy("dim").collect()
     wanted = {r.dim for r in asked.select(F.size("vec").alias("dim")).distinct().collect()}
-    found = [_search(rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim), dim, n, k) for dim, n in sizes if dim in wanted]
+    found = [_search(rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim), dim, n, k, 2.0 ** floor(log2(largest))) for dim, n, largest in sizes if dim in wanted]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def _search(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+def _search(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, scale: float) -> DataFrame:
     """``search`` among n ``rows`` (id, vec) of ``dim`` coordinates."""
     spark = rows.sparkSession
     # bounded: the SAMPLE least hashes are found first, then their vectors
     least = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     sample = rows.where(F.xxhash64("id") <= least).orderBy(F.xxhash64("id")).limit(SAMPLE).select("vec").toArrow()
-    index = Index(_matrix(sample.column(0).combine_chunks(), dim), n, k)
+    index = Index(_matrix(sample.column(0).combine_chunks(), dim), n, k, scale)
     shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +220,7 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> Data
         if not len(queries_) or not len(vectors_):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         q_ids = queries_["id"].to_numpy()
-        q, ids, score = scan(vectors_["id"].to_numpy(), np.stack(vectors_["vec"].to_numpy()), vectors_["list"].to_numpy(), q_ids, np.stack(queries_["vec"].to_numpy()), np.stack(queries_["probed"].to_numpy()), shared.value.rotation, k, queries_["bound"].to_numpy())
+        q, ids, score = scan(vectors_["id"].to_numpy(), np.stack(vectors_["vec"].to_numpy()), vectors_["list"].to_numpy(), q_ids, np.stack(queries_["vec"].to_numpy()), np.stack(queries_["probed"].to_numpy()), shared.value.rotation, k, queries_["bound"].to_numpy(), scale)
         return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids, "score": score})
 
     def visited(who: DataFrame) -> DataFrame:

@@ -267,6 +267,24 @@ def test_ann_recall(spark):
     assert hits / (150 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 24])
+@pytest.mark.parametrize("factor", [1.0, 1e-30, 1e19, 1e150])
+def test_ann_of_any_dimension_and_scale(spark, dim, factor):
+    """One to three coordinates, and numbers whose squares are beyond single precision."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((700, dim)) * factor
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = adaptive_ann.search(rows, rows.where("vec_id % 20 = 0"), 20).collect()
+    hits = 0
+    for q in range(0, 700, 20):
+        score = x @ x[q]
+        want = sorted((k for k in range(700) if k != q), key=lambda k: (-score[k], k))[:20]
+        mine = {r.vec_id: r.score for r in got if r.query_id == q}
+        assert len(mine) == 20 and np.allclose([mine[k] for k in mine], [score[k] for k in mine], rtol=1e-12, atol=0)
+        hits += len(mine.keys() & set(want))
+    assert hits >= 0.9 * 20 * 35
+
+
 def test_ann_small(spark):
     t = vectors(spark, [(k, [1.0, float(k)], 0, 0, 0, 0, 0) for k in range(3)])
     assert [tuple(r)[:3] for r in sorted(adaptive_ann.search(t, t.where("vec_id = 0"), 20).collect())] == [(0, 1, 1), (0, 2, 2)]
@@ -354,6 +372,47 @@ def test_tool_calls_that_repeat(spark, monkeypatch):
     assert [x.level for x in got if x.conv_id is None and x.call_id == "q"] == [1]
 
 
+def test_canonical_arguments(spark):
+    """Equal values have one text, no digit and no content is lost, and strings stay as they are."""
+    same = [
+        ["1", "1.0", "1e0", "10E-1", "0.1e1", "1.000"],
+        ["0", "-0", "0.0", "0e5", "-0.0E-3"],
+        ["123456789012345678901234567890123456789012"],
+        ["123456789012345678901234567890123456789013", "123456789012345678901234567890123456789013.0"],
+        ["1e400", "10e399"],
+        ["-2.5e-3", "-0.0025", "-25E-4"],
+        ["1e30", "1000000000000000000000000000000"],
+        ["0.00000000000000000000000000012", "1.2e-28"],
+        ['{"b":1.0,"a":[2e0,{"d":null,"c":true}]}', ' { "a" : [ 2 , {"c":true,"d":null}], "b":1 } ', '{"\\u0062":1,"a":[2.0,{"d":null,"c":true}]}'],
+        ['"1.0"'],
+        ['"\\u00011"', '"\\u00011"'],
+        ['"\\u0001\\u00015"'],
+        ['{"x":"a\\"1.0,\\\\","y":"caf\\u00e9 \\/"}', '{"y":"café /","x":"a\\u00221.0,\\u005c"}'],
+    ]
+    rows = [(k, t) for k, ts in enumerate(same) for t in ts]
+    got = {(r.k, r.t): r.c for r in spark.createDataFrame(rows, "k int, t string").select("k", "t", tool_calls.canonical_json(F.col("t")).alias("c")).collect()}
+    texts = []
+    for k, ts in enumerate(same):
+        found = {got[k, t] for t in ts}
+        assert len(found) == 1 and None not in found, (ts, found)
+        texts.append(found.pop())
+        assert json.loads(texts[-1], parse_int=str, parse_float=str) is not None
+        if not any(c in ts[0] for c in '{"'):
+            from decimal import Decimal
+
+            assert Decimal(texts[-1]) == Decimal(ts[0])
+        else:
+            assert json.loads(texts[-1]) == json.loads(ts[0])
+    assert len({*texts}) == len(texts)
+    bad = ['{"a":1,"a":2}', "01", "1.", "tru", '{"a":1', "\x02", "", None, "-", "[1 2]"]
+    assert [r.c for r in spark.createDataFrame([(t,) for t in bad], "t string").select(tool_calls.canonical_json(F.col("t")).alias("c")).collect()] == [None] * len(bad)
+    calls = [(1, "a\\/é", 1, "lookup", '{"query":"q","limit":3.0,"limit":4}'), (1, "café", 2, "lookup", "{}"), (1, "b", 3, "search", '{"a":{"$ref":"caf\\u00e9"},"b":{"\\u0024ref" : "a\\\\\\/\\u00e9"},"c":"{\\"$ref\\":\\"b\\"}"}'), (1, "c", 4, "lookup", '{"limit":2.0,"query":"x"}'), (1, "d", 5, "lookup", "{'")]
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string")
+    found = {r.call_id: r for r in tool_calls.link(c, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), tool_calls.SCHEMAS).collect()}
+    assert found["a\\/é"].errors == ["repeated key"] and json.loads(found["a\\/é"].json)["arguments"] == calls[0][4]
+    assert (found["b"].level, found["b"].dangling) == (1, 0) and found["c"].errors == [] and json.loads(found["d"].json)["arguments"] == "{'"
+
+
 # ---- 7: language
 
 
