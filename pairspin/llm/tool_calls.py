@@ -2,7 +2,7 @@
 
 Calls and results meet in a hash join on (conversation, call id).  Arguments are checked against the tools' schemas,
 references from arguments to earlier calls order the calls topologically, and each call, with its
-result, becomes one canonical JSON text (keys sorted, no blanks, numbers normalised).
+result, becomes one canonical JSON text (keys sorted, no blanks, one spelling of each number and string).
 
 Rows that share (conversation, call id) are numbered by turn, and the k-th call meets the k-th result, so every
 input row is in one output row.  Numbers come from range partitions and the counts of those before, and
@@ -31,6 +31,51 @@ SCHEMAS: Schemas = {
 CHUNK = 4096
 
 
+#: What stands for an escaped backslash and an escaped quote while a text is cut at its quotes, and begins the strings that stand for numbers.
+BACKSLASH, QUOTE, NUMBER = "\x02", "\x03", "\\u0001"
+
+
+def canonical_number(token: Column) -> Column:
+    """One text for all JSON numbers of one value, with every digit: plain up to twenty zeros or places, then digits and a power of ten."""
+    whole, places = F.regexp_extract(token, "^-?([0-9]+)", 1), F.regexp_extract(token, r"\.([0-9]+)", 1)
+    power = F.regexp_extract(token, "[eE]([+-]?[0-9]+)$", 1)
+    exponent = F.when(power == "", F.lit(0).cast("long")).otherwise(power.try_cast("long"))
+    stripped = F.rtrim(F.concat(whole, places), F.lit("0"))
+    digits = F.ltrim(stripped, F.lit("0"))
+    shift = exponent - F.length(stripped) + F.length(whole)
+    point = (F.length(digits) + shift).cast("int")
+    plain = (
+        F.when(shift.between(0, 20), F.concat(digits, F.repeat(F.lit("0"), shift.cast("int"))))
+        .when(shift.between(-20, -1) & (point > 0), F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+        .when(shift.between(-20, -1), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .otherwise(F.concat(digits, F.lit("e"), shift.cast("string")))
+    )
+    found = F.when(digits == "", "0").otherwise(F.concat(F.when(token.startswith("-"), "-").otherwise(""), plain))
+    return F.when(exponent.isNull() | (F.abs(exponent) > 1_000_000_000), token).otherwise(found)
+
+
+def canonical_json(text: Column) -> Column:
+    """``text`` with sorted keys, no blanks, one spelling of each string and number; null for what isn't JSON, or repeats a key in an object.
+
+    Numbers are put in strings of their own while the text is a variant, which has not room for all of them.
+    """
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
+    number = F.lit(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+
+    def outside(part: Column) -> Column:
+        tokens = F.regexp_extract_all(part, F.lit("-?[0-9][0-9.eE+-]*|[^0-9-]+|-"), F.lit(0))
+        return F.array_join(F.transform(tokens, lambda t: F.when(F.regexp_like(t, number), F.concat(F.lit('"' + NUMBER), canonical_number(t), F.lit('"'))).otherwise(t)), "")
+
+    parts = F.transform(F.split(hidden, '"'), lambda part, k: F.when(k % 2 == 0, outside(part)).when(part.startswith(NUMBER), F.concat(F.lit(NUMBER), part)).otherwise(part))
+    ready = F.replace(F.replace(F.array_join(parts, '"'), F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))
+    clean = ~F.contains(text, F.lit(BACKSLASH)) & ~F.contains(text, F.lit(QUOTE))
+    sorted_ = F.to_json(F.try_parse_json(F.when(clean, ready)))
+    # a quote that opens a string stands after one of these, or first
+    opening = r'(?:^|(?<=[{\[,:]))"'
+    back = F.regexp_replace(sorted_, opening + r'\\u0001(-?[0-9][0-9.e-]*)"', "$1")
+    return F.regexp_replace(back, opening + r"\\u0001\\u0001", r'"\\u0001')
+
+
 def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """Sorted array of what is wrong with ``arguments`` (JSON text) for the tool ``name``; empty if nothing is."""
     value = F.try_parse_json(arguments)
@@ -56,18 +101,21 @@ def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
         extra = F.transform(F.array_except(keys, F.array(*map(F.lit, sorted(fields)))), lambda k: F.concat(F.lit("unknown field "), k))
         errors = F.array_sort(F.concat(F.array_compact(F.array(*checks)), F.coalesce(extra, F.array().cast("array<string>"))))
         out = F.when(name == tool, errors).otherwise(out)
-    return F.when(keys.isNull() | value.isNull(), F.array(F.lit("not a JSON object"))).otherwise(out)
+    # what a parser takes that leaves out what it has met before is JSON
+    repeated = F.get_json_object(arguments, "$").isNotNull() & value.isNull()
+    return F.when(repeated, F.array(F.lit("repeated key"))).when(keys.isNull() | value.isNull(), F.array(F.lit("not a JSON object"))).otherwise(out)
 
 
 def references(arguments: Column) -> Column:
-    """Distinct call ids that arguments refer to, as ``{"$ref":"id"}`` anywhere in them."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(arguments, F.lit("")), F.lit(r'"\$ref"\s*:\s*"([^"\\]*)"'), F.lit(1)))
+    """Distinct call ids that canonical arguments refer to, as ``{"$ref":"id"}`` anywhere in them."""
+    found = F.regexp_extract_all(F.coalesce(arguments, F.lit("")), F.lit(r'"\$ref":"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    return F.array_compact(F.array_distinct(F.transform(found, lambda x: F.get(F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>"), F.lit(0)))))
 
 
 def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on ``keys``, where nulls equal each other."""
     right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    both = left.join(right, F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), how)
+    both = left.join(right.hint("shuffle_hash"), F.expr(" AND ".join(f"{k} <=> _{k}" for k in keys)), how)
     if how == "full":
         both = both.withColumns({k: F.coalesce(k, f"_{k}") for k in keys})
     return both.drop(*(f"_{k}" for k in keys))
@@ -145,29 +193,30 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     ``calls``: conv_id, call_id, turn, name, arguments; ``results``: conv_id, call_id, turn, content.  Of rows that repeat a
     (conv_id, call_id) the k-th call by turn is linked to the k-th result; ``repeats`` tells how many other calls (of a call)
     and other results (of a result) have the same ids.  Rows of such repeats come before those of first calls and results.
-    Null ids and conversations are values of their own, and stay null.  Columns: conv_id, call_id, call_turn,
+    Null ids and conversations are values of their own, and stay null; empty tables give an empty one, columns of other names aren't read.
+    Arguments that are not JSON, or repeat a key, stay in ``json`` as a string of their text, and ``errors`` says so.  Columns: conv_id, call_id, call_turn,
     result_turn, status (``linked``, ``early`` if the result comes before the call, ``unanswered``, ``orphan``), repeats,
     level, dangling, errors, json.
     """
     ids = ["conv_id", "call_id", "k"]
-    c = materialize(numbered(calls, ["turn", "name", "arguments"], "ranged-calls").withColumn("refs", references(F.col("arguments"))), "calls")
+    c = numbered(calls, ["turn", "name", "arguments"], "ranged-calls").withColumn("canonical", canonical_json(F.col("arguments")))
+    c = materialize(c.withColumn("refs", references(F.col("canonical"))), "calls")
     r = materialize(numbered(results, ["turn", "content"], "ranged-results"), "results")
     found = materialize(levels(c.where("k = 0")), "call-levels")
 
     def paired(which: str, of_calls: DataFrame) -> DataFrame:
-        c_ = meet(c.where(which), of_calls, ids, "left").select(*ids, F.col("turn").alias("call_turn"), "name", "arguments", "level", "dangling", (F.col("n") - 1).alias("n1"))
+        c_ = meet(c.where(which), of_calls, ids, "left").select(*ids, F.col("turn").alias("call_turn"), "name", "arguments", "canonical", "level", "dangling", (F.col("n") - 1).alias("n1"))
         r_ = r.where(which).select(*ids, F.col("turn").alias("result_turn"), "content", (F.col("n") - 1).alias("n2"))
         return meet(c_, r_, ids, "full")
 
     both = paired("k > 0", later_levels(c.where("k > 0"), found)).unionByName(paired("k = 0", found.withColumn("k", F.lit(0).cast("long"))))
     is_call = F.col("n1").isNotNull()
     status = F.when(~is_call, "orphan").when(F.col("n2").isNull(), "unanswered").when(F.col("result_turn") < F.col("call_turn"), "early").otherwise("linked")
-    # variant objects keep their keys sorted, at every depth
-    canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
     quoted = lambda x: F.coalesce(F.expr(f"substr(to_json(named_struct('x', {x})), 6, length(to_json(named_struct('x', {x}))) - 6)"), F.lit("null"))
     text = lambda x: F.when(F.col(x).isNull(), F.lit("null")).otherwise(quoted(x))
-    json = F.concat(F.lit('{"arguments":'), F.when(is_call, canonical).otherwise(F.lit("null")), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"result":'), text("content"), F.lit("}"))
-    errors = F.when(is_call, schema_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
+    # arguments that have no canonical form stay as a string of theirs
+    json = F.concat(F.lit('{"arguments":'), F.when(is_call, F.coalesce("canonical", text("arguments"))).otherwise(F.lit("null")), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"result":'), text("content"), F.lit("}"))
+    errors = F.when(is_call, schema_errors(F.col("name"), F.coalesce("canonical", "arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     return both.select("conv_id", "call_id", "call_turn", "result_turn", status.alias("status"), (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("repeats"), "level", "dangling", errors.alias("errors"), json.alias("json"))
 
 
