@@ -101,8 +101,8 @@ def run(spark: SparkSession, args) -> None:
         m, length, q = weighted(spark, args)
         similarity.phylo_weights(similarity.single(m), length, q, args.sim).write.mode("overwrite").parquet(args.out)
     elif mode == "subsample":
-        m, length, _ = weighted(spark, args)
-        kept = similarity.subsample(m, length, args.share, args.seed).orderBy("place")
+        m, length, q = weighted(spark, args)
+        kept = similarity.subsample(m, length, q, args.share, args.seed).orderBy("place")
         msa.write_msa(kept.select(F.row_number().over(_order("place")).cast("long").alias("seq_id"), "seq"), args.out, args.alpha)
     elif mode == "pseudocount":
         ff = read_pairs(spark, args.bimarg, "f")

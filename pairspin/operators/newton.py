@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .marginals import COLUMN, PAIR, ROW
+from .mutants import mutant_slopes, mutant_sums
 
 
 def update(x: DataFrame, gamma: float, pc: float) -> DataFrame:
@@ -69,6 +70,8 @@ def scad(v: Column, r: Column | float, a: float, inner: Column) -> Column:
 
 
 def scadj(x: DataFrame, gamma: float, pc: float, r: float, a: float = 4.0) -> DataFrame:
+    if a < 2:
+        raise ValueError("a is 2 or more")
     x = _with_zero(x)
     slope = scad(F.col("_z"), r, a, F.least(F.lit(float(r)), F.abs("_z") / gamma))
     return x.withColumn("dj", F.col("dj") - slope * gamma * F.signum("_z") / (F.col("f") + pc)).drop("_v", "_z")
@@ -110,28 +113,30 @@ def exp_x(x: DataFrame, gamma: float, pc: float, lam: float) -> DataFrame:
     return _done(x, gamma * F.signum("_x") * F.exp(-F.abs("_x") / lam) * F.col("_g") / (F.col("f") + pc))
 
 
-def _cycles(x: DataFrame) -> DataFrame:
-    from .scores import double_mutants
-
-    m = double_mutants(x.select("i", "j", "a", "b", (F.col("cpl") + F.col("dj")).alias("cpl")))
-    return m.withColumn("dde", -F.col("dde"))
+def _changed(x: DataFrame) -> DataFrame:
+    return x.select("i", "j", "a", "b", (F.col("cpl") + F.col("dj")).alias("cpl"))
 
 
 def dde(x: DataFrame, gamma: float, pc: float, lam: float, q: int) -> DataFrame:
-    grad = _cycles(x).groupBy("i", "j", "a", "b").agg((F.sum(F.signum("dde")) / (q - 1) ** 2).alias("_r"))
+    """Pull of every double-mutant energy to 0, by ``lam``."""
+    grad = mutant_sums(_changed(x), q).select("i", "j", "a", "b", (F.col("sign") / (q - 1) ** 2).alias("_r"))
     return x.join(grad, ["i", "j", "a", "b"]).withColumn("dj", F.col("dj") - lam * F.col("_r") * gamma / (F.col("f") + pc)).drop("_r")
 
 
-def scad_dde(x: DataFrame, gamma: float, pc: float, lam: float, r: float, q: int, a: float = 4.0) -> DataFrame:
-    """SCAD on each double-mutant energy, of slope ``lam`` near 0."""
-    # beyond r the slope falls from 1, not from r
-    size = F.when(F.abs("dde") < r, 1.0).when(F.abs("dde") < a * r, (a * r - F.abs("dde")) / (a * r - r)).otherwise(0.0)
-    grad = _cycles(x).groupBy("i", "j", "a", "b").agg((F.sum(lam * F.signum("dde") * size) / (q - 1) ** 2).alias("_r"))
+def scad_dde(x: DataFrame, gamma: float, pc: float, lam: float, r: float | None, q: int, a: float = 4.0) -> DataFrame:
+    """SCAD on each double-mutant energy, of slope ``lam`` up to ``r`` (``lam`` unless given), from where it falls to 0 at a r."""
+    r = lam if r is None else r
+    if a < 2 or r <= 0:
+        raise ValueError("a is 2 or more, and r above 0")
+    grad = mutant_slopes(_changed(x), q, r, a).select("i", "j", "a", "b", (lam * F.col("slope") / (q - 1) ** 2).alias("_r"))
     return x.join(grad, ["i", "j", "a", "b"]).withColumn("dj", F.col("dj") - F.col("_r") * gamma / (F.col("f") + pc)).drop("_r")
 
 
 def regulariser(spec: str, q: int) -> Callable[[DataFrame, float, float], DataFrame]:
-    """From ``type:arg[:arg[:arg]]``: l2z, l1z, SCADJ, X, SCADX, expX, ddE, SCADddE (Xij takes a column named lam)."""
+    """From ``type:arg[:arg[:arg]]``: l2z, l1z, SCADJ, X, SCADX, expX, ddE, SCADddE.
+
+    Xij, whose argument names a table of strengths, wants these as a column named lam.
+    """
     name, *text = spec.split(":")
     args = [] if name == "Xij" else [float(t) for t in text if t]
     known: dict[str, tuple[int, int, Callable]] = {
@@ -143,7 +148,7 @@ def regulariser(spec: str, q: int) -> Callable[[DataFrame, float, float], DataFr
         "SCADX": (2, 3, scadx),
         "expX": (1, 1, exp_x),
         "ddE": (1, 1, lambda x, g, p, lam: dde(x, g, p, lam, q)),
-        "SCADddE": (2, 2, lambda x, g, p, lam, r: scad_dde(x, g, p, lam, r, q)),
+        "SCADddE": (1, 2, lambda x, g, p, lam, r=None: scad_dde(x, g, p, lam, r, q)),
     }
     if name not in known or not known[name][0] <= len(args) <= known[name][1]:
         raise ValueError(f"no regulariser {spec}")

@@ -12,11 +12,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import bits, places, uniform, uniform_array
 from ..functions.ship import ship
+from ..functions.storage import kept
+from .filters import runs
 
 
 def uniform_sequences(spark: SparkSession, n: int, length: int, q: int, seed: int = 0) -> DataFrame:
@@ -92,32 +95,74 @@ def metropolis(walkers: DataFrame, couplings: np.ndarray, steps: int, seed: int,
     return walkers.select(F.col("walker_id").cast("long"), "seq", F.col("beta").cast("double")).mapInArrow(run, "walker_id long, seq array<int>, beta double")
 
 
-def temper(e: np.ndarray, beta: np.ndarray, rounds: int, seed: int) -> np.ndarray:
-    """Inverse temperatures after swaps between neighbours by energy, even and odd pairs in turn."""
-    order = np.argsort(e, kind="stable")
-    b, e = beta[order].copy(), e[order]
+#: Walkers of a stretch of the energy order that one task swaps.
+STRETCH = 1 << 16
+
+
+def temper(e: np.ndarray, beta: np.ndarray, rounds: int, seed: int, first: int = 0) -> np.ndarray:
+    """Inverse temperatures after swaps between neighbours, even and odd pairs in turn.
+
+    ``e``, ``beta``: in order of energy; ``first``: the place of the first one among all walkers, which decides pairs and draws.
+    """
+    b = beta.copy()
     for n in range(rounds):
         for odd in (0, 1):
-            x = np.arange(odd, len(b) - 1, 2)
+            x = np.arange((first + odd) % 2, len(b) - 1, 2)
             y = x + 1
             delta = (e[x] - e[y]) * (b[x] - b[y])
-            go = (b[x] != b[y]) & ((delta >= 0) | (np.exp(np.minimum(delta, 0)) > uniform_array(seed, x, 2 * n + odd)))
+            go = (b[x] != b[y]) & ((delta >= 0) | (np.exp(np.minimum(delta, 0)) > uniform_array(seed, first + x, 2 * n + odd)))
             b[x[go]], b[y[go]] = b[y[go]], b[x[go]]
-    out = np.empty_like(b)
-    out[order] = b
-    return out
-
-
-def swap_round(states: DataFrame, seed: int, odd: int) -> DataFrame:
-    """One swap round on (walker_id, e, beta) as windows: neighbours in energy order exchange their beta."""
-    rank = F.row_number().over(Window.orderBy("e", "walker_id")) - 1
-    x = states.withColumn("r", rank).withColumn("pair", F.floor((F.col("r") - odd) / 2))
-    w = Window.partitionBy("pair").orderBy("r")
-    low_e, low_b = F.first("e").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.first("beta").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    high_e, high_b = F.last("e").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("beta").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    x = x.withColumn("d", (low_e - high_e) * (low_b - high_b)).withColumn("other", F.when(F.col("beta") == low_b, high_b).otherwise(low_b))
-    go = (F.col("pair") >= 0) & ((F.col("d") >= 0) | (F.exp("d") > uniform(seed, F.col("pair"), odd)))
-    return x.select("walker_id", "e", F.when(go, F.col("other")).otherwise(F.col("beta")).alias("beta"))
+    return b
+
+
+def in_order(states: DataFrame, *by: str) -> DataFrame:
+    """``states`` with ``place``, from 0 on, in the order of ``by``, which should tell all rows apart.
+
+    Ranges are sorted where they are, and each one's place follows from the sizes of those before it: one number a partition.
+    """
+    ship(states.sparkSession)
+    columns = states.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(done, done + n))], names=[*columns, "part", "k"])
+            done += n
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in states.schema.fields)
+    numbered = kept(states.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number, f"{kinds}, part int, k long"), "in-order")
+    before, starts = 0, {}
+    for row in sorted(numbered.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        starts[row.part] = before
+        before += row.n
+    start = F.element_at(F.create_map(*(F.lit(v) for x in starts.items() for v in x)), F.col("part")) if starts else F.lit(0)
+    return numbered.select(*columns, (F.col("k") + start).cast("long").alias("place"))
+
+
+def exchanged(states: DataFrame, rounds: int, seed: int, stretch: int | None = None) -> DataFrame:
+    """(walker_id, e, beta) after ``rounds`` of swaps between neighbours in the order of energy (ties by id), even pairs and then odd ones in each.
+
+    A beta moves two places a round at most, so a stretch of the order needs that many walkers from either side for all rounds to be right
+    within it, and stretches are swapped in tasks of their own.  Pairs and draws depend on places alone: the result is the same for any stretch
+    and any partitions.
+    """
+    size, halo = stretch or max(STRETCH, 8 * rounds), 2 * rounds
+    placed = kept(in_order(states.select("walker_id", "e", "beta"), "e", "walker_id"), "placed")
+    last = F.lit((placed.count() - 1) // size)
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("place") - halo) / size)), F.least(last, F.floor((F.col("place") + halo) / size)))
+    copies = placed.select(F.explode(near).alias("stretch"), "place", "walker_id", "e", "beta").repartition("stretch").sortWithinPartitions("stretch", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in runs(batches, 1):
+            for s, x in zip(bounds[:-1], bounds[1:], strict=True):
+                part = t.slice(s, x - s)
+                place, e, beta = (part.column(c).to_numpy() for c in (1, 3, 4))
+                beta = temper(e, beta, rounds, seed, int(place[0]))
+                own = place // size == part.column(0)[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(2).to_numpy()[own]), pa.array(e[own]), pa.array(beta[own])], names=["walker_id", "e", "beta"])
+
+    return copies.mapInArrow(run, "walker_id long, e double, beta double")
 
 
 #: Distinct subsequences scored in one pass over the backgrounds.

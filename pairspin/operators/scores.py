@@ -14,6 +14,7 @@ from ..functions.numerics import xlogy_ratio
 from ..functions.ship import ship
 from .gauge import zero_couplings
 from .marginals import PAIR, independent, pair_bins, to_unimarg, with_sides
+from .mutants import mutant_sums
 
 #: Couplings are broadcast to map tasks up to so many values (8 bytes each); beyond, they are joined.
 BROADCAST_COUPLINGS = 32_000_000
@@ -120,7 +121,10 @@ def xab_of_sequence(ff: DataFrame, couplings: DataFrame, sequence: list[int]) ->
 
 
 def double_mutants(couplings: DataFrame) -> DataFrame:
-    """(i, j, a, b, g, d, dde) = -J_ab + J_ad + J_gb - J_gd for g, d other than a, b: equi-joins within a pair."""
+    """(i, j, a, b, g, d, dde) = -J_ab + J_ad + J_gb - J_gd for g, d other than a, b: equi-joins within a pair.
+
+    The full list has q^4 rows a pair; sums over it come from ``mutants`` without it.
+    """
     j = couplings.select(*KEY, "cpl")
     ab = j.withColumnRenamed("cpl", "ab")
     ad = j.select("i", "j", "a", F.col("b").alias("d"), F.col("cpl").alias("ad"))
@@ -131,10 +135,10 @@ def double_mutants(couplings: DataFrame) -> DataFrame:
 
 
 def rdde(couplings: DataFrame, q: int) -> tuple[DataFrame, DataFrame]:
-    """(i, j, score) and its gradient (i, j, a, b, grad); the sign of a cycle is that of J_ab here."""
-    m = double_mutants(couplings)
-    r = m.groupBy("i", "j").agg((F.sum(F.abs("dde")) / (4 * (q - 1) ** 2)).alias("score"))
-    return r, m.groupBy(*KEY).agg((F.sum(F.signum(-F.col("dde"))) / (q - 1) ** 2).alias("grad"))
+    """(i, j, score) and its gradient (i, j, a, b, grad); the sign of a cycle is that of J_ab here.  All q letters are there at each position."""
+    m = mutant_sums(couplings, q)
+    r = m.groupBy("i", "j").agg((F.sum("size") / (4 * (q - 1) ** 2)).alias("score"))
+    return r, m.select(*KEY, (F.col("sign") / (q - 1) ** 2).alias("grad"))
 
 
 WEIGHTS = {

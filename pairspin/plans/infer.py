@@ -1,17 +1,19 @@
 """Inference of couplings: rounds of sampling and reweighted quasi-Newton steps.
 
-The driver holds the model (L^2 q^2 numbers) and the loop.  Walkers live in Parquet tables of the shared folder: each
+The driver holds the loop, and once a round the model (L^2 q^2 numbers) that the sampler needs in every task; steps of models beyond ``WHOLE`` numbers go
+over tiles (``tiles``), with three numbers a step on the driver.  Walkers live in Parquet tables of the shared folder: each
 round reads the last one's, so lineage stays short and a lost executor costs one round at most.  A Newton step is
 one pass over the walkers: partial weighted bins in each task, summed by bin.
 """
 
 from __future__ import annotations
 
+import io
 import json
-import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -21,24 +23,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import spearman, spearman_p
 from ..functions.ship import ship
+from ..functions.storage import kept, scratch, stored
 from ..operators import newton, sampling, scores
+from . import tiles
 
 KEY = ["i", "j", "a", "b"]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; beside the warehouse where no checkpoint folder is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Written, and read back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Numbers of a model (L^2 q^2) up to which a step sends it whole to every task, 8 bytes each; beyond, steps go over tiles.
+WHOLE = 8_000_000
 
 
 @dataclass
@@ -52,7 +43,7 @@ class Options:
     keep_size: float = 0.9
     gamma: float = 0.0004
     damping: float = 0.001
-    regulariser: str | None = None
+    regulariser: str | None = None  # type:arg[:arg[:arg]]; Xij:path has a strength for each pair, see ``pair_strengths``
     reseed: str = "single_indep"
     equilibration: int | None = None  # steps; None: until energies decorrelate
     min_equilibration: int = 64
@@ -120,11 +111,9 @@ def with_energies(walkers: DataFrame, j: np.ndarray) -> DataFrame:
 
 
 def swapped(walkers: DataFrame, swaps: int, seed: int) -> DataFrame:
-    """Walkers with their betas after rounds of swaps; betas and energies (two numbers a walker) go through the driver."""
-    t = walkers.select("walker_id", "e", "beta").orderBy("walker_id").toArrow()
-    beta = sampling.temper(t.column(1).to_numpy(), t.column(2).to_numpy(), swaps, seed)
-    frame = walkers.sparkSession.createDataFrame(pd.DataFrame({"walker_id": t.column(0).to_numpy(), "beta": beta}))
-    return walkers.select("walker_id", "seq", "e").join(frame, "walker_id").select("walker_id", "seq", "beta", "e")
+    """Walkers with their betas after rounds of swaps."""
+    states = sampling.exchanged(walkers, swaps, seed).select("walker_id", "beta")
+    return walkers.select("walker_id", "seq", "e").join(states, "walker_id").select("walker_id", "seq", "beta", "e")
 
 
 def coldest(walkers: DataFrame) -> DataFrame:
@@ -237,22 +226,43 @@ def weighted_bins(walkers: DataFrame, dj: np.ndarray, ref: float, beta: float |
     return out[:cells], float(out[cells]), float(out[cells + 1]), float(t.column(2).to_numpy()[at == -1][0])
 
 
+def pair_strengths(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, lam) of a Parquet table with these columns, or of an .npy vector of all pairs in order."""
+    if not path.endswith(".npy"):
+        return spark.read.parquet(path).select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("lam").cast("double"))
+    v = np.load(io.BytesIO(spark.read.format("binaryFile").load(path).first().content)).reshape(-1)
+    i, j = np.triu_indices((1 + isqrt(1 + 8 * len(v))) // 2, 1)
+    if len(i) != len(v):
+        raise ValueError(f"{path} has {len(v)} values, not one a pair")
+    return spark.createDataFrame(pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "lam": v.astype(float)}))
+
+
 def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict, np.ndarray]:
     """Couplings after up to ``steps`` reweighted steps, which end when the effective size falls below the kept share.  The walkers are kept in executors for it.
 
     With them the state, and the pair marginals that the reweighted walkers predict for the new couplings, in order of pairs.
     """
+    lam = pair_strengths(spark, o.regulariser.split(":", 1)[1]) if o.regulariser and o.regulariser.startswith("Xij:") else None
+    if j.size > WHOLE:
+        length, q = j.shape[0], j.shape[2]
+        regular = newton.regulariser(o.regulariser, q) if o.regulariser else None
+        bins = kept(spark.createDataFrame(packed(j).assign(target=target)), "model")
+        found, predicted, state = tiles.newton_steps(walkers, bins, length, q, o.gamma, o.damping, steps, o.keep_size, o.sampled_beta, regular, lam)
+        return scores.coupling_array(found, length, q), state, predicted.orderBy(*KEY).select("f").toArrow().column(0).to_numpy()
     walkers = walkers.persist()
     try:
-        return _newton_steps(spark, walkers, j, target, o, steps)
+        return _newton_steps(spark, walkers, j, target, o, steps, lam)
     finally:
         walkers.unpersist()
 
 
-def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict, np.ndarray]:
+def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int, lam: DataFrame | None) -> tuple[np.ndarray, dict, np.ndarray]:
     length, q, beta = j.shape[0], j.shape[2], o.sampled_beta
     regular = newton.regulariser(o.regulariser, q) if o.regulariser else None
     base = packed(j)
+    strengths = base[["i", "j"]].merge(lam.toPandas(), how="left")[["lam"]] if lam is not None else None
+    if strengths is not None and strengths["lam"].isna().any():
+        raise ValueError("a pair has no strength")
     dj = np.zeros(len(base))
     sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), 0.0, beta)
     if beta is not None:
@@ -263,7 +273,8 @@ def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target
         f = sums / w
         dj = dj - o.gamma * (target - f) / (f + o.damping)
         if regular:
-            x = spark.createDataFrame(base.assign(f=f, dj=dj))
+            x = base.assign(f=f, dj=dj)
+            x = spark.createDataFrame(x if strengths is None else x.assign(lam=strengths["lam"].to_numpy()))
             dj = regular(x, o.gamma, o.damping).orderBy(*KEY).select("dj").toArrow().column(0).to_numpy()
         done += 1
         step = unpacked(dj, length, q)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import rounded as r6
 from ..functions.numerics import spearman
-from ..operators import filters, gauge, marginals, newton, profiling, reduction, sampling, scores, similarity
+from ..operators import filters, gauge, marginals, mutants, newton, profiling, reduction, sampling, scores, similarity
 from ..sources import fixtures as fx
 from ..sources import msa as msa_io
 from . import infer
@@ -27,9 +27,10 @@ KEY = ["i", "j", "a", "b"]
 # ---- shared parts of the SQL side: one WITH list, of which a query names what it needs
 
 _A_LIST = ", ".join(fx.A_LETTERS)
+_B_LIST = ", ".join(fx.b_letter(p, "embedding[{} + 1]") for p in range(L))
 PARTS: dict[str, tuple[str, list[str]]] = {
     "ma": (f"SELECT [{_A_LIST}] AS seq, count(*) AS mult FROM lineitem GROUP BY ALL", []),
-    "mb": ("SELECT vec_id AS seq_id, list_transform(embedding[1:12], lambda x: CASE WHEN CAST(x AS DOUBLE) < CAST(-0.08 AS DOUBLE) THEN 0 WHEN CAST(x AS DOUBLE) < 0 THEN 1 WHEN CAST(x AS DOUBLE) < CAST(0.08 AS DOUBLE) THEN 2 ELSE 3 END) AS seq, (vec_id % 4 + 1) / CAST(4.0 AS DOUBLE) AS w FROM embeddings", []),
+    "mb": (f"SELECT vec_id AS seq_id, [{_B_LIST}] AS seq, (vec_id % 4 + 1) / CAST(4.0 AS DOUBLE) AS w FROM embeddings", []),
     "pa": ("SELECT CAST(x.i AS INT) AS i, CAST(y.j AS INT) AS j FROM range(6) x(i), range(6) y(j) WHERE x.i < y.j", []),
     "pb": ("SELECT CAST(x.i AS INT) AS i, CAST(y.j AS INT) AS j FROM range(12) x(i), range(12) y(j) WHERE x.i < y.j", []),
     "lt": ("SELECT CAST(x AS INT) AS x FROM range(4) t(x)", []),
@@ -42,9 +43,10 @@ PARTS: dict[str, tuple[str, list[str]]] = {
     "fw": ("SELECT i, j, a, b, w / sum(w) OVER (PARTITION BY i, j) AS f FROM cb", ["cb"]),
     "sides": ("SELECT *, sum(f) OVER (PARTITION BY i, j, a) AS fa, sum(f) OVER (PARTITION BY i, j, b) AS fb FROM ff", ["ff"]),
     "sidesa": ("SELECT *, sum(f) OVER (PARTITION BY i, j, a) AS fa, sum(f) OVER (PARTITION BY i, j, b) AS fb FROM ffa", ["ffa"]),
-    "jj": ("SELECT i, j, a, b, (((i*31 + j*17 + a*7 + b*13) % 17) - 8) / CAST(16.0 AS DOUBLE) AS cpl FROM gb", ["gb"]),
+    "jj": ("SELECT i, j, a, b, -(x * t - u * v) * pow(CAST(2 AS DOUBLE), -ceil(log2(t) * 1.5 + 0.1)) AS cpl FROM (SELECT i, j, a, b, CAST(n AS DOUBLE) AS x, CAST(sum(n) OVER (PARTITION BY i, j) AS DOUBLE) AS t, CAST(sum(n) OVER (PARTITION BY i, j, a) AS DOUBLE) AS u, CAST(sum(n) OVER (PARTITION BY i, j, b) AS DOUBLE) AS v FROM cb)", ["cb"]),
     "pos": ("SELECT CAST(p AS INT) AS pos FROM range(12) t(p)", []),
-    "hh": ("SELECT pos, x AS res, (((pos*5 + x*3) % 9) - 4) / CAST(8.0 AS DOUBLE) AS h FROM pos, lt", ["pos", "lt"]),
+    "cu": ("SELECT pos, x AS res, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM pos CROSS JOIN lt LEFT JOIN (SELECT pos, seq[pos+1] AS x, count(*) AS n FROM mb, pos GROUP BY ALL) USING (pos, x)", ["pos", "lt", "mb"]),
+    "hh": ("SELECT pos, res, (t - 4 * n) * pow(CAST(2 AS DOUBLE), -ceil(log2(t) * 0.5 + 0.1)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY pos) AS t FROM cu)", ["cu"]),
     "uni": ("SELECT pos, x AS res, coalesce(n, 0) / CAST(sum(coalesce(n, 0)) OVER (PARTITION BY pos) AS DOUBLE) AS f FROM pos CROSS JOIN lt LEFT JOIN (SELECT pos, seq[pos+1] AS x, count(*) AS n FROM mb, pos GROUP BY ALL) USING (pos, x)", ["pos", "lt", "mb"]),
     "en": ("SELECT seq_id, sum(cpl) AS e FROM (SELECT seq_id, i, j, seq[i+1] AS a, seq[j+1] AS b FROM mb, pb) JOIN jj USING (i, j, a, b) GROUP BY seq_id", ["mb", "pb", "jj"]),
     "jm": ("SELECT *, avg(cpl) OVER (PARTITION BY i, j, a) AS ma, avg(cpl) OVER (PARTITION BY i, j, b) AS mb_, avg(cpl) OVER (PARTITION BY i, j) AS mm FROM jj", ["jj"]),
@@ -114,12 +116,14 @@ def ff_a(s: SparkSession, d: str) -> DataFrame:
     return marginals.bimarg(fx.msa_a(s, d), fx.A_LENGTH, fx.A_Q)
 
 
-def jj(s: SparkSession) -> DataFrame:
-    return fx.couplings(s, L, Q)
+def jj(s: SparkSession, d: str) -> DataFrame:
+    """Couplings of B's covariances."""
+    return fx.table_couplings(marginals.bicounts(msa_b(s, d), L, Q, compress=False))
 
 
-def hh(s: SparkSession) -> DataFrame:
-    return fx.fields(s, L, Q)
+def hh(s: SparkSession, d: str) -> DataFrame:
+    """Fields of B's counts."""
+    return fx.table_fields(marginals.unicounts(msa_b(s, d), L, Q))
 
 
 # ---- counts and marginals
@@ -181,8 +185,8 @@ query(
 
 for _name, _e in (("nsim", "count(*) FILTER (12 - sim < 6)"), ("nsim_weighted", "sum(wy) FILTER (12 - sim < 6)"), ("sumsim", "sum(sim) - 12"), ("sumsim_weighted", "sum(wx * wy * sim) - 12 * any_value(wx * wx)")):
     ORACLE_SQL[_name] = sql(f"SELECT CAST(x AS VARCHAR) AS key, {r(f'CAST({_e} AS DOUBLE)')} AS {'n' if _name[0] == 'n' else 'total'} FROM simb GROUP BY x", "simb")
-QUERIES["nsim"] = lambda s, d: values(similarity.n_similar(similarity.single(msa_b(s, d)), L, Q, 6), "n")
-QUERIES["nsim_weighted"] = lambda s, d: values(similarity.n_similar(similarity.single(msa_b(s, d), "w"), L, Q, 6), "n")
+QUERIES["nsim"] = lambda s, d: values(similarity.n_similar(similarity.single(msa_b(s, d)), L, Q, 6, "index"), "n")
+QUERIES["nsim_weighted"] = lambda s, d: values(similarity.n_similar(similarity.single(msa_b(s, d), "w"), L, Q, 6, "index"), "n")
 QUERIES["sumsim"] = lambda s, d: values(similarity.sum_similarity(similarity.single(msa_b(s, d)), L, Q), "total")
 QUERIES["sumsim_weighted"] = lambda s, d: values(similarity.sum_similarity(similarity.single(msa_b(s, d), "w"), L, Q, True), "total")
 _H = "SELECT CAST(k AS INT) AS sim, {v} AS n FROM range(13) t(k) LEFT JOIN (SELECT CASE WHEN x = y THEN 12 ELSE sim END AS k, sum({p}) AS n FROM simb WHERE x <= y GROUP BY 1) USING (k)"
@@ -192,48 +196,62 @@ query("minsim", sql("SELECT CAST(x AS VARCHAR) AS key, min(sim) AS least FROM si
 query("phylo_weights", sql(f"SELECT CAST(x AS VARCHAR) AS key, {r('1 / CAST(count(*) FILTER (12 - sim < 5) AS DOUBLE)')} AS weight FROM simb GROUP BY x", "simb"))(lambda s, d: values(similarity.phylo_weights(similarity.single(msa_b(s, d)), L, Q, "0.4"), "weight"))
 _SA = "SELECT s.mult AS m, sum(t.mult) AS n FROM ma s JOIN ma t ON 6 - list_sum(list_transform(range(1, 7), lambda k: CAST(s.seq[k] = t.seq[k] AS INT))) < 2 GROUP BY s.seq, s.mult"
 query("phylo_neff", sql(f"SELECT {r('sum(m / CAST(n AS DOUBLE))')} AS neff FROM ({_SA})", "ma"))(lambda s, d: values(similarity.effective_number(similarity.grouped(fx.msa_a(s, d)), fx.A_LENGTH, fx.A_Q, "m1"), "neff"))
-query("filtersim")(lambda s, d: similarity.filter_similar(msa_b(s, d), 6))
-query("subsample_msa")(lambda s, d: similarity.subsample(msa_b(s, d), L, 0.5, 1))
+#: The greedy filter said one row at a time: the next row that no kept row is near to.  {o} orders the rows, {c} is the cutoff
+_GREEDY = """, near AS (SELECT s.o, list(t.o) AS near FROM ranked s JOIN ranked t ON t.o < s.o JOIN simb ON simb.x = s.seq_id AND simb.y = t.seq_id WHERE 12 - sim < {c} GROUP BY s.o),
+kept(last, rows) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT o, list_append(rows, o) FROM (SELECT min(r.o) AS o, any_value(k.rows) AS rows FROM kept k JOIN ranked r ON r.o > k.last LEFT JOIN near n ON n.o = r.o WHERE n.near IS NULL OR NOT list_has_any(k.rows, n.near)) WHERE o IS NOT NULL)"""
+
+
+def greedy(order: str, cutoff: int, columns: str) -> str:
+    out = sql(f"SELECT {columns} FROM ranked WHERE o IN (SELECT last FROM kept)", "simb").replace("WITH ", "WITH RECURSIVE ", 1)
+    at = out.rindex("\nSELECT")
+    return out[:at] + f",\nranked AS (SELECT seq_id, seq, row_number() OVER (ORDER BY {order}) AS o FROM mb)" + _GREEDY.format(c=cutoff) + out[at:]
+
+
+query("filtersim", greedy("seq_id", 6, "seq_id, array_to_string(seq, '') AS seq"))(lambda s, d: _text(similarity.filter_similar(msa_b(s, d), L, Q, 6)))
+query("subsample_msa", greedy("left(md5('1:' || seq_id), 8), seq_id", 6, "seq_id, array_to_string(seq, '') AS seq, CAST('0x' || left(md5('2:' || seq_id), 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) AS place"))(
+    lambda s, d: similarity.subsample(msa_b(s, d), L, Q, 0.5, 1).select("seq_id", F.concat_ws("", F.col("seq").cast("array<string>")).alias("seq"), "place")
+)
 
 # ---- gauges
 
-query("gauge_zeroj", sql(f"SELECT i, j, a, b, {r('cpl')} AS cpl FROM j0", "j0"))(lambda s, d: values(gauge.zero_couplings(jj(s)).select(*KEY, "cpl"), "cpl"))
-query("gauge_zeroj_fields", sql(f"SELECT pos, res, {r('h')} AS h FROM hz", "hz"))(lambda s, d: values(gauge.zero_j(hh(s), jj(s), L)[0], "h"))
-query("gauge_zero", sql(f"SELECT pos, res, {r('h')} AS h FROM hc", "hc"))(lambda s, d: values(gauge.zero(hh(s), jj(s), L)[0], "h"))
+query("gauge_zeroj", sql(f"SELECT i, j, a, b, {r('cpl')} AS cpl FROM j0", "j0"))(lambda s, d: values(gauge.zero_couplings(jj(s, d)).select(*KEY, "cpl"), "cpl"))
+query("gauge_zeroj_fields", sql(f"SELECT pos, res, {r('h')} AS h FROM hz", "hz"))(lambda s, d: values(gauge.zero_j(hh(s, d), jj(s, d), L)[0], "h"))
+query("gauge_zero", sql(f"SELECT pos, res, {r('h')} AS h FROM hc", "hc"))(lambda s, d: values(gauge.zero(hh(s, d), jj(s, d), L)[0], "h"))
 _wz = "cpl - sum(cpl * f) OVER (PARTITION BY i, j, a) / sum(f) OVER (PARTITION BY i, j, a) - sum(cpl * f) OVER (PARTITION BY i, j, b) / sum(f) OVER (PARTITION BY i, j, b) + sum(cpl * f) OVER (PARTITION BY i, j) / sum(f) OVER (PARTITION BY i, j)"
-query("gauge_zeroj_weighted", sql(f"SELECT i, j, a, b, {r(_wz)} AS cpl FROM jj JOIN ff USING (i, j, a, b)", "jj", "ff"))(lambda s, d: values(gauge.zero_couplings(scores.both(ff_b(s, d), jj(s)), "f").select(*KEY, "cpl"), "cpl"))
+query("gauge_zeroj_weighted", sql(f"SELECT i, j, a, b, {r(_wz)} AS cpl FROM jj JOIN ff USING (i, j, a, b)", "jj", "ff"))(lambda s, d: values(gauge.zero_couplings(scores.both(ff_b(s, d), jj(s, d)), "f").select(*KEY, "cpl"), "cpl"))
 _FD = "SELECT i, j, a, b, {v} AS cpl FROM {j} j JOIN {h} x ON x.pos = i AND x.res = a JOIN {h} y ON y.pos = j AND y.res = b"
-query("gauge_fieldless_dist", sql(_FD.format(v=r("cpl + (x.h + y.h) / 11"), j="jj", h="hh"), "jj", "hh"))(lambda s, d: values(gauge.fieldless_distributed(hh(s), jj(s), L), "cpl"))
-query("gauge_fieldless", sql(_FD.format(v=r("cpl + CASE WHEN i = 0 THEN y.h + CASE WHEN j = 1 THEN x.h ELSE 0 END ELSE 0 END"), j="jj", h="hh"), "jj", "hh"))(lambda s, d: values(gauge.fieldless(hh(s), jj(s)), "cpl"))
-query("gauge_fieldless_even", sql(_FD.format(v=r("cpl + (x.h + y.h) / 11"), j="j0", h="hc"), "j0", "hc"))(lambda s, d: values(gauge.fieldless_even(hh(s), jj(s), L), "cpl"))
-query("unpack_couplings", sql(f"SELECT i, j, a, b, {r('cpl')} AS cpl FROM jj UNION ALL SELECT j, i, b, a, {r('cpl')} FROM jj", "jj"))(lambda s, d: values(gauge.unpacked(jj(s)), "cpl"))
-query("coupling_tensor", sql(f"SELECT i, j, a, b, {r('cpl')} AS cpl FROM jj UNION ALL SELECT j, i, b, a, {r('cpl')} FROM jj UNION ALL SELECT pos, pos, s.x, t.x, NULL FROM pos, lt s, lt t", "jj", "pos", "lt"))(lambda s, d: values(gauge.tensor(jj(s), L, Q), "cpl"))
+query("gauge_fieldless_dist", sql(_FD.format(v=r("cpl + (x.h + y.h) / 11"), j="jj", h="hh"), "jj", "hh"))(lambda s, d: values(gauge.fieldless_distributed(hh(s, d), jj(s, d), L), "cpl"))
+query("gauge_fieldless", sql(_FD.format(v=r("cpl + CASE WHEN i = 0 THEN y.h + CASE WHEN j = 1 THEN x.h ELSE 0 END ELSE 0 END"), j="jj", h="hh"), "jj", "hh"))(lambda s, d: values(gauge.fieldless(hh(s, d), jj(s, d)), "cpl"))
+query("gauge_fieldless_even", sql(_FD.format(v=r("cpl + (x.h + y.h) / 11"), j="j0", h="hc"), "j0", "hc"))(lambda s, d: values(gauge.fieldless_even(hh(s, d), jj(s, d), L), "cpl"))
+query("unpack_couplings", sql(f"SELECT i, j, a, b, {r('cpl')} AS cpl FROM jj UNION ALL SELECT j, i, b, a, {r('cpl')} FROM jj", "jj"))(lambda s, d: values(gauge.unpacked(jj(s, d)), "cpl"))
+query("coupling_tensor", sql(f"SELECT i, j, a, b, {r('cpl')} AS cpl FROM jj UNION ALL SELECT j, i, b, a, {r('cpl')} FROM jj UNION ALL SELECT pos, pos, s.x, t.x, NULL FROM pos, lt s, lt t", "jj", "pos", "lt"))(lambda s, d: values(gauge.tensor(jj(s, d), L, Q), "cpl"))
 _IH = "SELECT pos, res, -ln(f) - avg(-ln(f)) OVER (PARTITION BY pos) AS h FROM uni"
 query("init_couplings", sql(f"SELECT i, j, a, b, {r('(x.h + y.h) / 11')} AS cpl FROM gb JOIN ({_IH}) x ON x.pos = i AND x.res = a JOIN ({_IH}) y ON y.pos = j AND y.res = b", "gb", "uni"))(
-    lambda s, d: values(gauge.independent_model(marginals.unimarg(msa_b(s, d), L, Q), jj(s).withColumn("cpl", F.lit(0.0)), L), "cpl")
+    lambda s, d: values(gauge.independent_model(marginals.unimarg(msa_b(s, d), L, Q), jj(s, d).withColumn("cpl", F.lit(0.0)), L), "cpl")
 )
 
 # ---- energies and scores
 
-query("potts_energy", sql(f"SELECT seq_id, {r('e')} AS e FROM en", "en"))(lambda s, d: values(scores.energies(msa_b(s, d), jj(s), L, Q), "e"))
-query("potts_energy_join", sql(f"SELECT seq_id, {r('e')} AS e FROM en", "en"))(lambda s, d: values(scores.energies(msa_b(s, d), jj(s), L, Q, "join"), "e"))
-query("energy_terms", sql(f"SELECT seq_id, i, j, {r('cpl')} AS e FROM (SELECT seq_id, i, j, seq[i+1] AS a, seq[j+1] AS b FROM mb, pb) JOIN jj USING (i, j, a, b)", "mb", "pb", "jj"))(lambda s, d: values(scores.energy_terms(msa_b(s, d), jj(s), L), "e"))
-query("indep_energy", sql(f"SELECT seq_id, {r('sum(h)')} AS e FROM (SELECT seq_id, pos, seq[pos+1] AS res FROM mb, pos) JOIN hh USING (pos, res) GROUP BY seq_id", "mb", "pos", "hh"))(lambda s, d: values(scores.independent_energies(msa_b(s, d), hh(s)), "e"))
+query("potts_energy", sql(f"SELECT seq_id, {r('e')} AS e FROM en", "en"))(lambda s, d: values(scores.energies(msa_b(s, d), jj(s, d), L, Q), "e"))
+query("potts_energy_join", sql(f"SELECT seq_id, {r('e')} AS e FROM en", "en"))(lambda s, d: values(scores.energies(msa_b(s, d), jj(s, d), L, Q, "join"), "e"))
+query("energy_terms", sql(f"SELECT seq_id, i, j, {r('cpl')} AS e FROM (SELECT seq_id, i, j, seq[i+1] AS a, seq[j+1] AS b FROM mb, pb) JOIN jj USING (i, j, a, b)", "mb", "pb", "jj"))(lambda s, d: values(scores.energy_terms(msa_b(s, d), jj(s, d), L), "e"))
+query("indep_energy", sql(f"SELECT seq_id, {r('sum(h)')} AS e FROM (SELECT seq_id, pos, seq[pos+1] AS res FROM mb, pos) JOIN hh USING (pos, res) GROUP BY seq_id", "mb", "pos", "hh"))(lambda s, d: values(scores.independent_energies(msa_b(s, d), hh(s, d)), "e"))
 query("delta_energy", sql(f"SELECT seq_id, {r('sum(n.cpl - o.cpl)')} AS de FROM mb, pos JOIN (SELECT * FROM jj UNION ALL SELECT j, i, b, a, cpl FROM jj) n ON n.i = 3 AND n.j = pos AND n.a = 2 AND n.b = seq[pos+1] JOIN (SELECT * FROM jj UNION ALL SELECT j, i, b, a, cpl FROM jj) o ON o.i = 3 AND o.j = pos AND o.a = seq[4] AND o.b = seq[pos+1] WHERE pos <> 3 GROUP BY seq_id", "mb", "pos", "jj"))(
-    lambda s, d: values(scores.energy_changes(msa_b(s, d), jj(s), 3, 2), "de")
+    lambda s, d: values(scores.energy_changes(msa_b(s, d), jj(s, d), 3, 2), "de")
 )
-query("energy_summary", sql(f"SELECT {r('min(e)')} AS min_e, {r('avg(e)')} AS mean_e, {r('stddev_pop(e)')} AS std_e FROM en", "en"))(lambda s, d: values(scores.energy_summary(scores.energies(msa_b(s, d), jj(s), L, Q)), "min_e", "mean_e", "std_e"))
-query("min_ref_energy", sql(f"SELECT {r('least(0, min(e))')} AS ref FROM en", "en"))(lambda s, d: scores.energies(msa_b(s, d), jj(s), L, Q).agg(r6(F.least(F.lit(0.0), F.min("e"))).alias("ref")))
+query("energy_summary", sql(f"SELECT {r('min(e)')} AS min_e, {r('avg(e)')} AS mean_e, {r('stddev_pop(e)')} AS std_e FROM en", "en"))(lambda s, d: values(scores.energy_summary(scores.energies(msa_b(s, d), jj(s, d), L, Q)), "min_e", "mean_e", "std_e"))
+query("min_ref_energy", sql(f"SELECT {r('least(0, min(e))')} AS ref FROM en", "en"))(lambda s, d: scores.energies(msa_b(s, d), jj(s, d), L, Q).agg(r6(F.least(F.lit(0.0), F.min("e"))).alias("ref")))
 query("predict_neff", sql(f"SELECT {r('sum(exp(l - m)) * sum(exp(l - m)) / sum(exp(2 * (l - m)))')} AS neff FROM (SELECT l, max(l) OVER () AS m FROM (SELECT -(1 - 0.9) * (e - (0.8 - 0.9) * var_pop(e) OVER ()) AS l FROM en))", "en"))(
-    lambda s, d: values(newton.predicted_size(scores.energies(msa_b(s, d), jj(s), L, Q), 0.9, 0.8), "neff")
+    lambda s, d: values(newton.predicted_size(scores.energies(msa_b(s, d), jj(s, d), L, Q), 0.9, 0.8), "neff")
 )
-query("xij", sql(f"SELECT i, j, {r('-sum(c * cpl)')} AS score FROM xx GROUP BY i, j", "xx"))(lambda s, d: values(scores.xij(ff_b(s, d), jj(s)), "score"))
-query("xijab", sql(f"SELECT i, j, a, b, {r('xab')} AS xab FROM xx", "xx"))(lambda s, d: values(scores.xijab(ff_b(s, d), jj(s)), "xab"))
-query("total_x", sql(f"SELECT {r('sum(c * cpl)')} AS x FROM xx", "xx"))(lambda s, d: values(scores.total_x(ff_b(s, d), jj(s)), "x"))
+query("xij", sql(f"SELECT i, j, {r('-sum(c * cpl)')} AS score FROM xx GROUP BY i, j", "xx"))(lambda s, d: values(scores.xij(ff_b(s, d), jj(s, d)), "score"))
+query("xijab", sql(f"SELECT i, j, a, b, {r('xab')} AS xab FROM xx", "xx"))(lambda s, d: values(scores.xijab(ff_b(s, d), jj(s, d)), "xab"))
+query("total_x", sql(f"SELECT {r('sum(c * cpl)')} AS x FROM xx", "xx"))(lambda s, d: values(scores.total_x(ff_b(s, d), jj(s, d)), "x"))
 _SEQ = [0, 1, 2, 3] * 3
-query("xij_for_seq", sql(f"SELECT i, j, {r('xab')} AS xab, {r('xab - x')} AS excess FROM (SELECT *, -sum(c * cpl) OVER (PARTITION BY i, j) AS x FROM xx) WHERE a = i % 4 AND b = j % 4", "xx"))(lambda s, d: values(scores.xab_of_sequence(ff_b(s, d), jj(s), _SEQ), "xab", "excess"))
-query("dde", sql(f"SELECT i, j, a, b, {r('sum(abs(dde))')} AS total, CAST(count(*) AS BIGINT) AS n FROM cyc GROUP BY ALL", "cyc"))(lambda s, d: scores.double_mutants(jj(s)).groupBy(*KEY).agg(r6(F.sum(F.abs("dde"))).alias("total"), F.count("*").alias("n")))
-query("rdde", sql(f"SELECT i, j, a, b, {r('sum(sign(-dde)) / CAST(9.0 AS DOUBLE)')} AS grad FROM cyc GROUP BY ALL", "cyc"))(lambda s, d: values(scores.rdde(jj(s), Q)[1], "grad"))
+query("xij_for_seq", sql(f"SELECT i, j, {r('xab')} AS xab, {r('xab - x')} AS excess FROM (SELECT *, -sum(c * cpl) OVER (PARTITION BY i, j) AS x FROM xx) WHERE a = i % 4 AND b = j % 4", "xx"))(lambda s, d: values(scores.xab_of_sequence(ff_b(s, d), jj(s, d), _SEQ), "xab", "excess"))
+query("dde", sql(f"SELECT i, j, a, b, {r('sum(abs(dde))')} AS total, CAST(count(*) AS BIGINT) AS n FROM cyc GROUP BY ALL", "cyc"))(lambda s, d: mutants.mutant_sums(jj(s, d), Q).select(*KEY, r6("size").alias("total"), F.lit((Q - 1) ** 2).cast("long").alias("n")))
+query("rdde", sql(f"SELECT i, j, a, b, {r('sum(sign(-dde)) / CAST(9.0 AS DOUBLE)')} AS grad FROM cyc GROUP BY ALL", "cyc"))(lambda s, d: values(scores.rdde(jj(s, d), Q)[1], "grad"))
 _S = "SELECT i, j, {e} AS score FROM {t} GROUP BY i, j"
 _SCORES = {
     "MI": ("sum(CASE WHEN f > 0 THEN f * ln(f / (fa * fb)) ELSE 0 END)", "sides"),
@@ -246,12 +264,12 @@ _SCORES = {
     "RddE": ("sum(abs(dde)) / 36", "cyc"),
 }
 for _n, (_e, _p) in _SCORES.items():
-    query(f"score_{_n.lower()}", sql(_S.format(e=r(_e), t=_p), _p))(lambda s, d, n=_n: values(scores.score(n, ff_b(s, d), jj(s), Q), "score"))
+    query(f"score_{_n.lower()}", sql(_S.format(e=r(_e), t=_p), _p))(lambda s, d, n=_n: values(scores.score(n, ff_b(s, d), jj(s, d), Q), "score"))
 for _n, _e in {"fbw": "f", "fbwsqrt": "sqrt(f)", "fbwsi": "sqrt(fa * fb)", "fbwexp": "1 - exp(-4 * f)"}.items():
     _m = lambda by: f"sum(cpl * w) OVER (PARTITION BY {by}) / sum(w) OVER (PARTITION BY {by})"
     _b = f"SELECT i, j, w * (cpl - {_m('i, j, a')} - {_m('i, j, b')} + {_m('i, j')}) AS v FROM (SELECT i, j, a, b, cpl, {_e} AS w FROM xx)"
-    query(f"score_{_n}", sql(f"SELECT i, j, {r('sqrt(sum(v * v))')} AS score FROM ({_b}) GROUP BY i, j", "xx"))(lambda s, d, n=_n: values(scores.score(n, ff_b(s, d), jj(s), Q), "score"))
-query("score_di")(lambda s, d: values(scores.score("DI", ff_b(s, d), jj(s), Q), "score"))
+    query(f"score_{_n}", sql(f"SELECT i, j, {r('sqrt(sum(v * v))')} AS score FROM ({_b}) GROUP BY i, j", "xx"))(lambda s, d, n=_n: values(scores.score(n, ff_b(s, d), jj(s, d), Q), "score"))
+query("score_di")(lambda s, d: values(scores.score("DI", ff_b(s, d), jj(s, d), Q), "score"))
 
 # ---- filters and alphabets
 
@@ -283,7 +301,7 @@ query(
    hq AS (SELECT pos, res, sum(h) AS h FROM (SELECT * FROM h0 UNION ALL SELECT i, a, ma FROM rm WHERE b = 0 UNION ALL SELECT j, b, mb_ FROM rm WHERE a = 0) GROUP BY pos, res) {_RH}) y ON y.pos = j.j AND y.res = j.b""",
         "gb", "jj", "uni",
     ),
-)(lambda s, d: values(filters.expanded_couplings(jj(s), marginals.unimarg(msa_b(s, d), L, Q), _GROUPS, Q), "cpl"))
+)(lambda s, d: values(filters.expanded_couplings(jj(s, d), marginals.unimarg(msa_b(s, d), L, Q), _GROUPS, Q), "cpl"))
 query("reverse_alphamap_seqs")(lambda s, d: filters.expanded_sequences(filters.mapped_sequences(msa_b(s, d), _GROUPS, Q), [[0.1, 0.2, 0.3, 0.4]] * L, _GROUPS, 3).select("seq_id", "seq"))
 query("permute", sql("SELECT seq_id, CAST('0x' || left(md5('7:' || seq_id), 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) AS place FROM mb", "mb"))(lambda s, d: filters.permuted(msa_b(s, d), 7).select("seq_id", "place"))
 query("unseen_letters", sql("SELECT pos, string_agg(chr(CAST(65 + res AS INT)), '' ORDER BY res) FILTER (f > 0) AS kept, coalesce(string_agg(chr(CAST(65 + res AS INT)), '' ORDER BY res) FILTER (f = 0), '') AS unseen FROM (SELECT 0 AS pos, a AS res, sum(f) AS f FROM ffa WHERE i = 0 AND j = 1 GROUP BY a UNION ALL SELECT j, b, sum(f) FROM ffa WHERE i = 0 GROUP BY j, b) GROUP BY pos", "ffa"))(
@@ -322,16 +340,26 @@ def _text(m: DataFrame) -> DataFrame:
 # ---- sampling
 
 _U = "CAST('0x' || left(md5({k}), 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE)"
-query("gen_uniform", f"SELECT n AS seq_id, string_agg(CAST(floor({_U.format(k='concat_ws(chr(58), 5, n, p)')} * 4) AS INT), '' ORDER BY p) AS seq FROM range(1000) t(n), range(12) u(p) GROUP BY n")(lambda s, d: _text(sampling.uniform_sequences(s, 1000, L, Q, 5)))
-query("gen_indep", f"SELECT n AS seq_id, string_agg(CASE WHEN u < CAST(0.125 AS DOUBLE) THEN 0 WHEN u < CAST(0.375 AS DOUBLE) THEN 1 WHEN u < CAST(0.75 AS DOUBLE) THEN 2 ELSE 3 END, '' ORDER BY p) AS seq FROM (SELECT n, p, {_U.format(k='concat_ws(chr(58), 6, n, p)')} AS u FROM range(1000) t(n), range(12) u(p)) GROUP BY n")(
-    lambda s, d: _text(sampling.independent_sequences(s, 1000, [[0.125, 0.25, 0.375, 0.25]] * L, 6))
+query("gen_uniform", sql(f"SELECT n AS seq_id, string_agg(CAST(floor({_U.format(k='concat_ws(chr(58), 5, n, p)')} * 4) AS INT), '' ORDER BY p) AS seq FROM range((SELECT count(*) FROM mb)) t(n), range(12) u(p) GROUP BY n", "mb"))(lambda s, d: _text(sampling.uniform_sequences(s, msa_b(s, d).count(), L, Q, 5)))
+_UP = "SELECT pos AS p, sum(n) OVER (PARTITION BY pos ORDER BY res) / sum(n) OVER (PARTITION BY pos) AS upper, res FROM cu"
+_DRAWN = f"SELECT n, pos, {_U.format(k='concat_ws(chr(58), 6, n, pos)')} AS u FROM range((SELECT count(*) FROM mb)) t(n), pos"
+query("gen_indep", sql(f"SELECT n AS seq_id, string_agg(x, '' ORDER BY pos) AS seq FROM (SELECT n, pos, CAST(count(upper) AS INT) AS x FROM ({_DRAWN}) LEFT JOIN ({_UP}) ON p = pos AND res < 3 AND upper <= u GROUP BY n, pos) GROUP BY n", "mb", "cu", "pos"))(
+    lambda s, d: (lambda m: _text(sampling.independent_sequences(s, m.count(), _counts(m), 6)))(msa_b(s, d))
 )
 
 
+def _counts(m: DataFrame) -> list[list[float]]:
+    """Counts of each letter at each position, on the driver as the model is."""
+    out = [[0.0] * Q for _ in range(L)]
+    for row in marginals.unicounts(m, L, Q).collect():
+        out[row.pos][row.res] = float(row.n)
+    return out
+
+
 @query("metropolis")
 def metropolis(s: SparkSession, d: str) -> DataFrame:
     start = msa_b(s, d).select(F.col("seq_id").alias("walker_id"), "seq", F.lit(1.0).alias("beta"))
-    return sampling.metropolis(start, scores.coupling_array(jj(s), L, Q), 256, 9)
+    return sampling.metropolis(start, scores.coupling_array(jj(s, d), L, Q), 256, 9)
 
 
 _LETTERS = "CASE WHEN pb.{p} IN (0, 1, 2) THEN s.m[pb.{p}+1] ELSE b.seq[pb.{p}+1] END"
@@ -349,15 +377,42 @@ _LOGFREQ = sql(
 def subseq_all(s: SparkSession, d: str) -> DataFrame:
     """Log frequency of every sequence's letters at the marked positions; under both names."""
     m = msa_b(s, d)
-    return values(sampling.subsequence_logfreq(m, m, [0, 1, 2], scores.coupling_array(jj(s), L, Q)), "logfreq")
+    return values(sampling.subsequence_logfreq(m, m, [0, 1, 2], scores.coupling_array(jj(s, d), L, Q)), "logfreq")
 
 
 query("spearman", sql(f"SELECT count(*) AS n, {r('corr(rx, ry)')} AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM (SELECT en.e AS x, i.e AS y FROM en JOIN (SELECT seq_id, sum(h) AS e FROM (SELECT seq_id, pos, seq[pos+1] AS res FROM mb, pos) JOIN hh USING (pos, res) GROUP BY seq_id) i USING (seq_id)))", "en", "mb", "pos", "hh"))(
-    lambda s, d: values(spearman(scores.energies(msa_b(s, d), jj(s), L, Q).join(scores.independent_energies(msa_b(s, d), hh(s)).withColumnRenamed("e", "y"), "seq_id"), "e", "y"), "rho")
+    lambda s, d: values(spearman(scores.energies(msa_b(s, d), jj(s, d), L, Q).join(scores.independent_energies(msa_b(s, d), hh(s, d)).withColumnRenamed("e", "y"), "seq_id"), "e", "y"), "rho")
+)
+def mixed(seed: int, walker: str, step: int) -> str:
+    """SQL of the number in [0, 1) that ``uniform_array`` draws, in whole numbers of 128 bits cut to 64."""
+    cut = lambda e: f"CAST(({e}) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    x = cut(f"CAST({walker} AS UHUGEINT) * {0x9E3779B97F4A7C15}::UHUGEINT + {seed}::UHUGEINT")
+    for salt in (step * 0xD1B54A32D192ED03 % 2**64, 0x8CB92BA72F3D8DD7):
+        x = cut(f"CAST({x} AS UHUGEINT) + {salt}::UHUGEINT")
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = f"(SELECT {cut(f'CAST(xor(v, v >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT')} FROM (SELECT {x} AS v))"
+        x = f"(SELECT xor(v, v >> 31) FROM (SELECT {x} AS v))"
+    return f"CAST(({x}) >> 11 AS DOUBLE) / CAST(9007199254740992 AS DOUBLE)"
+
+
+def _half(rows: str, odd: int) -> str:
+    """Rows (r, seq_id, e, b) after one of a round's two turns of swaps."""
+    go = f"y.r IS NOT NULL AND x.b <> y.b AND ((x.e - y.e) * (x.b - y.b) >= 0 OR exp(least((x.e - y.e) * (x.b - y.b), 0)) > {mixed(3, 'x.r', odd)})"
+    pairs = f"SELECT x.r, x.seq_id, x.e, x.b, y.r AS r2, y.seq_id AS s2, y.e AS e2, y.b AS b2, {go} AS go FROM {rows} x LEFT JOIN {rows} y ON y.r = x.r + 1 WHERE x.r % 2 = {odd}"
+    alone = f" UNION ALL SELECT r, seq_id, e, b FROM {rows} WHERE r = 0" if odd else ""
+    return f"SELECT r, seq_id, e, CASE WHEN go THEN b2 ELSE b END AS b FROM ({pairs}) UNION ALL SELECT r2, s2, e2, CASE WHEN go THEN b ELSE b2 END FROM ({pairs}) WHERE r2 IS NOT NULL" + alone
+
+
+PARTS["sw0"] = ("SELECT row_number() OVER (ORDER BY e, seq_id) - 1 AS r, seq_id, e, CASE WHEN seq_id % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END AS b FROM en", ["en"])
+PARTS["sw1"] = (_half("sw0", 0), ["sw0"])
+PARTS["sw2"] = (_half("sw1", 1), ["sw1"])
+query("tempering_swap", sql(f"SELECT seq_id AS walker_id, {r('e')} AS e, b AS beta FROM sw2", "sw2"))(
+    lambda s, d: values(sampling.exchanged(scores.energies(msa_b(s, d), jj(s, d), L, Q).select(F.col("seq_id").alias("walker_id"), "e", F.when(F.col("seq_id") % 2 == 0, 1.0).otherwise(0.7).alias("beta")), 1, 3), "e")
 )
-query("tempering_swap")(lambda s, d: sampling.swap_round(scores.energies(msa_b(s, d), jj(s), L, Q).select(F.col("seq_id").alias("walker_id"), "e", F.when(F.col("seq_id") % 2 == 0, 1.0).otherwise(0.7).alias("beta")), 3, 0))
 query("profile_totals", f"SELECT event_type AS name, {r('sum(value)')} AS total, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")(lambda s, d: values(profiling.totals(s.read.parquet(f"{d}/events.parquet"), "event_type", F.lit(0.0), F.col("value")), "total"))
-query("tile_seed", "SELECT n AS seq_id, '012301230123' AS seq FROM range(500) t(n)")(lambda s, d: _text(filters.tiled(s, _SEQ, 500)))
+query("tile_seed", sql("SELECT n AS seq_id, (SELECT array_to_string(seq, '') FROM mb ORDER BY seq_id LIMIT 1) AS seq FROM range((SELECT count(*) FROM mb)) t(n)", "mb"))(
+    lambda s, d: (lambda m: _text(filters.tiled(s, m.orderBy("seq_id").first().seq, m.count())))(msa_b(s, d))
+)
 query("truncate_seqs", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id IN (SELECT seq_id FROM mb ORDER BY seq_id LIMIT 100)", "mb"))(lambda s, d: _text(filters.first_rows(msa_b(s, d), 100)))
 query("concat_buffers", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id < 100 UNION ALL SELECT seq_id, array_to_string(seq, '') FROM mb WHERE seq_id >= 100", "mb"))(lambda s, d: (lambda m: _text(m.where("seq_id < 100").unionByName(m.where("seq_id >= 100"))))(msa_b(s, d)))
 
@@ -367,7 +422,7 @@ G, PC = 0.01, 0.001
 
 
 def step(s: SparkSession, d: str) -> DataFrame:
-    x = scores.both(ff_b(s, d), jj(s)).join(fw_b(s, d).withColumnRenamed("f", "target"), KEY).withColumn("dj", F.lit(0.0))
+    x = scores.both(ff_b(s, d), jj(s, d)).join(fw_b(s, d).withColumnRenamed("f", "target"), KEY).withColumn("dj", F.lit(0.0))
     return newton.update(x, G, PC).select(*KEY, "f", "cpl", "dj")
 
 
@@ -389,8 +444,8 @@ for _n, _e, _f in (
     ("reg_scaddde", "sum(0.02 * sign(dde) * CASE WHEN abs(dde) < 0.3 THEN 1 WHEN abs(dde) < 1.2 THEN (1.2 - abs(dde)) / 0.9 ELSE 0 END) / 9", lambda x: newton.scad_dde(x, G, PC, 0.02, 0.3, Q)),
 ):
     query(_n, sql(f"SELECT i, j, a, b, {r('dj - g * k')} AS dj FROM sz JOIN (SELECT i, j, a, b, {_e} AS g FROM scy GROUP BY ALL) USING (i, j, a, b)", "sz", "scy"))(lambda s, d, f=_f: values(f(step(s, d)).select(*KEY, "dj"), "dj"))
-query("reweight", sql(f"SELECT seq_id, {r('exp(m - e)')} AS w FROM (SELECT *, min(e) OVER () AS m FROM en)", "en"))(lambda s, d: newton.energy_weights(scores.energies(msa_b(s, d), jj(s), L, Q).withColumnRenamed("e", "de")).select("seq_id", r6("w").alias("w")))
-query("beta_weights", sql(f"SELECT seq_id, {r('exp((0.8 - 1) * (e - 0.5))')} AS w FROM en", "en"))(lambda s, d: newton.beta_weights(scores.energies(msa_b(s, d), jj(s), L, Q), 0.8, 0.5).select("seq_id", r6("w").alias("w")))
+query("reweight", sql(f"SELECT seq_id, {r('exp(m - e)')} AS w FROM (SELECT *, min(e) OVER () AS m FROM en)", "en"))(lambda s, d: newton.energy_weights(scores.energies(msa_b(s, d), jj(s, d), L, Q).withColumnRenamed("e", "de")).select("seq_id", r6("w").alias("w")))
+query("beta_weights", sql(f"SELECT seq_id, {r('exp((0.8 - 1) * (e - 0.5))')} AS w FROM en", "en"))(lambda s, d: newton.beta_weights(scores.energies(msa_b(s, d), jj(s, d), L, Q), 0.8, 0.5).select("seq_id", r6("w").alias("w")))
 
 
 @query("infer")
@@ -402,7 +457,7 @@ def infer_query(s: SparkSession, d: str) -> DataFrame:
 
 @query("equilibrate")
 def equilibrate_query(s: SparkSession, d: str) -> DataFrame:
-    """Walkers of the model in B's shape, with energies, after equilibration."""
-    j = scores.coupling_array(jj(s), L, Q)
-    w = infer.equilibrate(s, sampling.uniform_sequences(s, 2000, L, Q, 1).select(F.col("seq_id").alias("walker_id"), "seq", F.lit(1.0).alias("beta")), j, 3, steps=96)
+    """B's sequences as walkers of the model of its covariances, with energies, until these decorrelate."""
+    start = msa_b(s, d).select(F.col("seq_id").alias("walker_id"), "seq", F.lit(1.0).alias("beta"))
+    w = infer.equilibrate(s, start, scores.coupling_array(jj(s, d), L, Q), 3, least=32, most=128)
     return w.select("walker_id", "seq", "e")

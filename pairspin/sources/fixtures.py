@@ -23,19 +23,55 @@ def msa_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr(f"array({', '.join(A_LETTERS)})").alias("seq"))
 
 
-def msa_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, seq, w): the first 12 components of each embedding, cut into 4 letters."""
-    cut = "transform(slice(embedding, 1, 12), x -> case when cast(x as double) < -0.08D then 0 when cast(x as double) < 0D then 1 when cast(x as double) < 0.08D then 2 else 3 end)"
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq_id"), F.expr(cut).alias("seq"), F.expr("(vec_id % 4 + 1) / 4.0D").alias("w"))
+#: Coordinates of an embedding, all of which make B's letters: position p sums the coordinates p, p + 12, p + 24 and so on.
+DIMENSIONS = 64
+CUTS = (-0.19, 0.0, 0.19)
+
+
+def b_letter(p: int, coordinate: str, length: int = B_LENGTH) -> str:
+    """SQL of B's letter at ``p``; ``coordinate`` formats the number of a coordinate."""
+    total = " + ".join(f"CAST({coordinate.format(k)} AS DOUBLE)" for k in range(p, DIMENSIONS, length))
+    cuts = CUTS if length == B_LENGTH else (-0.08, 0.0, 0.08)
+    return "CASE " + " ".join(f"WHEN {total} < CAST({c} AS DOUBLE) THEN {k}" for k, c in enumerate(cuts)) + " ELSE 3 END"
+
+
+def msa_b(spark: SparkSession, sf_dir: str, length: int = B_LENGTH) -> DataFrame:
+    """(seq_id, seq, w): each embedding folded to ``length`` sums of coordinates, cut into 4 letters."""
+    letters = ", ".join(b_letter(p, "embedding[{}]", length) for p in range(length))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq_id"), F.expr(f"array({letters})").alias("seq"), F.expr("(vec_id % 4 + 1) / 4.0D").alias("w"))
 
 
 def couplings(spark: SparkSession, length: int, q: int) -> DataFrame:
+    """Couplings of a small model to try things on, by a formula."""
     from ..operators.marginals import grid
 
     return grid(spark, length, q).withColumn("cpl", F.expr("(((i*31 + j*17 + a*7 + b*13) % 17) - 8) / 16.0D"))
 
 
 def fields(spark: SparkSession, length: int, q: int) -> DataFrame:
+    """Fields of a small model to try things on, by a formula."""
     from ..operators.marginals import uni_grid
 
     return uni_grid(spark, length, q).withColumn("h", F.expr("(((pos*5 + res*3) % 9) - 4) / 8.0D"))
+
+
+def table_couplings(counts: DataFrame) -> DataFrame:
+    """(i, j, a, b, cpl) from pair counts: minus the covariance, by a power of two near the count to the 3/2.
+
+    All values are whole multiples of one power of two, so that sums are exact in any order.
+    """
+    from ..operators.marginals import COLUMN, PAIR, ROW
+
+    n, x = F.col("n").cast("double"), counts.repartition("i", "j")
+    total = F.sum(n).over(PAIR())
+    c = n * total - F.sum(n).over(ROW()) * F.sum(n).over(COLUMN())
+    return x.select("i", "j", "a", "b", (-c * F.pow(F.lit(2.0), -F.ceil(F.log2(total) * 1.5 + 0.1))).alias("cpl"))
+
+
+def table_fields(counts: DataFrame) -> DataFrame:
+    """(pos, res, h) from counts (pos, res, n): the total less four times the count, by a power of two near its root."""
+    from pyspark.sql import Window
+
+    n = F.col("n").cast("double")
+    total = F.sum(n).over(Window.partitionBy("pos"))
+    return counts.select("pos", "res", ((total - 4 * n) * F.pow(F.lit(2.0), -F.ceil(F.log2(total) * 0.5 + 0.1))).alias("h"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from pairspin.functions.numerics import spearman_p
 from pairspin.functions.rng import uniform_array
-from pairspin.operators import filters, gauge, marginals, newton, reduction, sampling, scores, similarity
-from pairspin.plans import infer
+from pairspin.operators import filters, gauge, marginals, mutants, newton, reduction, sampling, scores, segments, similarity
+from pairspin.plans import infer, tiles
 from pairspin.sources import fixtures as fx
 
 L, Q = 4, 3
@@ -146,17 +146,94 @@ def test_regulariser_specs(spark):
             newton.regulariser(bad, Q)
 
 
-def test_similarity_over_blocks(spark, sf):
-    rows = similarity.single(fx.msa_b(spark, sf).limit(60), "w")
-    a = similarity.compare(rows, 12, 4, 5, blocks=1).groupBy("key").agg(F.round(F.sum("near"), 9).alias("n"), F.min("least").alias("l"))
-    b = similarity.compare(rows, 12, 4, 5, blocks=4).groupBy("key").agg(F.round(F.sum("near"), 9).alias("n"), F.min("least").alias("l"))
-    assert sorted(map(str, a.where("key is not null").collect())) == sorted(map(str, b.where("key is not null").collect()))
+def brute_near(seqs, w, cutoff):
+    return ((seqs[:, None] != seqs[None, :]).sum(2) < cutoff) @ w
+
+
+@pytest.mark.parametrize("block, few", [(2048, 48), (40, 8), (16, 0)])
+@pytest.mark.parametrize("how", ["index", "grid", None])
+def test_near_sums_are_the_same_both_ways(spark, monkeypatch, how, block, few):
+    monkeypatch.setattr(segments, "BLOCK", block)
+    monkeypatch.setattr(segments, "FEW", few)
+    rng = np.random.default_rng(3)
+    # families of near copies, a conserved column, exact copies, and a crowd that holds a third of the rows
+    seeds = rng.integers(0, 5, (12, 14))
+    seqs = seeds[rng.integers(0, 12, 260)]
+    seqs = np.where(rng.random(seqs.shape) < 0.15, rng.integers(0, 5, seqs.shape), seqs)
+    seqs[:, 3] = 2
+    seqs = np.concatenate([seqs, seqs[:20], np.repeat(seqs[:1], 140, 0)])
+    w = rng.integers(1, 9, len(seqs)) / 4
+    rows = spark.createDataFrame([(k, s.tolist(), float(x)) for k, (s, x) in enumerate(zip(seqs, w, strict=True))], "seq_id long, seq array<int>, w double").repartition(3)
+    for cutoff in (1, 6) if block < 2048 else (3, 14):
+        got = {int(r.key): r.n for r in similarity.n_similar(similarity.single(rows, "w"), 14, 5, cutoff, how).collect()}
+        assert np.allclose([got[k] for k in range(len(seqs))], brute_near(seqs, w, cutoff))
+
+
+def test_cutoffs_beyond_the_index(spark):
+    rows = spark.createDataFrame([(k, [k % 2, k % 3, 1]) for k in range(12)], "seq_id long, seq array<int>")
+    seqs = np.array([[k % 2, k % 3, 1] for k in range(12)])
+    got = {int(r.key): r.n for r in similarity.n_similar(similarity.single(rows), 3, 3, 4).collect()}
+    assert [got[k] for k in range(12)] == brute_near(seqs, np.ones(12), 4).tolist()
+    assert {r.n for r in similarity.n_similar(similarity.single(rows), 3, 3, 0).collect()} == {1.0}
+    with pytest.raises(ValueError):
+        similarity.n_similar(similarity.single(rows), 3, 3, 4, "index")
+    empty = rows.limit(0)
+    assert similarity.n_similar(similarity.single(empty), 3, 3, 2).count() == similarity.filter_similar(empty, 3, 3, 2).count() == 0
 
 
-def test_greedy_filter_keeps_distance(spark, sf):
-    kept = np.array([r.seq for r in similarity.filter_similar(fx.msa_b(spark, sf), 6).collect()])
-    d = (kept[:, None] != kept[None, :]).sum(2) + 99 * np.eye(len(kept))
-    assert d.min() >= 6
+def test_plan_follows_candidates(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, rng.integers(0, 20, 30).tolist()) for k in range(400)], "seq_id long, seq array<int>")
+    d = segments.distinct(similarity.single(rows))
+    assert len(segments.plan(d, 30, 3)[0]) == 3  # ten letters tell rows apart
+    assert segments.plan(d, 30, 30)[0] == []  # one letter doesn't
+    assert sorted(p for s in segments.dealt(d, 30, 4) for p in s) == [*range(30)]
+
+
+@pytest.mark.parametrize("how", ["index", "grid"])
+def test_greedy_filter_by_one_row_at_a_time(spark, sf, how):
+    m = fx.msa_b(spark, sf)
+    rows = sorted((r.seq_id, r.seq) for r in m.collect())
+    for cutoff in (3, 6):
+        kept = []
+        for k, s in rows:
+            if all(sum(x != y for x, y in zip(s, t, strict=True)) >= cutoff for _, t in kept):
+                kept.append((k, s))
+        got = sorted((r.seq_id, r.seq) for r in similarity.filter_similar(m.select("seq_id", "seq"), 12, 4, cutoff, how=how).collect())
+        assert got == kept and 1 < len(kept) < len(rows)
+
+
+def test_summed_similarity(spark, sf):
+    m = fx.msa_b(spark, sf).limit(80)
+    seqs, w = np.array([r.seq for r in m.orderBy("seq_id").collect()]), np.array([r.w for r in m.orderBy("seq_id").collect()])
+    sim = (seqs[:, None] == seqs[None, :]).sum(2)
+    got = [r.total for r in similarity.sum_similarity(similarity.single(m, "w"), 12, 4, True).orderBy(F.col("key").cast("long")).collect()]
+    assert np.allclose(got, w * (sim @ w - 12 * w))
+
+
+def test_least_similarity_over_blocks(spark, sf):
+    rows = similarity.single(fx.msa_b(spark, sf).limit(60), "w")
+    found = [similarity.compare(rows, 12, 4, "least", blocks=k).groupBy("key").agg(F.min(F.struct("least", "partner")).alias("m")) for k in (1, 4)]
+    assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
+
+
+@pytest.mark.parametrize("q", [2, 3, 7])
+def test_mutant_sums_by_ranks(spark, q):
+    rng = np.random.default_rng(q)
+    j = rng.integers(-6, 7, (30, q, q)) / 8  # ties
+    j[3:6] = rng.normal(size=(3, q, q))
+    d = j[:, :, None, :] - j[:, None, :, :]  # pair, a, g, b
+    x = (d[:, :, :, :, None] - d[:, :, :, None, :]).transpose(0, 1, 3, 2, 4)
+    size, sign = mutants.sizes_and_signs(j)
+    assert np.allclose(size, np.abs(x).sum((3, 4))) and np.array_equal(sign, np.sign(x).sum((3, 4)))
+    r, a = 0.3, 4.0
+    s = np.where(np.abs(x) < r, 1.0, np.where(np.abs(x) < a * r, (a * r - np.abs(x)) / (a * r - r), 0.0))
+    assert np.allclose(mutants.slopes(j, r, a), (np.sign(x) * s).sum((3, 4)))
+    rows = [(0, k + 1, a, b, float(j[k, a, b])) for k in range(30) for a in range(q) for b in range(q)]
+    table = spark.createDataFrame(rows, "i int, j int, a int, b int, cpl double").repartition(4)
+    listed = {(r.i, r.j, r.a, r.b): r.t for r in scores.double_mutants(table).groupBy("i", "j", "a", "b").agg(F.sum(F.abs("dde")).alias("t")).collect()}
+    for r in mutants.mutant_sums(table, q).collect():
+        assert abs(r["size"] - listed[r.i, r.j, r.a, r.b]) < 1e-9
 
 
 def test_grouped_similarity_is_exact(spark, sf):
@@ -190,13 +267,51 @@ def test_reduction_keeps_all_letters(spark, sf):
     assert [x[0] for x in log] == [3, 2]
 
 
+@pytest.mark.parametrize("stretch, parts", [(None, 1), (16, 3), (5, 7)])
+def test_swaps_are_those_of_one_list(spark, stretch, parts):
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=300).round(1)  # ties go by id
+    beta = rng.choice([1.0, 0.8, 0.5], 300)
+    order = np.lexsort((np.arange(300), e))
+    want = np.empty(300)
+    want[order] = sampling.temper(e[order], beta[order], 12, 5)
+    rows = spark.createDataFrame([(k, float(x), float(b)) for k, (x, b) in enumerate(zip(e, beta, strict=True))], "walker_id long, e double, beta double").repartition(parts)
+    got = {r.walker_id: r.beta for r in sampling.exchanged(rows, 12, 5, stretch).collect()}
+    assert len(got) == 300 and np.array_equal([got[k] for k in range(300)], want) and not np.array_equal(want, beta)
+    assert sampling.exchanged(rows.limit(0), 3, 1).count() == 0
+
+
 def test_tempering_orders_temperatures():
-    e = np.array([5.0, 1.0, 3.0, 2.0, 4.0])
-    b = sampling.temper(e, np.array([1.0, 0.2, 0.8, 0.4, 0.6]), 200, 1)
+    e = np.array([1.0, 2.0, 3.0, 4.0, 5.0])
+    b = sampling.temper(e, np.array([0.2, 0.4, 0.8, 0.6, 1.0]), 200, 1)
     assert sorted(b) == [0.2, 0.4, 0.6, 0.8, 1.0]
     assert np.corrcoef(e, b)[0, 1] < 0
 
 
+@pytest.mark.parametrize("spec", [None, "l1z:0.01", "Xij", "SCADddE:0.05:0.3"])
+@pytest.mark.parametrize("beta", [None, 0.8])
+def test_steps_over_tiles_are_the_same(spark, monkeypatch, tmp_path, spec, beta):
+    monkeypatch.setattr(tiles, "TILE_VALUES", 2 * 2 * Q * Q)
+    monkeypatch.setattr(tiles, "BLOCK_WALKERS", 40)
+    monkeypatch.setattr(tiles, "CELL_BLOCKS", 2)
+    length = 5
+    m = sampling.uniform_sequences(spark, 300, length, Q, 2)
+    target = marginals.pc_constant(marginals.bimarg(sampling.independent_sequences(spark, 400, [[0.5, 0.3, 0.2]] * length, 3), length, Q), 0.01)
+    t = target.orderBy(*infer.KEY).select("f").toArrow().column(0).to_numpy()
+    j = scores.coupling_array(fx.couplings(spark, length, Q), length, Q)
+    walkers = infer.with_energies(m.select(F.col("seq_id").alias("walker_id"), "seq", F.lit(1.0).alias("beta")).repartition(3), j)
+    if spec == "Xij":
+        pairs = [(x, y, 0.01 * (x + y)) for x in range(length) for y in range(x + 1, length)]
+        np.save(tmp_path / "lam.npy", [v for *_, v in pairs])
+        spec = f"Xij:{tmp_path}/lam.npy"
+    o = infer.Options(gamma=0.05, regulariser=spec, beta=beta, keep_size=0.1)
+    whole = infer.newton_steps(spark, walkers, j, t, o, 4)
+    monkeypatch.setattr(infer, "WHOLE", 0)
+    cut = infer.newton_steps(spark, walkers, j, t, o, 4)
+    assert np.allclose(whole[0], cut[0]) and np.allclose(whole[2], cut[2])
+    assert whole[1]["steps"] == cut[1]["steps"] == 4 and abs(whole[1]["size"] - cut[1]["size"]) < 1e-6
+
+
 def test_random_numbers():
     u = uniform_array(3, np.arange(100_000), 7)
     assert abs(u.mean() - 0.5) < 0.01 and abs(u.var() - 1 / 12) < 0.01 and u.min() >= 0 and u.max() < 1
