@@ -1,7 +1,7 @@
 """One- and two-column weighted histograms, and the algebra on them.
 
 An alignment is (seq_id, seq array<int>) with an optional weight; a pair table is dense: (i, j, a, b, f) for
-all i < j and all letters.  Pairs come from exploding each sequence, never from a self-join; equal
+all i < j and all letters.  Pairs are counted into dense vectors (``bins``), never by a self-join; equal
 sequences are grouped first if there are many.  Tables on pairs are dealt by (i, j) once, which serves every
 window on a pair, its rows and its columns.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .bins import dense_counts
 
 
 def PAIR() -> WindowSpec:  # noqa: N802
@@ -54,14 +55,11 @@ def pair_bins(msa: DataFrame, length: int, *keep: str) -> DataFrame:
 def bicounts(msa: DataFrame, length: int, q: int, weight: str | None = None, compress: bool = True) -> DataFrame:
     """(i, j, a, b, n): dense counts, or sums of ``weight``.
 
-    One scan and two aggregations with map-side partial sums; zero bins are rows of weight 0, so no join fills them.
     ``compress=False`` skips the grouping of equal sequences, for alignments with few.
     """
     w = F.col(weight) if weight else None
     rows = distinct_sequences(msa, w) if compress else msa.select("seq", (w if weight else F.lit(1).cast("long")).alias("n"))
-    zero = F.lit(0.0 if weight else 0).cast("double" if weight else "long").alias("n")
-    bins = pair_bins(rows, length, "n").select("i", "j", "a", "b", "n").union(grid(msa.sparkSession, length, q).select("i", "j", "a", "b", zero))
-    return bins.groupBy("i", "j", "a", "b").agg(F.sum("n").alias("n"))
+    return dense_counts(rows, length, q, weight is None)
 
 
 def unicounts(msa: DataFrame, length: int, q: int, weight: str | None = None) -> DataFrame:

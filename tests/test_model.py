@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairspin.functions.numerics import spearman_p
 from pairspin.functions.rng import uniform_array
-from pairspin.operators import filters, gauge, marginals, mutants, newton, reduction, sampling, scores, segments, similarity
+from pairspin.operators import bins, filters, gauge, marginals, mutants, newton, reduction, sampling, scores, segments, similarity
 from pairspin.plans import infer, tiles
 from pairspin.sources import fixtures as fx
 
@@ -217,6 +217,26 @@ def test_least_similarity_over_blocks(spark, sf):
     assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
 
 
+@pytest.mark.parametrize("range_bins, held, fan", [(1 << 17, 1 << 24, 32), (40, 90, 2)])
+def test_dense_counts(spark, monkeypatch, range_bins, held, fan):
+    """One vector, and many ranges, stretches and rounds of adding up."""
+    for name, v in (("RANGE_BINS", range_bins), ("HELD_BINS", held), ("FAN", fan), ("ROWS", 7)):
+        monkeypatch.setattr(bins, name, v)
+    rng = np.random.default_rng(8)
+    s, w = rng.integers(0, 4, (90, 5)), rng.integers(1, 9, 90) / 4
+    m = spark.createDataFrame([(x.tolist(), float(v)) for x, v in zip(s, w, strict=True)] + [(None, 1.0)], "seq array<int>, w double").repartition(5)
+    for weight, compress in ((None, False), (None, True), ("w", False)):
+        got = {(r.i, r.j, r.a, r.b): r.n for r in marginals.bicounts(m, 5, 4, weight, compress).collect()}
+        assert len(got) == 10 * 16
+        for (i, j, a, b), n in got.items():
+            hit = (s[:, i] == a) & (s[:, j] == b)
+            assert n == (w[hit].sum() if weight else hit.sum())
+    assert {r.n for r in marginals.bicounts(m.limit(0), 5, 4).collect()} == {0}
+    for bad in ([0, 1, 2, 3, 4], [0, 1]):
+        with pytest.raises(Exception, match="letter"):
+            marginals.bicounts(spark.createDataFrame([(bad,)], "seq array<int>"), 5, 4).collect()
+
+
 @pytest.mark.parametrize("q", [2, 3, 7])
 def test_mutant_sums_by_ranks(spark, q):
     rng = np.random.default_rng(q)
