@@ -7,8 +7,6 @@ don't depend on the number of partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -165,51 +163,65 @@ def exchanged(states: DataFrame, rounds: int, seed: int, stretch: int | None = N
     return copies.mapInArrow(run, "walker_id long, e double, beta double")
 
 
-#: Distinct subsequences scored in one pass over the backgrounds.
-SUBSEQUENCES = 4096
+#: Sets of marked letters, and distinct backgrounds, of a cell; and numbers of a cell's table that are worked on at once.
+SETS, BACKGROUNDS, HELD = 4096, 16_384, 4_000_000
 
 
 def subsequence_logfreq(subsequences: DataFrame, backgrounds: DataFrame, marked: list[int], couplings: np.ndarray) -> DataFrame:
     """(seq_id, logfreq): log of the sum over backgrounds of exp(E(background) - E(background with the subsequence's marked letters)).
 
-    Only the marked letters of a subsequence count, so each distinct set of letters is scored once and joined back to every row.
-    Backgrounds are mapped in batches against ``SUBSEQUENCES`` broadcast sets of letters at a time; each task sends a maximum and a
-    sum for each.
+    Only pairs with a marked position change.  For a background, what each letter at each marked position meets outside is one vector of contexts; a set of letters
+    picks one entry a position, so a table of sets by backgrounds is a matrix product, and what the letters meet among themselves is one number a set.
+    Distinct sets and distinct backgrounds are dealt to blocks by hash; a cell is a block of either, and sends a maximum and a sum for each
+    set.  Without backgrounds the log is null.
     """
     ship(backgrounds.sparkSession)
-    length = couplings.shape[0]
+    length, q, m = couplings.shape[0], couplings.shape[2], len(marked)
+    rest = [p for p in range(length) if p not in marked]
+    # the marked positions' couplings only
+    shared = backgrounds.sparkSession.sparkContext.broadcast(np.ascontiguousarray(couplings[marked]))
     keyed = subsequences.select("seq_id", F.array(*(F.col("seq")[p].cast("int") for p in marked)).alias("letters"))
+    letters = kept(keyed.select("letters").distinct(), "marked-letters")
+    different = kept(backgrounds.groupBy("seq").agg(F.count("*").cast("double").alias("n")), "backgrounds")
+    set_blocks, blocks = max(1, -(-letters.count() // SETS)), max(1, -(-different.count() // BACKGROUNDS))
+
+    def among(own: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """What letters (rows x marked) meet among themselves."""
+        return sum((j[x, marked[y]][own[:, x], own[:, y]] for x in range(m) for y in range(x + 1, m)), np.zeros(len(own)))
 
-    def energy(s: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return sum((j[a, b][s[:, a], s[:, b]] for a in range(length - 1) for b in range(a + 1, length)), np.zeros(len(s)))
-
-    def score(letters: list[list[int]]) -> DataFrame:
-        shared = backgrounds.sparkSession.sparkContext.broadcast((np.array(letters, np.int64).reshape(len(letters), len(marked)), couplings))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            subs, j = shared.value
-            top, total = np.full(len(subs), -np.inf), np.zeros(len(subs))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                s = np.asarray(b.column(0).flatten(), np.int64).reshape(-1, length)
-                before = energy(s, j)
-                for k, sub in enumerate(subs):
-                    changed = s.copy()
-                    changed[:, marked] = sub
-                    x = before - energy(changed, j)
-                    m = max(top[k], x.max())
-                    total[k] = total[k] * np.exp(top[k] - m) + np.exp(x - m).sum()
-                    top[k] = m
-            if np.isfinite(top).any():
-                yield pa.RecordBatch.from_arrays([pa.array(subs.tolist(), pa.list_(pa.int32())), pa.array(top), pa.array(total)], names=["letters", "top", "total"])
-
-        return backgrounds.select("seq").mapInArrow(run, "letters array<int>, top double, total double")
-
-    found = (r.letters for r in keyed.select("letters").distinct().orderBy("letters").toLocalIterator())
-    passes = [score(x) for x in iter(lambda: list(islice(found, SUBSEQUENCES)), [])] or [score([])]
-    parts = reduce(DataFrame.union, passes)
-    w = Window.partitionBy("letters")
-    scaled = parts.withColumn("m", F.max("top").over(w))
-    scored = scaled.groupBy("letters").agg((F.first("m") + F.log(F.sum(F.col("total") * F.exp(F.col("top") - F.col("m"))))).alias("logfreq"))
-    return keyed.join(scored, "letters").select("seq_id", "logfreq")
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        j = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = np.asarray(b.column(1).flatten(), np.int64).reshape(-1, length)
+            c = np.zeros((len(s), m, q))
+            for x in range(m):
+                for u in rest:
+                    c[:, x] += j[x, u][:, s[:, u]].T
+            own = s[:, marked]
+            e = among(own, j) + np.take_along_axis(c, own[:, :, None], 2)[:, :, 0].sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(c.reshape(-1), m * q).cast(pa.list_(pa.float64())), pa.array(e + np.log(b.column(2).to_numpy()))], names=["y", "c", "e"])
+
+    def cell(sets: pa.Table, back: pa.Table) -> pa.Table:
+        if not len(sets) or not len(back):
+            return pa.table({"letters": pa.array([], pa.list_(pa.int32())), "top": pa.array([], pa.float64()), "total": pa.array([], pa.float64())})
+        own = np.asarray(sets.column("letters").combine_chunks().flatten(), np.int64).reshape(-1, m)
+        pick = np.zeros((len(own), m * q))
+        np.put_along_axis(pick, own + np.arange(m) * q, 1.0, 1)
+        inner, c, e = among(own, shared.value), np.asarray(back.column("c").combine_chunks().flatten()).reshape(-1, m * q), back.column("e").to_numpy()
+        top, total = np.empty(len(own)), np.empty(len(own))
+        step = max(1, HELD // len(e))
+        for k in range(0, len(own), step):
+            v = e[None, :] - pick[k : k + step] @ c.T
+            high = v.max(1)
+            top[k : k + step], total[k : k + step] = high - inner[k : k + step], np.exp(v - high[:, None]).sum(1)
+        return pa.table({"letters": sets.column("letters"), "top": top, "total": total})
+
+    left = letters.withColumn("x", F.expr(f"cast(pmod(xxhash64(letters), {set_blocks}) as int)")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    vectors = different.select(F.expr(f"cast(pmod(xxhash64(seq), {blocks}) as int)").alias("y"), "seq", "n").mapInArrow(contexts, "y int, c array<double>, e double")
+    right = vectors.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(set_blocks - 1))))
+    parts = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(cell, "letters array<int>, top double, total double")
+    scaled = parts.withColumn("high", F.max("top").over(Window.partitionBy("letters")))
+    scored = scaled.groupBy("letters").agg((F.first("high") + F.log(F.sum(F.col("total") * F.exp(F.col("top") - F.col("high"))))).alias("logfreq"))
+    return keyed.join(scored, "letters", "left").select("seq_id", "logfreq")

@@ -375,7 +375,7 @@ _LOGFREQ = sql(
 @query("subseq_logfreq_all", _LOGFREQ)
 @query("subseq_logfreq", _LOGFREQ)
 def subseq_all(s: SparkSession, d: str) -> DataFrame:
-    """Log frequency of every sequence's letters at the marked positions; under both names."""
+    """Log frequency of every sequence's letters at the marked positions; under both names, which earlier rounds registered."""
     m = msa_b(s, d)
     return values(sampling.subsequence_logfreq(m, m, [0, 1, 2], scores.coupling_array(jj(s, d), L, Q)), "logfreq")
 

@@ -39,15 +39,40 @@ def test_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_subsequence_logfreq_of_every_row(spark, sf, duck, monkeypatch):
+@pytest.mark.parametrize("sets, backgrounds", [(4096, 16_384), (9, 70)])
+def test_subsequence_logfreq_of_every_row(spark, sf, duck, monkeypatch, sets, backgrounds):
     from pairspin.operators import sampling
 
-    monkeypatch.setattr(sampling, "SUBSEQUENCES", 50)  # several passes
-    test_matches_duckdb(spark, sf, duck, "subseq_logfreq_all")
-    got = QUERIES["subseq_logfreq_all"](spark, sf)
+    for name, v in (("SETS", sets), ("BACKGROUNDS", backgrounds), ("HELD", 500)):
+        monkeypatch.setattr(sampling, name, v)  # one cell, and many
+    test_matches_duckdb(spark, sf, duck, "subseq_logfreq")
+    got = QUERIES["subseq_logfreq"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() and got.where("logfreq is null").count() == 0
 
 
+def test_subsequences_that_are_all_different(spark):
+    """Twelve marked positions: each set is a row of its own."""
+    import numpy as np
+
+    from pairspin.operators import sampling
+
+    rng = np.random.default_rng(2)
+    s, j = rng.integers(0, 5, (60, 15)), rng.normal(size=(15, 15, 5, 5)) / 4
+    j = (j + j.transpose(1, 0, 3, 2)) / 2
+    marked = [0, 1, 2, 3, 5, 6, 8, 9, 10, 12, 13, 14]
+    m = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(s)] + [(60, s[0].tolist())], "seq_id long, seq array<int>")
+    energy = lambda v: sum(j[x, y, v[x], v[y]] for x in range(15) for y in range(x + 1, 15))
+    got = {r.seq_id: r.logfreq for r in sampling.subsequence_logfreq(m, m, marked, j).collect()}
+    for k in (0, 7, 59, 60):
+        total = 0.0
+        for b in [*s, s[0]]:
+            changed = b.copy()
+            changed[marked] = s[k % 60][marked]
+            total += np.exp(energy(b) - energy(changed))
+        assert abs(got[k] - np.log(total)) < 1e-9
+    assert {r.logfreq for r in sampling.subsequence_logfreq(m, m.limit(0), marked, j).collect()} == {None}
+
+
 def test_every_query_reads_a_table(spark, sf):
     """No plan of a query, before anything runs, is of made-up rows alone (those that run jobs first read tables there)."""
     for name in ("gauge_zeroj", "gauge_zero", "gauge_fieldless", "gauge_fieldless_dist", "gauge_fieldless_even", "gauge_zeroj_fields", "unpack_couplings", "coupling_tensor", "dde", "rdde", "score_fb", "score_rdde"):
