@@ -344,21 +344,18 @@ def tree_links(sets: DataFrame, num: int, den: int, common: Broadcast, parts: bo
     return sets.repartition("component", "chunk").sortWithinPartitions("component", "chunk").mapInArrow(run, "u long, v long")
 
 
-def few(blocks_: DataFrame) -> DataFrame:
-    """A table of large blocks, each of more than ``BLOCK_SETS`` rows elsewhere: broadcast if its rows, counted, are few."""
-    return F.broadcast(blocks_) if blocks_.count() <= BROADCAST_KEYS else blocks_.hint("merge")
-
-
 def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray], key: str, text: str) -> DataFrame:
     """(u, v): links of all blocks (``labels``: node, component)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    sizes = labels.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_SETS)
-    # only large blocks are told, so that a block's rows stay where they are
-    placed = labels.join(few(sizes), "component", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("m") / BLOCK_SETS), F.lit(1).cast("long")))
+    sizes = materialize(labels.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_SETS), "large-sizes")
+    n_large = sizes.count()
+    # only large blocks are told, by broadcast if they are few, so that a block's rows stay where they are
+    of_large = F.broadcast if n_large <= BROADCAST_KEYS else lambda t: t.hint("merge")
+    placed = labels.join(of_large(sizes), "component", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("m") / BLOCK_SETS), F.lit(1).cast("long")))
     placed = materialize(placed.select("component", F.expr("pmod(xxhash64(node, 17L), chunks)").alias("chunk"), "node", F.col("node").alias("part"), "chunks"), "block-chunks")
     own = placed.drop("chunks")
     large = placed.where("chunks > 1")
-    if not large.limit(1).count():
+    if not n_large:
         return materialize(tree_links(chosen_sets(docs, own, k, key, text), num, den, shared), "links-own")
 
     # some sets of a large block go to all its chunks
@@ -374,11 +371,11 @@ def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int,
     large = materialize(large, "large-blocks")
     parts = large.groupBy("component", "part").agg(F.count("*").alias("size"))
     main = parts.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    rest = large.join(few(materialize(main.where("all > most").select("component", "main"), "block-mains")), "component")
+    rest = large.join(of_large(main.where("all > most").select("component", "main")), "component")
     if not rest.limit(1).count():
         return first
     apart = rest.where("part <> main")
-    cells = few(materialize(apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("cells")), "block-cells"))
+    cells = of_large(apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("cells")))
     cell = F.expr("pmod(xxhash64(node, 29L), cells)")
     # a place is (cell of the strays, chunk of all)
     left = apart.join(cells, "component").select("component", cell.alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "part")
