@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import in_order
 from ..functions.rng import places, uniform
 from .marginals import PAIR
 
@@ -59,10 +60,14 @@ def first_rows(msa: DataFrame, n: int) -> DataFrame:
 
 
 def repeated(msa: DataFrame, n: int, rows: int) -> DataFrame:
-    """n rows: each of ``rows`` sequences is repeated in place, and the end is cut off; (place, seq_id, seq)."""
+    """(seq_id, copy, seq), n rows: each of ``rows`` sequences is repeated in place, in order of seq_id, and the end is cut off.
+
+    A sequence's copies follow from its place, so no sort of all copies is needed.
+    """
     times = -(-n // max(rows, 1))
-    x = msa.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("copy")).orderBy("seq_id", "copy").limit(n)
-    return x.select("seq_id", "copy", "seq")
+    placed = in_order(msa.select("seq_id", "seq"), "seq_id").withColumn("first", F.col("place") * times).where(F.col("first") < n)
+    copies = F.sequence(F.lit(0), F.least(F.lit(times), n - F.col("first")).cast("int") - 1)
+    return placed.select("seq_id", F.explode(copies).alias("copy"), "seq")
 
 
 def with_subsequence(msa: DataFrame, donor: list[int], marked: list[int]) -> DataFrame:

@@ -8,10 +8,12 @@ window on a pair, its rows and its columns.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .bins import dense_counts
+from .pairs import per_pair
 
 
 def PAIR() -> WindowSpec:  # noqa: N802
@@ -197,17 +199,21 @@ def pre_regularize(ff: DataFrame, n: float, steps: int = 100) -> DataFrame:
     Weights are ``steps`` even ones from 0 to 1; a weight passes while KL(ff || mixture) is below the expected
     one of a posterior with ``n`` observations.
     """
-    from ..functions.numerics import xlogy_ratio
-
-    x = with_sides(ff).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("lam", F.col("k") / F.lit(float(steps - 1)))
-    f = (1 - F.col("lam")) * F.col("f") + F.col("lam") * F.col("fa") * F.col("fb")
-    x = x.withColumn("g", f).withColumn("fp", F.col("g") + (1 - F.col("g")) / n)
+    lam = np.arange(steps) / float(steps - 1)
     small = (n - 1) / (2 * n * n)
-    bound = F.when(F.col("g") > 0, F.col("g") * (F.log(F.col("fp") / F.col("g")) - small * F.col("g") * (1 - F.col("g")) / (F.col("fp") * F.col("fp")))).otherwise(0.0)
-    tried = x.groupBy("i", "j", "lam").agg(F.sum(xlogy_ratio(F.col("f"), F.col("g"))).alias("kl"), F.sum(bound).alias("bound"))
-    chosen = tried.groupBy("i", "j").agg(F.coalesce(F.max(F.when(F.col("kl") < F.col("bound"), F.col("lam"))), F.lit(0.0)).alias("lam"))
-    mixed = (1 - F.col("lam")) * F.col("f") + F.col("lam") * F.col("fa") * F.col("fb")
-    return with_sides(ff).join(chosen, ["i", "j"]).select("i", "j", "a", "b", mixed.alias("f"), "lam")
+
+    def mixed(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = f.sum(2, keepdims=True) * f.sum(1, keepdims=True)
+        x, y = f.reshape(len(f), 1, -1), apart.reshape(len(f), 1, -1)
+        g = (1 - lam[:, None]) * x + lam[:, None] * y
+        fp = g + (1 - g) / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            loss = np.where(x > 0, x * np.log(x / g), 0.0).sum(2)
+            bound = np.where(g > 0, g * (np.log(fp / g) - small * g * (1 - g) / (fp * fp)), 0.0).sum(2)
+        chosen = np.where(loss < bound, lam, 0.0).max(1)[:, None, None]
+        return (1 - chosen) * f + chosen * apart, np.broadcast_to(chosen, f.shape)
+
+    return per_pair(ff, ["f"], ["f", "lam"], mixed, 6 * steps)
 
 
 # ---- fit statistics

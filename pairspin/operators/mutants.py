@@ -9,41 +9,10 @@ Plan: one grouping brings a pair's q^2 couplings to one row; the work is done in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions.ship import ship
-
-#: Numbers of a batch of lists that are worked on at once.
-HELD = 4_000_000
-
-
-def pair_rows(bins: DataFrame, *columns: str) -> DataFrame:
-    """(i, j, and an array of each column in order of (a, b)): one row a pair."""
-    x = bins.groupBy(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).agg(F.array_sort(F.collect_list(F.struct("a", "b", *columns))).alias("x"))
-    return x.select("i", "j", *(F.col(f"x.{c}").alias(c) for c in columns))
-
-
-def per_pair(bins: DataFrame, q: int, columns: Sequence[str], made: Sequence[str], f: Callable[..., Sequence[np.ndarray]], copies: int) -> DataFrame:
-    """(i, j, a, b, ``made``): ``f`` takes arrays (pairs, q, q) of ``columns`` and gives one for each name made.  ``copies``: numbers that ``f`` holds for each of a pair's bins."""
-    ship(bins.sparkSession)
-    at_once = max(1, HELD // (copies * q * q))
-    a, b = np.divmod(np.arange(q * q, dtype=np.int32), q)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, at_once):
-                part = batch.slice(k, at_once)
-                n = part.num_rows
-                found = f(*(part.column(2 + c).flatten().to_numpy(zero_copy_only=False).reshape(n, q, q) for c in range(len(columns))))
-                i, j = (np.repeat(part.column(c).to_numpy(), q * q) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, j, np.tile(a, n), np.tile(b, n), *(v.reshape(-1) for v in found))], names=["i", "j", "a", "b", *made])
 
-    return pair_rows(bins, *columns).mapInArrow(run, "i int, j int, a int, b int, " + ", ".join(f"{m} double" for m in made))
+from .pairs import per_pair
 
 
 def _sides(lists: np.ndarray, shift: float, below: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +67,9 @@ def slopes(j: np.ndarray, r: float, a: float) -> np.ndarray:
 
 def mutant_sums(couplings: DataFrame, q: int) -> DataFrame:
     """(i, j, a, b, size, sign) over all g, d other than a, b; q letters on either side, every bin there."""
-    return per_pair(couplings.select("i", "j", "a", "b", "cpl"), q, ["cpl"], ["size", "sign"], sizes_and_signs, 8 * q)
+    return per_pair(couplings, ["cpl"], ["size", "sign"], sizes_and_signs, 8 * q)
 
 
 def mutant_slopes(couplings: DataFrame, q: int, r: float, a: float) -> DataFrame:
     """(i, j, a, b, slope): sums of the SCAD slopes of all double mutants of each bin."""
-    return per_pair(couplings.select("i", "j", "a", "b", "cpl"), q, ["cpl"], ["slope"], lambda j: [slopes(j, r, a)], 30 * q)
+    return per_pair(couplings, ["cpl"], ["slope"], lambda j: [slopes(j, r, a)], 30 * q)

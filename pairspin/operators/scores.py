@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..functions.ship import ship
 from .gauge import zero_couplings
 from .marginals import PAIR, independent, pair_bins, to_unimarg, with_sides
 from .mutants import mutant_sums
+from .pairs import of_pairs
 
 #: Couplings are broadcast to map tasks up to so many values (8 bytes each); beyond, they are joined.
 BROADCAST_COUPLINGS = 32_000_000
@@ -178,34 +178,57 @@ def score(name: str, ff: DataFrame, couplings: DataFrame | None, q: int, pc: flo
     if name == "RddE":
         return rdde(couplings, q)[0]
     if name == "DI":
-        return direct_information(ff, couplings, q)
+        return direct_information(ff, couplings, q).select("i", "j", "score")
     raise ValueError(f"no score {name}")
 
 
+#: Turns of a pair's fields at most, and the change of them all below which they are found.
+TURNS, FOUND = 10_000, 1e-10
+
+
+def solved(cpl: np.ndarray, f: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(information, whether fields were found) of two-site models with couplings (pairs, q, q) and one-column marginals f and g (pairs, q).
+
+    Fields of both sides are set to their marginals in turn, as logarithms, so that no weight is too large or small; pairs leave when theirs are found.
+    """
+    n = len(cpl)
+    x, y, found = np.zeros(f.shape), np.zeros(g.shape), np.zeros(n, bool)
+    left = np.arange(n)
+    with np.errstate(divide="ignore"):
+        lf, lg = np.log(f), np.log(g)
+
+    def total(v: np.ndarray, axis: int) -> np.ndarray:
+        top = v.max(axis, keepdims=True)
+        top = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            return np.squeeze(top, axis) + np.log(np.exp(v - top).sum(axis))
+
+    for _ in range(TURNS):
+        w = -cpl[left]
+        new_x = lf[left] - total(w + y[left][:, None, :], 2)
+        new_y = lg[left] - total(w + new_x[:, :, None], 1)
+        with np.errstate(invalid="ignore"):
+            moved = np.abs(np.nan_to_num(new_y - y[left], nan=0.0, posinf=np.inf, neginf=np.inf)).max(1)
+        x[left], y[left] = new_x, new_y
+        found[left[moved <= FOUND]] = True
+        left = left[moved > FOUND]
+        if not len(left):
+            break
+    lp = -cpl + x[:, :, None] + y[:, None, :]
+    lp -= total(lp.reshape(n, -1), 1)[:, None, None]
+    p = np.exp(lp)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * (lp - lf[:, :, None] - lg[:, None, :]), 0.0).sum((1, 2)), found
+
+
 def direct_information(ff: DataFrame, couplings: DataFrame, q: int) -> DataFrame:
-    """(i, j, score): information of the two-site model with the given one-column marginals, fields solved to 1e-8."""
-    ship(ff.sparkSession)
+    """(i, j, score, converged): information of the two-site model with the given one-column marginals.
+
+    ``converged`` is false where fields were still moving after ``TURNS`` turns.
+    """
     f = to_unimarg(ff)
     fi = f.select(F.col("pos").alias("i"), F.col("res").alias("a"), F.col("f").alias("fi"))
     fj = f.select(F.col("pos").alias("j"), F.col("res").alias("b"), F.col("f").alias("fj"))
     x = zero_couplings(couplings).join(fi, ["i", "a"]).join(fj, ["j", "b"]).select(*KEY, "cpl", "fi", "fj")
-
-    def solve(pair: pd.DataFrame) -> pd.DataFrame:
-        pair = pair.sort_values(["a", "b"])
-        w = np.exp(-pair["cpl"].to_numpy()).reshape(q, q)
-        a, b = pair["fi"].to_numpy()[::q], pair["fj"].to_numpy()[:q]
-        gi = gj = np.full(q, 1 / q)
-        for _ in range(100_000):
-            x, y = a / (w @ gj), b / (w.T @ gi)
-            x, y = x / x.sum(), y / y.sum()
-            change = max(np.abs(x - gi).max(), np.abs(y - gj).max())
-            gi, gj = x, y
-            if change <= 1e-8:
-                break
-        p = w * gi[:, None] * gj[None, :]
-        p /= p.sum()
-        ref = np.outer(a, b)
-        on = p > 0
-        return pd.DataFrame({"i": [pair["i"].iloc[0]], "j": [pair["j"].iloc[0]], "score": [float((p[on] * np.log(p[on] / ref[on])).sum())]})
-
-    return x.groupBy("i", "j").applyInPandas(solve, "i int, j int, score double")
+    out = of_pairs(x, ["cpl", "fi", "fj"], ["score", "converged"], lambda c, a, b: solved(c, a[:, :, 0], b[:, 0, :]), 12)
+    return out.withColumn("converged", F.col("converged") > 0)

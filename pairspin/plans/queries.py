@@ -269,7 +269,17 @@ for _n, _e in {"fbw": "f", "fbwsqrt": "sqrt(f)", "fbwsi": "sqrt(fa * fb)", "fbwe
     _m = lambda by: f"sum(cpl * w) OVER (PARTITION BY {by}) / sum(w) OVER (PARTITION BY {by})"
     _b = f"SELECT i, j, w * (cpl - {_m('i, j, a')} - {_m('i, j, b')} + {_m('i, j')}) AS v FROM (SELECT i, j, a, b, cpl, {_e} AS w FROM xx)"
     query(f"score_{_n}", sql(f"SELECT i, j, {r('sqrt(sum(v * v))')} AS score FROM ({_b}) GROUP BY i, j", "xx"))(lambda s, d, n=_n: values(scores.score(n, ff_b(s, d), jj(s, d), Q), "score"))
-query("score_di")(lambda s, d: values(scores.score("DI", ff_b(s, d), jj(s, d), Q), "score"))
+# fields by 400 turns of one pair's lists
+_DOT = "list_sum(list_transform(range(1, 5), lambda k: {x} * {y}))"
+_DI = f"""di AS (SELECT w.i, w.j, w.w, fi.f AS fi, fj.f AS fj FROM (SELECT i, j, list(w ORDER BY a) AS w FROM (SELECT i, j, a, list(exp(-cpl) ORDER BY b) AS w FROM j0 GROUP BY i, j, a) GROUP BY i, j) w
+  JOIN (SELECT pos, list(f ORDER BY res) AS f FROM uni GROUP BY pos) fi ON fi.pos = i JOIN (SELECT pos, list(f ORDER BY res) AS f FROM uni GROUP BY pos) fj ON fj.pos = j),
+turn(n, i, j, w, fi, fj, gx, gy) AS (SELECT 0, i, j, w, fi, fj, fi, [CAST(1 AS DOUBLE), 1, 1, 1] FROM di UNION ALL
+  SELECT n + 1, i, j, w, fi, fj, x, list_transform(range(1, 5), lambda b: fj[b] / {_DOT.format(x='w[k][b]', y='x[k]')}) FROM (
+    SELECT n, i, j, w, fi, fj, list_transform(range(1, 5), lambda a: fi[a] / {_DOT.format(x='w[a][k]', y='gy[k]')}) AS x FROM turn WHERE n < 400)),
+p AS (SELECT i, j, fi[a.x + 1] * fj[b.x + 1] AS g, w[a.x + 1][b.x + 1] * gx[a.x + 1] * gy[b.x + 1] AS p FROM turn, lt a, lt b WHERE n = 400)"""
+query("score_di", sql(f"SELECT i, j, {r('sum(p / t * ln(p / t / g))')} AS score, true AS converged FROM (SELECT *, sum(p) OVER (PARTITION BY i, j) AS t FROM p) GROUP BY i, j", "j0", "uni", "lt").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT", f",\n{_DI}\nSELECT", 1))(
+    lambda s, d: values(scores.direct_information(ff_b(s, d), jj(s, d), Q), "score")
+)
 
 # ---- filters and alphabets
 
