@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import in_order
-from ..functions.rng import bits, places, uniform, uniform_array
+from ..functions.rng import bits, even, places, threefry, uniform, uniform_array
 from ..functions.ship import ship
 from ..functions.storage import kept
 from .filters import runs
@@ -61,15 +61,17 @@ def sweep(seqs: np.ndarray, walkers: np.ndarray, beta: np.ndarray, couplings: np
 
 
 def _own_sweep(s: np.ndarray, walkers: np.ndarray, beta: np.ndarray, couplings: np.ndarray, steps: int, seed: int, first: int) -> np.ndarray:
+    """Positions and letters of Threefry counters, without the bias of a remainder."""
     length, q = s.shape[1], couplings.shape[2]
     at = np.arange(len(s))
     for step in range(first, first + steps):
-        p = (bits(seed ^ 0x5DEECE66D, walkers, step) % np.uint64(length)).astype(np.int64)
-        new, old = (bits(seed, walkers, 2 * step) % np.uint64(q)).astype(np.int64), s[at, p]
+        p, new = even(length, seed, walkers, step, 0), even(q, seed, walkers, step, 1)
+        old = s[at, p]
         delta = np.zeros(len(s))
         for m in range(length):
             delta += np.where(p == m, 0.0, couplings[p, m, new, s[:, m]] - couplings[p, m, old, s[:, m]])
-        accept = np.exp(-np.clip(beta * delta, -700, 700)) > uniform_array(seed, walkers, 2 * step + 1)
+        draw = (threefry((seed & (2**64 - 1), walkers), (step, 2))[0] >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        accept = np.exp(-np.clip(beta * delta, -700, 700)) > draw
         s[at, p] = np.where(accept, new, old)
     return s
 

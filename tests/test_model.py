@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairspin.functions.numerics import spearman_p
+from pairspin.functions import rng
 from pairspin.functions.rng import uniform_array
 from pairspin.operators import bins, filters, gauge, marginals, mutants, newton, reduction, sampling, scores, segments, similarity
 from pairspin.plans import infer, tiles
@@ -338,6 +339,26 @@ def test_random_numbers():
     assert abs(np.corrcoef(u, uniform_array(3, np.arange(100_000), 8))[0, 1]) < 0.02
 
 
+def test_threefry_known_answers():
+    """Vectors published with the generator, two words, twenty rounds."""
+    ones = 2**64 - 1
+    for counter, key, want in (
+        ((0, 0), (0, 0), (0xC2B6E3A8C2C69865, 0x6F81ED42F350084D)),
+        ((ones, ones), (ones, ones), (0xE02CB7C4D95D277A, 0xD06633D0893B8B68)),
+        ((0x243F6A8885A308D3, 0x13198A2E03707344), (0xA4093822299F31D0, 0x082EFA98EC4E6C89), (0x263C7D30BB0F0AF1, 0x56BE8361D3311526)),
+    ):
+        assert tuple(int(x) for x in rng.threefry(key, counter)) == want
+
+
+@pytest.mark.parametrize("bits", [64, 5])
+def test_letters_are_alike(bits):
+    """21 letters from 5 bits: a remainder alone would draw eleven of them twice as often."""
+    n = 210_000
+    found = np.bincount(rng.even(21, 7, np.arange(n), 3, 1, bits), minlength=21)
+    assert ((found - n / 21) ** 2 / (n / 21)).sum() < 45  # chi square of 20 degrees, p about 0.001
+    assert np.array_equal(rng.even(21, 7, np.arange(50, 60), 3, 1, bits), rng.even(21, 7, np.arange(100), 3, 1, bits)[50:60])
+
+
 def test_rank_p_values():
     assert abs(spearman_p(0.5, 20) - 0.0247696) < 1e-6
     assert spearman_p(1.0, 10) == 0.0 and spearman_p(0.0, 10) == 1.0
