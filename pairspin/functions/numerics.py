@@ -43,9 +43,9 @@ def ranked(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (n, rho) over the rows of ``df``."""
+    """One row (n, rho) over the rows of ``df``; rho is null where all values of a column are equal."""
     both = ranked(ranked(df.select(x, y), x, "_rx"), y, "_ry")
-    return both.agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return both.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"))
 
 
 def spearman_p(rho: float, n: int) -> float:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from math import isqrt
@@ -133,6 +133,13 @@ def snapshot(walkers: DataFrame, length: int, q: int, tracked: tuple[str, ...],
         stored(cold.select("walker_id", "seq"), f"{folder}/seqs")
 
 
+def _once(spark: SparkSession, made: Callable[[], DataFrame], path: str | None, name: str) -> DataFrame:
+    """What ``made`` gives, stored under ``path``, or read if a run before has finished it; under a new path without one."""
+    if path and exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path)
+    return stored(made(), path or scratch(spark, name))
+
+
 def equilibrate(
     spark: SparkSession,
     walkers: DataFrame,
@@ -144,6 +151,7 @@ def equilibrate(
     block: int = 8,
     o: Options | None = None,
     folder: str | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """(walker_id, seq, beta, e) after ``steps`` steps, or by rank correlation of energies.
 
@@ -151,6 +159,7 @@ def equilibrate(
     are uncorrelated (p > 0.02) with both before it, and ``least`` steps are done; or at ``most`` steps.
     ``o`` tells of tempering, of positions, and of the snapshots kept in ``folder``/step_N: every ``track`` steps, or one after
     each stretch of an automatic run.  Where steps are cut doesn't change a chain without tempering.
+    ``log``: a folder that keeps the walkers of each stretch; what is there from a run that broke off is read, not sampled again.
     """
     o = o or Options()
     done = 0
@@ -161,11 +170,12 @@ def equilibrate(
         swaps = range((done // o.swap_every + 1) * o.swap_every, end, o.swap_every) if o.tempering else ()
         shots = range((done // o.track + 1) * o.track, end, o.track) if o.track and steps is not None else ()
         for at in sorted({*swaps, *shots, end}):
-            moved = sampling.metropolis(walkers, j, at - done, seed, done, o.own_positions)
-            walkers = stored(with_energies(moved, j), scratch(spark, "walkers"))
+            before, from_ = walkers, done
+            walkers = _once(spark, lambda: with_energies(sampling.metropolis(before, j, at - from_, seed, from_, o.own_positions), j), log and f"{log}/step_{at}", "walkers")
             done = at
             if o.tempering and (at == end or at % o.swap_every == 0):
-                walkers = stored(swapped(walkers, o.swaps, seed + at), scratch(spark, "swapped"))
+                moved = walkers
+                walkers = _once(spark, lambda: swapped(moved, o.swaps, seed + at), log and f"{log}/swapped_{at}", "swapped")
             if o.track and folder and (at % o.track == 0 if steps is not None else at == end):
                 snapshot(walkers, j.shape[0], j.shape[2], o.tracked, f"{folder}/step_{at}")
         return walkers
@@ -237,39 +247,54 @@ def pair_strengths(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "lam": v.astype(float)}))
 
 
-def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int) -> tuple[np.ndarray, dict, np.ndarray]:
+#: Steps after which the state of a run of steps is written again.
+LOGGED = 32
+
+
+def last_logged(spark: SparkSession, log: str | None, steps: int) -> int:
+    """The last step up to ``steps`` whose state is in the log, 0 for none."""
+    return next((n for n in range(steps // LOGGED * LOGGED, 0, -LOGGED) if exists(spark, f"{log}/step_{n}/_SUCCESS")), 0) if log else 0
+
+
+def newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int, log: str | None = None) -> tuple[np.ndarray, dict, np.ndarray]:
     """Couplings after up to ``steps`` reweighted steps, which end when the effective size falls below the kept share.  The walkers are kept in executors for it.
 
     With them the state, and the pair marginals that the reweighted walkers predict for the new couplings, in order of pairs.
+    ``log``: a folder that keeps what the steps go on from, every ``LOGGED`` steps; what is there from a run that broke off is gone on from.
     """
     lam = pair_strengths(spark, o.regulariser.split(":", 1)[1]) if o.regulariser and o.regulariser.startswith("Xij:") else None
     if j.size > WHOLE:
         length, q = j.shape[0], j.shape[2]
         regular = newton.regulariser(o.regulariser, q) if o.regulariser else None
         bins = kept(spark.createDataFrame(packed(j).assign(target=target)), "model")
-        found, predicted, state = tiles.newton_steps(walkers, bins, length, q, o.gamma, o.damping, steps, o.keep_size, o.sampled_beta, regular, lam)
+        found, predicted, state = tiles.newton_steps(walkers, bins, length, q, o.gamma, o.damping, steps, o.keep_size, o.sampled_beta, regular, lam, log)
         return scores.coupling_array(found, length, q), state, predicted.orderBy(*KEY).select("f").toArrow().column(0).to_numpy()
     walkers = walkers.persist()
     try:
-        return _newton_steps(spark, walkers, j, target, o, steps, lam)
+        return _newton_steps(spark, walkers, j, target, o, steps, lam, log)
     finally:
         walkers.unpersist()
 
 
-def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int, lam: DataFrame | None) -> tuple[np.ndarray, dict, np.ndarray]:
+def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target: np.ndarray, o: Options, steps: int, lam: DataFrame | None, log: str | None) -> tuple[np.ndarray, dict, np.ndarray]:
     length, q, beta = j.shape[0], j.shape[2], o.sampled_beta
     regular = newton.regulariser(o.regulariser, q) if o.regulariser else None
     base = packed(j)
     strengths = base[["i", "j"]].merge(lam.toPandas(), how="left")[["lam"]] if lam is not None else None
     if strengths is not None and strengths["lam"].isna().any():
         raise ValueError("a pair has no strength")
-    dj = np.zeros(len(base))
-    sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), 0.0, beta)
-    if beta is not None:
-        sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), low, beta)
-    size0 = size = w * w / w2
-    done = 0
-    while done < steps:
+    done = last_logged(spark, log, steps)
+    if done:
+        kept_ = np.load(io.BytesIO(spark.read.parquet(f"{log}/step_{done}").first().state))
+        dj, sums, (w, w2, low, size0) = kept_["dj"], kept_["sums"], kept_["scalars"].tolist()
+    else:
+        dj = np.zeros(len(base))
+        sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), 0.0, beta)
+        if beta is not None:
+            sums, w, w2, low = weighted_bins(walkers, np.zeros_like(j), low, beta)
+        size0 = w * w / w2
+    size = w * w / w2
+    while done < steps and (not done or size >= o.keep_size * size0):
         f = sums / w
         dj = dj - o.gamma * (target - f) / (f + o.damping)
         if regular:
@@ -284,8 +309,10 @@ def _newton_steps(spark: SparkSession, walkers: DataFrame, j: np.ndarray, target
             new = weighted_bins(walkers, step, new[3], beta)
         sums, w, w2, low = new
         size = w * w / w2
-        if size < o.keep_size * size0:
-            break
+        if log and done % LOGGED == 0:
+            held = io.BytesIO()
+            np.savez(held, dj=dj, sums=sums, scalars=np.array([w, w2, low, size0]))
+            stored(spark.createDataFrame([(held.getvalue(),)], "state binary"), f"{log}/step_{done}")
     return unpacked(base["cpl"].to_numpy() + dj, length, q), {"steps": done, "size": size, "size0": size0}, sums / w
 
 
@@ -321,7 +348,7 @@ def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options
 
     ``folder`` keeps of each round ``run_NN``: couplings, walkers (with energies; of a tempered run all, of which the coldest count), bimarg
     (the walkers' pair marginals, before the round's steps), predicted (those expected after them), state, and equilibration (the
-    snapshots, if tracked).  With ``Options.preopt`` the rounds begin after Newton steps on ``msa``, or else on sequences of the
+    snapshots, if tracked); while it goes on also log, from which a fit that was broken off inside the round goes on.  With ``Options.preopt`` the rounds begin after Newton steps on ``msa``, or else on sequences of the
     reseeding policy; ``preopt`` then holds the same tables.  A fit that finds rounds there goes on after the last one as it would have without the break.
     ``couplings`` (i, j, a, b, cpl), such as a stored round's, begin the first round in place of ``Options.start``.
     """
@@ -361,18 +388,19 @@ def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options
         run = f"{folder}/run_{n:02d}"
         seeds = coldest(walkers) if walkers is not None and o.tempering and policy != "none" else walkers
         start = reseeded(spark, seeds, policy, o, uni, n, msa)
-        sampled = equilibrate(spark, start, j, o.seed + 7919 * n, o.equilibration, o.min_equilibration, o.max_equilibration, o=o, folder=f"{run}/equilibration")
-        walkers = stored(sampled, f"{run}/walkers")
+        sampled = equilibrate(spark, start, j, o.seed + 7919 * n, o.equilibration, o.min_equilibration, o.max_equilibration, o=o, folder=f"{run}/equilibration", log=f"{run}/log/walkers")
+        walkers = _once(spark, lambda: sampled, f"{run}/walkers", "")
         cold = coldest(walkers) if o.tempering else walkers
         ssr = float(((_bimarg_of(spark, cold, j, run) - t) ** 2).sum())
         if len(worst) >= 1 and ssr > (worst[-1] + min(worst)) / 2:
             budget = max(o.newton_delta, budget - int(1.5 * o.newton_delta))
         worst.append(ssr)
-        j, state, predicted = newton_steps(spark, cold, j, t, o, budget)
+        j, state, predicted = newton_steps(spark, cold, j, t, o, budget, f"{run}/log/newton")
         budget = min(2048, max(o.newton_delta, state["steps"]) + o.newton_delta)
         state |= {"round": n, "ssr": ssr, "budget": budget}
         log.append(state)
         _keep(spark, j, predicted, state, o, run)
+        _remove(spark, f"{run}/log")
     return Fit(spark.createDataFrame(packed(j)), log)
 
 
@@ -396,6 +424,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _ended(spark: SparkSession, folder: str) -> bool:
     return exists(spark, f"{folder}/state/_SUCCESS")
 

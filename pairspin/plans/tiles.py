@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from ..functions.storage import discard, kept
+from ..functions.storage import discard, kept, stored
 from ..operators import newton
 
 #: Values of a tile, walkers of a block, and blocks of a cell at most.
@@ -220,22 +220,30 @@ def _both(f: Callable[[pa.Table, pa.Table], pa.Table], empty: dict[str, pa.DataT
 
 
 def newton_steps(
-    walkers: DataFrame, bins: DataFrame, length: int, q: int, gamma: float, pc: float, steps: int, keep_size: float, beta: float | None = None, regularised: Callable[[DataFrame, float, float], DataFrame] | None = None, lam: DataFrame | None = None
+    walkers: DataFrame, bins: DataFrame, length: int, q: int, gamma: float, pc: float, steps: int, keep_size: float, beta: float | None = None, regularised: Callable[[DataFrame, float, float], DataFrame] | None = None, lam: DataFrame | None = None, log: str | None = None
 ) -> tuple[DataFrame, DataFrame, dict]:
     """Couplings (i, j, a, b, cpl) and predicted marginals (i, j, a, b, f) after up to ``steps`` reweighted steps, and the state.
 
     ``bins``: (i, j, a, b, target, cpl); ``walkers``: (seq, e).  The same steps as those that hold the model in every task.
+    ``log``: a folder that keeps tiles and numbers every ``infer.LOGGED`` steps, from which a run that broke off goes on.
     """
+    from . import infer
+
     zero = F.lit(0.0)
     s = Steps(walkers, bins.select("i", "j", "a", "b", "target", "cpl", zero.alias("dj"), zero.alias("f")), length, q, beta)
     try:
-        w, total, squares, low = s.weights(0.0)
-        if beta is not None:
-            w, total, squares, low = s.weights(low)
-        s.marginals(w)
-        size0 = size = total * total / squares
-        done = 0
-        while done < steps:
+        spark, done = walkers.sparkSession, infer.last_logged(walkers.sparkSession, log, steps)
+        if done:
+            s.state = kept(spark.read.parquet(f"{log}/step_{done}").select(*s.state.columns), "tiles")
+            total, squares, low, size0 = spark.read.parquet(f"{log}/numbers_{done}").first()
+        else:
+            w, total, squares, low = s.weights(0.0)
+            if beta is not None:
+                w, total, squares, low = s.weights(low)
+            s.marginals(w)
+            size0 = total * total / squares
+        size = total * total / squares
+        while done < steps and (not done or size >= keep_size * size0):
             s.update(gamma, pc, regularised, lam)
             done += 1
             ref = low if isfinite(low) else 0.0
@@ -244,8 +252,9 @@ def newton_steps(
                 w, total, squares, low = s.weights(low)
             s.marginals(w)
             size = total * total / squares
-            if size < keep_size * size0:
-                break
+            if log and done % infer.LOGGED == 0:
+                stored(spark.createDataFrame([(total, squares, low, size0)], "total double, squares double, low double, size0 double"), f"{log}/numbers_{done}")
+                stored(s.state, f"{log}/step_{done}")
         return s.table(F.col("cpl") + F.col("dj"), "cpl"), s.table(F.col("f"), "f"), {"steps": done, "size": size, "size0": size0}
     finally:
         s.close()
