@@ -46,7 +46,8 @@ def weighted(spark: SparkSession, args) -> tuple[DataFrame, int, int]:
     length, q = len(m.first().seq), len(letters(args.alpha))
     if args.weights:
         w = spark.read.parquet(args.weights).select(F.col("key").cast("long").alias("seq_id"), F.col("weight").alias("w"))
-        m = m.join(w, "seq_id")
+        # a sequence without a weight is an error, not a sequence less
+        m = m.join(w, "seq_id", "left").withColumn("w", F.when(F.col("w").isNull(), F.raise_error(F.concat(F.lit("no weight for sequence "), F.col("seq_id"))).cast("double")).otherwise(F.col("w")))
     return m, length, q
 
 
@@ -59,7 +60,7 @@ def run(spark: SparkSession, args) -> None:
     if mode == "infer":
         target = read_pairs(spark, args.bimarg, "f")
         length, q = shape(target)
-        o = infer.Options(walkers=args.nwalkers, rounds=args.mcsteps, newton_steps=args.newtonsteps, gamma=args.gamma, damping=args.damping, regulariser=args.reg, reseed=args.reseed, equilibration=args.equiltime, beta=args.beta, seed=args.seed, start=args.init, preopt=args.preopt, **sampling_options(args))
+        o = infer.Options(walkers=args.nwalkers, rounds=args.mcsteps, newton_steps=args.newtonsteps, gamma=args.gamma, damping=args.damping, regulariser=args.reg, reseed=args.reseed, newton_delta=args.newtondelta, keep_size=args.fracneff, min_equilibration=args.minequil, max_equilibration=args.maxequil, equilibration=args.equiltime, beta=args.beta, seed=args.seed, start=args.init, preopt=args.preopt, **sampling_options(args))
         seqs = msa.load_msa(spark, args.seqs, args.alpha) if args.seqs else None
         fit = infer.fit(spark, target, length, q, o, args.out, seqs, read_model(spark, args.couplings) if args.couplings else None)
         for state in fit.log:
@@ -68,7 +69,11 @@ def run(spark: SparkSession, args) -> None:
         j = read_model(spark, args.couplings)
         length, q = shape(j)
         o = infer.Options(walkers=args.nwalkers, beta=args.beta, seed=args.seed, **sampling_options(args))
-        start = infer.reseeded(spark, None, "uniform", o, [[1 / q] * q] * length, 0)
+        if args.seedseq:
+            start = infer.with_betas(filters.tiled(spark, msa.load_seed(args.seedseq, args.alpha), o.walkers), o)
+        else:
+            first = msa.load_msa(spark, args.seqs, args.alpha) if args.seqs else None
+            start = infer.reseeded(spark, None, "msa" if args.seqs else "uniform", o, [[1 / q] * q] * length, 0, first)
         w = infer.equilibrate(spark, start, scores.coupling_array(j, length, q), args.seed, args.equiltime, o=o, folder=f"{args.out}/equilibration")
         w = infer.coldest(w) if o.tempering else w
         w.write.mode("overwrite").parquet(f"{args.out}/walkers")
@@ -186,8 +191,8 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--init", choices=["uniform", "independent"], default=d.start)
     m.add_argument("--preopt", action="store_true")
     m.add_argument("--ownpositions", action="store_true")
-    options(m, walkers | chains | {"--mcsteps": (int, d.rounds), "--newtonsteps": (int, d.newton_steps), "--gamma": (float, d.gamma), "--damping": (float, d.damping), "--reg": (str, None), "--reseed": (str, d.reseed), "--couplings": (str, None)})
-    m = mode("gen", model, out)
+    options(m, walkers | chains | {"--mcsteps": (int, d.rounds), "--newtonsteps": (int, d.newton_steps), "--gamma": (float, d.gamma), "--damping": (float, d.damping), "--reg": (str, None), "--newtondelta": (int, d.newton_delta), "--fracneff": (float, d.keep_size), "--minequil": (int, d.min_equilibration), "--maxequil": (int, d.max_equilibration), "--reseed": (str, d.reseed), "--couplings": (str, None)})
+    m = mode("gen", model, out, alpha, ("--seqs",), ("--seedseq",))
     m.add_argument("--ownpositions", action="store_true")
     options(m, walkers | chains)
     mode("energies", seqs, model, out, alpha)

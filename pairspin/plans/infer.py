@@ -338,9 +338,14 @@ def reseeded(spark: SparkSession, walkers: DataFrame, policy: str, o: Options, u
             "single_indep": lambda: sampling.independent_sequences(spark, 1, uni, o.seed + round_),
         }[policy]().first()
         new = spark.range(o.walkers).select(F.col("id").alias("seq_id"), F.array(*map(F.lit, one.seq)).alias("seq"))
+    return with_betas(new, o)
+
+
+def with_betas(rows: DataFrame, o: Options) -> DataFrame:
+    """Walkers (walker_id, seq, beta) of sequences (seq_id, seq); inverse temperatures are dealt in turn."""
     betas = o.tempering or (o.beta or 1.0,)
     beta = F.element_at(F.array(*(F.lit(float(b)) for b in betas)), (F.pmod("seq_id", F.lit(len(betas))) + 1).cast("int"))
-    return new.select(F.col("seq_id").alias("walker_id"), "seq", beta.alias("beta"))
+    return rows.select(F.col("seq_id").alias("walker_id"), "seq", beta.alias("beta"))
 
 
 def fit(spark: SparkSession, target: DataFrame, length: int, q: int, o: Options | None = None, folder: str | None = None, msa: DataFrame | None = None, couplings: DataFrame | None = None) -> Fit:

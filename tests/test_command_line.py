@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from pairspin.__main__ import main
 from pairspin.sources import fixtures as fx
@@ -26,6 +27,13 @@ def test_modes(spark, sf, tmp_path, capsys):
     assert spark.read.parquet(at("cold/walkers")).count() == 100 and spark.read.parquet(at("cold/equilibration/step_4/energies")).count() == 300
     main(["infer", at("pc"), at("fit2"), "--nwalkers", "200", "--mcsteps", "1", "--newtonsteps", "2", "--equiltime", "8", "--couplings", at("fit/run_00"), "--seqs", at("m"), "--alpha", "ABCD", "--preopt", "--reseed", "msa"])
     assert spark.read.parquet(at("fit2/preopt/walkers")).count() == 200
+    for more in (["--seqs", at("m")], ["--seedseq", "ABCDABCDABCD"]):
+        main(["gen", j, at("from"), "--nwalkers", "50", "--equiltime", "0", "--alpha", "ABCD", *more])
+        assert spark.read.parquet(at("from/walkers")).select("seq").distinct().count() == (1 if "--seedseq" in more else 50)
+    main(["infer", at("pc"), at("fit3"), "--nwalkers", "100", "--mcsteps", "1", "--newtonsteps", "2", "--newtondelta", "8", "--fracneff", "0.5", "--minequil", "8", "--maxequil", "64", "--reg", "SCADddE:0.05"])
+    spark.read.parquet(at("w")).limit(150).write.parquet(at("w150"))
+    with pytest.raises(Exception, match="no weight for sequence"):
+        main(["marginals", at("m"), at("f150"), "--alpha", "ABCD", "--weights", at("w150")])
     main(["benchmark", j, "--nwalkers", "100", "--nsteps", "8"])
     assert "mc_steps_per_second" in capsys.readouterr().out
     (tmp_path / "map").write_text("ALPHA2 AB CD\n" * 12)
