@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import rounded as r6
 from ..functions.numerics import spearman
+from ..functions.storage import scratch
 from ..operators import filters, gauge, marginals, mutants, newton, profiling, reduction, sampling, scores, similarity
 from ..sources import fixtures as fx
 from ..sources import msa as msa_io
+from ..streaming.bicounts import streaming_bicounts
 from . import infer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,7 +339,7 @@ ORACLE_SQL["stockholm_clean"] = ORACLE_SQL["stockholm_clean"].replace("o_orderpr
 @query("msa_load", sql("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(list_sum(list_transform(seq, lambda x, p: x * p))) AS BIGINT) AS checksum FROM mb", "mb"))
 def msa_load(s: SparkSession, d: str) -> DataFrame:
     """Written as text with a header, read back, and summed up."""
-    path = infer.scratch(s, "msa")
+    path = scratch(s, "msa")
     msa_io.write_msa(msa_b(s, d), path, "ABCD", {"alpha": "ABCD"})
     back = msa_io.load_msa(s, path)
     return back.agg(F.count("*").alias("n"), F.sum(F.aggregate(F.transform("seq", lambda x, p: x * (p + 1)), F.lit(0), lambda a, x: a + x)).alias("checksum"))
@@ -426,6 +428,29 @@ query("tile_seed", sql("SELECT n AS seq_id, (SELECT array_to_string(seq, '') FRO
 query("truncate_seqs", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id IN (SELECT seq_id FROM mb ORDER BY seq_id LIMIT 100)", "mb"))(lambda s, d: _text(filters.first_rows(msa_b(s, d), 100)))
 query("concat_buffers", sql("SELECT seq_id, array_to_string(seq, '') AS seq FROM mb WHERE seq_id < 100 UNION ALL SELECT seq_id, array_to_string(seq, '') FROM mb WHERE seq_id >= 100", "mb"))(lambda s, d: (lambda m: _text(m.where("seq_id < 100").unionByName(m.where("seq_id >= 100"))))(msa_b(s, d)))
 
+_EVENT = ("array_position(array('click', 'error', 'purchase', 'signup', 'view'), event_type) - 1", "least(4, floor(value / 60))", "user_id % 4")
+_EVENT_SQL = ("list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1", "least(4, floor(value / 60))", "user_id % 4")
+
+
+@query(
+    "stream_bicounts",
+    f"WITH m AS (SELECT [{', '.join(f'CAST({e} AS INT)' for e in _EVENT_SQL)}] AS seq FROM events) SELECT i, j, seq[i + 1] AS a, seq[j + 1] AS b, count(*) AS n FROM m, (SELECT CAST(x.i AS INT) AS i, CAST(y.j AS INT) AS j FROM range(3) x(i), range(3) y(j) WHERE x.i < y.j) GROUP BY ALL",
+)
+def stream_bicounts(s: SparkSession, d: str) -> DataFrame:
+    """Pair counts of the events read as a stream, until all that is there has come; the state is a row a bin."""
+    path = f"{d}/events.parquet"
+    stream = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{path}*")  # a file or a folder of that name
+    letters = stream.select(F.expr(f"array({', '.join(f'cast({e} as int)' for e in _EVENT)})").alias("seq"))
+    out = scratch(s, "stream-bicounts")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    run = streaming_bicounts(letters, 3).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch(s, "stream-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.parquet(out).select(*KEY, "n")
+
+
 # ---- Newton steps
 
 G, PC = 0.01, 0.001
