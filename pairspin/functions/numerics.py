@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rng import places
+from .storage import kept
 
 
 def rounded(c: Column | str) -> Column:
@@ -44,7 +45,8 @@ def ranked(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho) over the rows of ``df``; rho is null where all values of a column are equal."""
-    both = ranked(ranked(df.select(x, y), x, "_rx"), y, "_ry")
+    # each ranking reads its rows several times, so they are stored before it
+    both = ranked(kept(ranked(kept(df.select(x, y), "rank-rows"), x, "_rx"), "ranked-rows"), y, "_ry")
     return both.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"))
 
 
