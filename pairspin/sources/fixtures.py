@@ -43,8 +43,9 @@ def msa_b(spark: SparkSession, sf_dir: str, length: int = B_LENGTH) -> DataFrame
 
 def msa_wide(spark: SparkSession, sf_dir: str, length: int, q: int) -> DataFrame:
     """(seq_id, seq, w): embeddings as sequences of the shape of large families; each letter is a sum of two coordinates cut into q parts."""
-    letters = ", ".join(f"least({q - 1}, greatest(0, cast(floor((cast(embedding[{p % DIMENSIONS}] as double) + cast(embedding[{(7 * p + 3 + p // DIMENSIONS) % DIMENSIONS}] as double) + 0.35D) / 0.7D * {q}) as int)))" for p in range(length))
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq_id"), F.expr(f"array({letters})").alias("seq"), F.lit(1.0).alias("w"))
+    total = f"cast(embedding[p % {DIMENSIONS}] as double) + cast(embedding[(7 * p + 3 + p div {DIMENSIONS}) % {DIMENSIONS}] as double)"
+    letters = f"transform(sequence(0, {length - 1}), p -> least({q - 1}, greatest(0, cast(floor(({total} + 0.35D) / 0.7D * {q}) as int))))"
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("seq_id"), F.expr(letters).alias("seq"), F.lit(1.0).alias("w"))
 
 
 def couplings(spark: SparkSession, length: int, q: int) -> DataFrame:
