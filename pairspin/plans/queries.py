@@ -314,7 +314,11 @@ query(
         "gb", "jj", "uni",
     ),
 )(lambda s, d: values(filters.expanded_couplings(jj(s, d), marginals.unimarg(msa_b(s, d), L, Q), _GROUPS, Q), "cpl"))
-query("reverse_alphamap_seqs")(lambda s, d: filters.expanded_sequences(filters.mapped_sequences(msa_b(s, d), _GROUPS, Q), [[0.1, 0.2, 0.3, 0.4]] * L, _GROUPS, 3).select("seq_id", "seq"))
+_FREQUENT = [0.1, 0.2, 0.3, 0.4]
+_DRAW = "CAST('0x' || left(md5('3:' || seq_id || ':' || (p - 1)), 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE)"
+query("reverse_alphamap_seqs", sql(f"SELECT seq_id, array_to_string(list_transform(seq, lambda x, p: CASE WHEN p % 2 = 1 AND x < 2 THEN CASE WHEN {_DRAW} < 0.1 / CAST(0.3 AS DOUBLE) THEN 0 ELSE 1 END WHEN p % 2 = 1 OR x = 0 THEN x WHEN {_DRAW} < 0.2 / CAST(0.9 AS DOUBLE) THEN 1 WHEN {_DRAW} < 0.5 / CAST(0.9 AS DOUBLE) THEN 2 ELSE 3 END), '') AS seq FROM mb", "mb"))(
+    lambda s, d: _text(filters.expanded_sequences(filters.mapped_sequences(msa_b(s, d), _GROUPS, Q), [_FREQUENT] * L, _GROUPS, 3))
+)
 query("permute", sql("SELECT seq_id, CAST('0x' || left(md5('7:' || seq_id), 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) AS place FROM mb", "mb"))(lambda s, d: filters.permuted(msa_b(s, d), 7).select("seq_id", "place"))
 query("unseen_letters", sql("SELECT pos, string_agg(chr(CAST(65 + res AS INT)), '' ORDER BY res) FILTER (f > 0) AS kept, coalesce(string_agg(chr(CAST(65 + res AS INT)), '' ORDER BY res) FILTER (f = 0), '') AS unseen FROM (SELECT 0 AS pos, a AS res, sum(f) AS f FROM ffa WHERE i = 0 AND j = 1 GROUP BY a UNION ALL SELECT j, b, sum(f) FROM ffa WHERE i = 0 GROUP BY j, b) GROUP BY pos", "ffa"))(
     lambda s, d: reduction.unseen_letters(ff_a(s, d), "ABCD")
