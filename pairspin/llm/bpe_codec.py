@@ -298,7 +298,10 @@ def encode_decode(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id
 
 
 def codec_digests(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``encode_decode`` with counts and SHA-256 digests in place of ids and texts, made where they are."""
+    """``encode_decode`` with counts and SHA-256 digests in place of ids and texts, made where they are.
+
+    Null and empty texts have 0 tokens and the digests of nothing; null and repeated keys are kept as they are, and an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +325,10 @@ def codec_digests(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id
 
 
 def encode_checked(docs: DataFrame, path: str, lexicon: bytes, key: str = "doc_id", source: str = "source", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, source, columns ``keep``, n_tokens, ids, ids_sha256, decoded_equal) of every row, in the order of the rows of ``docs``."""
+    """(key, source, columns ``keep``, n_tokens, ids, ids_sha256, decoded_equal) of every row, in the order of the rows of ``docs``.
+
+    Null and empty texts have no ids and decode to ''; null and repeated keys stay, and an empty table gives an empty one.
+    """
     first = (key, source, *keep)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 

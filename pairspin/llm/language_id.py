@@ -266,7 +266,7 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Language of each page (page_id, url, html).
 
     Null or broken addresses have a null host and suffix, pages without text are rejected as ``und``,
-    repeated rows are judged one by one.
+    repeated rows are judged one by one, and an empty table gives an empty one.
     """
     spark = pages.sparkSession
     languages, model, short = fit(labelled, languages_of(labelled))

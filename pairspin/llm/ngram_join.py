@@ -390,7 +390,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
 
     ``component_id`` is the smallest key reachable by links, the row's own included.  Null and empty texts
     (no words) have an empty set and link with nothing.  Rows with one key are one document: they share a
-    component.  A row without a key keeps its set size and gets a null component.
+    component.  A row without a key keeps its set size and gets a null component.  An empty table gives an empty one, and columns
+    other than ``key`` and ``text`` aren't read.
     """
     ship(docs.sparkSession)
     head = materialize(heads(docs, k, key, text), "shingle-heads")
