@@ -15,8 +15,9 @@
    Components of these edges are the blocks; linked sets are always in one block.  Only documents in blocks are read a third time.
 4. Each block's sets, in one global order (common shingles by falling frequency in all texts, then the rest by hash), are joined with a prefix tree (``prefix_tree``).  A block of more than ``BLOCK_SETS`` is cut in chunks
    by hash, each joined with itself and with ``PIVOTS`` sets of the block, which connects most of a large group
-   of near copies; what is still apart from the block's largest component is then joined with all of the block's chunks.
-   So no group is larger than two chunks, and no pair is left out.
+   of near copies; sets of the block that are still apart are then compared where they share one of their rarest shingles
+   (linked sets do: prefix filtering), if sizes, places and sketches allow a link, and what remains is verified pair by pair.
+   So no group is larger than two chunks, no pair is left out, and work grows with the block's shared rare shingles, not with its square.
 5. Components of the links and of equal sets give the classes.  Equal sets are found within each task first, so that
    a content with very many copies has one row a task in the join by digests.
 
@@ -46,6 +47,8 @@ COMMON = 1 << 18
 FREQUENT = 2
 #: Sets of a chunk, and sets of a large block that all its chunks are compared with first.
 BLOCK_SETS, PIVOTS = 1000, 8
+#: Sets of a block of a shared rare shingle, pairs that a task looks at at once, and buckets of the sketches there.
+GROUP, PAIRS, SMALL = 2048, 40_000, 256
 #: Keys that are broadcast to pick documents, at most (four longs each, 64 MB in all); beyond that the documents are shuffled.
 BROADCAST_KEYS = 2_000_000
 #: Hashes that a task holds while it counts, and signatures that it holds to find those that many of its sets share: so many sets.
@@ -64,8 +67,11 @@ def sketch(s: np.ndarray) -> bytes:
     size = 64
     while size < 4096 and size * 16 < len(s):
         size *= 2
-    bucket = (((s.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
-    return np.minimum(np.bincount(bucket.astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount(_bucket(s, size), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def _bucket(s: np.ndarray, size: int) -> np.ndarray:
+    return ((((s.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
 
 
 def may_link(x: bytes, y: bytes, most: int) -> bool:
@@ -365,24 +371,111 @@ def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int,
     pivots = pivots.select("component", "chunk", "node", every.alias("other"), "part").where("other <> chunk").select("component", F.col("other").alias("chunk"), "node", "part")
     first = materialize(tree_links(chosen_sets(docs, materialize(own.unionByName(pivots), "block-places"), k, key, text), num, den, shared), "links-own")
 
-    # what is apart from the block's largest component meets all chunks
+    # sets of a block that are still apart are compared where they share a rare shingle
     found = components(first, "links-own-cc")
     large = large.drop("part").join(found.select("node", F.col("component").alias("part")).hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    large = materialize(large, "large-blocks")
-    parts = large.groupBy("component", "part").agg(F.count("*").alias("size"))
-    main = parts.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    rest = large.join(of_large(main.where("all > most").select("component", "main")), "component")
-    if not rest.limit(1).count():
-        return first
-    apart = rest.where("part <> main")
-    cells = of_large(apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("cells")))
-    cell = F.expr("pmod(xxhash64(node, 29L), cells)")
-    # a place is (cell of the strays, chunk of all)
-    left = apart.join(cells, "component").select("component", cell.alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "part")
-    right = rest.join(cells, "component").select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), "chunk", "node", "part")
-    places = left.union(right).distinct().join(cells, "component").select("component", (F.col("chunk") * F.col("cells") + F.col("cell")).alias("chunk"), "node", "part")
-    second = materialize(tree_links(chosen_sets(docs, materialize(places, "stray-places"), k, key, text), num, den, shared, True), "links-strays")
-    return first.unionByName(second)
+    large = materialize(large.select("component", F.lit(0).cast("long").alias("chunk"), "node", "part"), "large-blocks")
+    rest = of_large(large.groupBy("component").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("component"))
+    sets = materialize(chosen_sets(docs, large.join(rest, "component"), k, key, text).select("node", "part", "shingles"), "large-sets")
+    pairs = materialize(shared_rare(rare_shingles(sets, num, den, shared), num, den).distinct(), "stray-pairs")
+    return first.unionByName(stray_links(pairs, sets, num, den))
+
+
+def rare_shingles(sets: DataFrame, num: int, den: int, common: Broadcast) -> DataFrame:
+    """Rows (shingle, node, part, n, pos, sketch) of each set's rarest shingles, so many that linked sets have one of these in common.
+
+    ``sets``: node, part, shingles.  Of n elements in one global order, rare ones first, linked sets share one of the first n - ceil(n num/den) + 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = common.value
+        for batch in slices(batches):
+            nodes, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found, n, counts, sketches = [], [], [], []
+            for x in batch.column(2).to_pylist():
+                s = np.frombuffer(x, np.int64)
+                at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+                rank = np.where(known[at] == s, len(known) - place[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                found.append(s[np.lexsort((s, rank))[: len(s) - -(-len(s) * num // den) + 1]])
+                n.append(len(s))
+                counts.append(len(found[-1]))
+                sketches.append(np.minimum(np.bincount(_bucket(s, SMALL), minlength=SMALL), 255).astype(np.uint8).tobytes())
+            where = np.repeat(np.arange(len(n)), counts)
+            pos = np.arange(len(where)) - np.repeat(np.cumsum(counts) - counts, counts)
+            own = pa.array(where)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(found)), *(pa.array(c, pa.int64()).take(own) for c in (nodes, parts, n)), pa.array(pos, pa.int64()), pa.array(sketches, pa.binary()).take(own)],
+                names=["shingle", "node", "part", "n", "pos", "sketch"],
+            )
+        tidy()
+
+    return sets.where(F.length("shingles") > 0).mapInArrow(run, "shingle long, node long, part long, n long, pos long, sketch binary")
+
+
+def shared_rare(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): pairs of sets of different parts that share a shingle of ``rows`` (see ``rare_shingles``) and may link, by sizes, places in the order and sketches.
+
+    A shingle of very many sets is cut into blocks, which are compared two at a time in tasks of their own.
+    """
+    rows = materialize(rows, "rare-shingles")
+    groups = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+    cells = rows.join(groups.select("shingle", F.ceil(F.col("m") / GROUP).alias("blocks")), "shingle")
+    cells = cells.withColumn("own", F.expr("pmod(xxhash64(node, 31L), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "part", "n", "pos", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in runs(batches, 3):
+            ends = np.repeat(bounds[1:], np.diff(bounds))
+            x, y, own, node, part, n, pos = (t.column(c).to_numpy() for c in range(1, 8))
+            sketch = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, SMALL).astype(np.int16)
+            after = ends - np.arange(len(t)) - 1
+            for some in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(after) // PAIRS)) + 1):
+                count = after[some]
+                left = np.repeat(some, count)
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+                total = n[left] + n[right]
+                least = -(-num * total // (num + den))
+                reach = np.minimum(n[left] - pos[left], n[right] - pos[right])  # elements from here on
+                ok = (part[left] != part[right]) & ((x[left] == y[left]) | (own[left] != own[right])) & (reach >= least) & (np.minimum(n[left], n[right]) >= least)
+                left, right, most = left[ok], right[ok], (total - 2 * least)[ok]
+                ok = np.abs(sketch[left] - sketch[right]).sum(1) <= most
+                if ok.any():
+                    u, v = node[left[ok]], node[right[ok]]
+                    pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
+        tidy()
+
+    return cells.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def stray_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): links among ``pairs``(u, v), enough to connect all that is linked.  ``sets``: node, part (connected already), shingles.
+
+    Each set is first compared with its smallest partner.  Of n near copies all n - 1 meet one then, and the other pairs of them need no look at their sets.
+    """
+    near = materialize(verified(pairs.groupBy("u").agg(F.min("v").alias("v")), sets, num, den), "links-smallest")
+    parts = sets.select("node", "part").distinct()
+    of_smallest = near.join(parts.toDF("v", "hub"), "v").select(F.col("u").alias("node"), "hub")
+    hubs = materialize(parts.join(of_smallest, "node", "left").select("node", F.coalesce("hub", "part").alias("hub")), "stray-hubs")
+    open_ = pairs.join(hubs.toDF("u", "hub_u"), "u").join(hubs.toDF("v", "hub_v"), "v").where("hub_u <> hub_v").select("u", "v")
+    return near.unionByName(materialize(verified(open_, sets, num, den), "links-strays"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``pairs``(u, v) whose sets (node, shingles) are linked."""
+    x = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v").select("u", "v", "su", "sv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, t = np.frombuffer(p, np.int64), np.frombuffer(q, np.int64)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(common * den >= num * (len(s) + len(t) - common))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
+
+    return x.mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -399,6 +492,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, key: str = "
 
     rows = head.where("digest is not null").select("key", "n", "digest", "sketch", "twin")
     labels = materialize(blocks(signatures(docs, k, num, den, common[0], key, text), rows, num, den), "block-labels")
+    # of equal sets a block has one
+    labels = labels.join(rows.select(F.col("key").alias("node"), "digest"), "node").groupBy("component", "digest").agg(F.min("node").alias("node"))
+    labels = materialize(labels.select("node", "component").distinct(), "block-firsts")
     release(docs.sparkSession)
     links = block_links(docs, labels, k, num, den, common, key, text)
     # of one content each task has one row without a twin

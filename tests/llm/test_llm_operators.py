@@ -553,6 +553,22 @@ def test_jaccard_components(spark, monkeypatch, size):
         assert ngram_join.jaccard_components(d.limit(0), 4, 85, 100).count() == 0
 
 
+def test_a_block_of_unrelated_sets_is_read_in_proportion(spark, monkeypatch):
+    """Sets of one block that are not linked meet no other chunk whole; near ones of different chunks are linked."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 5)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    texts = [" ".join(f"t{k}w{x}" for x in range(30)) for k in range(60)]
+    texts += [texts[k] + " more" for k in range(0, 60, 4)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"))
+    read, chosen = [], ngram_join.chosen_sets
+    monkeypatch.setattr(ngram_join, "chosen_sets", lambda docs, placed, *a: (read.append(placed.count()), chosen(docs, placed, *a))[1])
+    ngram_join.ship(spark)
+    links = ngram_join.block_links(docs, labels, 4, 85, 100, (np.zeros(0, np.int64), np.zeros(0, np.int32)), "doc_id", "text")
+    assert {(max(r), min(r)) for r in links.collect()} == {(60 + k // 4, k) for k in range(0, 60, 4)}
+    assert sum(read) <= 3 * len(texts)
+
+
 # ---- queries and pipeline
 
 
