@@ -61,14 +61,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder, with these options of the writer, and read it back.
 
     The files survive lost executors, so a later failure recomputes from here only.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

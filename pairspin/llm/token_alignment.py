@@ -8,12 +8,14 @@ Tokens of one group are linked, each of A's with each of B's.
 Plan: texts are read once.  A task makes, for each chunk of documents, the distinct linked id pairs with the number of documents that hold
 them, and for each document the places of its own pairs among these; that is written.  Pairs are summed over chunks, the highest count of each A id is
 found among its pairs, and each chunk gets the counts of its pairs by a join on both ids, in which a pair has one row a chunk however
-many documents hold it.  Documents take their sums from their chunk's row.
+many documents hold it.  Documents take their sums from their chunk's row.  What a document holds of its chunk's pairs, the most of the data, goes through
+Spark as packed bytes, which Python opens one chunk at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -33,7 +35,9 @@ CHUNK_SIGNS = 1_000_000
 CHUNK_ROWS, WIDE_GROUP = 4_000, 64
 #: Ids are below 2^20, so that a document of a chunk and a pair are one long.
 SHIFT = 20
-STORE = "chunk long, rows array<struct<{key}, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string>>, pairs array<long>, held array<int>, ends array<int>, which array<int>, times array<long>"
+STORE = "chunk long, rows array<struct<{key}, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string>>, pairs array<long>, held array<int>, ends binary, which binary, times binary"
+#: Chunks of a file, so that a reader holds few of them at a time.
+FILE_CHUNKS = 32
 
 
 @lru_cache(maxsize=2)
@@ -185,6 +189,14 @@ def align_chunk(path_a: str, path_b: str, texts: list[str | None]) -> dict[str,
     return {"n_a": np.diff(bounds_a), "n_b": np.diff(bounds_b), "n_groups": np.diff(groups), "n_links": np.diff(links), "groups_sha256": digests, "pairs": pairs, "held": held, "ends": ends, "which": which, "times": times}
 
 
+def _packed(x: np.ndarray, kind: type) -> bytes:
+    return zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def _opened(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
+
+
 def store_chunks(docs: DataFrame, path_a: str, path_b: str, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
@@ -195,8 +207,9 @@ def store_chunks(docs: DataFrame, path_a: str, path_b: str, key: str, text: str)
             x = align_chunk(path_a, path_b, texts)
             columns = [keys, *(pa.array(x[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(x["groups_sha256"], pa.string())]
             rows = pa.StructArray.from_arrays(columns, names=["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
-            arrays = [rows, *(pa.array(x[c].astype(t)) for c, t in (("pairs", np.int64), ("held", np.int32), ("ends", np.int32), ("which", np.int32), ("times", np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.ListArray.from_arrays([0, len(v)], v) for v in arrays)], names=["chunk", "rows", "pairs", "held", "ends", "which", "times"])
+            arrays = [rows, pa.array(x["pairs"].astype(np.int64)), pa.array(x["held"].astype(np.int32))]
+            packed = [pa.array([_packed(x[c], t)], pa.binary()) for c, t in (("ends", np.int32), ("which", np.int32), ("times", np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.ListArray.from_arrays([0, len(v)], v) for v in arrays), *packed], names=["chunk", "rows", "pairs", "held", "ends", "which", "times"])
             number += 1
         encode_a, _, encode_b, _ = _tools(path_a, path_b)
         encode_a.forget()
@@ -213,7 +226,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
     null keys stay, other columns aren't read; an empty table gives an empty one.  A tie for an A id's highest count is best on all its pairs.
     """
     kind = docs.schema[key].dataType.simpleString()
-    store = materialize(store_chunks(docs, path_a, path_b, key, text), "aligned-chunks")
+    store = materialize(store_chunks(docs, path_a, path_b, key, text), "aligned-chunks", maxRecordsPerFile=FILE_CHUNKS)
     held = store.select("chunk", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "x")).select("chunk", "place", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     counts = held.groupBy("pair").agg(F.sum("held").alias("count"))
     counts = materialize(counts.withColumn("a", F.shiftright("pair", SHIFT)), "link-counts")
@@ -226,13 +239,13 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                rows, ends, which, times, told = (batch.column(c)[k].values for c in range(5))
+                rows, told = batch.column(0)[k].values, batch.column(4)[k].values
+                ends, which, times = (_opened(batch.column(c)[k].as_py(), t) for c, t in ((1, np.int32), (2, np.int32), (3, np.int64)))
                 n = len(rows) if rows is not None else 0
                 if not n:
                     continue
-                which, times = which.to_numpy(), times.to_numpy()
                 value = told.to_numpy()[which] if told is not None else np.zeros(0, np.int64)
-                cut = np.append(0, ends.to_numpy())
+                cut = np.append(0, ends)
                 best, total = (np.diff(np.append(0, np.cumsum(x))[cut]) for x in (times * (value & 1), times * (value >> 1)))
                 parts = {f.name: rows.field(f.name) for f in rows.type}
                 yield pa.RecordBatch.from_arrays(
