@@ -261,3 +261,22 @@ def test_spelling_variants(spark, docs, no_docs, sf, monkeypatch, long_word):
     assert {len(g[0]) for g in got if len(g[0]) >= 50_000} <= {99_999, 100_000}
     assert shown(spelling_variants.spelling_variants(no_docs)) == shown(spelling_variants.spelling_variants(docs.where("text is null"))) == []
     assert shown(spelling_variants.spelling_variants(df.select(F.col("doc_id").alias("d.id"), F.col("text").alias("t.x"), F.lit(1).alias("n")), "d.id", "t.x")) == got
+
+
+def test_stored_chunks_are_packed_and_few_in_a_file(spark, monkeypatch):
+    """What a reader of stored chunks holds at once doesn't grow with the table."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from pairspin.llm import token_alignment
+
+    monkeypatch.setattr(token_alignment, "CHUNK_ROWS", 1)
+    monkeypatch.setattr(token_alignment, "FILE_CHUNKS", 2)
+    stored, write = {}, token_alignment.materialize
+    monkeypatch.setattr(token_alignment, "materialize", lambda df, name, **o: stored.setdefault(name, write(df, name, **o)))
+    docs = spark.createDataFrame([(k, f"some words and {k} more") for k in range(7)], "doc_id long, text string").coalesce(1)
+    got = token_alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert got.count() == 7 and got.where("n_links = 0 or count_sum < n_links").count() == 0
+    store = stored["aligned-chunks"]
+    assert {store.schema[c].dataType.simpleString() for c in ("ends", "which", "times")} == {"binary"}
+    assert max(r["count"] for r in store.groupBy(F.input_file_name()).count().collect()) <= 2
