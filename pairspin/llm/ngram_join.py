@@ -15,9 +15,10 @@
    Components of these edges are the blocks; linked sets are always in one block.  Only documents in blocks are read a third time.
 4. Each block's sets, in one global order (common shingles by falling frequency in all texts, then the rest by hash), are joined with a prefix tree (``prefix_tree``).  A block of more than ``BLOCK_SETS`` is cut in chunks
    by hash, each joined with itself and with ``PIVOTS`` sets of the block, which connects most of a large group
-   of near copies; sets of the block that are still apart are then compared where they share one of their rarest shingles
-   (linked sets do: prefix filtering), if sizes, places and sketches allow a link, and what remains is verified pair by pair.
-   So no group is larger than two chunks, no pair is left out, and work grows with the block's shared rare shingles, not with its square.
+   of near copies.  Sets of the block that are still apart meet where they share one of their rarest shingles
+   (linked sets do: prefix filtering), if sizes, places and sketches allow a link: first each with one of a few sets of the shingle,
+   which connects near copies of different chunks, then in cells of those that are apart even so, each cell joined with a prefix tree.
+   So no group is larger than two chunks, no pair is left out, and no step lists pairs: a set has a row for a rare shingle, at most one a cell.
 5. Components of the links and of equal sets give the classes.  Equal sets are found within each task first, so that
    a content with very many copies has one row a task in the join by digests.
 
@@ -45,10 +46,10 @@ from .shingles import _mixed, shingle_sets
 COMMON = 1 << 18
 #: A shingle counts as frequent in a task's share of the texts from this many sets on.
 FREQUENT = 2
-#: Sets of a chunk, and sets of a large block that all its chunks are compared with first.
+#: Sets of a chunk, and sets of a large block, and of a rare shingle, that all others there are compared with first.
 BLOCK_SETS, PIVOTS = 1000, 8
 #: Sets of a block of a shared rare shingle, pairs that a task looks at at once, and buckets of the sketches there.
-GROUP, PAIRS, SMALL = 2048, 40_000, 256
+GROUP, PAIRS, SMALL = 500, 40_000, 256
 #: Keys that are broadcast to pick documents, at most (four longs each, 64 MB in all); beyond that the documents are shuffled.
 BROADCAST_KEYS = 2_000_000
 #: Hashes that a task holds while it counts, and signatures that it holds to find those that many of its sets share: so many sets.
@@ -377,8 +378,13 @@ def block_links(docs: DataFrame, labels: DataFrame, k: int, num: int, den: int,
     large = materialize(large.select("component", F.lit(0).cast("long").alias("chunk"), "node", "part"), "large-blocks")
     rest = of_large(large.groupBy("component").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("component"))
     sets = materialize(chosen_sets(docs, large.join(rest, "component"), k, key, text).select("node", "part", "shingles"), "large-sets")
-    pairs = materialize(shared_rare(rare_shingles(sets, num, den, shared), num, den).distinct(), "stray-pairs")
-    return first.unionByName(stray_links(pairs, sets, num, den))
+    rare = materialize(rare_shingles(sets, num, den, shared), "rare-shingles")
+    near = materialize(verified(pivot_pairs(rare, num, den).distinct(), sets, num, den), "links-pivots")
+    parts = materialize(merged(sets.select("node", "part").distinct(), near), "stray-parts")
+    of_nodes = F.broadcast(parts) if parts.count() <= BROADCAST_KEYS else parts.hint("merge")
+    cells = crossing(rare.drop("part").join(of_nodes, "node"), num, den)
+    cells = materialize(cells.join(sets.select("node", "shingles"), "node").select("component", "chunk", "node", "part", "shingles"), "stray-cells")
+    return first.unionByName(near).unionByName(materialize(tree_links(cells, num, den, shared, parts=True), "links-strays"))
 
 
 def rare_shingles(sets: DataFrame, num: int, den: int, common: Broadcast) -> DataFrame:
@@ -412,53 +418,109 @@ def rare_shingles(sets: DataFrame, num: int, den: int, common: Broadcast) -> Dat
     return sets.where(F.length("shingles") > 0).mapInArrow(run, "shingle long, node long, part long, n long, pos long, sketch binary")
 
 
-def shared_rare(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): pairs of sets of different parts that share a shingle of ``rows`` (see ``rare_shingles``) and may link, by sizes, places in the order and sketches.
+def may_share(n: np.ndarray, pos: np.ndarray, part: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs (left, right) of rows of one shingle (see ``rare_shingles``) are of different parts and may link, by sizes, places in the order and sketches."""
+    total = n[left] + n[right]
+    least = -(-num * total // (num + den))
+    reach = np.minimum(n[left] - pos[left], n[right] - pos[right])  # elements from here on
+    ok = (part[left] != part[right]) & (reach >= least) & (np.minimum(n[left], n[right]) >= least)
+    at = np.flatnonzero(ok)
+    ok[at] = np.abs(sketch[left[at]] - sketch[right[at]]).sum(1) <= (total - 2 * least)[at]
+    return ok
 
-    A shingle of very many sets is cut into blocks, which are compared two at a time in tasks of their own.
+
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SMALL).astype(np.int16)
+
+
+def pivot_pairs(rare: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): for each set and each of its rare shingles the first of the shingle's ``PIVOTS`` smallest nodes that it may link with: a row at most.
+
+    Near copies share most of their rare shingles, so nearly all of them meet the same few nodes.
     """
-    rows = materialize(rows, "rare-shingles")
-    groups = rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
-    cells = rows.join(groups.select("shingle", F.ceil(F.col("m") / GROUP).alias("blocks")), "shingle")
-    cells = cells.withColumn("own", F.expr("pmod(xxhash64(node, 31L), blocks)")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "part", "n", "pos", "sketch")
+    groups = rare.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in runs(batches, 3):
-            ends = np.repeat(bounds[1:], np.diff(bounds))
-            x, y, own, node, part, n, pos = (t.column(c).to_numpy() for c in range(1, 8))
-            sketch = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, SMALL).astype(np.int16)
-            after = ends - np.arange(len(t)) - 1
-            for some in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(after) // PAIRS)) + 1):
-                count = after[some]
-                left = np.repeat(some, count)
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-                total = n[left] + n[right]
-                least = -(-num * total // (num + den))
-                reach = np.minimum(n[left] - pos[left], n[right] - pos[right])  # elements from here on
-                ok = (part[left] != part[right]) & ((x[left] == y[left]) | (own[left] != own[right])) & (reach >= least) & (np.minimum(n[left], n[right]) >= least)
-                left, right, most = left[ok], right[ok], (total - 2 * least)[ok]
-                ok = np.abs(sketch[left] - sketch[right]).sum(1) <= most
-                if ok.any():
-                    u, v = node[left[ok]], node[right[ok]]
-                    pair = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
+        held: pa.Table | None = None  # the first rows of the shingle that the last batch ended in
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch])
+            old = 0 if held is None else len(held)
+            t = t if held is None else pa.concat_tables([held, t])
+            shingle, node, part, n, pos = (t.column(c).to_numpy() for c in range(5))
+            sketch = _sketches(t.column(5))
+            begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            start = np.repeat(begin, np.diff(np.append(begin, len(t))))
+            pivot = np.full(len(t), -1)
+            for j in range(PIVOTS):
+                at = np.flatnonzero((start + j < np.arange(len(t))) & (pivot < 0))
+                at = at[at >= old]
+                at = at[may_share(n, pos, part, sketch, at, start[at] + j, num, den)]
+                pivot[at] = start[at] + j
+            at = np.flatnonzero(pivot >= 0)
+            pair = np.unique(np.stack([node[at], node[pivot[at]]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
+            # copied, so that the batch itself goes
+            held = t.slice(begin[-1], min(PIVOTS, len(t) - begin[-1])).take(pa.array(np.arange(min(PIVOTS, len(t) - begin[-1]))))
         tidy()
 
-    return cells.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y").mapInArrow(run, "u long, v long")
+    rows = rare.join(groups.select("shingle"), "shingle").select("shingle", "node", "part", "n", "pos", "sketch")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(run, "u long, v long")
+
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, part): ``parts``(node, part) after each part took the smallest number among the parts it is linked with, and the number which that one took."""
+    ends = links.join(parts.toDF("u", "a"), "u").join(parts.toDF("v", "b"), "v").where("a <> b").select("a", "b").distinct()
+    both = ends.union(ends.select("b", "a"))
+    low = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b")), "part-hubs")
+    hubs = low.join(low.toDF("b", "c"), "b").select(F.col("a").alias("part"), F.col("c").alias("hub"))
+    return parts.join(hubs, "part", "left").select("node", F.coalesce("hub", "part").alias("part"))
 
-def stray_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links among ``pairs``(u, v), enough to connect all that is linked.  ``sets``: node, part (connected already), shingles.
 
-    Each set is first compared with its smallest partner.  Of n near copies all n - 1 meet one then, and the other pairs of them need no look at their sets.
+def crossing(rare: DataFrame, num: int, den: int) -> DataFrame:
+    """(component, chunk, node, part): for each rare shingle, in cells of up to two blocks, the sets that may link with a set of another part there: a row a set, not a pair.
+
+    Of a shingle's sets those of its largest part needn't meet each other.  They are cut into blocks of ``GROUP``, all others into blocks too,
+    and only pairs of blocks with one of the others make a cell (component: the shingle, chunk: the two blocks).
     """
-    near = materialize(verified(pairs.groupBy("u").agg(F.min("v").alias("v")), sets, num, den), "links-smallest")
-    parts = sets.select("node", "part").distinct()
-    of_smallest = near.join(parts.toDF("v", "hub"), "v").select(F.col("u").alias("node"), "hub")
-    hubs = materialize(parts.join(of_smallest, "node", "left").select("node", F.coalesce("hub", "part").alias("hub")), "stray-hubs")
-    open_ = pairs.join(hubs.toDF("u", "hub_u"), "u").join(hubs.toDF("v", "hub_v"), "v").where("hub_u <> hub_v").select("u", "v")
-    return near.unionByName(materialize(verified(open_, sets, num, den), "links-strays"))
+    counts = rare.groupBy("shingle", "part").agg(F.count("*").alias("m"))
+    groups = counts.groupBy("shingle").agg(F.sum("m").alias("m"), F.max(F.struct("m", "part")).alias("top")).where("m > top.m")
+    groups = groups.select("shingle", F.col("top.part").alias("home"), F.ceil(F.col("top.m") / GROUP).alias("inner"), F.ceil((F.col("m") - F.col("top.m")) / GROUP).alias("outer"))
+    cells = rare.join(groups, "shingle")
+    at_home = F.col("part") == F.col("home")
+    own = F.when(at_home, F.expr("pmod(xxhash64(node, 31L), inner)")).otherwise(F.expr("inner + pmod(xxhash64(node, 31L), outer)"))
+    other = F.explode(F.sequence(F.when(at_home, F.col("inner")).otherwise(F.lit(0).cast("long")), F.col("inner") + F.col("outer") - 1))
+    cells = cells.withColumn("own", own).withColumn("other", other)
+    chunk = F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other")
+    cells = cells.select("shingle", chunk.alias("chunk"), "part", "node", "own", "n", "pos", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in runs(batches, 2):
+            part, own, n, pos = (t.column(c).to_numpy() for c in (2, 4, 5, 6))
+            sketch = _sketches(t.column(7))
+            chunk = t.column(1).to_numpy()
+            within = chunk >> 31 == chunk & (1 << 31) - 1
+            cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            change = np.flatnonzero((part[1:] != part[:-1]) | (cell[1:] != cell[:-1])) + 1
+            begin = np.concatenate([[0], change, [len(t)]])
+            past = np.repeat(begin[1:], np.diff(begin))  # the first row after those of this part in this cell
+            after = np.repeat(bounds[1:], np.diff(bounds)) - past
+            hit = np.zeros(len(t), bool)
+            for some in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(after) // PAIRS)) + 1):
+                count = after[some]
+                left = np.repeat(some, count)
+                right = np.repeat(past[some], count) + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+                ok = within[left] | (own[left] != own[right])  # two sets of one block meet in its own cell
+                left, right = left[ok], right[ok]
+                ok = may_share(n, pos, part, sketch, left, right, num, den)
+                hit[left[ok]] = hit[right[ok]] = True
+            rows = t.select(["shingle", "chunk", "node", "part"]).filter(pa.array(hit)).rename_columns(["component", "chunk", "node", "part"])
+            yield from rows.to_batches()
+        tidy()
+
+    cells = cells.repartition("shingle", "chunk").sortWithinPartitions("shingle", "chunk", "part")
+    return cells.mapInArrow(run, "component long, chunk long, node long, part long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

@@ -569,6 +569,70 @@ def test_a_block_of_unrelated_sets_is_read_in_proportion(spark, monkeypatch):
     assert sum(read) <= 3 * len(texts)
 
 
+def test_near_copies_apart_make_rows_in_proportion(spark, monkeypatch):
+    """Near copies in many chunks of a block of other texts: no step's rows grow with the square of the group."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 20)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    ngram_join.ship(spark)
+    made = {}
+    frame = type(spark.range(1))
+    plain = frame.mapInArrow
+
+    def counted(self, func, schema, *args):
+        rows = made.setdefault((func.__qualname__, schema), [])
+        rows.append(spark.sparkContext.accumulator(0))
+        total = rows[-1]
+
+        def run(batches):
+            for b in func(batches):
+                total.add(b.num_rows)
+                yield b
+
+        return plain(self, run, schema, *args)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    found = []
+    for m in (60, 240):
+        made.clear()
+        # the set that every chunk meets is none of the near copies
+        ids = [r.id for r in spark.range(2 * m).orderBy(F.xxhash64("id"), "id").collect()]
+        base = [f"w{x}" for x in range(120)]
+        texts = {i: " ".join([*base[: k % 120], f"new{k}", *base[k % 120 + 1 :]]) if k % 2 else " ".join(f"t{k}w{x}" for x in range(30)) for k, i in enumerate(ids)}
+        docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+        labels = docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"))
+        links = ngram_join.block_links(docs, labels, 4, 85, 100, (np.zeros(0, np.int64), np.zeros(0, np.int32)), "doc_id", "text")
+        near = ids[1::2]
+        assert {(r.node, r.component) for r in ngram_join.components(links).collect()} == {(i, min(near)) for i in near}
+        found.append({k: sum(a.value for a in v) for k, v in made.items()})
+    assert all(found[1][k] <= 8 * max(v, 100) for k, v in found[0].items())
+
+
+def test_stray_cells(spark, monkeypatch):
+    """Texts that drift from each other, in blocks of a shingle's sets of two: every link between parts is found."""
+    for name, value in (("BLOCK_SETS", 2), ("PIVOTS", 1), ("GROUP", 2), ("PAIRS", 10)):
+        monkeypatch.setattr(ngram_join, name, value)
+    random.seed(15)
+    words = [f"w{k}" for k in range(500)]
+    texts = []
+    for n in (12, 50, 90):
+        w = random.choices(words, k=n)
+        for _ in range(30):
+            w[random.randrange(n)] = random.choice(words)
+            texts.append(" ".join(w))
+    random.shuffle(texts)
+    sets = brute_sets(texts, 4)
+    want = list(brute_components(range(len(texts)), sets, 85, 100))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"))
+    ngram_join.ship(spark)
+    # nothing is connected before the cells, which must then find all
+    monkeypatch.setattr(ngram_join, "pivot_pairs", lambda rare, *a: rare.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    for common in (np.zeros(0, np.int64), np.unique(np.concatenate([*shingle_sets(texts[:9], 4)]))):
+        links = ngram_join.block_links(docs, labels, 4, 85, 100, (common, np.arange(len(common), dtype=np.int32)), "doc_id", "text")
+        got = {r.node: r.component for r in ngram_join.components(links).collect()}
+        assert [got.get(k, k) for k in range(len(texts))] == want
+
+
 # ---- queries and pipeline
 
 
